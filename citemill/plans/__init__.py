@@ -1,3 +1,3 @@
 """Queries of the library, by section of the inventory."""
 
-from citemill.plans import text_queries  # noqa: F401
+from citemill.plans import join_queries, merge_queries, source_queries, text_queries  # noqa: F401
