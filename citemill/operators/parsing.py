@@ -145,7 +145,7 @@ def fields(c: Column) -> Column:
 
 
 def tag_body(c: Column, tag: str) -> Column:
-    return F.trim(F.regexp_extract(c, rf"(?is)<{tag}>(.*?)</{tag}>", 1))
+    return F.regexp_extract(c, rf"(?is)<{tag}>\s*(.*?)\s*</{tag}>", 1)
 
 
 def verdict_lines(rows: DataFrame, batch: DataFrame, key: str) -> DataFrame:
