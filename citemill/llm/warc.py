@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citemill.llm import storage
 
@@ -20,15 +21,29 @@ _ID = re.compile(r"<urn:page:(-?\d+|none)>")
 
 
 def mark_revisits(pages: DataFrame, page_id: str, payload: str, least_bytes: int) -> DataFrame:
-    """(p, u.., payload columns) with digest, bytes and refers_to, null for responses.
+    """``pages`` with _digest, _bytes, _refers (null for responses) and _packed, the compressed payload in its column's place.
 
-    The payloads themselves move once, by page; only digests meet to find repeats, pre-aggregated.
+    The payloads themselves move once, by page, compressed before that; only digests meet to find
+    repeats, pre-aggregated.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     pages = pages.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
     slim = pages.where(F.col("_bytes") >= least_bytes).select(F.col(page_id).alias("_p"), "_digest", "_bytes")
     groups = slim.groupBy("_digest", "_bytes").agg(F.max("_p").alias("_refers"), F.count("*").alias("n")).where("n > 1 AND _refers IS NOT NULL").drop("n")
     again = slim.join(groups, ["_digest", "_bytes"]).where("NOT (_p <=> _refers)").distinct()
+    schema = T.StructType([*pages.drop(payload).schema.fields, T.StructField("_packed", T.BinaryType())])
+
+    def squeeze(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            if batch.num_rows:
+                packed = [pack.compress((t.as_py() or "").encode()) for t in batch.column(payload)]
+                kept = [batch.column(f.name) for f in schema.fields[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=schema.names)
+
+    pages = pages.mapInArrow(squeeze, schema)
     match = F.col(page_id).eqNullSafe(F.col("again._p")) & (F.col("pages._digest") == F.col("again._digest")) & (F.col("pages._bytes") == F.col("again._bytes"))
     return pages.alias("pages").join(again.alias("again"), match, "left").select("pages.*", "again._refers")
 
@@ -58,13 +73,15 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
     rows = mark_revisits(slim, "p", "t", least_bytes)
 
     def write(batches):
-        name, out = f"{uuid.uuid4().hex}.warc", None
+        import zstandard
+
+        name, out, unpack = f"{uuid.uuid4().hex}.warc", None, zstandard.ZstdDecompressor()
         for batch in batches:
-            cols = [batch.column(c) for c in ("p", "u", "t", "_digest", "_bytes", "_refers")]
+            cols = [batch.column(c) for c in ("p", "u", "_packed", "_digest", "_bytes", "_refers")]
             for i in range(batch.num_rows):
-                p, u, t, digest, size, refers = (c[i].as_py() for c in cols)
+                p, u, packed, digest, size, refers = (c[i].as_py() for c in cols)
                 out = out or storage.open_write(f"{folder}/{name}")
-                out.write(_record(p, u, (t or "").encode(), digest, size, refers))
+                out.write(_record(p, u, unpack.decompress(packed), digest, size, refers))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name]})
@@ -139,10 +156,14 @@ def candidate_links(spark: SparkSession, folder: str, files: list[str], block_by
 _LINKS = pa.schema([("file", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("exit", pa.int64())])
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """(file, at) where the chain from a file's start enters a block: pointer jumping, so the number of joins grows with the logarithm of the blocks in a file."""
+def reachable(links: DataFrame, count: int) -> DataFrame:
+    """(file, at) where the chain from a file's start enters a block: pointer jumping, so the number of joins grows with the logarithm of the blocks in a file.
+
+    ``count`` is the number of files; one that doesn't begin with a record, or whose chain ends
+    before the file does, is an error.
+    """
     jumps = storage.cut(links, "warc-links")
-    if jumps.where("at = 0").count() < jumps.select("file").distinct().count():
+    if jumps.where("at = 0").count() < count:
         raise ValueError("an archive doesn't begin with a record")
     reach, known = jumps.where("at = 0").select("file", "at", "size"), -1
     reach = storage.cut(reach, "warc-reach")
@@ -169,7 +190,7 @@ def read_warc(spark: SparkSession, folder: str, files: list[str], block_bytes: i
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, at long"
     if not files:
         return spark.createDataFrame([], schema)
-    entries = reachable(candidate_links(spark, folder, files, block_bytes))
+    entries = reachable(candidate_links(spark, folder, files, block_bytes), len(files))
 
     def number(text: str) -> int | None:
         m = _ID.fullmatch(text)
