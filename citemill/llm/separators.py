@@ -61,6 +61,8 @@ def count_tokens(spark: SparkSession, folder: str, files: DataFrame, end_id: int
             for name in batch.column("file").to_pylist():
                 with storage.open_read(f"{folder}/{name}") as f:
                     n = f.size()
+                if n == 0:
+                    continue
                 starts = np.arange(0, n, block_bytes)
                 yield pa.RecordBatch.from_pydict({"file": [name] * len(starts), "block": np.arange(len(starts)), "at": starts, "last": starts + block_bytes >= n})
 
