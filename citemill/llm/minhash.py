@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from citemill.llm import storage
 from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, runs, slices, strings
-from citemill.llm.components import components
+from citemill.llm.components import local_components
 
 WORDS = 5
 SHARE = 75  # percent
@@ -112,15 +112,15 @@ def differences(a: str, b: str) -> Column:
 def _candidates(reps: DataFrame) -> DataFrame:
     """(a, b, null, null) pairs that meet in a bucket, and (rep, null, key, n) for rows of buckets with more than NEAR + 1 rows.
 
-    Buckets stream by in the order of their keys.  A row meets the NEAR rows before it, which is the
-    whole bucket where that is small, and the first one.  So no bucket is held and the rows that
+    Buckets stream by in the order of their keys.  The first NEAR + 1 rows of a bucket, which is the
+    whole of most, all meet; later ones meet the first two.  So no bucket is held and the rows that
     come out are in proportion to those that go in; what a large bucket hides is left to _rest().
     """
     keys = reps.where("n > 0").select("rep", F.col("n"), F.explode(bucket_keys()).alias("key"))
 
     def stream(batches):
         carry = {c: np.zeros(0, np.int64) for c in ("key", "rep", "n")}
-        lead = (0, 0, 0)  # first row of the bucket that the last batch ended in, and its place before the carried rows
+        lead = (0, 0, 0, 0, 0)  # the two first rows of the bucket that the last batch ended in, and the place of the first carried row
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -130,27 +130,31 @@ def _candidates(reps: DataFrame) -> DataFrame:
             size = len(key)
             fresh = np.append(True, key[1:] != key[:-1])
             begin = np.maximum.accumulate(np.where(fresh, np.arange(size), 0))
-            first_rep, first_n, place = rep[begin].copy(), n[begin].copy(), np.arange(size) - begin
-            if old:
+            second = np.minimum(begin + 1, size - 1)
+            heads = [rep[begin], n[begin], rep[second], n[second]]
+            place = np.arange(size) - begin
+            if old and lead[4]:
                 going = begin == 0
-                first_rep[going], first_n[going] = lead[0], lead[1]
-                place[going] += lead[2]
+                for k in range(4):
+                    heads[k] = np.where(going, lead[k], heads[k])
+                place = np.where(going, place + lead[4], place)
             at = np.arange(old, size)
             left, right = [], []
             for d in range(1, NEAR + 1):
-                i = at[place[at] >= d]
+                i = at[(place[at] >= d) & (place[at] <= NEAR)]
                 left.append(np.stack([rep[i - d], n[i - d]]))
                 right.append(np.stack([rep[i], n[i]]))
-            i = at[place[at] > NEAR]
-            left.append(np.stack([first_rep[i], first_n[i]]))
-            right.append(np.stack([rep[i], n[i]]))
-            l, r = np.concatenate(left, axis=1), np.concatenate(right, axis=1)
-            fine = (l[0] != r[0]) & (100 * np.minimum(l[1], r[1]) >= SHARE * np.maximum(l[1], r[1]))
-            pairs = np.stack([np.minimum(l[0], r[0])[fine], np.maximum(l[0], r[0])[fine]])
+            far = at[place[at] > NEAR]
+            for k in (0, 2):
+                left.append(np.stack([heads[k][far], heads[k + 1][far]]))
+                right.append(np.stack([rep[far], n[far]]))
+            x, y = np.concatenate(left, axis=1), np.concatenate(right, axis=1)
+            fine = (x[0] != y[0]) & (100 * np.minimum(x[1], y[1]) >= SHARE * np.maximum(x[1], y[1]))
+            pairs = np.stack([np.minimum(x[0], y[0])[fine], np.maximum(x[0], y[0])[fine]])
             if pairs.shape[1]:
                 pairs = np.unique(pairs, axis=1)
             member = np.zeros(size, bool)
-            member[i] = True
+            member[far] = True
             turn = at[place[at] == NEAR + 1]
             for d in range(1, NEAR + 2):
                 member[turn - d] = True
@@ -160,19 +164,23 @@ def _candidates(reps: DataFrame) -> DataFrame:
             if len(m):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[m]), pa.nulls(len(m), pa.int64()), pa.array(key[m]), pa.array(n[m])], names=["a", "b", "key", "n"])
             cut = max(0, size - NEAR - 1)
-            lead = (int(first_rep[cut]), int(first_n[cut]), int(place[cut])) if size else lead
+            lead = (*(int(h[cut]) for h in heads), int(place[cut]))
             carry = {c: col[c][cut:] for c in carry}
 
-    return keys.repartition("key").sortWithinPartitions("key", "n", "rep").mapInArrow(stream, "a long, b long, key long, n long")
+    return keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(stream, "a long, b long, key long, n long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, share: int = SHARE) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole shingle sets overlap enough."""
+def _texts(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(id, t) of the documents that ``pairs`` name. The texts are shuffled here once; later joins read what is left of them."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = storage.cut(texts.join(need, "id", "left_semi"), "near-texts")
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return storage.cut(texts.join(need.hint("merge"), "id", "left_semi"), "near-texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, share: int = SHARE) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole shingle sets overlap enough."""
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
+    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def check(batches):
         held: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -198,7 +206,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, share: in
                     total -= len(held.popitem(last=False)[1])
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, y in zip(a, ok, strict=True) if y], pa.int64()), "b": pa.array([x for x, y in zip(b, ok, strict=True) if y], pa.int64())})
 
-    return both.mapInArrow(check, "a long, b long").distinct()
+    return both.mapInArrow(check, "a long, b long")
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -209,14 +217,10 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _grow(comp: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
-    """Components (node, component) after more links; known components count as one node each."""
-    if comp is None:
-        return storage.cut(components(links, name), name)
-    edges = _named(links, comp).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    over = storage.cut(components(edges, name), name)
-    lifted = comp.join(over.withColumnRenamed("component", "top").withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = over.join(comp, "node", "left_anti")
-    return storage.cut(lifted.unionByName(alone), name)
+    """Components (node, component) after more links; a known component is a star of edges."""
+    if comp is not None:
+        links = links.unionByName(comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return local_components(links, name)
 
 
 def _named(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -281,18 +285,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     reps = storage.cut(reps, "near-classes")
     found = storage.cut(_candidates(reps), "near-candidates")
     close = storage.cut(_close(found.where("b IS NOT NULL").select("a", "b").distinct(), reps), "near-pairs")
-    best = close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    comp = _grow(None, confirm(best, docs, text, doc_id), "near-first")
-    later = close.join(best, ["a", "b"], "left_anti").select("a", "b")
-    later = storage.cut(_named(later, comp).where("ca <> cb").select("a", "b"), "near-later")
+    texts = _texts(docs, close, text, doc_id)
+    best = storage.cut(close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "near-best")
+    comp = _grow(None, confirm(best, texts), "near-first")
+    later = _named(close, comp).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    later = storage.cut(later, "near-later")
     if not later.isEmpty():
-        comp = _grow(comp, storage.cut(confirm(later, docs, text, doc_id), "near-links"), "near-second")
+        links = storage.cut(confirm(later, texts), "near-links")
+        if not links.isEmpty():
+            comp = _grow(comp, links, "near-second")
     members = found.where("b IS NULL").select(F.col("a").alias("rep"), "key", "n")
     if not members.isEmpty():
-        rest = storage.cut(_rest(members, comp, reps), "near-rest-pairs").join(close.select("a", "b"), ["a", "b"], "left_anti")
-        rest = storage.cut(_named(rest, comp).where("ca <> cb").select("a", "b"), "near-rest-left")
+        rest = _named(storage.cut(_rest(members, comp, reps), "near-rest-pairs"), comp).where("ca <> cb").select("a", "b")
+        rest = storage.cut(rest.join(close.select("a", "b"), ["a", "b"], "left_anti"), "near-rest-left")
         if not rest.isEmpty():
-            comp = _grow(comp, storage.cut(confirm(rest, docs, text, doc_id), "near-links"), "near-third")
+            links = storage.cut(confirm(rest, _texts(docs, rest, text, doc_id)), "near-links")
+            if not links.isEmpty():
+                comp = _grow(comp, links, "near-third")
     classes = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
     slim = sigs.select("doc_id", "n", "f0", "f1")
     linked = slim.where("n > 0").join(classes, ["f0", "f1"], "left").select("doc_id", "n", "component_id")
