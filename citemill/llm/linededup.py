@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citemill.llm import storage
-from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, slices, spread, strings
+from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, slices, spark_hash, spread, strings
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 1 << 17
@@ -193,19 +193,7 @@ def build_index(repeated: DataFrame) -> list[str]:
 
 
 def _shard_number(keys: np.ndarray, shards: int) -> np.ndarray:
-    return np.zeros(len(keys), np.int64) if shards == 1 else _xxhash_long(keys) % shards
-
-
-def _xxhash_long(keys: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of one long with seed 42, vectorised."""
-    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << U64(r)) | (x >> U64(64 - r))
-    h = np.full(len(keys), U64(42) + p5 + U64(8))
-    h ^= rot(keys * p2, 31) * p1
-    h = rot(h, 27) * p1 + p4
-    h = (h ^ (h >> U64(33))) * p2
-    h = (h ^ (h >> U64(29))) * p3
-    return (h ^ (h >> U64(32))).view(np.int64)
+    return np.zeros(len(keys), np.int64) if shards == 1 else spark_hash(keys) % shards
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:

@@ -6,46 +6,42 @@ import hashlib
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from citemill.llm import storage
+from citemill.llm.bytescan import spark_hash
 
 LEAST_BYTES = 1000
 BLOCK_BYTES = 4 << 20
+MOST_BITS = 27  # of the bitmap: a power of two
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "2024-01-01T00:00:00Z"
 _ID = re.compile(r"<urn:page:(-?\d+|none)>")
 
 
-def mark_revisits(pages: DataFrame, page_id: str, payload: str, least_bytes: int) -> DataFrame:
-    """``pages`` with _digest, _bytes, _refers (null for responses) and _packed, the compressed payload in its column's place.
-
-    The payloads themselves move once, by page, compressed before that; only digests meet to find
-    repeats, pre-aggregated.
-    """
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    pages = pages.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
-    slim = pages.where(F.col("_bytes") >= least_bytes).select(F.col(page_id).alias("_p"), "_digest", "_bytes")
+def _again(slim: DataFrame) -> DataFrame:
+    """(_p, _digest, _bytes, _refers) of the pages that repeat another one's payload; only digests meet, pre-aggregated."""
     groups = slim.groupBy("_digest", "_bytes").agg(F.max("_p").alias("_refers"), F.count("*").alias("n")).where("n > 1 AND _refers IS NOT NULL").drop("n")
-    again = slim.join(groups, ["_digest", "_bytes"]).where("NOT (_p <=> _refers)").distinct()
-    schema = T.StructType([*pages.drop(payload).schema.fields, T.StructField("_packed", T.BinaryType())])
+    return storage.cut(slim.join(groups, ["_digest", "_bytes"]).where("NOT (_p <=> _refers)").distinct(), "warc-again")
 
-    def squeeze(batches):
-        import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if batch.num_rows:
-                packed = [pack.compress((t.as_py() or "").encode()) for t in batch.column(payload)]
-                kept = [batch.column(f.name) for f in schema.fields[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary())], names=schema.names)
+def _bitmap(again: DataFrame) -> np.ndarray:
+    """A bit for each hash of a page id in ``again``: eight bits a page, MOST_BITS at most, whatever the input."""
+    bits = 1 << min(MOST_BITS, max(15, (8 * again.count()).bit_length()))
+    at = F.pmod(F.xxhash64("_p"), F.lit(bits)) + 1
+    out = np.zeros(bits // 8, np.uint8)
+    for r in again.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect():
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.b, np.uint8)
+    return out
 
-    pages = pages.mapInArrow(squeeze, schema)
-    match = F.col(page_id).eqNullSafe(F.col("again._p")) & (F.col("pages._digest") == F.col("again._digest")) & (F.col("pages._bytes") == F.col("again._bytes"))
-    return pages.alias("pages").join(again.alias("again"), match, "left").select("pages.*", "again._refers")
+
+def _marked(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Rows whose page id is perhaps in the bitmap; null ids are."""
+    at = spark_hash(ids.fill_null(0).to_numpy().view(np.uint64)) % (8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 | ids.is_null().to_numpy(zero_copy_only=False)
 
 
 def _record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None) -> bytes:
@@ -67,26 +63,64 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
 
     Of equal payloads of ``least_bytes`` or more, the one with the largest page id is a response and
     the others refer to it; repeated rows of that page are responses each.  A null payload is empty.
+
+    Pages that repeat no payload are written where they are read: a bitmap of a bounded size, of the
+    hashes of the others' ids, tells them apart.  The others, and those that share a bit with one, move
+    once, compressed, to meet what they refer to.
     """
     folder = storage.fresh(pages.sparkSession, "warc")
-    slim = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).alias("u"), F.col(payload).alias("t"))
-    rows = mark_revisits(slim, "p", "t", least_bytes)
+    body = F.coalesce(F.col("t"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).alias("u"), F.col(payload).alias("t"))
+    rows = rows.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
+    again = _again(rows.where(F.col("_bytes") >= least_bytes).select(F.col("p").alias("_p"), "_digest", "_bytes"))
+    bitmap = _bitmap(again)
+
+    def put(records):
+        name, out = f"{uuid.uuid4().hex}.warc", None
+        for record in records:
+            out = out or storage.open_write(f"{folder}/{name}")
+            out.write(_record(*record))
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    def write_first(batches):
+        def records():
+            for batch in batches:
+                for i in np.flatnonzero(_marked(batch.column("p"), bitmap) == 0).tolist():
+                    p, u, t, digest, size = (batch.column(c)[i].as_py() for c in ("p", "u", "t", "_digest", "_bytes"))
+                    yield p, u, (t or "").encode(), digest, size, None
 
-    def write(batches):
+        yield from put(records())
+
+    def squeeze(batches):
         import zstandard
 
-        name, out, unpack = f"{uuid.uuid4().hex}.warc", None, zstandard.ZstdDecompressor()
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            cols = [batch.column(c) for c in ("p", "u", "_packed", "_digest", "_bytes", "_refers")]
-            for i in range(batch.num_rows):
-                p, u, packed, digest, size, refers = (c[i].as_py() for c in cols)
-                out = out or storage.open_write(f"{folder}/{name}")
-                out.write(_record(p, u, unpack.decompress(packed), digest, size, refers))
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name]})
+            some = batch.filter(pa.array(_marked(batch.column("p"), bitmap) != 0))
+            if some.num_rows:
+                packed = [pack.compress((t.as_py() or "").encode()) for t in some.column("t")]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("p", "u", "_digest", "_bytes")), pa.array(packed, pa.binary())], names=["p", "u", "_digest", "_bytes", "_packed"])
+
+    def write_rest(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+
+        def records():
+            for batch in batches:
+                cols = [batch.column(c) for c in ("p", "u", "_packed", "d", "b", "_refers")]
+                for i in range(batch.num_rows):
+                    p, u, packed, digest, size, refers = (c[i].as_py() for c in cols)
+                    yield p, u, unpack.decompress(packed), digest, size, refers
+
+        yield from put(records())
 
-    return folder, sorted(r.file for r in rows.mapInArrow(write, "file string").collect())
+    some = rows.mapInArrow(squeeze, "p long, u string, _digest string, _bytes long, _packed binary").withColumnsRenamed({"_digest": "d", "_bytes": "b"})
+    match = F.col("p").eqNullSafe(F.col("_p")) & (F.col("d") == F.col("_digest")) & (F.col("b") == F.col("_bytes"))
+    rest = some.join(again, match, "left").mapInArrow(write_rest, "file string")
+    return folder, sorted(r.file for r in rows.mapInArrow(write_first, "file string").unionByName(rest).collect())
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
