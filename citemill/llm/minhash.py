@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections import OrderedDict
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.llm import storage
-from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, runs, slices, strings
+from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, runs, slices, spread, strings
 from citemill.llm.components import local_components
 
 WORDS = 5
@@ -114,7 +116,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
     Buckets stream by in the order of their keys.  The first NEAR + 1 rows of a bucket, which is the
     whole of most, all meet; later ones meet the first two.  So no bucket is held and the rows that
-    come out are in proportion to those that go in; what a large bucket hides is left to _rest().
+    come out are in proportion to those that go in; what a large bucket hides is left to _joins_main() and _rest().
     """
     keys = reps.where("n > 0").select("rep", F.col("n"), F.explode(bucket_keys()).alias("key"))
 
@@ -230,23 +232,79 @@ def _named(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def _rest(members: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of all close pairs in large buckets that lie in different components so far.
+def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, rep, n, component, main) of the large buckets whose rows are not one component; main is the one with most rows."""
+    rows = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tops = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"))
+    return storage.cut(rows.join(tops.where("kinds > 1").select("key", F.col("top.component").alias("main")), "key"), "near-open")
+
+
+def _joins_main(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(a, b): for each row outside a bucket's main component one confirmed link into each block of it, if there is any.
 
-    A bucket whose rows are one component needs nothing more.  In others, the rows outside the
-    bucket's largest component meet all its rows, in blocks of about BLOCK rows whose signatures are
-    compared with array operations; only pairs under the threshold come out.
+    A row is tried against the whole component, once for all the buckets that they share.  Components and
+    the rows to be tried are written as blocks of shingle sets; a task reads two blocks and counts the
+    common shingles of each row with all of the other block's sets at once.  So what comes out grows
+    with the rows, not with rows times members.
     """
-    rows = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-    tops = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("kinds")).where("kinds > 1")
-    tops = tops.select("key", F.col("top.component").alias("main"), "total", (F.col("total") - F.col("top.c")).alias("others"))
-    rows = storage.cut(rows.join(tops, "key").join(reps.select("rep", *SIG), "rep"), "near-rest")
-    block = lambda count: F.pmod(F.xxhash64("rep"), F.ceil(F.col(count) / BLOCK))
+    tried = storage.cut(rows.where("component <> main").select("rep", "main").distinct(), "near-tried")
+    named = reps.select("rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("main"))
+    inside = storage.cut(named.join(tried.select("main").distinct(), "main", "left_semi"), "near-main")
+    need = tried.select(F.col("rep").alias("id")).unionByName(inside.select(F.col("rep").alias("id"))).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
+    texts = storage.cut(texts.join(need.withColumnRenamed("id", "rep").hint("merge"), "rep", "left_semi"), "near-texts")
+    folder = storage.fresh(docs.sparkSession, "near-sets")
+
+    def blocks(side: DataFrame) -> DataFrame:
+        sizes = side.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        placed = side.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        return placed.join(texts, "rep").groupBy("main", "block").applyInArrow(write, "main long, uri string")
+
+    def write(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(table.column("t"))
+        out = io.BytesIO()
+        np.savez(out, ids=table.column("rep").to_numpy(), sizes=np.array([len(x) for x in sets]), flat=np.concatenate(sets))
+        uri = f"{folder}/{uuid.uuid4().hex}.npz"
+        storage.write_bytes(uri, out.getvalue())
+        return pa.table({"main": table.column("main").slice(0, 1), "uri": [uri]})
+
+    jobs = blocks(tried).select("main", F.col("uri").alias("x")).join(blocks(inside).select("main", F.col("uri").alias("y")), "main")
+    jobs = storage.cut(jobs.select("x", "y"), "near-jobs").repartition("x", "y")
+
+    def compare(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                left, right = (np.load(io.BytesIO(storage.read_bytes(u))) for u in (x, y))
+                ids, sizes, flat = (right[c] for c in ("ids", "sizes", "flat"))
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
+                ends = np.cumsum(left["sizes"])
+                a, b = [], []
+                for k, (end, n) in enumerate(zip(ends.tolist(), left["sizes"].tolist(), strict=True)):
+                    own = left["flat"][end - n : end]
+                    i, j = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                    both = np.bincount(owner[spread(i, j - i)], minlength=len(ids))
+                    ok = np.flatnonzero((100 * both >= SHARE * (n + sizes - both)) & (ids != left["ids"][k]))
+                    if len(ok):
+                        a.append(int(left["ids"][k]))
+                        b.append(int(ids[ok[0]]))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return jobs.mapInArrow(compare, "a long, b long")
+
+
+def _rest(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of all close pairs of rows of a large bucket that lie outside its main component and in different ones.
+
+    They meet in blocks of about BLOCK rows whose signatures are compared with array operations; only
+    pairs under the threshold come out.
+    """
+    rows = rows.where("component <> main").join(reps.select("rep", *SIG), "rep")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("total"), F.countDistinct("component").alias("kinds")).where("kinds > 1").drop("kinds")
+    rows = storage.cut(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK))), "near-rest")
     pack = F.collect_list(F.struct("rep", "component", "n", F.array(*SIG).alias("s"))).alias("rows")
-    everyone = rows.withColumn("block", block("total")).groupBy("key", "block").agg(pack)
-    others = rows.where("component <> main").withColumn("block", block("others")).groupBy("key", "block").agg(pack)
-    jobs = others.select("key", F.col("rows").alias("x")).join(everyone.select("key", F.col("rows").alias("y")), "key").repartition(F.xxhash64("key", F.rand(7)))
+    packed = rows.groupBy("key", "block").agg(pack)
+    jobs = packed.select("key", F.col("block").alias("i"), F.col("rows").alias("x")).join(packed.select("key", F.col("block").alias("j"), F.col("rows").alias("y")), "key").where("i <= j")
 
     def compare(batches):
         for batch in batches:
@@ -295,13 +353,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         if not links.isEmpty():
             comp = _grow(comp, links, "near-second")
     members = found.where("b IS NULL").select(F.col("a").alias("rep"), "key", "n")
-    if not members.isEmpty():
-        rest = _named(storage.cut(_rest(members, comp, reps), "near-rest-pairs"), comp).where("ca <> cb").select("a", "b")
+    rows = _open_buckets(members, comp)
+    if not rows.isEmpty():
+        links = storage.cut(_joins_main(rows, comp, reps, docs, text, doc_id), "near-links")
+        if not links.isEmpty():
+            comp = _grow(comp, links, "near-third")
+        rest = _named(storage.cut(_rest(rows, reps), "near-rest-pairs"), comp).where("ca <> cb").select("a", "b")
         rest = storage.cut(rest.join(close.select("a", "b"), ["a", "b"], "left_anti"), "near-rest-left")
         if not rest.isEmpty():
             links = storage.cut(confirm(rest, _texts(docs, rest, text, doc_id)), "near-links")
             if not links.isEmpty():
-                comp = _grow(comp, links, "near-third")
+                comp = _grow(comp, links, "near-fourth")
     classes = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
     slim = sigs.select("doc_id", "n", "f0", "f1")
     linked = slim.where("n > 0").join(classes, ["f0", "f1"], "left").select("doc_id", "n", "component_id")
