@@ -175,7 +175,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(id, t) of the documents that ``pairs`` name. The texts are shuffled here once; later joins read what is left of them."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     return storage.cut(texts.join(need.hint("merge"), "id", "left_semi"), "near-texts")
 
 
