@@ -76,7 +76,7 @@ def e05(s: SparkSession, d: str) -> DataFrame:
 @query("e06_attribution", f"""WITH {V.ART}, {V.REF}, {_OWN}, j AS (SELECT ref.id, own.work, count(*) AS shared, min(ref.ref) AS first_via FROM ref JOIN own USING (ref) WHERE ref.id % 10 = 3 GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, work) AS rank FROM j) SELECT id, work, shared, first_via, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3""")
 def e06(s: SparkSession, d: str) -> DataFrame:
-    return C.attribution(V.references(s, d).where("id % 10 = 3"), own(s, d), 3, 4).select("id", "work", "shared", F.element_at("via", 1).alias("first_via"), "rank")
+    return C.attribution(V.references(s, d), own(s, d), 3, 4).select("id", "work", "shared", F.element_at("via", 1).alias("first_via"), "rank")
 
 
 @query("e07_author_neighbourhood", f"""WITH {V.ART}, {V.REF}, {_OWN}, j AS (SELECT DISTINCT own.work, art.author FROM ref JOIN art USING (id) JOIN own ON own.ref = ref.ref WHERE author % 50 <> 0)
@@ -84,7 +84,7 @@ SELECT work, author, count(*) AS n FROM (SELECT own.work, art.author, ref.ref FR
 def e07(s: SparkSession, d: str) -> DataFrame:
     author_refs = V.references(s, d).join(V.articles(s, d).select("id", "author"), "id").select("author", "ref")
     seeds = V.articles(s, d).where("author % 50 = 0").select("author").distinct()
-    return M.neighbourhood(own(s, d).where("work % 20 = 0"), author_refs, seeds).where("n >= 2")
+    return M.neighbourhood(own(s, d), author_refs, seeds).where("n >= 2")
 
 
 @query("e08_author_references", f"WITH {V.ART}, {V.REF} SELECT author, count(DISTINCT ref) AS n_refs FROM ref JOIN art USING (id) GROUP BY author")
@@ -105,14 +105,14 @@ j AS (SELECT ref, cand, len(list_intersect(r.t, list_distinct(c.t)))::DOUBLE / l
 SELECT ref, min_by(cand, (-score, cand)) AS cand, round(max(score), 6) AS score FROM j WHERE score >= 0.85 GROUP BY ref""")
 def e10(s: SparkSession, d: str) -> DataFrame:
     w = V.works(s, d)
-    refs = w.where("ref % 10 = 3").select("ref", "year", F.col("topic").alias("author"), F.concat("title", F.lit(" extra")).alias("title"))
-    return M.best_match(refs, w.where("ref % 10 = 0").select(F.col("ref").alias("cand"), "year", F.col("topic").alias("author"), "title"), 1, 0.85)
+    refs = w.select("ref", "year", F.col("topic").alias("author"), F.concat("title", F.lit(" extra")).alias("title"))
+    return M.best_match(refs, w.select(F.col("ref").alias("cand"), "year", F.col("topic").alias("author"), "title"), 1, 0.85)
 
 
 @query("e11_title_equivalence", f"""WITH {V.WORK}, t AS (SELECT ref, string_split(lower(title || ' for ' || topic || ' ' || brand || ' ' || size), ' ') AS w FROM work WHERE ref % 20 = 0)
 SELECT a.ref AS a, b.ref AS b FROM t a JOIN t b ON a.ref < b.ref AND a.w[1] = b.w[1] WHERE a.w[1:5] = b.w[1:5] OR (len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.7 * least(len(list_distinct(a.w)), len(list_distinct(b.w))))""")
 def e11(s: SparkSession, d: str) -> DataFrame:
-    t = V.works(s, d).where("ref % 20 = 0").select("ref", F.split(F.lower(F.concat_ws(" ", "title", F.lit("for"), "topic", "brand", F.col("size").cast("string"))), " ").alias("w"))
+    t = V.works(s, d).select("ref", F.split(F.lower(F.concat_ws(" ", "title", F.lit("for"), "topic", "brand", F.col("size").cast("string"))), " ").alias("w"))
     a, b = t.select(F.col("ref").alias("a"), F.col("w").alias("wa"), F.element_at("w", 1).alias("k")), t.select(F.col("ref").alias("b"), F.col("w").alias("wb"), F.element_at("w", 1).alias("k"))
     return a.join(b, "k").where("a < b").where(M.same_title(F.col("wa"), F.col("wb"))).select("a", "b")
 
@@ -132,7 +132,7 @@ SELECT ref, lower(q) AS name, CAST(CASE WHEN name = lower(q) THEN 10 WHEN contai
 def e13(s: SparkSession, d: str) -> DataFrame:
     w = V.works(s, d)
     wanted = w.select(F.lower("topic").alias("name")).distinct()  # the kinds of works: a dimension
-    cands = w.where("ref % 25 = 0").select("ref", F.lower(F.concat("topic", F.when(F.col("ref") % 2 == 0, F.concat(F.lit(" "), "title")).otherwise(""))).alias("cand"), (F.col("ref") % 50 == 0).alias("hint"), (F.col("brand") > "Brand#2").alias("type_ok"))
+    cands = w.select("ref", F.lower(F.concat("topic", F.when(F.col("ref") % 2 == 0, F.concat(F.lit(" "), "title")).otherwise(""))).alias("cand"), (F.col("ref") % 50 == 0).alias("hint"), (F.col("brand") > "Brand#2").alias("type_ok"))
     return cands.join(wanted, F.lit(True)).select("ref", "name", M.source_score(F.col("cand"), F.col("name"), F.col("hint"), F.col("type_ok")).alias("score"))
 
 
@@ -168,7 +168,7 @@ def e16(s: SparkSession, d: str) -> DataFrame:
 @query("e17_near_duplicate_files", f"""WITH {V.WORK}, f AS (SELECT ref, lower(title || ' ' || topic || ' ' || brand) AS t FROM work WHERE ref % 15 = 0), w AS (SELECT DISTINCT ref, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{5,}}')) AS w FROM f)
 SELECT a.ref AS a, b.ref AS b FROM w a JOIN w b ON a.w = b.w AND a.ref < b.ref GROUP BY 1, 2 HAVING count(*) >= 3 OR (count(*) = 2 AND max(length(a.w)) >= 8)""")
 def e17(s: SparkSession, d: str) -> DataFrame:
-    files = V.works(s, d).where("ref % 15 = 0").select("ref", F.concat_ws(" ", "title", "topic", "brand").alias("name"))
+    files = V.works(s, d).select("ref", F.concat_ws(" ", "title", "topic", "brand").alias("name"))
     return M.similar_names(files, "ref", "name")
 
 
