@@ -103,11 +103,11 @@ def motifs(tokens: DataFrame, candidate: Column, least: int = 3, journals: int =
     return g.crossJoin(F.broadcast(n)).withColumn("lift", value).where((F.col("articles") >= least) & (F.col("journals") >= journals) & (F.col("lift") >= lift)).select("token", "articles", "lift")
 
 
-def companions(tokens: DataFrame, motif: DataFrame, share: float = 0.4) -> DataFrame:
-    """(token, mate, together): for each motif the token that most of its articles have too, if ``share`` of them do."""
+def companions(tokens: DataFrame, motif: DataFrame, mates: DataFrame, share: float = 0.4) -> DataFrame:
+    """(token, mate, together): for each motif the token that most of its articles have too, if ``share`` of them do; ``mates`` has the tokens distinctive enough to be one."""
     rows = tokens.select("id", "token").distinct()
     mine = rows.join(motif.select("token", "articles"), "token")
-    pairs = mine.join(rows.select("id", F.col("token").alias("mate")), "id").where("token <> mate").groupBy("token", "mate", "articles").agg(F.count("*").alias("together"))
+    pairs = mine.join(rows.join(mates.select("token"), "token", "left_semi").select("id", F.col("token").alias("mate")), "id").where("token <> mate").groupBy("token", "mate", "articles").agg(F.count("*").alias("together"))
     best = pairs.where(F.col("together") >= share * F.col("articles")).groupBy("token").agg(F.max_by(F.struct("mate", "together"), F.struct("together", "mate")).alias("m"))
     return best.select("token", "m.mate", "m.together")
 

@@ -112,7 +112,7 @@ def f10(s: SparkSession, d: str) -> DataFrame:
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
     docs = T(s, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("journal"), F.explode(F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 800)), "[^a-z]+"), lambda w: F.length(w) >= 5))).alias("token"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("journal"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))).alias("token"))
 
 
 _TOK = "tk AS (SELECT DISTINCT doc_id AS id, source AS journal, unnest(list_filter(regexp_split_to_array(lower(text[1:800]), '[^a-z]+'), lambda w: length(w) >= 5)) AS token FROM documents)"
@@ -123,15 +123,15 @@ _MOTIF = "n AS (SELECT count(DISTINCT id) FILTER (id % 4 = 0) AS nc, count(DISTI
 b AS (SELECT token, max_by(mate, (t, mate)) AS mate, max(t) AS together FROM p GROUP BY 1) SELECT m.token, articles, round(lift, 5) AS lift, b.mate, b.together FROM m LEFT JOIN b USING (token)""")
 def f11(s: SparkSession, d: str) -> DataFrame:
     tk = _tokens(s, d)
-    m = A.motifs(tk, F.col("id") % 4 == 0)
-    return m.join(A.companions(tk, m), "token", "left").select("token", "articles", F.round("lift", 5).alias("lift"), "mate", "together")
+    m, mates = A.motifs(tk, F.col("id") % 4 == 0), A.motifs(tk, F.col("id") % 4 == 0, 1, 0, 1.8)
+    return m.join(A.companions(tk, m, mates), "token", "left").select("token", "articles", F.round("lift", 5).alias("lift"), "mate", "together")
 
 
 @query("f11_motif_choice")
 def f11g(s: SparkSession, d: str) -> DataFrame:
     tk = _tokens(s, d)
-    m = A.motifs(tk, F.col("id") % 4 == 0)
-    best = A.greedy_motifs(m.join(A.companions(tk, m), "token", "left").withColumn("score", F.col("articles") * F.col("lift")))
+    m, mates = A.motifs(tk, F.col("id") % 4 == 0), A.motifs(tk, F.col("id") % 4 == 0, 1, 0, 1.8)
+    best = A.greedy_motifs(m.join(A.companions(tk, m, mates), "token", "left").withColumn("score", F.col("articles") * F.col("lift")))
     return s.createDataFrame([(i + 1, x) for i, x in enumerate(best)], "rank int, motif string")
 
 

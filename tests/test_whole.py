@@ -14,6 +14,7 @@ CUTS = {
     "e10_best_match": [(" WHERE ref % 10 = 0", ""), (" WHERE ref % 10 = 3", "")],
     "e11_title_equivalence": [(" WHERE ref % 20 = 0", "")],
     "e13_source_scoring": [(" WHERE ref % 25 = 0", "")],
+    "f11_emergent_motifs": [("text[1:800]", "text"), (" JOIN tk y ON", " JOIN (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8) y ON")],
     "e17_near_duplicate_files": [(" WHERE ref % 15 = 0", "")],
 }
 
