@@ -65,7 +65,7 @@ _LIST = "[" + ", ".join(f"'{t}'" for t in sorted(_TERMS)) + "]"
 
 @query("d08_key_term_hits", f"SELECT doc_id, array_to_string(list_filter({_LIST}, lambda t: contains(lower(text[1:500]), t)), ',') AS hits FROM documents")
 def d08(s: SparkSession, d: str) -> DataFrame:
-    return DOCS(s, d).select("doc_id", F.array_join(S.term_hits(F.substring("text", 1, 500), _TERMS), ",").alias("hits"))
+    return DOCS(s, d).select("doc_id", F.array_join(S.term_hits(F.col("text"), _TERMS), ",").alias("hits"))
 
 
 @query("d09_catchword_hits", f"WITH {V.WORK}, t AS (SELECT unnest(['red', 'small ring', 'maker', 'brand#11', 'gear']) AS w EXCEPT SELECT 'red') SELECT ref, string_agg(w, ',' ORDER BY w) AS hits FROM work JOIN t ON contains(lower(title || ' ' || brand), w) GROUP BY ref")

@@ -9,6 +9,10 @@ SF = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 CUTS = {
+    "c05_title_key": [("text[1:400]", "text")],
+    "c09_text_fold": [("text[1:300]", "text")],
+    "c15_abstract_rebuild": [("text[1:600]", "text")],
+    "d08_key_term_hits": [("text[1:500]", "text")],
     "e06_attribution": [(" WHERE ref.id % 10 = 3", "")],
     "e07_author_neighbourhood": [(" AND own.work % 20 = 0", "")],
     "e10_best_match": [(" WHERE ref % 10 = 0", ""), (" WHERE ref % 10 = 3", "")],
@@ -30,3 +34,13 @@ def test_whole(spark, con, name):
     for cut, whole in CUTS[name]:
         sql = sql.replace(cut, whole)
     assert_same(QUERIES[name](spark, SF), con, sql)
+
+
+def test_words_far_into_a_text(spark, tmp_path):
+    text = ". " * 400 + "Änderung großer Other Things mattered"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: QUERIES[name](spark, str(tmp_path)).first().asDict() for name in ("c05_title_key", "c09_text_fold", "c15_abstract_rebuild", "d08_key_term_hits")}
+    assert got["c05_title_key"]["title_key"] == "änderung großer other things"
+    assert got["c09_text_fold"] == {"doc_id": 1, "spelled": "aenderung grosser other things mattered", "bare": "anderung grosser other things mattered"}
+    assert got["c15_abstract_rebuild"]["abstract"] == text
+    assert got["d08_key_term_hits"]["hits"] == "other,thing"
