@@ -59,7 +59,7 @@ e AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, sum(a.w) AS weight FROM k
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    return C.coupling_edges(V.references(s, d), 2, 30, 2)
+    return C.coupling_edges(V.references(s, d), 2, 50, 2)
 
 
 @query("f05_coupling_edges", f"WITH {V.REF}, {EDGES} SELECT a, b, shared, round(weight, 6) AS weight FROM e")

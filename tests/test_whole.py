@@ -18,6 +18,7 @@ CUTS = {
     "e10_best_match": [(" WHERE ref % 10 = 0", ""), (" WHERE ref % 10 = 3", "")],
     "e11_title_equivalence": [(" WHERE ref % 20 = 0", "")],
     "e13_source_scoring": [(" WHERE ref % 25 = 0", "")],
+    "f05_coupling_edges": [("BETWEEN 2 AND 30", "BETWEEN 2 AND 50")],
     "f11_emergent_motifs": [("text[1:800]", "text"), (" JOIN tk y ON", " JOIN (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8) y ON")],
     "e17_near_duplicate_files": [(" WHERE ref % 15 = 0", "")],
 }
@@ -44,3 +45,13 @@ def test_words_far_into_a_text(spark, tmp_path):
     assert got["c09_text_fold"] == {"doc_id": 1, "spelled": "aenderung grosser other things mattered", "bare": "anderung grosser other things mattered"}
     assert got["c15_abstract_rebuild"]["abstract"] == text
     assert got["d08_key_term_hits"]["hits"] == "other,thing"
+
+
+def test_coupling_over_works_of_31_to_50_articles(spark, tmp_path, monkeypatch):
+    from citemill.plans import analytics_queries
+
+    refs = spark.createDataFrame([(i, r) for r, n in ((1, 40), (2, 50), (3, 51)) for i in range(n)], "id long, ref long")
+    monkeypatch.setattr(analytics_queries.V, "references", lambda s, d: refs)
+    edges = analytics_queries.edges(spark, str(tmp_path)).collect()
+    assert len(edges) == 40 * 39 // 2 and {e.shared for e in edges} == {2}
+    assert len({r.community for r in QUERIES["f05_communities"](spark, str(tmp_path)).collect()}) == 1
