@@ -27,7 +27,7 @@ def f01(s: SparkSession, d: str) -> DataFrame:
 @query("f02_trend_label", f"""WITH {V.ART}, {V.REF}, {AR}, c AS (SELECT ref, year, count(*) AS n FROM ar WHERE ref % 3 > 0 OR year > 1999 GROUP BY 1, 2), g AS (SELECT ref, count(*) AS ys, sum(n) AS t, min(year) AS a, max(year) AS z, max_by(year, (n, year)) AS p, max(n) AS m FROM c GROUP BY ref)
 SELECT ref, CASE WHEN ys < 3 OR t < 5 THEN CASE WHEN ys = 1 THEN 'only ' || a ELSE '' END WHEN p = z THEN 'rising' WHEN p = a THEN 'falling' WHEN m::DOUBLE / t > 0.5 THEN 'peak ' || p ELSE 'stable' END AS trend FROM g""")
 def f02(s: SparkSession, d: str) -> DataFrame:
-    c = art_refs(s, d).where("ref % 3 > 0 OR year > 1999").groupBy("ref", "year").agg(count())
+    c = art_refs(s, d).groupBy("ref", "year").agg(count())
     return A.trend(c, "ref", "year", "n")
 
 
@@ -266,7 +266,7 @@ def f30(s: SparkSession, d: str) -> DataFrame:
 @query("f31_period_blocks", f"""WITH {V.ART}, {V.REF}, r AS (SELECT DISTINCT CAST(floor((year - (SELECT min(year) FROM art)) / 2) AS BIGINT) AS period, ref FROM art JOIN ref USING (id) WHERE year NOT IN (1999, 2000) AND ref % 3 = id % 3), i AS (SELECT period, dense_rank() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM r)), b AS (SELECT i, period, ref FROM r JOIN i USING (period))
 SELECT period, (SELECT count(*) FROM b x WHERE x.i = i.i) AS n, CASE WHEN i > 1 THEN (SELECT count(*) FROM b x WHERE x.i = i.i AND ref NOT IN (SELECT ref FROM b y WHERE y.i = i.i - 1)) END AS new, CASE WHEN i > 1 THEN (SELECT count(*) FROM b y WHERE y.i = i.i - 1 AND ref NOT IN (SELECT ref FROM b x WHERE x.i = i.i)) END AS dropped FROM i""")
 def f31(s: SparkSession, d: str) -> DataFrame:
-    return A.periods(art_refs(s, d).where("year NOT IN (1999, 2000) AND ref % 3 = id % 3"), "year", "ref", 2)
+    return A.periods(art_refs(s, d).where("year NOT IN (1999, 2000)"), "year", "ref", 2)
 
 
 @query("f32_citation_density", f"WITH {V.WORK}, {V.CITE}, h AS (SELECT unnest(regexp_extract_all(raw, '(Maker[0-9]+)[^(]*\\(\\d{{4}}', 1)) AS name FROM cite) SELECT name, count(*) AS n, count(*) >= 3 AS operative FROM h GROUP BY 1")

@@ -18,6 +18,8 @@ CUTS = {
     "e10_best_match": [(" WHERE ref % 10 = 0", ""), (" WHERE ref % 10 = 3", "")],
     "e11_title_equivalence": [(" WHERE ref % 20 = 0", "")],
     "e13_source_scoring": [(" WHERE ref % 25 = 0", "")],
+    "f02_trend_label": [(" WHERE ref % 3 > 0 OR year > 1999", "")],
+    "f31_period_blocks": [(" AND ref % 3 = id % 3", "")],
     "f05_coupling_edges": [("BETWEEN 2 AND 30", "BETWEEN 2 AND 50")],
     "f11_emergent_motifs": [("text[1:800]", "text"), (" JOIN tk y ON", " JOIN (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8) y ON")],
     "e17_near_duplicate_files": [(" WHERE ref % 15 = 0", "")],
@@ -55,3 +57,15 @@ def test_coupling_over_works_of_31_to_50_articles(spark, tmp_path, monkeypatch):
     edges = analytics_queries.edges(spark, str(tmp_path)).collect()
     assert len(edges) == 40 * 39 // 2 and {e.shared for e in edges} == {2}
     assert len({r.community for r in QUERIES["f05_communities"](spark, str(tmp_path)).collect()}) == 1
+
+
+def test_rare_trends_and_dropped_works(spark, tmp_path, monkeypatch):
+    from citemill.plans import analytics_queries
+
+    cites = [(3, 1990, 4), (3, 1991, 2), (3, 1992, 1), (6, 1990, 3), (9, 1990, 1), (9, 1991, 1), (9, 1993, 4), (12, 1990, 1), (12, 1991, 5), (12, 1993, 1)]
+    rows = spark.createDataFrame([(ref, year, i) for ref, year, n in cites for i in range(n)], "ref long, year int, id long")
+    monkeypatch.setattr(analytics_queries, "art_refs", lambda s, d: rows)
+    trends = {r.ref: r.trend for r in QUERIES["f02_trend_label"](spark, str(tmp_path)).collect()}
+    assert trends == {3: "falling", 6: "only 1990", 9: "rising", 12: "peak 1991"}
+    blocks = sorted(map(tuple, QUERIES["f31_period_blocks"](spark, str(tmp_path)).select("period", "n", "new", "dropped").collect()))
+    assert blocks == [(0, 4, None, None), (1, 3, 0, 1)]
