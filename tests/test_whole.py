@@ -69,3 +69,29 @@ def test_rare_trends_and_dropped_works(spark, tmp_path, monkeypatch):
     assert trends == {3: "falling", 6: "only 1990", 9: "rising", 12: "peak 1991"}
     blocks = sorted(map(tuple, QUERIES["f31_period_blocks"](spark, str(tmp_path)).select("period", "n", "new", "dropped").collect()))
     assert blocks == [(0, 4, None, None), (1, 3, 0, 1)]
+
+
+def test_tfidf_is_the_cosine_to_own_texts(spark, tmp_path):
+    import math
+    import re
+    from collections import Counter
+
+    texts = {0: "alpha beta gamma alpha", 50: "the delta beta epsilon", 100: "the zeta", 1: "alpha beta", 2: "nothing known", 3: "x " * 2500 + "delta beta epsilon epsilon", 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["g18_tfidf_scores"](spark, str(tmp_path)).collect()}
+
+    def count(t):
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    own = [count(texts[i]) for i in (0, 50, 100)]
+    df = Counter(g for c in own for g in c)
+
+    def vector(c):
+        v = {g: (1 + math.log(n)) * (math.log(4 / (1 + df[g])) + 1) for g, n in c.items() if 0 < df[g] <= 0.95 * 3}
+        m = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {g: x / m for g, x in v.items()}
+
+    want = {i: max(sum(x * o.get(g, 0) for g, x in vector(count(t)).items()) for o in map(vector, own)) for i, t in texts.items()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert got[3] > 0.5 and got[2] == got[4] == got[5] == 0
