@@ -52,7 +52,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return separators.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 50256)
+    return separators.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 65535)  # 50256 is <|endoftext|>, which a text may quote
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
