@@ -23,7 +23,11 @@ PLACES = CHUNKS * SYMBOLS
 #: Signatures differ in at most so many of the 84 symbols: 21 are expected at a similarity of 0.75, with a deviation of 4.
 MOST_DIFFERENCES = 38
 NEAR = 8  # a row of a bucket meets so many rows before it, and the bucket's first one
-BLOCK = 512
+GATHER = 4096  # signatures whose keys are sorted together before the shuffle
+BLOCK_SHINGLES = 1 << 17  # of a block of shingle sets, with EXTRA more for each set
+EXTRA = 512
+BLOCKS_A_JOB = 64
+MOST_TASKS = 20_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, PLACES, dtype=np.uint64) | U64(1)).astype(np.uint32)
@@ -90,14 +94,17 @@ def signatures(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(scan, schema)
 
 
-def bucket_keys() -> Column:
-    """For each chunk, its symbols less any one of them: two chunks with one error at most share one of these."""
-    keys = []
+def bucket_keys(sig: np.ndarray) -> np.ndarray:
+    """PLACES keys of each signature (a row of CHUNKS longs): for each chunk, its symbols less any one of them.
+
+    Two chunks with one error at most share one of these.
+    """
+    keys = np.empty((len(sig), PLACES), U64)
     for c in range(CHUNKS):
         for k in range(SYMBOLS):
-            mask = ((1 << 8 * SYMBOLS) - 1) ^ (0xFF << 8 * k)
-            keys.append(F.xxhash64(F.lit(c * SYMBOLS + k), F.col(SIG[c]).bitwiseAND(F.lit(mask))))
-    return F.array(*keys)
+            mask = U64(((1 << 8 * SYMBOLS) - 1) ^ (0xFF << 8 * k))
+            keys[:, c * SYMBOLS + k] = mix((sig[:, c] & mask) + U64((c * SYMBOLS + k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return keys
 
 
 def differences(a: str, b: str) -> Column:
@@ -116,14 +123,58 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
     Buckets stream by in the order of their keys.  The first NEAR + 1 rows of a bucket, which is the
     whole of most, all meet; later ones meet the first two.  So no bucket is held and the rows that
-    come out are in proportion to those that go in; what a large bucket hides is left to _joins_main() and _rest().
+    come out are in proportion to those that go in; what a large bucket hides is left to _outside().
+    The same is done before the shuffle with the keys of each GATHER rows: of one key, NEAR + 1 rows
+    at most go on from there, so the largest bucket has few rows a task whatever it holds.
     """
-    keys = reps.where("n > 0").select("rep", F.col("n"), F.explode(bucket_keys()).alias("key"))
+
+    def deal(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= GATHER:
+                yield from settle(held)
+                held = []
+        yield from settle(held)
+
+    def settle(held):
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        keys = bucket_keys(np.stack([table.column(c).to_numpy().view(U64) for c in SIG], axis=1)).view(np.int64).ravel()
+        row = np.repeat(np.arange(len(rep)), PLACES)
+        order = np.argsort(keys, kind="stable")
+        key, row = keys[order], row[order]
+        fresh = np.append(True, key[1:] != key[:-1])
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+        place = np.arange(len(key)) - begin
+        on = place <= NEAR
+        yield _dealt(key[on], key[on], rep[row[on]], n[row[on]])
+        far = np.flatnonzero(~on)
+        if len(far):
+            large = np.zeros(len(key), bool)
+            large[begin[far]] = True
+            member = np.flatnonzero(large[begin])
+            yield _dealt(rep[row[member]], key[member], rep[row[member]], n[row[member]], 1)
+            heads = np.concatenate([row[begin[far]], row[begin[far] + 1]])
+            pairs = np.unique(np.stack([heads, np.concatenate([row[far], row[far]])]), axis=1)
+            x, y, nx, ny = rep[pairs[0]], rep[pairs[1]], n[pairs[0]], n[pairs[1]]
+            fine = (x != y) & (100 * np.minimum(nx, ny) >= SHARE * np.maximum(nx, ny))
+            x, y = x[fine], y[fine]
+            yield _dealt(y, x, y, np.zeros(len(x), np.int64), 2)
 
     def stream(batches):
         carry = {c: np.zeros(0, np.int64) for c in ("key", "rep", "n")}
         lead = (0, 0, 0, 0, 0)  # the two first rows of the bucket that the last batch ended in, and the place of the first carried row
         for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            if (kind > 0).any():  # what is settled passes by
+                done = batch.filter(pa.array(kind > 0))
+                key, rep, n, kind_ = (done.column(c).to_numpy() for c in ("key", "rep", "n", "kind"))
+                pair = kind_ == 2
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(pair, np.minimum(key, rep), rep)), pa.array(np.maximum(key, rep), mask=~pair), pa.array(key, mask=pair), pa.array(n, mask=pair)], names=["a", "b", "key", "n"])
+                batch = batch.filter(pa.array(kind == 0))
             if not batch.num_rows:
                 continue
             old = len(carry["key"])
@@ -169,7 +220,13 @@ def _candidates(reps: DataFrame) -> DataFrame:
             lead = (*(int(h[cut]) for h in heads), int(place[cut]))
             carry = {c: col[c][cut:] for c in carry}
 
-    return keys.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(stream, "a long, b long, key long, n long")
+    dealt = reps.where("n > 0").select("rep", "n", *SIG).mapInArrow(deal, "to long, key long, rep long, n long, kind int")
+    return dealt.repartition("to").sortWithinPartitions("kind", "key", "rep").mapInArrow(stream, "a long, b long, key long, n long")
+
+
+def _dealt(to: np.ndarray, key: np.ndarray, rep: np.ndarray, n: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+    """Rows of kind 0 still have to meet others of their key; 1 are members of a large bucket, 2 are pairs (in key and rep)."""
+    return pa.RecordBatch.from_pydict({"to": to, "key": key, "rep": rep, "n": n, "kind": np.full(len(key), kind, np.int32)})
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -232,146 +289,165 @@ def _named(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def _open_buckets(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(key, rep, n, component, main) of the large buckets whose rows are not one component; main is the one with most rows."""
+def _outside(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(rep, main): rows of large buckets that aren't one component, and the component with most rows of their bucket, where it isn't their own."""
     rows = members.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     tops = rows.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"))
-    return storage.cut(rows.join(tops.where("kinds > 1").select("key", F.col("top.component").alias("main")), "key"), "near-open")
+    rows = rows.join(tops.where("kinds > 1").select("key", F.col("top.component").alias("main")), "key")
+    return storage.cut(rows.where("component <> main").select("rep", "main").distinct(), "near-outside")
 
 
-def _joins_main(rows: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(a, b): for each row outside a bucket's main component one confirmed link into each block of it, if there is any.
+def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    A row is tried against the whole component, once for all the buckets that they share.  Components and
-    the rows to be tried are written as blocks of shingle sets; a task reads two blocks and counts the
-    common shingles of each row with all of the other block's sets at once.  So what comes out grows
-    with the rows, not with rows times members.
-    """
-    tried = storage.cut(rows.where("component <> main").select("rep", "main").distinct(), "near-tried")
-    named = reps.select("rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("main"))
-    inside = storage.cut(named.join(tried.select("main").distinct(), "main", "left_semi"), "near-main")
-    need = tried.select(F.col("rep").alias("id")).unionByName(inside.select(F.col("rep").alias("id"))).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t"))
-    texts = storage.cut(texts.join(need.withColumnRenamed("id", "rep").hint("merge"), "rep", "left_semi"), "near-texts")
-    folder = storage.fresh(docs.sparkSession, "near-sets")
 
-    def blocks(side: DataFrame) -> DataFrame:
-        sizes = side.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        placed = side.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        return placed.join(texts, "rep").groupBy("main", "block").applyInArrow(write, "main long, uri string")
+def _open_groups(tried: DataFrame, others: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides (rep, main, component) of the groups, named by main, where a row may still find another component."""
+    tried, others = _with_component(tried, comp), _with_component(others, comp)
+    kinds = tried.groupBy("main").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    some = others.join(kinds, "main").where("NOT (component = low AND component = high)").select("rep", "main", "component")
+    some = storage.cut(some, "near-others")
+    return tried.join(some.select("main").distinct(), "main", "left_semi"), some
+
+
+def _links(tried: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): rows of ``tried`` and, for each, a near-duplicate of another component in each stretch of its group, if there is one.
+
+    Each side is written as blocks of shingle sets.  A task holds one block of rows and reads
+    BLOCKS_A_JOB blocks of the others one by one, counting the common shingles of a row with all sets
+    of a block at once; a row leaves with its first link, so no more than a link a row comes out.
+    """
+    folder = storage.fresh(texts.sparkSession, "near-sets")
 
     def write(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table.column("t"))
         out = io.BytesIO()
-        np.savez(out, ids=table.column("rep").to_numpy(), sizes=np.array([len(x) for x in sets]), flat=np.concatenate(sets))
+        np.savez(out, ids=table.column("rep").to_numpy(), kind=table.column("component").to_numpy(), sizes=np.array([len(x) for x in sets]), flat=np.concatenate(sets))
         uri = f"{folder}/{uuid.uuid4().hex}.npz"
         storage.write_bytes(uri, out.getvalue())
-        return pa.table({"main": table.column("main").slice(0, 1), "uri": [uri]})
+        return pa.table({"main": table.column("main").slice(0, 1), "block": table.column("block").slice(0, 1), "uri": [uri]})
+
+    def blocks(side: DataFrame) -> DataFrame:
+        side = side.join(texts, "rep")
+        sizes = side.groupBy("main").agg(F.ceil(F.sum(F.col("size") + EXTRA) / BLOCK_SHINGLES).alias("blocks"))
+        placed = side.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        return placed.groupBy("main", "block").applyInArrow(write, "main long, block long, uri string")
 
-    jobs = blocks(tried).select("main", F.col("uri").alias("x")).join(blocks(inside).select("main", F.col("uri").alias("y")), "main")
-    jobs = storage.cut(jobs.select("x", "y"), "near-jobs").repartition("x", "y")
+    stretches = blocks(others).groupBy("main", F.floor(F.col("block") / BLOCKS_A_JOB).alias("s")).agg(F.collect_list("uri").alias("ys"))
+    jobs = blocks(tried).select("main", F.col("uri").alias("x")).join(stretches.select("main", "ys"), "main")
+    jobs = storage.cut(jobs.select("x", "ys"), "near-jobs")
+    jobs = jobs.repartition(max(1, min(jobs.count(), MOST_TASKS)), "x", "ys")
 
     def compare(batches):
         for batch in batches:
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                left, right = (np.load(io.BytesIO(storage.read_bytes(u))) for u in (x, y))
-                ids, sizes, flat = (right[c] for c in ("ids", "sizes", "flat"))
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
-                ends = np.cumsum(left["sizes"])
-                a, b = [], []
-                for k, (end, n) in enumerate(zip(ends.tolist(), left["sizes"].tolist(), strict=True)):
-                    own = left["flat"][end - n : end]
-                    i, j = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                    both = np.bincount(owner[spread(i, j - i)], minlength=len(ids))
-                    ok = np.flatnonzero((100 * both >= SHARE * (n + sizes - both)) & (ids != left["ids"][k]))
-                    if len(ok):
-                        a.append(int(left["ids"][k]))
-                        b.append(int(ids[ok[0]]))
+            for x, ys in zip(batch.column("x").to_pylist(), batch.column("ys").to_pylist(), strict=True):
+                left = np.load(io.BytesIO(storage.read_bytes(x)))
+                own, kind, sizes, flat = (left[c] for c in ("ids", "kind", "sizes", "flat"))
+                begin = np.cumsum(sizes) - sizes
+                live, a, b = np.arange(len(own)), [], []
+                for y in ys:
+                    right = np.load(io.BytesIO(storage.read_bytes(y)))
+                    order = np.argsort(right["flat"], kind="stable")
+                    theirs, owner = right["flat"][order], np.repeat(np.arange(len(right["ids"])), right["sizes"])[order]
+                    ids, other, n = right["ids"], right["kind"], right["sizes"]
+                    stay = np.ones(len(live), bool)
+                    for at, k in enumerate(live.tolist()):
+                        mine = flat[begin[k] : begin[k] + sizes[k]]
+                        i, j = np.searchsorted(theirs, mine, "left"), np.searchsorted(theirs, mine, "right")
+                        both = np.bincount(owner[spread(i, j - i)], minlength=len(ids))
+                        ok = np.flatnonzero((both > 0) & (100 * both >= SHARE * (sizes[k] + n - both)) & (other != kind[k]))
+                        if len(ok):
+                            a.append(int(own[k]))
+                            b.append(int(ids[ok[0]]))
+                            stay[at] = False
+                    live = live[stay]
+                    if not len(live):
+                        break
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return jobs.mapInArrow(compare, "a long, b long")
+    return storage.cut(jobs.mapInArrow(compare, "a long, b long"), "near-links")
 
 
-def _rest(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of all close pairs of rows of a large bucket that lie outside its main component and in different ones.
+def _join_outside(tried: DataFrame, comp: DataFrame, reps: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Components after each row outside a large bucket's main component has met all of that component and the other rows outside it.
 
-    They meet in blocks of about BLOCK rows whose signatures are compared with array operations; only
-    pairs under the threshold come out.
+    A row that finds no link to another component is done: components only grow, so whatever is like it
+    is in its own for good.  Rows that found one are tried again, as there may be more components that
+    they belong to.  Each round every component with a link to another is joined, so there are no more
+    rounds than doublings of the number of rows.
     """
-    rows = rows.where("component <> main").join(reps.select("rep", *SIG), "rep")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("total"), F.countDistinct("component").alias("kinds")).where("kinds > 1").drop("kinds")
-    rows = storage.cut(rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK))), "near-rest")
-    pack = F.collect_list(F.struct("rep", "component", "n", F.array(*SIG).alias("s"))).alias("rows")
-    packed = rows.groupBy("key", "block").agg(pack)
-    jobs = packed.select("key", F.col("block").alias("i"), F.col("rows").alias("x")).join(packed.select("key", F.col("block").alias("j"), F.col("rows").alias("y")), "key").where("i <= j")
-
-    def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                side = []
-                for c in ("x", "y"):
-                    v = batch.column(c)[i].values
-                    sig = np.asarray(v.field("s").flatten()).reshape(-1, CHUNKS).view(np.uint8).reshape(-1, CHUNKS * 8)
-                    side.append((np.asarray(v.field("rep")), np.asarray(v.field("component")), np.asarray(v.field("n")), sig))
-                (ra, ca, na, sa), (rb, cb, nb, sb) = side
-                for k in range(len(ra)):
-                    d = (sa[k][None, :] != sb).sum(1)
-                    hit = np.flatnonzero((d <= MOST_DIFFERENCES) & (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= SHARE * np.maximum(nb, na[k])))
-                    if len(hit):
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(ra[k], rb[hit]), "b": np.maximum(ra[k], rb[hit])})
-
-    return jobs.mapInArrow(compare, "a long, b long").distinct()
+    named = _with_component(reps.select("rep"), comp).select("rep", F.col("component").alias("main")).distinct()
+    inside = storage.cut(named.join(tried.select("main").distinct(), "main", "left_semi"), "near-inside")
+    need = tried.select("rep").unionByName(inside.select("rep")).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("t")).where(F.length("t") > 0)
+    texts = texts.join(need.hint("merge"), "rep", "left_semi").withColumn("size", F.length("t") / 6)  # about a word a shingle
+    texts = storage.cut(texts, "near-texts")
+    while True:
+        left, others = _open_groups(tried, inside.select("rep", "main").unionByName(tried.select("rep", "main")), comp)
+        if others.isEmpty():
+            return comp
+        links = _links(left, others, texts)
+        if links.isEmpty():
+            return comp
+        comp = _grow(comp, links, "near-joined")
+        tried = storage.cut(tried.join(links.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi"), "near-outside")
+
+
+def _same_id(sigs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): an id on several rows, and the class of each of their sets."""
+    some = sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    rows = sigs.where("n > 0").select("doc_id", "f0", "f1").join(some.select("doc_id"), "doc_id", "left_semi").distinct()
+    return rows.join(reps.select("f0", "f1", "rep"), ["f0", "f1"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+    """(doc_id, n_shingles, component_id, kept) of every row.
 
     Words are runs without ASCII white space, A-Z lower-cased.  Documents whose sets of distinct
     shingles of WORDS words overlap by SHARE percent or more are linked; a component is named by its
     smallest document id.  A text of fewer words is one shingle; null texts and texts without words
-    have none and stand alone.  Rows that share an id are one document.  Null ids link nothing of their
-    own; such a row takes the component of an equal set, else null.
+    have none and are linked with nothing.  Rows that share an id are one document, which is linked by
+    each of its texts and kept or dropped as a whole; each such row has its own n_shingles.  Null ids
+    link nothing of their own; such a row takes the component of an equal set, else null.  An empty
+    table gives an empty result; columns other than the two named are not read.
 
     Equal sets are merged first.  The others meet where a chunk of their signatures has one error at
-    most, so all pairs within 2 * CHUNKS - 1 differing symbols meet, and most pairs far beyond.  A
-    pair counts once the whole sets confirm it.  For every document its closest candidate is tried
-    first; later ones only where they would join different components.
+    most, so all pairs within 2 * CHUNKS - 1 differing symbols meet, and most pairs far beyond; of
+    these, pairs within MOST_DIFFERENCES symbols are tried.  A pair counts once the whole sets confirm
+    it.  For every document its closest candidate is tried first; later ones only where they would
+    join different components.
     """
-    sigs = storage.cut(signatures(docs, text, doc_id), "near-signatures")
-    reps = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in SIG))
-    reps = storage.cut(reps, "near-classes")
-    found = storage.cut(_candidates(reps), "near-candidates")
-    close = storage.cut(_close(found.where("b IS NOT NULL").select("a", "b").distinct(), reps), "near-pairs")
-    texts = _texts(docs, close, text, doc_id)
-    best = storage.cut(close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "near-best")
-    comp = _grow(None, confirm(best, texts), "near-first")
-    later = _named(close, comp).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    later = storage.cut(later, "near-later")
-    if not later.isEmpty():
-        links = storage.cut(confirm(later, texts), "near-links")
-        if not links.isEmpty():
-            comp = _grow(comp, links, "near-second")
-    members = found.where("b IS NULL").select(F.col("a").alias("rep"), "key", "n")
-    rows = _open_buckets(members, comp)
-    if not rows.isEmpty():
-        links = storage.cut(_joins_main(rows, comp, reps, docs, text, doc_id), "near-links")
-        if not links.isEmpty():
-            comp = _grow(comp, links, "near-third")
-        rest = _named(storage.cut(_rest(rows, reps), "near-rest-pairs"), comp).where("ca <> cb").select("a", "b")
-        rest = storage.cut(rest.join(close.select("a", "b"), ["a", "b"], "left_anti"), "near-rest-left")
-        if not rest.isEmpty():
-            links = storage.cut(confirm(rest, _texts(docs, rest, text, doc_id)), "near-links")
+    with storage.temporary() as made:
+        sigs = storage.cut(signatures(docs, text, doc_id), "near-signatures")
+        reps = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in SIG))
+        reps = storage.cut(reps, "near-classes")
+        found = storage.cut(_candidates(reps), "near-candidates")
+        close = storage.cut(_close(found.where("b IS NOT NULL").select("a", "b").distinct(), reps), "near-pairs")
+        texts = _texts(docs, close, text, doc_id)
+        best = storage.cut(close.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "near-best")
+        comp = _grow(None, confirm(best, texts).unionByName(_same_id(sigs, reps)), "near-first")
+        later = _named(close, comp).where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+        later = storage.cut(later, "near-later")
+        if not later.isEmpty():
+            links = storage.cut(confirm(later, texts), "near-links")
             if not links.isEmpty():
-                comp = _grow(comp, links, "near-fourth")
-    classes = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
-    slim = sigs.select("doc_id", "n", "f0", "f1")
-    linked = slim.where("n > 0").join(classes, ["f0", "f1"], "left").select("doc_id", "n", "component_id")
-    out = linked.unionByName(slim.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                comp = _grow(comp, links, "near-second")
+        members = found.where("b IS NULL").select(F.col("a").alias("rep"), "key").distinct()
+        tried = _outside(members, comp)
+        if not tried.isEmpty():
+            comp = _join_outside(tried, comp, reps, docs, text, doc_id)
+        classes = reps.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
+        slim = sigs.select("doc_id", "n", "f0", "f1")
+        linked = slim.where("n > 0").join(classes, ["f0", "f1"], "left").select("doc_id", "n", "component_id")
+        bare = slim.where("n = 0").select("doc_id", "n").join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        out = linked.unionByName(bare.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id")))
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        out = storage.cut(out, "near-duplicates")
+        made.keep("near-duplicates")
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that near_duplicates() doesn't keep."""
+    """``docs`` without the documents that near_duplicates() doesn't keep; rows without an id stay unless a document with one has the same set."""
     gone = near_duplicates(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")

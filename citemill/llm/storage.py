@@ -1,7 +1,7 @@
 """Files and tables in the folder that the driver and all executors share.
 
-``spark.checkpoint.dir`` names it.  Where the setting is missing (tests, a local
-session) a temporary folder takes its place.  Whatever an attempt of a task
+``spark.checkpoint.dir`` names it.  Where the setting is missing in a local session
+(tests), a temporary folder takes its place; on a cluster that is an error.  Whatever an attempt of a task
 writes gets a fresh name and counts only once the driver has that name in a
 manifest, so a repeated task or a lost executor leaves no half-written input.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not uri:
         uri = spark.sparkContext.getCheckpointDir()
     if not uri:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="citemill-")
         spark.sparkContext.setCheckpointDir(uri)
     if uri.startswith("file:") and not uri.startswith("file://"):
@@ -27,9 +30,44 @@ def shared_dir(spark: SparkSession) -> str:
     return (uri if "://" in uri else "file://" + uri).rstrip("/")
 
 
+class Made:
+    """Folders that an operator has made, and the names of those that its result still reads."""
+
+    def __init__(self):
+        self.uris: list[tuple[str, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *names: str) -> None:
+        self.kept.update(names)
+
+
+_made: list[Made] = []
+
+
+@contextmanager
+def temporary():
+    """Within it, what fresh() names is noted; at the end, all folders go but those of the names that are kept.
+
+    Those of an inner operator that it kept for its result go with the outer one's.
+    """
+    _made.append(Made())
+    try:
+        yield _made[-1]
+    finally:
+        mine = _made.pop()
+    for name, uri in mine.uris:
+        if name not in mine.kept:
+            remove(uri)
+        elif _made:
+            _made[-1].uris.append((name, uri))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """URI of a new, not yet existing folder under the shared one."""
-    return f"{shared_dir(spark)}/citemill/{name}-{uuid.uuid4().hex}"
+    uri = f"{shared_dir(spark)}/citemill/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].uris.append((name, uri))
+    return uri
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -66,3 +104,12 @@ def read_bytes(uri: str) -> bytes:
 def write_bytes(uri: str, data: bytes) -> None:
     with open_write(uri) as f:
         f.write(data)
+
+
+def remove(uri: str) -> None:
+    """The folder and all in it go, if it is there."""
+    from pyarrow import fs
+
+    system, path = _fs(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
