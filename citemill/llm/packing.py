@@ -14,99 +14,169 @@ from citemill.llm.bytescan import slices
 from citemill.llm.tokens import encoder
 
 SIZE = 4096
-COMMON = 16  # lengths, the most frequent ones, that triples are built with
-STEPS = 150
-
-
-def combinations(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Shallow combinations, of one to three of ``lengths``, that fill ``size`` or a smaller power of two exactly."""
-    have = set(lengths.tolist())
-    out: set[tuple[int, ...]] = set()
-    common = lengths[np.argsort(-counts, kind="stable")[:COMMON]].tolist()
-    total = size
-    while total >= max(2, size // 64):
-        if total in have and total < size:
-            out.add((total,))
-        out.update((a, total - a) for a in have if a <= total - a and total - a in have)
-        if total >= size // 2:
-            out.update(tuple(sorted((a, b, total - a - b))) for b in common for a in have if total - a - b in have)
-        if total % 2:
-            break
-        total //= 2
-    return sorted(out)
-
-
-def solve(patterns: list[tuple[int, ...]], hist: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared difference between the lengths they use and ``hist``, by accelerated projected gradients."""
-    if not patterns:
+DEPTH = 12  # pieces of a combination
+TRIES = 16  # combinations that are begun with each length
+STEPS = 120
+ROUNDS = 8
+
+
+def combinations(hist: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Shallow combinations that fill ``size`` exactly: a row each of up to DEPTH lengths, zeros after the last.
+
+    TRIES of them begin with each length that there is.  They go on with lengths drawn as often as they
+    occur among those that still fit, and end as soon as, by a toss, what is left is itself a length.
+    Combinations that use a length more often than it occurs are left out.
+    """
+    lengths = np.flatnonzero(hist)
+    out = np.zeros((len(lengths) * TRIES, DEPTH), np.int64)
+    if not len(lengths):
+        return out
+    rng = np.random.default_rng(seed)
+    below = np.cumsum(hist)  # pieces of at most a length
+    out[:, 0] = np.repeat(lengths, TRIES)
+    rest = size - out[:, 0]
+    for k in range(1, DEPTH):
+        live = np.flatnonzero(rest)
+        left = np.minimum(rest[live], size - 1)
+        ends = (hist[left] > 0) & (rest[live] == left) & (rng.random(len(live)) < 0.5)
+        ends |= k == DEPTH - 1
+        take = np.searchsorted(below, rng.random(len(live)) * below[left], "right")
+        take = np.where(ends, rest[live], np.minimum(take, left))
+        out[live, k] = take
+        rest[live] -= take
+    out = -np.sort(-out, axis=1)
+    known = (out == 0) | ((out < size) & (hist[np.minimum(out, size - 1)] > 0))
+    same = np.ones(len(out), np.int64)
+    often = np.zeros(len(out), bool)  # a length more often than it occurs
+    for k in range(1, DEPTH):
+        same = np.where((out[:, k] == out[:, k - 1]) & (out[:, k] > 0), same + 1, 1)
+        often |= same > np.where(out[:, k] > 0, hist[np.minimum(out[:, k], size - 1)], same)
+    return np.unique(out[(out.sum(1) == size) & known.all(1) & ~often], axis=0)
+
+
+def solve(patterns: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise the squared difference between the pieces they use and ``hist``.
+
+    By multiplicative steps, which stay non-negative and need no step size.
+    """
+    if not len(patterns):
         return np.zeros(0)
-    owner = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    length = np.array([a for p in patterns for a in p])
+    used = patterns > 0
+    owner, length = np.nonzero(used)[0], patterns[used]
     use = lambda x: np.bincount(length, x[owner], len(hist))
     back = lambda r: np.bincount(owner, r[length], len(patterns))
-    v = np.ones(len(patterns))
-    for _ in range(12):  # the largest eigenvalue bounds the step
-        v = back(use(v))
-        bound = float(np.linalg.norm(v))
-        v /= bound or 1
-    x = y = np.zeros(len(patterns))
-    t = 1.0
+    x = np.full(len(patterns), (hist * np.arange(len(hist))).sum() / patterns[0].sum() / len(patterns))
+    want = back(hist)
     for _ in range(STEPS):
-        new = np.maximum(y - back(use(y) - hist) / (1.05 * bound), 0)
-        t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        y = new + (last - 1) / t * (new - x)
-        x = new
+        x *= want / np.maximum(back(use(x)), 1e-12)
     return x
 
 
-def plan(hist: np.ndarray, size: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
-    """Patterns and whole repeat counts that never use more pieces of a length than there are."""
-    lengths = np.flatnonzero(hist)
-    patterns = combinations(lengths, hist[lengths], size)
-    x = solve(patterns, hist.astype(float))
-    left, kept, times = hist.astype(np.int64).copy(), [], []
-    for i in np.argsort(-x, kind="stable").tolist():
-        want = int(x[i] + 0.5)
-        if not want:
-            break
-        n = min([want, *(left[a] // patterns[i].count(a) for a in set(patterns[i]))])
-        if n > 0:
-            for a in patterns[i]:
-                left[a] -= n
-            kept.append(patterns[i])
-            times.append(int(n))
-    return kept, np.array(times, np.int64)
+class Layout:
+    """Where the r-th remainder of each length goes: in windows that combinations fill, then in windows packed greedily."""
 
+    def __init__(self, hist: np.ndarray, size: int = SIZE):
+        self.size, self.sequences = size, 0
+        self.left = hist.astype(np.int64).copy()  # pieces of each length that have no place yet
+        self.given = np.zeros(size, np.int64)
+        self.made = self.left.copy()  # all pieces of each length, those that cuts have made included
+        self._slots: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        for seed in range(ROUNDS):  # what rounding leaves over is solved for again
+            if self._fill(seed) < hist.sum() // 100 + 1:
+                break
+        self.solved = self.sequences  # windows that the least squares have planned
+        self.cuts = self._pack()
+        self.slots = {a: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for a, v in self._slots.items()}
 
-class Layout:
-    """Where the r-th remainder of each length goes, for the remainders that a plan uses."""
+    def _give(self, length: int, times: int, sequence: int, at: int, take: int = 0) -> None:
+        """The next ``times`` pieces of a length lie in as many windows; if only their first ``take`` ids do, the others are pieces of their own."""
+        base = -1
+        if take:
+            base = int(self.made[length - take])
+            self.made[length - take] += times
+            self.left[length - take] += times
+        self._slots.setdefault(length, []).append((times, sequence, at, take or length, base))
+        self.left[length] -= times
+        self.given[length] += times
 
-    def __init__(self, patterns: list[tuple[int, ...]], times: np.ndarray, size: int):
-        self.sequences = int(times.sum())
-        first = np.cumsum(times) - times
-        slots: dict[int, list[tuple[int, int, int]]] = {}
-        for p, n, s in zip(patterns, times.tolist(), first.tolist(), strict=True):
+    def _fill(self, seed: int) -> int:
+        """Rounds the repeat counts of combinations, carrying fractions along, and uses no more pieces than there are; their number."""
+        patterns = combinations(self.left, self.size, seed)
+        x = solve(patterns, self.left.astype(float))
+        order = np.argsort(-x, kind="stable")
+        whole = np.diff(np.floor(np.cumsum(x[order]) + 0.5), prepend=0).astype(np.int64)
+        before = int(self.left.sum())
+        for row, want in zip(patterns[order[whole > 0]].tolist(), whole[whole > 0].tolist(), strict=True):
+            parts = [p for p in row if p]
+            n = min([want, *(int(self.left[p]) // parts.count(p) for p in set(parts))])
+            if n > 0:
+                at = 0
+                for p in parts:
+                    self._give(p, n, self.sequences, at)
+                    at += p
+                self.sequences += n
+        return before - int(self.left.sum())
+
+    def _pack(self) -> int:
+        """Best fit: the longest piece that still fits, until none does; what a window then lacks is cut from the longest piece left."""
+        cuts = 0
+        mask = 0  # a bit for each length that there are pieces of
+        for a in np.flatnonzero(self.left).tolist():
+            mask |= 1 << a
+        while mask:
+            room, parts, own, open_ = self.size, [], {}, mask
+            while room and (fit := open_ & ((2 << room) - 1)):
+                a = fit.bit_length() - 1
+                parts.append(a)
+                own[a] = own.get(a, 0) + 1
+                if own[a] == self.left[a]:
+                    open_ &= ~(1 << a)
+                room -= a
+            n = min(int(self.left[a]) // k for a, k in own.items())
+            donor = open_.bit_length() - 1 if room and open_ else 0  # whatever is left is longer than the room
+            if donor:
+                n = max(1, min(n, int(self.left[donor]) // (own.get(donor, 0) + 1)))
+            elif room:
+                n = 1
             at = 0
-            for a in p:
-                slots.setdefault(a, []).append((n, s, at))
+            for a in parts:
+                self._give(a, n, self.sequences, at)
                 at += a
-        self.used = {a: sum(n for n, _, _ in v) for a, v in slots.items()}
-        self.slots = {a: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for a, v in slots.items()}
+            if donor:
+                self._give(donor, n, self.sequences, at, room)
+                mask |= 1 << (donor - room)
+                cuts += n
+            self.sequences += n
+            for a in {*own, donor} - {0}:
+                if self.left[a] == 0:
+                    mask &= ~(1 << a)
+        return cuts
 
-    def place(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, first, at = self.slots[length]
+    def place(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pieces (which of ``ranks``, start, length, sequence, offset) of remainders of one length."""
+        n, first, at, take, base = self.slots[length]
         ends = np.cumsum(n)
         k = np.searchsorted(ends, ranks, "right")
-        return first[k] + ranks - (ends[k] - n[k]), at[k]
+        inside = ranks - (ends[k] - n[k])
+        out = [(np.arange(len(ranks)), np.zeros(len(ranks), np.int64), take[k], first[k] + inside, at[k])]
+        for t in np.unique(take[k][take[k] < length]).tolist():
+            mine = np.flatnonzero(take[k] == t)
+            which, start, size, seq, off = self.place(length - t, base[k[mine]] + inside[mine])
+            out.append((mine[which], start + t, size, seq, off))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
 
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, size: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, part, n, rank, before, ids) of each document: ids of its whole text and the end id.
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, part, ord, n, ids) of each document: ids of its whole text and the end id, numbered within the task that made them."""
+    Part is the task that made them; rank counts the earlier documents of the task whose full windows
+    leave as many ids over, and before counts the full windows of all its earlier documents.
+    """
 
     def encode(batches):
         from pyspark import TaskContext
 
-        part_id, done = TaskContext.get().partitionId(), 0
+        part_id, seen, full = TaskContext.get().partitionId(), np.zeros(size, np.int64), 0
         for batch in batches:
             for i, j in slices(batch, "t"):
                 part = batch.slice(i, j - i)
@@ -116,97 +186,111 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, text: str, doc_id: st
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))
                 small = ids.astype("<u2") if end_id < 1 << 16 and (not len(ids) or ids.max() < 1 << 16) else ids
-                wide = small.itemsize
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(at * wide), pa.py_buffer(small)])
-                n = part.num_rows
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("d"), "part": pa.array([part_id] * n, pa.int32()), "ord": np.arange(done, done + n), "n": np.diff(at), "ids": data.cast(pa.binary())})
-                done += n
+                wide, count = small.itemsize, part.num_rows
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(at * wide), pa.py_buffer(small)])
+                n = np.diff(at)
+                rem = n % size
+                order = np.argsort(rem, kind="stable")
+                first = np.searchsorted(rem[order], rem[order])
+                rank = np.empty(count, np.int64)
+                rank[order] = np.arange(count) - first
+                rank += seen[rem]
+                seen += np.bincount(rem, minlength=size)
+                before = full + np.cumsum(n // size) - n // size
+                full += int((n // size).sum())
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("d"), "part": pa.array([part_id] * count, pa.int32()), "n": n, "rank": rank, "before": before, "ids": data.cast(pa.binary())})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    return storage.cut(rows.mapInArrow(encode, "doc_id long, part int, ord long, n long, ids binary"), "packed-ids")
+    return storage.cut(rows.mapInArrow(encode, "doc_id long, part int, n long, rank long, before long, ids binary"), "packed-ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all documents in sequences of ``size`` tokens at most.
+def _bases(tokens: DataFrame, size: int) -> tuple[np.ndarray, str]:
+    """Number of documents by what their full windows leave over; and a table (part, rems, bases): how many of each come in earlier parts.
 
-    A document's full windows are sequences of their own.  What remains of it has one of ``size`` - 1
-    lengths; least squares over the histogram of these lengths (that many numbers, whatever the
-    input) choose combinations that fill a window or a power of two exactly, and each remainder
-    takes the place that its rank among its equals gives it.  The others are packed end to end and
-    cut where a window is full, so at most one sequence has padding.
-
-    Null and empty texts are one piece of the end id; repeated rows are packed each; an empty table
-    gives no pieces.  Ranks and running sums come from counts of each task's rows and a numbering
-    inside it, so no length, however frequent, has to be in one place.
+    Entry ``size`` of rems stands for full windows.  A part has ``size`` + 1 numbers at most.
     """
-    spark = docs.sparkSession
-    tokens = tokenize(docs, tokenizer, end_id, text, doc_id)
-    slim = tokens.select("part", "ord", "n", (F.col("n") % size).alias("rem"), F.floor(F.col("n") / size).alias("full"))
+    slim = tokens.select("part", (F.col("n") % size).alias("rem"), F.floor(F.col("n") / size).alias("full"))
     counts = storage.cut(slim.groupBy("part", "rem").agg(F.count("*").alias("c"), F.sum("full").alias("full")), "packed-counts")
     hist = np.zeros(size, np.int64)
-    for r in counts.groupBy("rem").agg(F.sum("c").alias("c")).collect():
+    for r in counts.groupBy("rem").agg(F.sum("c").alias("c")).collect():  # size rows at most
         hist[r.rem] = r.c
     hist[0] = 0
-    layout = Layout(*plan(hist, size), size)
+    every = counts.select("part", "rem", "c").unionByName(counts.groupBy("part").agg(F.lit(size).cast("long").alias("rem"), F.sum("full").alias("c")))
     before = Window.partitionBy("rem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    used = spark.createDataFrame([(int(a), int(n)) for a, n in layout.used.items()] or [(-1, 0)], "rem long, used long")
-    # at most size - 1 rows
-    base = base.join(F.broadcast(used), "rem", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    base = storage.cut(base.select("part", "rem", "c", "full", "base", F.when(F.col("rem") == 0, 0).otherwise(F.least(F.greatest(F.col("used") - F.col("base"), F.lit(0)), F.col("c"))).alias("fits")), "packed-base")
-    # a few numbers for each task that read documents
-    parts = base.groupBy("part").agg(F.sum("full").alias("full"), F.sum(F.col("rem") * (F.col("c") - F.col("fits"))).alias("loose")).orderBy("part").collect()
-    full_at, loose_at, offsets = layout.sequences, 0, []
-    for r in parts:
-        offsets.append((r.part, full_at, loose_at))
-        full_at, loose_at = full_at + r.full, loose_at + r.loose
-    loose_first = full_at
-    at_part = spark.createDataFrame(offsets or [(-1, 0, 0)], "part int, full_at long, loose_at long")
-    rank = F.row_number().over(Window.partitionBy("part", "rem").orderBy("ord")) - 1
-    rows = slim.join(base.select("part", "rem", "base", "fits"), ["part", "rem"]).withColumn("local", rank)
-    inside = Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    loose = F.when((F.col("rem") > 0) & (F.col("local") >= F.col("fits")), F.col("rem")).otherwise(0)
-    rows = rows.withColumn("loose", loose).withColumns({"loose_in": F.coalesce(F.sum("loose").over(inside), F.lit(0)), "full_in": F.coalesce(F.sum("full").over(inside), F.lit(0))})
-    rows = rows.join(at_part, "part").select(
-        "part", "ord", "n", "rem", "full", (F.col("base") + F.col("local")).alias("rank"), (F.col("loose") > 0).alias("is_loose"),
-        (F.col("full_at") + F.col("full_in")).alias("full_seq"), (F.col("loose_at") + F.col("loose_in")).alias("loose_pos"),
-    )
-    placed = tokens.select("doc_id", "part", "ord", "ids").join(rows, ["part", "ord"])
+    base = every.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    lists = base.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("rem", "base"))).alias("x")).select("part", F.col("x.rem").alias("rems"), F.col("x.base").alias("bases"))
+    uri = storage.fresh(tokens.sparkSession, "packed-base")
+    lists.repartitionByRange("part").sortWithinPartitions("part").write.parquet(uri)
+    return hist, uri
+
+
+def _base(uri: str, part: int, size: int) -> np.ndarray:
+    row = storage.read_table(uri, "part", part)
+    out = np.zeros(size + 1, np.int64)
+    out[row.column("rems")[0].values.to_numpy()] = row.column("bases")[0].values.to_numpy()
+    return out
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of all documents in sequences of ``size`` tokens at most.
+
+    A document's full windows are sequences of their own.  What remains of it has one of ``size`` - 1
+    lengths.  Least squares over the histogram of these lengths (that many numbers, whatever the input)
+    choose how often combinations of lengths fill a window exactly; the pieces that rounding leaves are
+    packed best fit, and a window that stays short takes the start of one more piece, whose rest is a
+    piece again.  So at most one sequence has padding.  Each remainder takes the place that its rank
+    among its equals gives it.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed each, and so are rows
+    with a null id; an empty table gives no pieces; columns other than the two named are not read.
+    Ranks come from counts of each task's rows and a numbering inside the task, which are read where the
+    ids lie, so ids are not shuffled and no length, however frequent, has to be in one place.
+    """
+    with storage.temporary() as made:
+        tokens = tokenize(docs, tokenizer, end_id, size, text, doc_id)
+        hist, bases = _bases(tokens, size)
+        made.keep("packed-ids", "packed-base")
+    layout = Layout(hist, size)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    fields = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")[:-1]] + [("ids", pa.list_(pa.int32()))])
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def cut_pieces(batches):
+        base_of: dict[int, np.ndarray] = {}
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "ids"}
-            place = np.zeros((batch.num_rows, 2), np.int64)
-            rem, rank, is_loose = (np.array(cols[c], np.int64) for c in ("rem", "rank", "is_loose"))
-            for a in np.unique(rem[(rem > 0) & (is_loose == 0)]).tolist():
-                mine = np.flatnonzero((rem == a) & (is_loose == 0))
-                place[mine] = np.stack(layout.place(a, rank[mine]), axis=1)
-            out: list[tuple] = []
-            held = 0
-            raw = batch.column("ids")
-            for i in range(batch.num_rows):
-                n, full, doc = cols["n"][i], cols["full"][i], cols["doc_id"][i]
-                data = raw[i].as_py()
-                ids = np.frombuffer(data, f"<u{len(data) // n}").astype("<u4")
-                pieces = [(k * size, size, cols["full_seq"][i] + k, 0) for k in range(full)]
-                if cols["is_loose"][i]:
-                    at, pos, left = full * size, cols["loose_pos"][i], cols["rem"][i]
-                    while left:
-                        take = min(left, size - pos % size)
-                        pieces.append((at, take, loose_first + pos // size, pos % size))
-                        at, pos, left = at + take, pos + take, left - take
-                elif cols["rem"][i]:
-                    pieces.append((full * size, cols["rem"][i], int(place[i, 0]), int(place[i, 1])))
-                for start, length, seq, offset in pieces:
-                    own = ids[start : start + length]
-                    out.append((doc, start, length, zlib.crc32(own.tobytes()), n, seq, offset, own.view(np.int32)))
-                held += n
-                if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
-
-    return placed.mapInArrow(cut_pieces, schema)
+            part, n, rank, before = (batch.column(c).to_numpy() for c in ("part", "n", "rank", "before"))
+            full, rem = n // size, n % size
+            full_at, place = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            for p in np.unique(part).tolist():
+                if p not in base_of:
+                    base_of = {p: _base(bases, p, size)}
+                mine = part == p
+                full_at[mine] = layout.sequences + base_of[p][size] + before[mine]
+                place[mine] = base_of[p][rem[mine]] + rank[mine]
+            doc = np.repeat(np.arange(len(n)), full)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
+            found = [(doc, nth * size, np.full(len(doc), size), full_at[doc] + nth, np.zeros(len(doc), np.int64))]
+            for a in np.unique(rem[rem > 0]).tolist():
+                mine = np.flatnonzero(rem == a)
+                which, start, length, seq, off = layout.place(a, place[mine])
+                found.append((mine[which], full[mine[which]] * size + start, length, seq, off))
+            doc, start, length, seq, off = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((start, doc))
+            doc, start, length, seq, off = (c[order] for c in (doc, start, length, seq, off))
+            raw, edges = batch.column("ids"), np.searchsorted(doc, np.arange(len(n) + 1))
+            at = 0
+            while at < len(n):  # some documents at a time
+                to = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), 1 << 20, "right")))
+                crc, flat = [], []
+                for i in range(at, min(to, len(n))):
+                    data = raw[i].as_py()
+                    ids = np.frombuffer(data, f"<u{len(data) // int(n[i])}").astype("<u4")
+                    flat.append(ids)
+                    crc += [zlib.crc32(ids[s : s + k].tobytes()) for s, k in zip(start[edges[i] : edges[i + 1]].tolist(), length[edges[i] : edges[i + 1]].tolist(), strict=True)]
+                some = slice(edges[at], edges[min(to, len(n))])
+                ends = np.concatenate([[0], np.cumsum(length[some])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32)))
+                columns = [batch.column("doc_id").take(pa.array(doc[some])), start[some], length[some], np.array(crc, np.int64), n[doc[some]], seq[some], off[some], ids]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names)
+                at = to
+
+    return tokens.mapInArrow(cut_pieces, schema)

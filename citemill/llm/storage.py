@@ -106,6 +106,14 @@ def write_bytes(uri: str, data: bytes) -> None:
         f.write(data)
 
 
+def read_table(uri: str, column: str, value: int):
+    """The rows of a folder of Parquet files whose ``column`` is ``value``, as an Arrow table."""
+    from pyarrow import dataset
+
+    system, path = _fs(uri)
+    return dataset.dataset(path, filesystem=system, format="parquet").to_table(filter=dataset.field(column) == value)
+
+
 def remove(uri: str) -> None:
     """The folder and all in it go, if it is there."""
     from pyarrow import fs

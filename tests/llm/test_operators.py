@@ -300,17 +300,29 @@ def test_packing(spark, docs):
     assert packing.pack(df.where("false"), WORDS, 2).count() == 0
 
 
-def test_plan_uses_what_there_is():
+@pytest.mark.parametrize("most", [1, 5000])
+def test_layout_places_all_once(most):
     rng = np.random.default_rng(4)
-    hist = np.bincount(rng.integers(1, 256, 5000), minlength=256)
-    patterns, times = packing.plan(hist, 256)
-    used = np.zeros(256, int)
-    for p, n in zip(patterns, times, strict=True):
-        total = sum(p)
-        assert total & (total - 1) == 0
-        for a in p:
-            used[a] += n
-    assert (used <= hist).all() and used.sum() > 0.8 * hist.sum()
+    hist = np.bincount(np.minimum(rng.geometric(1 / 60, 3000), 255), minlength=256) * most
+    layout = packing.Layout(hist, 256)
+    assert (layout.left == 0).all() and (layout.given == layout.made).all()
+    total = int((hist * np.arange(256)).sum())
+    assert layout.sequences == -(-total // 256) and layout.solved > 0.9 * layout.sequences and layout.cuts < 0.05 * layout.sequences
+    if most == 1:
+        ids = np.zeros(layout.sequences * 256, int)
+        for a in np.flatnonzero(hist).tolist():
+            which, start, size, seq, off = layout.place(a, np.arange(hist[a]))
+            assert (np.bincount(which, size) == a).all()
+            for s, k in zip((seq * 256 + off).tolist(), size.tolist(), strict=True):
+                ids[s : s + k] += 1
+        assert ids.max() == 1 and ids.sum() == total and ids[:total].all()
+
+
+def test_layout_of_few_pieces():
+    for lengths in ([], [3], [255, 255], [1] * 300, [200] * 7):
+        hist = np.bincount(lengths, minlength=256)
+        layout = packing.Layout(hist, 256)
+        assert (layout.left == 0).all() and layout.sequences == -(-sum(lengths) // 256)
 
 
 def test_decontamination(spark, docs):
