@@ -24,7 +24,7 @@ def f01(s: SparkSession, d: str) -> DataFrame:
     return A.cited_works(art_refs(s, d), 2, 0.1)
 
 
-@query("f02_trend_label", f"""WITH {V.ART}, {V.REF}, {AR}, c AS (SELECT ref, year, count(*) AS n FROM ar WHERE ref % 3 > 0 OR year > 1999 GROUP BY 1, 2), g AS (SELECT ref, count(*) AS ys, sum(n) AS t, min(year) AS a, max(year) AS z, max_by(year, (n, year)) AS p, max(n) AS m FROM c GROUP BY ref)
+@query("f02_trend_label", f"""WITH {V.ART}, {V.REF}, {AR}, c AS (SELECT ref, year, count(*) AS n FROM ar GROUP BY 1, 2), g AS (SELECT ref, count(*) AS ys, sum(n) AS t, min(year) AS a, max(year) AS z, max_by(year, (n, year)) AS p, max(n) AS m FROM c GROUP BY ref)
 SELECT ref, CASE WHEN ys < 3 OR t < 5 THEN CASE WHEN ys = 1 THEN 'only ' || a ELSE '' END WHEN p = z THEN 'rising' WHEN p = a THEN 'falling' WHEN m::DOUBLE / t > 0.5 THEN 'peak ' || p ELSE 'stable' END AS trend FROM g""")
 def f02(s: SparkSession, d: str) -> DataFrame:
     c = art_refs(s, d).groupBy("ref", "year").agg(count())
@@ -54,7 +54,7 @@ def f04(s: SparkSession, d: str) -> DataFrame:
     return out.select("topic", F.round("within", 6).alias("within"), F.round("pooled", 6).alias("pooled"))
 
 
-EDGES = f"""d AS (SELECT ref, count(*) AS df FROM ref GROUP BY ref HAVING count(*) BETWEEN 2 AND 30), k AS (SELECT id, ref.ref, ln((SELECT count(DISTINCT id) FROM ref)::DOUBLE / df) AS w FROM ref JOIN d ON d.ref = ref.ref),
+EDGES = f"""d AS (SELECT ref, count(*) AS df FROM ref GROUP BY ref HAVING count(*) BETWEEN 2 AND 50), k AS (SELECT id, ref.ref, ln((SELECT count(DISTINCT id) FROM ref)::DOUBLE / df) AS w FROM ref JOIN d ON d.ref = ref.ref),
 e AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, sum(a.w) AS weight FROM k a JOIN k b ON a.ref = b.ref AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
@@ -115,11 +115,11 @@ def _tokens(s: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("journal"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))).alias("token"))
 
 
-_TOK = "tk AS (SELECT DISTINCT doc_id AS id, source AS journal, unnest(list_filter(regexp_split_to_array(lower(text[1:800]), '[^a-z]+'), lambda w: length(w) >= 5)) AS token FROM documents)"
+_TOK = "tk AS (SELECT DISTINCT doc_id AS id, source AS journal, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5)) AS token FROM documents)"
 _MOTIF = "n AS (SELECT count(DISTINCT id) FILTER (id % 4 = 0) AS nc, count(DISTINCT id) FILTER (id % 4 > 0) AS nb FROM tk), g AS (SELECT token, count(*) FILTER (id % 4 = 0) AS a, count(*) FILTER (id % 4 > 0) AS b, count(DISTINCT journal) FILTER (id % 4 = 0) AS j FROM tk GROUP BY 1), m AS (SELECT token, a AS articles, (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) AS lift FROM g, n WHERE a >= 3 AND j >= 2 AND (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 2)"
 
 
-@query("f11_emergent_motifs", f"""WITH {_TOK}, {_MOTIF}, p AS (SELECT x.token, y.token AS mate, m.articles, count(*) AS t FROM tk x JOIN m ON m.token = x.token JOIN tk y ON x.id = y.id AND x.token <> y.token GROUP BY ALL HAVING count(*) >= 0.4 * m.articles),
+@query("f11_emergent_motifs", f"""WITH {_TOK}, {_MOTIF}, p AS (SELECT x.token, y.token AS mate, m.articles, count(*) AS t FROM tk x JOIN m ON m.token = x.token JOIN (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8) y ON x.id = y.id AND x.token <> y.token GROUP BY ALL HAVING count(*) >= 0.4 * m.articles),
 b AS (SELECT token, max_by(mate, (t, mate)) AS mate, max(t) AS together FROM p GROUP BY 1) SELECT m.token, articles, round(lift, 5) AS lift, b.mate, b.together FROM m LEFT JOIN b USING (token)""")
 def f11(s: SparkSession, d: str) -> DataFrame:
     tk = _tokens(s, d)
@@ -263,7 +263,7 @@ def f30(s: SparkSession, d: str) -> DataFrame:
     return A.cooccurrence(_stances(s, d), "work", "key")
 
 
-@query("f31_period_blocks", f"""WITH {V.ART}, {V.REF}, r AS (SELECT DISTINCT CAST(floor((year - (SELECT min(year) FROM art)) / 2) AS BIGINT) AS period, ref FROM art JOIN ref USING (id) WHERE year NOT IN (1999, 2000) AND ref % 3 = id % 3), i AS (SELECT period, dense_rank() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM r)), b AS (SELECT i, period, ref FROM r JOIN i USING (period))
+@query("f31_period_blocks", f"""WITH {V.ART}, {V.REF}, r AS (SELECT DISTINCT CAST(floor((year - (SELECT min(year) FROM art)) / 2) AS BIGINT) AS period, ref FROM art JOIN ref USING (id) WHERE year NOT IN (1999, 2000)), i AS (SELECT period, dense_rank() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM r)), b AS (SELECT i, period, ref FROM r JOIN i USING (period))
 SELECT period, (SELECT count(*) FROM b x WHERE x.i = i.i) AS n, CASE WHEN i > 1 THEN (SELECT count(*) FROM b x WHERE x.i = i.i AND ref NOT IN (SELECT ref FROM b y WHERE y.i = i.i - 1)) END AS new, CASE WHEN i > 1 THEN (SELECT count(*) FROM b y WHERE y.i = i.i - 1 AND ref NOT IN (SELECT ref FROM b x WHERE x.i = i.i)) END AS dropped FROM i""")
 def f31(s: SparkSession, d: str) -> DataFrame:
     return A.periods(art_refs(s, d).where("year NOT IN (1999, 2000)"), "year", "ref", 2)

@@ -73,14 +73,14 @@ def e05(s: SparkSession, d: str) -> DataFrame:
     return own(s, d).where("ref % 97 = 0").select("work").distinct()
 
 
-@query("e06_attribution", f"""WITH {V.ART}, {V.REF}, {_OWN}, j AS (SELECT ref.id, own.work, count(*) AS shared, min(ref.ref) AS first_via FROM ref JOIN own USING (ref) WHERE ref.id % 10 = 3 GROUP BY 1, 2),
+@query("e06_attribution", f"""WITH {V.ART}, {V.REF}, {_OWN}, j AS (SELECT ref.id, own.work, count(*) AS shared, min(ref.ref) AS first_via FROM ref JOIN own USING (ref) GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, work) AS rank FROM j) SELECT id, work, shared, first_via, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3""")
 def e06(s: SparkSession, d: str) -> DataFrame:
     return C.attribution(V.references(s, d), own(s, d), 3, 4).select("id", "work", "shared", F.element_at("via", 1).alias("first_via"), "rank")
 
 
 @query("e07_author_neighbourhood", f"""WITH {V.ART}, {V.REF}, {_OWN}, j AS (SELECT DISTINCT own.work, art.author FROM ref JOIN art USING (id) JOIN own ON own.ref = ref.ref WHERE author % 50 <> 0)
-SELECT work, author, count(*) AS n FROM (SELECT own.work, art.author, ref.ref FROM own JOIN ref ON own.ref = ref.ref JOIN art ON art.id = ref.id WHERE author % 50 <> 0 AND own.work % 20 = 0) GROUP BY 1, 2 HAVING count(*) >= 2""")
+SELECT work, author, count(*) AS n FROM (SELECT own.work, art.author, ref.ref FROM own JOIN ref ON own.ref = ref.ref JOIN art ON art.id = ref.id WHERE author % 50 <> 0) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def e07(s: SparkSession, d: str) -> DataFrame:
     author_refs = V.references(s, d).join(V.articles(s, d).select("id", "author"), "id").select("author", "ref")
     seeds = V.articles(s, d).where("author % 50 = 0").select("author").distinct()
@@ -100,7 +100,7 @@ def e09(s: SparkSession, d: str) -> DataFrame:
     return C.weighted_overlap(by_author, own(s, d), C.document_frequency(refs)).select(F.col("id").alias("author"), F.round("score", 4).alias("strength"))
 
 
-@query("e10_best_match", f"""WITH {V.WORK}, c AS (SELECT ref AS cand, year, topic, string_split(title, ' ') AS t FROM work WHERE ref % 10 = 0), r AS (SELECT ref, year, topic, string_split(title || ' extra', ' ') AS t FROM work WHERE ref % 10 = 3),
+@query("e10_best_match", f"""WITH {V.WORK}, c AS (SELECT ref AS cand, year, topic, string_split(title, ' ') AS t FROM work), r AS (SELECT ref, year, topic, string_split(title || ' extra', ' ') AS t FROM work),
 j AS (SELECT ref, cand, len(list_intersect(r.t, list_distinct(c.t)))::DOUBLE / len(list_distinct(c.t)) AS score FROM r JOIN c ON r.topic = c.topic AND abs(r.year - c.year) <= 1 WHERE len(list_distinct(c.t)) >= 2)
 SELECT ref, min_by(cand, (-score, cand)) AS cand, round(max(score), 6) AS score FROM j WHERE score >= 0.85 GROUP BY ref""")
 def e10(s: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def e10(s: SparkSession, d: str) -> DataFrame:
     return M.best_match(refs, w.select(F.col("ref").alias("cand"), "year", F.col("topic").alias("author"), "title"), 1, 0.85)
 
 
-@query("e11_title_equivalence", f"""WITH {V.WORK}, t AS (SELECT ref, string_split(lower(title || ' for ' || topic || ' ' || brand || ' ' || size), ' ') AS w FROM work WHERE ref % 20 = 0)
+@query("e11_title_equivalence", f"""WITH {V.WORK}, t AS (SELECT ref, string_split(lower(title || ' for ' || topic || ' ' || brand || ' ' || size), ' ') AS w FROM work)
 SELECT a.ref AS a, b.ref AS b FROM t a JOIN t b ON a.ref < b.ref AND a.w[1] = b.w[1] WHERE a.w[1:5] = b.w[1:5] OR (len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.7 * least(len(list_distinct(a.w)), len(list_distinct(b.w))))""")
 def e11(s: SparkSession, d: str) -> DataFrame:
     t = V.works(s, d).select("ref", F.split(F.lower(F.concat_ws(" ", "title", F.lit("for"), "topic", "brand", F.col("size").cast("string"))), " ").alias("w"))
@@ -127,7 +127,7 @@ def e12(s: SparkSession, d: str) -> DataFrame:
     return M.abbreviations(shorts, names)
 
 
-@query("e13_source_scoring", f"""WITH {V.WORK}, q AS (SELECT DISTINCT topic AS q FROM work), t AS (SELECT ref, lower(topic || CASE WHEN ref % 2 = 0 THEN ' ' || title ELSE '' END) AS name, brand FROM work WHERE ref % 25 = 0)
+@query("e13_source_scoring", f"""WITH {V.WORK}, q AS (SELECT DISTINCT topic AS q FROM work), t AS (SELECT ref, lower(topic || CASE WHEN ref % 2 = 0 THEN ' ' || title ELSE '' END) AS name, brand FROM work)
 SELECT ref, lower(q) AS name, CAST(CASE WHEN name = lower(q) THEN 10 WHEN contains(name, lower(q)) THEN 5 WHEN contains(lower(q), name) THEN 3 ELSE 0 END + 4 * len(list_intersect(list_distinct(string_split(name, ' ')), string_split(lower(q), ' '))) + CASE WHEN ref % 50 = 0 THEN 20 ELSE 0 END + CASE WHEN brand > 'Brand#2' THEN 1 ELSE 0 END AS INT) AS score FROM t JOIN q ON true""")
 def e13(s: SparkSession, d: str) -> DataFrame:
     w = V.works(s, d)
@@ -165,7 +165,7 @@ def e16(s: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("cluster").alias("a"), "journal").join(b.select(F.col("cluster").alias("b"), "journal"), "journal").where("a <> b").groupBy("a", "b").agg(F.countDistinct("journal").alias("shared"))
 
 
-@query("e17_near_duplicate_files", f"""WITH {V.WORK}, f AS (SELECT ref, lower(title || ' ' || topic || ' ' || brand) AS t FROM work WHERE ref % 15 = 0), w AS (SELECT DISTINCT ref, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{5,}}')) AS w FROM f)
+@query("e17_near_duplicate_files", f"""WITH {V.WORK}, f AS (SELECT ref, lower(title || ' ' || topic || ' ' || brand) AS t FROM work), w AS (SELECT DISTINCT ref, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{5,}}')) AS w FROM f)
 SELECT a.ref AS a, b.ref AS b FROM w a JOIN w b ON a.w = b.w AND a.ref < b.ref GROUP BY 1, 2 HAVING count(*) >= 3 OR (count(*) = 2 AND max(length(a.w)) >= 8)""")
 def e17(s: SparkSession, d: str) -> DataFrame:
     files = V.works(s, d).select("ref", F.concat_ws(" ", "title", "topic", "brand").alias("name"))

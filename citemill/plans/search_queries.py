@@ -63,7 +63,7 @@ _TERMS = ["other", "under", "thing", "eauou", "those", "tions", "which"]
 _LIST = "[" + ", ".join(f"'{t}'" for t in sorted(_TERMS)) + "]"
 
 
-@query("d08_key_term_hits", f"SELECT doc_id, array_to_string(list_filter({_LIST}, lambda t: contains(lower(text[1:500]), t)), ',') AS hits FROM documents")
+@query("d08_key_term_hits", f"SELECT doc_id, array_to_string(list_filter({_LIST}, lambda t: contains(lower(text), t)), ',') AS hits FROM documents")
 def d08(s: SparkSession, d: str) -> DataFrame:
     return DOCS(s, d).select("doc_id", F.array_join(S.term_hits(F.col("text"), _TERMS), ",").alias("hits"))
 

