@@ -349,3 +349,25 @@ def test_top_k(spark):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {q: v for q, v in want.items() if v}
     assert vafile.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_buckets_compare_what_hashes_cannot_tell():
+    """Windows that end with one block, some with equal prefix hashes: only the bytes decide."""
+    texts = pa.array(["a b c d", "x b c d", "a b c d e c d", "q q c d"])
+    low, starts, lens, first = decontam.words_of(pa.array(["a b c d", "x b c d", "z z c d"]))
+    p = decontam.Patterns(low, starts, lens, 4, np.array([0, 4, 8]), [["i"], ["j"], ["k"]])
+    doc = decontam.words_of(texts)
+    h = bytescan.hash_runs(*doc[:3])
+    want = [(0, 0), (4, 1), (8, 0)]
+    assert sorted(zip(*(c.tolist() for c in p.hits(*doc, h)), strict=True)) == want
+    p.prefix[:], p.which[:] = 0, np.arange(3)
+    p._sum = lambda h: np.zeros(len(h), np.uint64)  # as if all prefixes had one hash
+    assert sorted(zip(*(c.tolist() for c in p.hits(*doc, h)), strict=True)) == want
+
+
+def test_decontamination_without_documents_and_with_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "y"), (2, None, "z"), (3, "", "z")], "doc_id long, text string, _items string")
+    items = spark.createDataFrame([(5, "b c"), (5, "b c"), (6, "B, C")], "item_id int, text string")
+    got = sorted((r.doc_id, r._n_words, r._n_hit, r._items) for r in decontam.find_contamination(docs, items).collect())
+    assert got == [(1, 4, 2, [5, 6]), (1, 4, 2, [5, 6]), (2, 0, 0, []), (3, 0, 0, [])]
+    assert decontam.find_contamination(docs.where("false"), items).count() == 0
