@@ -18,6 +18,7 @@ from citemill.llm.bytescan import LOWER, SPACE, U64, hash_runs, mix, slices, spa
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS = 1 << 17
 CACHE_BYTES = 96 << 20
+GATHER_BYTES, SLICE_BYTES = 128 << 20, 16 << 20  # of texts that meet a shard together; of texts cut into lines at once
 GAMMA, LEVELS = 2.0, 40
 
 
@@ -75,36 +76,44 @@ class PerfectHash:
 
 
 class LineShard:
-    """Fingerprints, counts and the document that keeps the line, in the order of a perfect hash."""
+    """Fingerprints, counts and the document that keeps the line, in the order of a perfect hash.
 
-    def __init__(self, index: PerfectHash, prints: np.ndarray, counts: np.ndarray, keeper: np.ndarray):
-        self.index, self.prints, self.counts, self.keeper = index, prints, counts, keeper
+    Lines that share a 64-bit key with another line come after these, in the order of their keys.
+    """
+
+    def __init__(self, index: PerfectHash, prints: np.ndarray, counts: np.ndarray, keeper: np.ndarray, more: np.ndarray):
+        self.index, self.prints, self.counts, self.keeper, self.more = index, prints, counts, keeper, more
 
     @classmethod
     def build(cls, keys, prints, counts, keeper) -> LineShard:
-        index = PerfectHash.build(keys)
-        at = index.find(keys)
-        if len(np.unique(at)) < len(keys):
-            raise ValueError("two lines have the same 64-bit key; choose another seed")
-        order = np.argsort(at)
-        return cls(index, prints[order], counts[order], keeper[order])
+        alone, first = np.unique(keys, return_index=True)
+        index = PerfectHash.build(alone)
+        order = np.empty(len(keys), np.int64)
+        order[index.find(alone)] = first
+        others = np.setdiff1d(np.arange(len(keys)), first)
+        order[len(alone) :] = others = others[np.argsort(keys[others], kind="stable")]
+        return cls(index, prints[order], counts[order], keeper[order], keys[others])
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, sizes=self.index.sizes, words=self.index.words, rest=self.index.rest, prints=self.prints, counts=self.counts, keeper=self.keeper)
+        np.savez(out, sizes=self.index.sizes, words=self.index.words, rest=self.index.rest, prints=self.prints, counts=self.counts, keeper=self.keeper, more=self.more)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> LineShard:
         x = np.load(io.BytesIO(data))
-        return cls(PerfectHash(x["sizes"], x["words"], x["rest"]), x["prints"], x["counts"], x["keeper"])
+        return cls(PerfectHash(x["sizes"], x["words"], x["rest"]), x["prints"], x["counts"], x["keeper"], x["more"])
 
     def probe(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """Index of each line, -1 for lines that aren't in the shard."""
+        """Place of each line in the arrays, -1 for lines that aren't in the shard."""
         if not self.index.n:
             return np.full(len(keys), -1, np.int64)
         at = self.index.find(keys)
-        return np.where((at >= 0) & (self.prints[np.maximum(at, 0)] == prints), at, -1)
+        at = np.where((at >= 0) & (self.prints[np.maximum(at, 0)] == prints), at, -1)
+        for k in np.flatnonzero((at < 0) & np.isin(keys, self.more)).tolist() if len(self.more) else ():
+            same = np.flatnonzero((self.more == keys[k]) & (self.prints[self.index.n :] == prints[k]))
+            at[k] = self.index.n + same[0] if len(same) else -1
+        return at
 
 
 _shards: OrderedDict[str, tuple[LineShard, int]] = OrderedDict()
@@ -151,7 +160,7 @@ def keyed_lines(buf: np.ndarray, offsets: np.ndarray, least_chars: int):
 
 
 def repeated_lines(docs: DataFrame, text: str, doc_id: str, least_chars: int, least_docs: int) -> DataFrame:
-    """(key, print, docs, keeper) of the lines found in ``least_docs`` rows or more."""
+    """(key, print, docs, keeper) of the lines found in ``least_docs`` documents or more."""
 
     def scan(batches):
         for batch in batches:
@@ -166,7 +175,13 @@ def repeated_lines(docs: DataFrame, text: str, doc_id: str, least_chars: int, le
                 yield pa.RecordBatch.from_pydict({"key": once[1].view(np.int64), "print": once[2].view(np.int64), "d": owner})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(scan, "key long, print long, d long")
-    return rows.groupBy("key", "print").agg(F.count("*").alias("docs"), F.max("d").alias("keeper")).where(F.col("docs") >= least_docs)
+    found = rows.groupBy("key", "print").agg(F.count("*").alias("docs"), F.max("d").alias("keeper")).where(F.col("docs") >= least_docs)
+    again = storage.cut(docs.select(F.col(doc_id).cast("long").alias("d")).where("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("c")).where("c > 1").select("d"), "line-ids")
+    if again.isEmpty():
+        return found
+    # an id on several rows counts once: what it is too many is taken off
+    extra = rows.join(again, "d", "left_semi").groupBy("key", "print", "d").agg((F.count("*") - 1).alias("x")).where("x > 0").groupBy("key", "print").agg(F.sum("x").alias("x"))
+    return found.join(extra, ["key", "print"], "left").withColumn("docs", F.col("docs") - F.coalesce("x", F.lit(0))).where(F.col("docs") >= least_docs).drop("x")
 
 
 def build_index(repeated: DataFrame) -> list[str]:
@@ -196,57 +211,76 @@ def _shard_number(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.zeros(len(keys), np.int64) if shards == 1 else spark_hash(keys) % shards
 
 
+def _hits(held: list[tuple], lookup: list[str]) -> list[np.ndarray]:
+    """For each slice's lines, whether they go: the lines of all slices meet each shard once."""
+    drop = [np.zeros(len(lines[0]), bool) for _, lines, _ in held]
+    keys, prints = (np.concatenate([lines[k] for _, lines, _ in held]) for k in (4, 5))
+    own = np.concatenate([own for _, _, own in held])
+    piece = np.repeat(np.arange(len(held)), [len(lines[3]) for _, lines, _ in held])
+    number = np.concatenate([lines[3] for _, lines, _ in held])
+    shard = _shard_number(keys, len(lookup))
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(len(lookup) + 1))
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        if lookup[s]:
+            mine, index = order[edges[s] : edges[s + 1]], _shard(lookup[s])
+            at = index.probe(keys[mine], prints[mine])
+            gone = mine[at >= 0][index.keeper[at[at >= 0]] != own[mine[at >= 0]]]
+            for k in np.unique(piece[gone]).tolist():
+                drop[k][number[gone[piece[gone] == k]]] = True
+    return drop
+
+
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """``docs`` with repeated lines gone from ``text``, and the columns _n_lines and _n_dropped.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased.  Keys of
     ``least_chars`` code points or more that ``least_docs`` documents hold stay only in the document
     with the largest id among these, there every time they occur.  Null and empty texts are one
-    empty line, and a null text comes back empty.  Each row counts as a document: copies of a row
-    with the largest id all keep the line.  A null id is smaller than any other; where all holders
-    have null ids, all keep the line.
-
-    Only hashes of lines are shuffled, pre-aggregated; texts stay where they are and probe the index,
-    which a worker loads shard by shard and keeps CACHE_BYTES of, so memory does not grow with it.
+    empty line, and a null text comes back empty.  Rows that share an id are one document: they count
+    once, and all rows with the largest id keep the line.  Each row without an id counts as a document
+    of its own, smaller than any other; where no holder has an id, all keep the line.  An empty table
+    gives an empty result; columns of the new names are replaced, all others stay.
+
+    Only hashes of lines are shuffled, pre-aggregated; texts stay where they are and probe the index.
+    A worker gathers the hashes of GATHER_BYTES of texts, so that it loads a shard once for all of
+    them, and keeps CACHE_BYTES of shards, so memory does not grow with the index.
     """
     lookup = build_index(repeated_lines(docs, text, doc_id, least_chars, least_docs))
     docs = docs.drop("_n_lines", "_n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
 
     def probe(batches):
+        held: list[tuple] = []
         for batch in batches:
-            for i, j in slices(batch, text, 32 << 20):
+            for i, j in slices(batch, text, SLICE_BYTES):
                 part = batch.slice(i, j - i)
                 if not part.num_rows:
                     continue
-                buf, offsets = strings(part.column(text))
-                starts, ends, doc, number, key, print_ = keyed_lines(buf, offsets, least_chars)
-                ids = part.column(doc_id).cast(pa.int64())
-                own = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[doc]
-                drop = np.zeros(len(starts), bool)
-                shard = _shard_number(key, len(lookup))
-                order = np.argsort(shard, kind="stable")
-                edges = np.searchsorted(shard[order], np.arange(len(lookup) + 1))
-                for s, uri in enumerate(lookup):
-                    mine = order[edges[s] : edges[s + 1]]
-                    if uri and len(mine):
-                        held = _shard(uri)
-                        at = held.probe(key[mine], print_[mine])
-                        hit = mine[at >= 0]
-                        drop[number[hit]] = held.keeper[at[at >= 0]] != own[number[hit]]
-                out = part.column(text).fill_null("") if part.column(text).null_count else part.column(text)
-                gone = np.bincount(doc[drop], minlength=part.num_rows)
-                if drop.any():
-                    kept = ~drop
-                    s, e, d = starts[kept], ends[kept], doc[kept]
-                    size = e - s
-                    size[:-1] += d[:-1] == d[1:]  # with its line break, where another line follows
-                    flat = buf[spread(s, size)]
-                    total = np.bincount(d, size, minlength=part.num_rows).astype(np.int64)
-                    at = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
-                    out = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at), pa.py_buffer(flat)).cast(part.schema.field(text).type)
-                columns = [out if name == text else part.column(name) for name in part.schema.names]
-                lines = np.bincount(doc, minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
+                lines = keyed_lines(*strings(part.column(text)), least_chars)
+                own = part.column(doc_id).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[lines[2]]
+                held.append((part, lines, own[lines[3]]))
+                if sum(x.nbytes for x, _, _ in held) > GATHER_BYTES:
+                    yield from rewritten(held)
+                    held = []
+        if held:
+            yield from rewritten(held)
+
+    def rewritten(held):
+        for (part, (starts, ends, doc, *_), _), drop in zip(held, _hits(held, lookup), strict=True):
+            out = part.column(text).fill_null("") if part.column(text).null_count else part.column(text)
+            gone = np.bincount(doc[drop], minlength=part.num_rows)
+            if drop.any():
+                buf = strings(part.column(text))[0]
+                s, e, d = starts[~drop], ends[~drop], doc[~drop]
+                size = e - s
+                size[:-1] += d[:-1] == d[1:]  # with its line break, where another line follows
+                flat = buf[spread(s, size)]
+                total = np.bincount(d, size, minlength=part.num_rows).astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(total)]).astype(np.int64)
+                out = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at), pa.py_buffer(flat)).cast(part.schema.field(text).type)
+            columns = [out if name == text else part.column(name) for name in part.schema.names]
+            lines = np.bincount(doc, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(probe, schema)

@@ -243,6 +243,9 @@ def test_perfect_hash():
     shard = linededup.LineShard.load(linededup.LineShard.build(keys, keys + np.uint64(1), np.ones(len(keys), np.int64), np.arange(len(keys))).dump())
     assert (shard.keeper[shard.probe(keys, keys + np.uint64(1))] == np.arange(len(keys))).all()
     assert (shard.probe(keys + np.uint64(5), keys) == -1).all()
+    twice = linededup.LineShard.load(linededup.LineShard.build(np.array([7, 9, 7, 7], np.uint64), np.array([1, 2, 3, 4], np.uint64), np.ones(4, np.int64), np.array([10, 20, 30, 40])).dump())
+    at = twice.probe(np.array([7, 7, 7, 9, 7, 9], np.uint64), np.array([4, 3, 1, 2, 5, 1], np.uint64))
+    assert [int(twice.keeper[i]) if i >= 0 else None for i in at] == [40, 30, 10, 20, None, None]
 
 
 def test_shard_numbers_follow_spark(spark):
@@ -371,3 +374,13 @@ def test_decontamination_without_documents_and_with_repeats(spark):
     got = sorted((r.doc_id, r._n_words, r._n_hit, r._items) for r in decontam.find_contamination(docs, items).collect())
     assert got == [(1, 4, 2, [5, 6]), (1, 4, 2, [5, 6]), (2, 0, 0, []), (3, 0, 0, [])]
     assert decontam.find_contamination(docs.where("false"), items).count() == 0
+
+
+def test_line_dedup_counts_documents(spark):
+    """Ids on several rows count once; rows without an id count each; a column of a new name goes."""
+    a, b, c = "a line that repeats often", "another line that repeats", "a third line that repeats"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (4, b + "\n" + b), (5, b), (None, c), (None, c), (6, c + "\n" + a[:5]), (7, None), (7, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _n_lines int")
+    got = sorted(((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in linededup.drop_repeated_lines(df).collect()), key=str)
+    want = [(1, a, 1, 0), (1, a, 1, 0), (2, a, 1, 0), (3, "", 1, 1), (3, "", 1, 1), (4, "", 2, 2), (5, b, 1, 0), (None, "", 1, 1), (None, "", 1, 1), (6, c + "\n" + a[:5], 2, 0), (7, "", 1, 0), (7, "", 1, 0)]
+    assert got == sorted(want, key=str)
