@@ -1,7 +1,9 @@
 """Operators of the subpackage against plain versions, on inputs with nulls, ties, copies, long and empty texts."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -384,3 +386,38 @@ def test_line_dedup_counts_documents(spark):
     got = sorted(((r.doc_id, r.text, r._n_lines, r._n_dropped) for r in linededup.drop_repeated_lines(df).collect()), key=str)
     want = [(1, a, 1, 0), (1, a, 1, 0), (2, a, 1, 0), (3, "", 1, 1), (3, "", 1, 1), (4, "", 2, 2), (5, b, 1, 0), (None, "", 1, 1), (None, "", 1, 1), (6, c + "\n" + a[:5], 2, 0), (7, "", 1, 0), (7, "", 1, 0)]
     assert got == sorted(want, key=str)
+
+
+def test_top_k_of_any_size_of_numbers(spark):
+    """Numbers beyond exact doubles and beyond longs, several rows with one id, and vectors of two lengths."""
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) * 10.0 ** rng.choice([0, 0, 0, 3, 9, 20, 38]) for _ in range(6)]) for i in range(90)]
+    rows += [(50, rows[3][1]), (7, rows[8][1]), (7, rows[8][1]), (100, [1e38] * 6), (101, [-3e38] * 6), (102, [3e38] * 6), (150, [0.5, 0.25]), (151, [0.5, 0.25]), (152, [0.25, 9.0]), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in vafile.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None]
+    want = {}
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        best = {}
+        for i, v in whole:
+            if i != q:
+                for j, u in whole:
+                    if j == q and len(u) == len(v):
+                        s = sum(a * b for a, b in zip(u, v, strict=True))
+                        best[i] = max(s, best.get(i, s))
+        want[q] = [(i, max(min(s, (1 << 63) - 1), -(1 << 63))) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    assert got == want
+
+
+def test_bounds_hold_and_save_reads(tmp_path):
+    rng = np.random.default_rng(5)
+    x, q = np.floor(rng.normal(0, 60, (4000, 32))), np.floor(rng.normal(0, 60, (20, 32)))
+    vafile.write_file(f"file://{tmp_path}/x", np.arange(4000), x)
+    file = vafile.VaFile(f"file://{tmp_path}/x")
+    score, far = file.bounds(q)
+    assert (np.abs(score - q @ x.T) <= far[:, None]).all()
+    got = file.search(q, np.full(20, -1), 5)
+    want = [(i, int(j), int((q @ x.T)[i, j])) for i in range(20) for j in np.lexsort((np.arange(4000), -(q @ x.T)[i]))[:5]]
+    assert got == want and file.read < 20 * 60
