@@ -246,7 +246,9 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     A worker gathers the hashes of GATHER_BYTES of texts, so that it loads a shard once for all of
     them, and keeps CACHE_BYTES of shards, so memory does not grow with the index.
     """
-    lookup = build_index(repeated_lines(docs, text, doc_id, least_chars, least_docs))
+    with storage.temporary() as made:
+        lookup = build_index(repeated_lines(docs, text, doc_id, least_chars, least_docs))
+        made.keep("line-index")
     docs = docs.drop("_n_lines", "_n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
 

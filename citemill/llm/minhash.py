@@ -328,10 +328,10 @@ def _links(tried: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.table({"main": table.column("main").slice(0, 1), "block": table.column("block").slice(0, 1), "uri": [uri]})
 
     def blocks(side: DataFrame) -> DataFrame:
-        side = side.join(texts, "rep")
-        sizes = side.groupBy("main").agg(F.ceil(F.sum(F.col("size") + EXTRA) / BLOCK_SHINGLES).alias("blocks"))
+        sizes = side.join(texts.select("rep", "size"), "rep").groupBy("main").agg(F.ceil(F.sum(F.col("size") + EXTRA) / BLOCK_SHINGLES).alias("blocks"))
         placed = side.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        return placed.groupBy("main", "block").applyInArrow(write, "main long, block long, uri string")
+        # dealt by block, as a group may be large; texts move only now
+        return placed.join(texts, "rep").repartition("main", "block").groupBy("main", "block").applyInArrow(write, "main long, block long, uri string")
 
     stretches = blocks(others).groupBy("main", F.floor(F.col("block") / BLOCKS_A_JOB).alias("s")).agg(F.collect_list("uri").alias("ys"))
     jobs = blocks(tried).select("main", F.col("uri").alias("x")).join(stretches.select("main", "ys"), "main")

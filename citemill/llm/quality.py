@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """Fits a model on at most ``most_rows`` rows of ``labels`` (doc_id, label) that have a document.
 
     The sample is the bound that keeps the fit on the driver: it takes features of that many rows,
-    never texts.  Labels other than 0 and 1 and null ids are passed over; without any labelled
+    never texts.  Labels other than 0 and 1 and null ids are passed over, and of several labels of an
+    id the larger counts; rows with one id and different texts are examples each.  Without any labelled
     document the model gives every text the same score of one half.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("d"), F.col(label).cast("int").alias("y")).where("d IS NOT NULL AND y IN (0, 1)")
@@ -185,7 +186,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def score(docs: DataFrame, model: Additive, text: str = "text") -> DataFrame:
-    """``docs`` with _score, the probability of label 1, from the whole texts; nothing is shuffled."""
+    """``docs`` with _score, the probability of label 1, from the whole texts; nothing is shuffled.
+
+    Null and empty texts are scored alike, by features of zero; repeated rows get equal scores; an empty
+    table stays empty; a column that is named _score is replaced.
+    """
     docs = docs.drop("_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
 

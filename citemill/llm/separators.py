@@ -16,14 +16,20 @@ from citemill.llm.tokens import encoder
 BLOCK_BYTES = 4 << 20
 
 
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """Bytes of an id in flat files: 2 where all ids and the end fit, else 4."""
+    return 2 if max(end_id + 1, encoder(tokenizer).lib.get_vocab_size()) <= 1 << 16 else 4
+
+
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> tuple[str, DataFrame]:
-    """Flat files of 2-byte ids, each document followed by ``end_id``, and (file, ordinal, doc_id) of what lies in them.
+    """Flat files of ids of id_bytes() each, each document followed by ``end_id``, and (file, ordinal, doc_id) of what lies in them.
 
-    The ids of a text never hold ``end_id`` if that is an id the model can't produce; one that it
-    can produce raises an error, as no scan could tell it from an end.  Nothing is shuffled.
+    The ids of a text never hold ``end_id`` if that is an id the model can't produce, such as one
+    beyond its vocabulary; one that it can produce raises an error, as no scan could tell it from an
+    end.  (A special token's id is produced by texts that quote it.)  Nothing is shuffled.
     """
     spark = docs.sparkSession
-    folder = storage.fresh(spark, "flat")
+    folder, kind = storage.fresh(spark, "flat"), f"<u{id_bytes(tokenizer, end_id)}"
 
     def write(batches):
         name, out, n = f"{uuid.uuid4().hex}.ids", None, 0
@@ -36,7 +42,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
                 if (ids == end_id).any():
                     raise ValueError(f"a text has the end-of-document id {end_id}")
                 out = out or storage.open_write(f"{folder}/{name}")
-                out.write(np.insert(ids, at[1:], end_id).astype("<u2").tobytes())
+                out.write(np.insert(ids, at[1:], end_id).astype(kind).tobytes())
                 yield pa.RecordBatch.from_pydict({"file": [name] * part.num_rows, "ordinal": np.arange(n, n + part.num_rows), "doc_id": part.column("d")})
                 n += part.num_rows
         if out:
@@ -46,10 +52,10 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text",
     return folder, storage.cut(rows.mapInArrow(write, "file string, ordinal long, doc_id long"), "flat-docs")
 
 
-def count_tokens(spark: SparkSession, folder: str, files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES, wide: int = 2) -> DataFrame:
     """(file, ordinal, n_tokens) of each document of flat files; n_tokens counts its end.
 
-    ``files`` has a column file with their names.  Blocks are scanned on their own: each yields
+    ``files`` has a column file with their names; an id has ``wide`` bytes, and ``block_bytes`` is a multiple of that.  Blocks are scanned on their own: each yields
     its number of ends, the length of what follows its last one and the offsets of its ends.  A
     prefix scan over the blocks of a file (a few numbers each) then gives the ordinal of a block's
     first document and how much of it lies in earlier blocks.  Ids after the last end are a
@@ -74,7 +80,7 @@ def count_tokens(spark: SparkSession, folder: str, files: DataFrame, end_id: int
             for name, block, at, last in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "at", "last")), strict=True):
                 with storage.open_read(f"{folder}/{name}") as f:
                     f.seek(at)
-                    ids = np.frombuffer(f.read(block_bytes), "<u2")
+                    ids = np.frombuffer(f.read(block_bytes), f"<u{wide}")
                 ends = np.flatnonzero(ids == end_id)
                 tail = len(ids) - (int(ends[-1]) + 1 if len(ends) else 0)
                 lens = np.diff(ends, prepend=-1)
@@ -101,8 +107,11 @@ def count_tokens(spark: SparkSession, folder: str, files: DataFrame, end_id: int
 def token_counts(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens) of each document, its end included, from flat files written and scanned.
 
-    Null and empty texts count 1; repeated rows are documents of their own; an empty table gives none.
+    Null and empty texts count 1; repeated rows are documents of their own, and so are rows with a null
+    id; an empty table gives none; other columns are not read.  The files go once they are scanned.
     """
-    folder, listed = write_flat(docs, tokenizer, end_id, text, doc_id)
-    counts = count_tokens(docs.sparkSession, folder, listed, end_id, block_bytes)
+    with storage.temporary() as made:
+        folder, listed = write_flat(docs, tokenizer, end_id, text, doc_id)
+        counts = count_tokens(docs.sparkSession, folder, listed, end_id, block_bytes, id_bytes(tokenizer, end_id))
+        made.keep("flat-docs", "flat-ends")
     return listed.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -4,8 +4,8 @@ Layout of a shard, all numbers little-endian::
 
     magic | length of header, unsigned 32-bit | header, JSON
     frames: each document's ids, 2 or 4 bytes each, compressed alone with the dictionary
-    index: frame offsets (count + 1 unsigned 64-bit), sizes in ids (count unsigned 32-bit), document ids (count signed 64-bit)
-    offset of the index, unsigned 64-bit | magic
+    index: frame offsets (count + 1 unsigned 64-bit), sizes in ids (count unsigned 32-bit), document ids (count signed 64-bit), a bit each for null ids
+    offset of the index and count, unsigned 64-bit | magic
 
 The header names the dictionary by its SHA-256; the dictionary lies beside the shards.  Any
 document can be read with one small read of its frame, once the index is known.
@@ -28,10 +28,9 @@ from citemill.llm import storage
 from citemill.llm.bytescan import slices
 from citemill.llm.tokens import encoder
 
-MAGIC = b"CMTK0001"
+MAGIC = b"CMTK0002"
 DICT_BYTES = 1 << 16
 DICT_SAMPLE = 400  # documents that the dictionary is fitted on
-NULL_ID = -(1 << 63)
 
 
 def width(vocabulary: int) -> int:
@@ -53,7 +52,7 @@ class ShardWriter:
         self.at = (self.at if at is None else at) + len(data)
         self.out.write(data)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self._put(self.pack.compress(ids.astype(f"<u{self.id_bytes}").tobytes()))
         self.offsets.append(self.at)
         self.sizes.append(len(ids))
@@ -61,9 +60,10 @@ class ShardWriter:
 
     def close(self) -> None:
         at = self.at
-        for values, kind in ((self.offsets, "<u8"), (self.sizes, "<u4"), (self.docs, "<i8")):
+        none = np.array([d is None for d in self.docs], bool)
+        for values, kind in ((self.offsets, "<u8"), (self.sizes, "<u4"), ([d or 0 for d in self.docs], "<i8")):
             self._put(np.array(values, kind).tobytes())
-        self._put(struct.pack("<Q", at) + MAGIC)
+        self._put(np.packbits(none).tobytes() + struct.pack("<QQ", at, len(self.docs)) + MAGIC)
         self.out.close()
 
 
@@ -75,26 +75,27 @@ class ShardReader:
 
         self.file = storage.open_read(uri)
         end = self.file.size()
-        self.file.seek(end - 16)
-        at, magic = struct.unpack("<Q8s", self.file.read(16))
+        self.file.seek(max(0, end - 24))
+        at, n, magic = struct.unpack("<QQ8s", self.file.read(24).rjust(24))
         self.file.seek(0)
         if magic != MAGIC or self.file.read(8) != MAGIC:
             raise ValueError(f"{uri} is no token shard")
         head = json.loads(self.file.read(struct.unpack("<I", self.file.read(4))[0]))
         self.id_bytes = head["id_bytes"]
         self.file.seek(at)
-        index = self.file.read(end - 16 - at)
-        self.count = n = (len(index) - 8) // 20
+        index = self.file.read(end - 24 - at)
+        self.count = n
         self.offsets = np.frombuffer(index, "<u8", n + 1)
         self.sizes = np.frombuffer(index, "<u4", n, 8 * (n + 1))
         self.docs = np.frombuffer(index, "<i8", n, 8 * (n + 1) + 4 * n)
+        self.none = np.unpackbits(np.frombuffer(index, np.uint8, -1, 20 * n + 8), count=n).astype(bool)
         data = storage.read_bytes(f"{uri.rsplit('/', 1)[0]}/{head['dictionary']}.dict")
         if hashlib.sha256(data).hexdigest() != head["dictionary"]:
             raise ValueError(f"{uri}: the dictionary is another one")
         self.unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(data) if data else None)
 
-    def find(self, doc_id: int) -> list[int]:
-        return np.flatnonzero(self.docs == doc_id).tolist()
+    def find(self, doc_id: int | None) -> list[int]:
+        return np.flatnonzero(self.none if doc_id is None else (self.docs == doc_id) & ~self.none).tolist()
 
     def read(self, i: int) -> np.ndarray:
         self.file.seek(int(self.offsets[i]))
@@ -119,7 +120,7 @@ def _train(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, text: st
     picked = docs.select(F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("d")).orderBy("h", "d").limit(DICT_SAMPLE).agg(F.max("h")).first()[0]
     if picked is None:
         return b""
-    sample = docs.where(F.xxhash64(doc_id) <= picked).select(F.col(text).alias("t")).repartition(1)
+    sample = docs.where(F.xxhash64(doc_id) <= picked).select(F.col(text).alias("t")).limit(4 * DICT_SAMPLE)  # one id may be on very many rows
 
     def fit(batches):
         import zstandard as zstd
@@ -129,8 +130,6 @@ def _train(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: int, text: st
             ids, at = encoder(tokenizer).encode(batch.column("t"))
             for i in range(batch.num_rows):
                 samples.append(np.append(ids[at[i] : at[i + 1]], end_id).astype(f"<u{id_bytes}").tobytes())
-                if len(samples) >= 4 * DICT_SAMPLE:  # one id on very many rows
-                    break
         try:
             data = zstd.train_dictionary(DICT_BYTES, samples, threads=0).as_bytes() if len(samples) >= 8 else b""
         except zstd.ZstdError:  # too little to learn from
@@ -146,7 +145,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str =
 
     Every document is its whole text's ids and ``end_id``; null and empty texts have ``end_id`` alone.
     Rows are range-partitioned, so one task writes one shard of neighbours, streaming, and only the
-    list of shards comes to the driver.  Repeated rows are repeated documents; a null id sorts first.
+    list of shards comes to the driver; the rows of one id may be dealt to several tasks.  Repeated rows
+    are repeated documents; null ids come first; an empty table has no shards; other columns are not read.
     """
     spark = docs.sparkSession
     id_bytes = width(max(end_id + 1, encoder(tokenizer).lib.get_vocab_size()))
@@ -167,12 +167,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str =
                 ids, at = encoder(tokenizer).encode(part.column("t"))
                 total += len(ids) + part.num_rows
                 for k, d in enumerate(part.column("d").to_pylist()):
-                    writer.add(NULL_ID if d is None else d, np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)))
+                    writer.add(d, np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "uri": [uri], "n": [len(writer.docs)], "ids": [total]})
 
-    shards = docs.repartitionByRange("d").sortWithinPartitions("d").mapInArrow(write, "p long, uri string, n long, ids long").collect()
+    docs = docs.withColumn("p", F.spark_partition_id())
+    shards = docs.repartitionByRange("d", "p").sortWithinPartitions("d", "p").select("d", "t").mapInArrow(write, "p long, uri string, n long, ids long").collect()
     return folder, [(x.uri, x.n, x.ids) for x in sorted(shards, key=lambda x: x.p)]
 
 
@@ -190,7 +191,7 @@ def read_token_files(spark, shards: list[tuple[str, int, int]]) -> DataFrame:
                 for k, ids in shard.batches():
                     crc[k] = zlib.crc32(ids.astype("<u4").tobytes())
                 sizes = shard.sizes.astype(np.int64)
-                docs = pa.array(shard.docs, mask=shard.docs == NULL_ID)
+                docs = pa.array(shard.docs, mask=shard.none)
                 out = {"doc_id": docs, "start": start + np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids_crc32": crc, "shard": [uri.rsplit("/", 1)[1]] * shard.count, "position": np.arange(shard.count)}
                 yield pa.RecordBatch.from_pydict(out)
 

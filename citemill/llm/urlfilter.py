@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citemill.llm.components import components
-from citemill.llm.storage import cut
+from citemill.llm.storage import cut, temporary
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_LITERAL_RULES = 2000
+# fixed values: entities that stand in addresses inside attributes, the ampersand's last
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 Rule = tuple[str, str, str]  # host, path, allow or block
 
 
@@ -77,20 +79,45 @@ def match_rules(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFr
     return pages.join(top, ["_host", "_path"], "left")
 
 
-def _resolve(href: Column, host: Column, folder: Column) -> Column:
-    """The address that ``href`` leads to from a page of ``host`` in ``folder``."""
+def _plain(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``, as RFC 3986 removes them."""
+    parts = F.split(path, "/", -1)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step), "/")
+    ends = F.element_at(parts, -1)
+    out = F.when((ends == ".") | (ends == ".."), F.concat(kept, F.lit("/"))).otherwise(kept)
+    return F.when(out == "", "/").otherwise(out)
+
+
+def _unescaped(text: Column) -> Column:
+    """``text`` with the entities that addresses hold replaced by their characters."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def _resolve(href: Column, scheme: Column, host: Column, path: Column, query: Column) -> Column:
+    """The address that ``href`` leads to from the page at the given parts, by the rules of RFC 3986; null where it names none with a host."""
+    href = F.trim(_unescaped(href))
+    own, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)", 1)
+    at = F.concat(scheme, F.lit("://"), host)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    far = F.concat(F.regexp_extract(own, r"^(//[^/]*)", 1), _plain(F.concat(F.lit("/"), F.regexp_extract(own, r"^//[^/]*/?(.*)", 1))), rest)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.startswith("/"), F.concat(F.lit("http://"), host, href))
-        .otherwise(F.concat(F.lit("http://"), host, F.when(folder == "", "/").otherwise(folder), href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), far))
+        .when(href.startswith("/"), F.concat(at, _plain(own), rest))
+        .when(own == "", F.concat(at, path, F.when(rest.startswith("?"), rest).otherwise(F.concat(query, rest))))
+        .otherwise(F.concat(at, _plain(F.concat(folder, own)), rest))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirect: str | None = None) -> DataFrame:
     """(a, b) address keys: each page and where its canonical link, its refresh or its redirect column leads."""
     text, at = F.col(html), F.col(url)
-    link = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+    rel = r"""(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
+    link = r"(?is)<link\b(?=[^>]*\brel\s*=\s*" + rel + r""")[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
     move = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*([^"'\s>]+)"""
     small = F.lower(text)
     targets = [
@@ -101,9 +128,10 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html", redirect
         targets.append(F.col(redirect))
     links = pages.select(at.alias("u"), F.explode(F.filter(F.array(*targets), lambda x: F.length(F.trim(x)) > 0)).alias("href"))
     links = cut(links, "alias-links")  # few; so that the scan of the pages carries no more than this
-    links = links.withColumns({"host": host_of(F.col("u")), "folder": F.regexp_replace(path_of(F.col("u")), r"[^/]*$", "")}).where("host <> ''")
-    links = links.select("u", _resolve(F.col("href"), F.col("host"), F.col("folder")).alias("to"))
-    return cut(links.select(_key(F.col("u")).alias("a"), _key(F.col("to")).alias("b")).distinct(), "alias-edges")
+    u = F.col("u")
+    links = links.withColumns({"host": host_of(u), "path": path_of(u), "scheme": F.substring_index(u, "://", 1), "query": F.regexp_extract(_after(u), r"^[^?#]*(\?[^#]*)", 1)}).where("host <> ''")
+    links = links.select("u", _resolve(*(F.col(c) for c in ("href", "scheme", "host", "path", "query"))).alias("to"))
+    return cut(links.select(_key(F.col("u")).alias("a"), _key(F.col("to")).alias("b")).where("b IS NOT NULL").distinct(), "alias-edges")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str | None = "html", redirect: str | None = None) -> DataFrame:
@@ -116,6 +144,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
     Null or relative urls have no host and match nothing.  Repeated rows are each judged; null or
     very long html only lacks or delays links; an empty table gives an empty result.  Columns of
     ``pages`` stay, except those that start with an underscore and clash with the new names.
+    Addresses are resolved against the page's own; a link that names no host leads nowhere.
     """
     pages = pages.drop("_host", "_path", "_rule", "_verdict", "_via", "_key")
     judged = match_rules(pages, rules, url)
@@ -124,19 +153,23 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
         blocked = None
     else:
         source = pages if html is not None else pages.withColumn("_html", F.lit(None).cast("string"))
-        edges = alias_edges(source, url, html or "_html", redirect)
-        blocked = None
-        if not edges.isEmpty():
-            comps = cut(components(edges, "aliases"), "alias-components")
-            bad = judged.where(own == "block").select(_key(F.col(url)).alias("node")).where("node IS NOT NULL").distinct()
-            # links also name addresses that are no page of the table; rules hold for them too
-            named = match_rules(comps.select("node", F.concat(F.lit("http://"), F.col("node")).alias("u")), rules, "u").where(own == "block").select("node")
-            hit = comps.join(bad.unionByName(named).distinct(), "node", "left_semi").select("component").distinct()
-            blocked = comps.join(hit, "component", "left_semi").select(F.col("node").alias("_key"), F.lit(True).alias("_alias"))
+        with temporary() as made:
+            edges = alias_edges(source, url, html or "_html", redirect)
+            blocked = None
+            if not edges.isEmpty():
+                comps = cut(components(edges, "aliases"), "alias-components")
+                bad = judged.where(own == "block").select(_key(F.col(url)).alias("node")).where("node IS NOT NULL").distinct()
+                # links also name addresses that are no page of the table; rules hold for them too
+                named = match_rules(comps.select("node", F.concat(F.lit("http://"), F.col("node")).alias("u")), rules, "u").where(own == "block").select("node")
+                hit = comps.join(bad.unionByName(named).distinct(), "node", "left_semi").select("component").distinct()
+                blocked = comps.join(hit, "component", "left_semi").select(F.col("node").alias("_key"), F.lit(True).alias("_alias"))
+            made.keep("alias-components")
     if blocked is None:
         judged = judged.withColumn("_alias", F.lit(None).cast("boolean"))
     else:
-        judged = judged.withColumn("_key", _key(F.col(url))).join(blocked, "_key", "left")
+        # addresses without a host get keys of their own, so that they don't all meet in one task
+        none = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+        judged = judged.withColumn("_key", F.coalesce(_key(F.col(url)), none)).join(blocked, "_key", "left")
     verdict = F.coalesce(own, F.when(F.col("_alias"), "block"), F.lit("allow"))
     via = F.when(own.isNotNull(), "rule").when(F.col("_alias"), "alias").otherwise("default")
     return judged.withColumns({"_verdict": verdict, "_via": via}).withColumn("_rule", F.col("_rule.rule")).drop("_key", "_alias")

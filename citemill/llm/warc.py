@@ -44,7 +44,8 @@ def _marked(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 | ids.is_null().to_numpy(zero_copy_only=False)
 
 
-def _record(page: int | None, url: str | None, payload: bytes, digest: str, size: int, refers: int | None) -> bytes:
+def _record(page: int | None, url: str | None, payload: bytes, refers: int | None) -> bytes:
+    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     name = lambda p: f"<urn:page:{'none' if p is None else p}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = [f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {DATE}"]
@@ -66,61 +67,65 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
 
     Pages that repeat no payload are written where they are read: a bitmap of a bounded size, of the
     hashes of the others' ids, tells them apart.  The others, and those that share a bit with one, move
-    once, compressed, to meet what they refer to.
+    once, compressed, to meet what they refer to.  Payloads of any length are written whole; repeated
+    rows have records with one id, rows without an id records named none; other columns are not read.
     """
     folder = storage.fresh(pages.sparkSession, "warc")
-    body = F.coalesce(F.col("t"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).alias("u"), F.col(payload).alias("t"))
-    rows = rows.withColumns({"_digest": F.sha1(body), "_bytes": F.octet_length(body).cast("long")})
-    again = _again(rows.where(F.col("_bytes") >= least_bytes).select(F.col("p").alias("_p"), "_digest", "_bytes"))
-    bitmap = _bitmap(again)
-
-    def put(records):
-        name, out = f"{uuid.uuid4().hex}.warc", None
-        for record in records:
-            out = out or storage.open_write(f"{folder}/{name}")
-            out.write(_record(*record))
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name]})
-
-    def write_first(batches):
-        def records():
+    body = F.coalesce(F.col("t"), F.lit("")).cast("binary")
+    with storage.temporary():
+        large = rows.where(F.octet_length(body) >= least_bytes).select(F.col("p").alias("_p"), F.sha1(body).alias("_digest"), F.octet_length(body).cast("long").alias("_bytes"))
+        again = _again(storage.cut(large, "warc-digests"))
+        bitmap = _bitmap(again)
+
+        def put(records):
+            name, out = f"{uuid.uuid4().hex}.warc", None
+            for record in records:
+                out = out or storage.open_write(f"{folder}/{name}")
+                out.write(_record(*record))
+            if out:
+                out.close()
+                yield pa.RecordBatch.from_pydict({"file": [name]})
+
+        def write_first(batches):
+            def records():
+                for batch in batches:
+                    for i in np.flatnonzero(_marked(batch.column("p"), bitmap) == 0).tolist():
+                        p, u, t = (batch.column(c)[i].as_py() for c in ("p", "u", "t"))
+                        yield p, u, (t or "").encode(), None
+
+            yield from put(records())
+
+        def squeeze(batches):
+            import zstandard
+
+            pack = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                for i in np.flatnonzero(_marked(batch.column("p"), bitmap) == 0).tolist():
-                    p, u, t, digest, size = (batch.column(c)[i].as_py() for c in ("p", "u", "t", "_digest", "_bytes"))
-                    yield p, u, (t or "").encode(), digest, size, None
+                some = batch.filter(pa.array(_marked(batch.column("p"), bitmap) != 0))
+                if some.num_rows:
+                    bodies = [(t.as_py() or "").encode() for t in some.column("t")]
+                    digests, sizes = [hashlib.sha1(x).hexdigest() for x in bodies], [len(x) for x in bodies]
+                    packed = pa.array([pack.compress(x) for x in bodies], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column("p"), some.column("u"), pa.array(digests), pa.array(sizes, pa.int64()), packed], names=["p", "u", "d", "b", "packed"])
 
-        yield from put(records())
+        def write_rest(batches):
+            import zstandard
 
-    def squeeze(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            some = batch.filter(pa.array(_marked(batch.column("p"), bitmap) != 0))
-            if some.num_rows:
-                packed = [pack.compress((t.as_py() or "").encode()) for t in some.column("t")]
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("p", "u", "_digest", "_bytes")), pa.array(packed, pa.binary())], names=["p", "u", "_digest", "_bytes", "_packed"])
+            unpack = zstandard.ZstdDecompressor()
 
-    def write_rest(batches):
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor()
-
-        def records():
-            for batch in batches:
-                cols = [batch.column(c) for c in ("p", "u", "_packed", "d", "b", "_refers")]
-                for i in range(batch.num_rows):
-                    p, u, packed, digest, size, refers = (c[i].as_py() for c in cols)
-                    yield p, u, unpack.decompress(packed), digest, size, refers
+            def records():
+                for batch in batches:
+                    cols = [batch.column(c) for c in ("p", "u", "packed", "_refers")]
+                    for i in range(batch.num_rows):
+                        p, u, packed, refers = (c[i].as_py() for c in cols)
+                        yield p, u, unpack.decompress(packed), refers
 
-        yield from put(records())
+            yield from put(records())
 
-    some = rows.mapInArrow(squeeze, "p long, u string, _digest string, _bytes long, _packed binary").withColumnsRenamed({"_digest": "d", "_bytes": "b"})
-    match = F.col("p").eqNullSafe(F.col("_p")) & (F.col("d") == F.col("_digest")) & (F.col("b") == F.col("_bytes"))
-    rest = some.join(again, match, "left").mapInArrow(write_rest, "file string")
-    return folder, sorted(r.file for r in rows.mapInArrow(write_first, "file string").unionByName(rest).collect())
+        some = rows.mapInArrow(squeeze, "p long, u string, d string, b long, packed binary")
+        match = F.col("p").eqNullSafe(F.col("_p")) & (F.col("d") == F.col("_digest")) & (F.col("b") == F.col("_bytes"))
+        rest = some.join(again, match, "left").mapInArrow(write_rest, "file string")
+        return folder, sorted(r.file for r in rows.mapInArrow(write_first, "file string").unionByName(rest).collect())
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
@@ -224,7 +229,9 @@ def read_warc(spark: SparkSession, folder: str, files: list[str], block_bytes: i
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, file string, at long"
     if not files:
         return spark.createDataFrame([], schema)
-    entries = reachable(candidate_links(spark, folder, files, block_bytes), len(files))
+    with storage.temporary() as made:
+        entries = storage.cut(reachable(candidate_links(spark, folder, files, block_bytes), len(files)), "warc-entries")
+        made.keep("warc-entries")
 
     def number(text: str) -> int | None:
         m = _ID.fullmatch(text)

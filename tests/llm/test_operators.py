@@ -194,7 +194,7 @@ def test_warc_round_trip(spark):
 
 def test_warc_that_breaks_off(spark):
     folder = storage.fresh(spark, "test")
-    storage.write_bytes(f"{folder}/x.warc", warc._record(1, "u", b"abc", "d", 3, None)[:-5])
+    storage.write_bytes(f"{folder}/x.warc", warc._record(1, "u", b"abc", None)[:-5])
     with pytest.raises(ValueError):
         warc.reachable(warc.candidate_links(spark, folder, ["x.warc"]), 1)
 
@@ -421,3 +421,99 @@ def test_bounds_hold_and_save_reads(tmp_path):
     got = file.search(q, np.full(20, -1), 5)
     want = [(i, int(j), int((q @ x.T)[i, j])) for i in range(20) for j in np.lexsort((np.arange(4000), -(q @ x.T)[i]))[:5]]
     assert got == want and file.read < 20 * 60
+
+
+def test_links_resolve(spark):
+    base = "https://Host.org/a/b/c.html?q=1#f"
+    want = {
+        "g": "host.org/a/b/g", "./g": "host.org/a/b/g", "g/": "host.org/a/b/g/", "/g": "host.org/g", "//h.net": "h.net/", "?y": "host.org/a/b/c.html?y", "g?y=./x": "host.org/a/b/g?y=./x", "#s": "host.org/a/b/c.html?q=1",
+        "../g": "host.org/a/g", "../../g": "host.org/g", "../../../g": "host.org/g", "..": "host.org/a/", ".": "host.org/a/b/", "/./g/../h": "host.org/h", "x&amp;y": "host.org/a/b/x&y", "?a=1&amp;amp;b": "host.org/a/b/c.html?a=1&amp;b",
+        "//h.net/x/../y": "h.net/y", "HTTP://X.org/p": "x.org/p", "mailto:a@b": None, "javascript:go()": None,
+    }
+    df = spark.createDataFrame([(h, base) for h in want], "h string, u string")
+    parts = [F.substring_index("u", "://", 1), urlfilter.host_of(F.col("u")), urlfilter.path_of(F.col("u")), F.lit("?q=1")]
+    assert {r.h: r.k for r in df.select("h", urlfilter._key(urlfilter._resolve(F.col("h"), *parts)).alias("k")).collect()} == want
+    bare = spark.createDataFrame([("g", "http://h.org")], "h string, u string").select(urlfilter._key(urlfilter._resolve(F.col("h"), F.lit("http"), F.lit("h.org"), F.lit(""), F.lit(""))))
+    assert bare.first()[0] == "h.org/g"
+
+
+def test_blocks_reach_aliases_over_thousands_of_pages(spark):
+    """Canonical links in many spellings and refreshes, against a recursive SQL closure of the links that were meant."""
+    import duckdb
+
+    rng = random.Random(12)
+    spell = [
+        lambda p: f'<link rel="canonical" href="http://s.org/p/{p}">', lambda p: f"<LINK href='/p/{p}' rel='nofollow canonical x'>", lambda p: f'<link rel=canonical href={p}>', lambda p: f'<link rel="canonical" href="./x/../{p}#top">',
+        lambda p: f'<meta http-equiv="refresh" content="0; url=//s.org/p/{p}">', lambda p: f"<meta content='5;URL=../p/{p}' http-equiv=refresh>",
+    ]
+    other = ['<link rel="canonicals" href="/p/1">', '<link rel="next" href="/p/2">', '<meta name="refresh" content="0; url=/p/3">', "", None]
+    rows, links = [], []
+    for i in range(4000):
+        to = rng.randrange(4000) if rng.random() < 0.55 else None
+        html = rng.choice(other) if to is None else "<head>" + rng.choice(spell)(to) + "x" * rng.randrange(60)
+        rows.append((i, f"http://{rng.choice(['s.org', 'S.ORG'])}/p/{i}" + rng.choice(["", "#a"]), html, "theirs"))
+        if to is not None:
+            links.append((i, to))
+    rules = [("s.org", "/p/39", "block"), ("s.org", "/p/12", "allow")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _via string").repartition(6)
+    got = {r.page_id: (r._verdict, r._via) for r in urlfilter.judge_urls(df, rules).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e (a BIGINT, b BIGINT)")
+    con.executemany("INSERT INTO e VALUES (?, ?)", links)
+    reached = {r[0] for r in con.execute("""WITH RECURSIVE n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      r(i) AS (SELECT range FROM range(4000) WHERE starts_with(CAST(range AS VARCHAR), '39') UNION SELECT n.b FROM r JOIN n ON n.a = r.i) SELECT i FROM r""").fetchall()}
+    rule = lambda i: "block" if str(i).startswith("39") else "allow" if str(i).startswith("12") else None
+    assert got == {i: (rule(i), "rule") if rule(i) else ("block", "alias") if i in reached else ("allow", "default") for i in range(4000)}
+    assert urlfilter.judge_urls(df.where("false"), rules).count() == 0
+
+
+def test_token_files_of_odd_rows(spark):
+    rows = [(None, "no id"), (None, None), (-(1 << 63), "least id"), (5, "five"), (5, "five"), (5, "other five"), (0, "")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, start int").repartition(3)
+    folder, shards = tokenfiles.write_token_files(df, BYTES, 0)
+    got = tokenfiles.read_token_files(spark, shards).orderBy("start").collect()
+    lib = tokens.encoder(BYTES).lib
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), 0, 5, 5, 5]
+    crc = lambda t: zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in got) == sorted((str(i), crc(t)) for i, t in rows)
+    shard = tokenfiles.ShardReader(f"{folder}/{got[0].shard}")
+    assert len(shard.find(None)) == 2
+
+
+def test_token_counts_of_odd_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, ""), (3, None)]
+    df = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_tokens int")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in separators.token_counts(df, BYTES, 70000).collect()) == [("1", 3), ("1", 3), ("2", 1), ("3", 1), ("None", 2)]
+    assert separators.token_counts(df.where("false"), BYTES, 65535).count() == 0
+
+
+def test_warc_of_odd_rows(spark):
+    long = "y" * 3_000_000
+    rows = [(1, "u", long), (1, "u", long), (2, "u", long), (None, "v", "s"), (None, "v", None)]
+    df = spark.createDataFrame([(i, u, t, "mine") for i, u, t in rows], "page_id long, url string, html string, payload string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, *warc.write_warc(df)).collect()), key=str)
+    assert got == sorted([(1, "revisit", 2, 3_000_000), (1, "revisit", 2, 3_000_000), (2, "response", None, 3_000_000), (None, "response", None, 1), (None, "response", None, 0)], key=str)
+
+
+def test_packing_of_odd_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "c d e"), (2, None), (3, "x y z " * 9000)]
+    df = spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, offset int")
+    got = packing.pack(df, WORDS, 2).collect()
+    lib = tokens.encoder(WORDS).lib
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(len(lib.encode(t or "", add_special_tokens=False).ids) + 1)
+    seen = {}
+    for r in got:
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
+    assert seen == {i: sum(v) for i, v in want.items()}
+    assert sum(r.length for r in got) <= 4096 * len({r.sequence_id for r in got}) < sum(r.length for r in got) + 4096
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, "A good text. It has sentences."), (1, "A good text. It has sentences."), (2, None), (3, ""), (None, "x " * 50000)]
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, _score double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0)], "doc_id long, quality int")
+    out = quality.score(df, quality.train(df, labels)).collect()
+    assert len(out) == 5 and out[0]._score == out[1]._score and out[2]._score == out[3]._score and all(0 <= r._score <= 1 for r in out)
+    assert quality.score(df.where("false"), quality.train(df.where("false"), labels)).count() == 0
