@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citemill.llm import decontam, linededup, minhash, packing, quality, separators, tokenfiles, urlfilter, vafile, warc
+from citemill.llm import decontam, linededup, minhash, packing, quality, separators, storage, tokenfiles, urlfilter, vafile, warc
 
 RULES = [
     ("com", "/", "allow"),
@@ -17,7 +17,6 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 LEAST_SCORE = 0.3
-ARROW_ROWS = 1000
 
 
 def _tokenizer(name: str) -> str:
@@ -27,8 +26,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # texts can be long, so fewer of them in a batch than Spark would take
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    storage.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -70,6 +70,19 @@ def fresh(spark: SparkSession, name: str) -> str:
     return uri
 
 
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long, so Arrow batches get ARROW_ROWS rows at most from here on; a smaller setting of the session stays.
+
+    Plans read the setting when they run, after the function that made them has returned, so it can't be put back there.
+    """
+    rows = int(spark.conf.get(ARROW_KEY))
+    if rows <= 0 or rows > ARROW_ROWS:
+        spark.conf.set(ARROW_KEY, ARROW_ROWS)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
     uri = fresh(df.sparkSession, name)
