@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions.text import journal_name
+from citemill.operators.ordered import running
 
 FLOOR = 3  # a work counts as cited from here on, whatever smaller floor is asked for
 MIN_TREND_YEARS, MIN_TREND_COUNT = 3, 5
@@ -16,10 +17,9 @@ def cited_works(refs: DataFrame, least: int, share: float) -> DataFrame:
     counted = refs.groupBy("ref").agg(F.count("*").alias("n"), F.countDistinct("author").alias("citers")).where(F.col("n") >= max(least, FLOOR))
     total = counted.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("top"))
     # the rank is a count of those before it, by value first, so no window has to hold all works
-    by_n = counted.groupBy("n").agg(F.count("*").alias("k"))
-    above = by_n.alias("x").join(F.broadcast(by_n.alias("y")), F.col("y.n") > F.col("x.n"), "left").groupBy(F.col("x.n").alias("n")).agg(F.coalesce(F.sum("y.k"), F.lit(0)).alias("above"))
+    above = running(counted.groupBy("n").agg(F.count("*").alias("k")), -F.col("n"), {"above": "k"}).select("n", "above")
     in_value = F.row_number().over(Window.partitionBy("n").orderBy("ref"))
-    kept = counted.join(F.broadcast(above), "n").withColumn("rank", F.col("above") + in_value).crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top"))
+    kept = counted.join(above, "n").withColumn("rank", F.col("above") + in_value).crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top"))
     return kept.select("ref", "n", "citers").orderBy(F.desc("citers"), F.desc("n"), "ref")
 
 

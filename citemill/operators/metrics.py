@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citemill.operators.ordered import running
+
 
 def per_class(rows: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:
     """(label, tp, precision, recall, f1); a measure without cases is 0."""
@@ -29,19 +31,17 @@ def summary(rows: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFr
 
 
 def by_score(rows: DataFrame, score: str, y: str) -> DataFrame:
-    """(score, n, p, above_n, above_p): distinct scores with counts and what lies above them; windows run over scores, not rows."""
+    """(score, n, p, above_n, above_p): distinct scores with counts and what lies above them."""
     per = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
-    up = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumns({"above_n": F.coalesce(F.sum("n").over(up), F.lit(0)), "above_p": F.coalesce(F.sum("p").over(up), F.lit(0))})
+    return running(per, -F.col(score), {"above_n": "n", "above_p": "p"})
 
 
 def ranked(rows: DataFrame, score: str, key: str) -> DataFrame:
     """``rows`` with r, the place by score, ties by key: places before a score from counts, the rest inside equal scores."""
-    per = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = running(rows.groupBy(score).agg(F.count("*").alias("_n")), -F.col(score), {"_a": "_n"})
     inside = F.row_number().over(Window.partitionBy(score).orderBy(key))
     total = rows.agg(F.count("*").alias("total"))
-    return rows.join(per.withColumn("_a", above), score).withColumn("r", F.col("_a") + inside).drop("_a", "_n").crossJoin(F.broadcast(total))
+    return rows.join(per, score).withColumn("r", F.col("_a") + inside).drop("_a", "_n").crossJoin(F.broadcast(total))
 
 
 def top_precision(rows: DataFrame, score: str, key: str, y: str, share: float) -> DataFrame:
@@ -62,8 +62,7 @@ def auc(rows: DataFrame, score: str, y: str, group: str | None = None) -> DataFr
     """(auc, n, pos): chance that a positive scores higher than a negative, ties counting half."""
     keys = [group] if group else []
     per = rows.groupBy(*keys, score).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("q"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = per.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    run = running(per, F.col(score), {"below": "q"}, keys)
     g = run.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)).alias("u"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
     return g.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"), (F.col("pos") + F.col("neg")).alias("n"), "pos")
 
@@ -103,23 +102,57 @@ def grid_search(rows: DataFrame, score: str, gold: str, classes: tuple[str, str,
     return g.withColumn("macro_f1", F.round(f1, 6)).orderBy(F.desc("macro_f1"), "low", "high").limit(1).select("low", "high", "macro_f1")
 
 
-def folds(key: Column, k: int = 5) -> Column:
-    """A fold for each row by a hash of its key; stratified where the label is part of the hash's seed."""
-    return F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: Column | int = 42) -> DataFrame:
+    """``rows`` with fold, 0 to ``k`` - 1: the rows of each label, in an order shuffled by ``seed``, are dealt out in turn.
 
+    So every fold has its share of every label, give or take one row; the order is that of a digest of seed and key.
+    """
+    shuffled = rows.withColumn("_seed", F.lit(seed) if isinstance(seed, int) else seed)
+    digest = F.md5(F.concat_ws(":", F.col("_seed").cast("string"), F.col(key).cast("string")).cast("binary"))
+    shuffled = shuffled.withColumns({"_h": F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), "_one": F.lit(1)})
+    placed = running(shuffled, F.col("_h"), {"_r": "_one"}, ["_seed", label])
+    return placed.withColumn("fold", F.pmod("_r", F.lit(k)).cast("int")).drop("_seed", "_h", "_one", "_r")
 
-def group_auc(rows: DataFrame, group: str, score: str, y: str, least: int, positives: int) -> DataFrame:
-    """Size-weighted mean of the AUC inside groups that are large enough."""
-    return auc(rows, score, y, group).where((F.col("n") >= least) & (F.col("pos") >= positives) & F.col("auc").isNotNull()).agg((F.sum(F.col("auc") * F.col("n")) / F.sum("n")).alias("auc"), F.count("*").alias("groups"))
+
+def out_of_fold_prior(rows: DataFrame, group: str, y: str, strength: float = 5.0, by: list[str] | None = None) -> DataFrame:
+    """``rows``, which have fold, with oof: the rate of ``y`` in a row's group outside its fold, drawn towards the global rate there.
+
+    A group that is in no other fold takes the global rate.  What a fold's rows are scored by comes from sums
+    by group and fold, so the model is refitted for each fold without any row being read twice.  ``by`` names
+    columns, such as a seed, whose values are runs of their own.
+    """
+    by = by or []
+    cells = rows.groupBy(*by, group, "fold").agg(F.sum(y).alias("_y"), F.count("*").alias("_n"))
+    over = lambda *c: Window.partitionBy(*by, *c)  # noqa: E731  (cells are folds times groups)
+    total = cells.select(*by, group, "fold", *[(F.sum(c).over(over(group)) - F.col(c)).alias(f"{c}_g") for c in ("_y", "_n")])
+    folds_ = cells.groupBy(*by, "fold").agg(F.sum("_y").alias("_y"), F.sum("_n").alias("_n"))
+    folds_ = folds_.select(*by, "fold", ((F.sum("_y").over(over()) - F.col("_y")) / (F.sum("_n").over(over()) - F.col("_n"))).alias("_rate"))
+    prior = total.join(folds_, [*by, "fold"]).select(*by, group, "fold", ((F.col("_y_g") + strength * F.col("_rate")) / (F.col("_n_g") + strength)).alias("oof"))
+    return rows.join(prior, [*by, group, "fold"])
 
 
-def per_group(rows: DataFrame, group: str, fit: Callable[[pd.DataFrame], float], least: int) -> DataFrame:
-    """(group, value) of a function of each group's rows, for measures without a form in columns."""
+def stability(rows: DataFrame, value: str, sample: bool = False) -> DataFrame:
+    """(mean, std, low, high) of a measure over repeated runs: the population's deviation, or the sample's."""
+    std = F.stddev_samp(value) if sample else F.stddev_pop(value)
+    return rows.agg(F.avg(value).alias("mean"), std.alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grp": [key[0]], "value": [fit(pdf) if len(pdf) >= least else None]})
 
-    return rows.groupBy(group).applyInPandas(run, "grp string, value double")
+def seed_stability(rows: DataFrame, key: str, group: str, y: str, seeds: int = 20, k: int = 5) -> DataFrame:
+    """(mean, std, low, high) of the AUC of out-of-fold group rates, the folds dealt out anew for each of ``seeds`` seeds."""
+    many = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    scored = out_of_fold_prior(folds(many, key, y, k, F.col("seed")), group, y, by=["seed"]).withColumn("oof", F.round("oof", 12))
+    return stability(auc(scored, "oof", y, "seed"), "auc")
+
+
+def repeat_noise(runs: DataFrame, run: str, verdict: str, gold: str, drop: str) -> DataFrame:
+    """(mean, std, low, high) over repeated runs of the share of cases where a run drops what the gold verdict drops and keeps what it keeps."""
+    same = (F.col(verdict) == drop) == (F.col(gold) == drop)
+    return stability(runs.groupBy(run).agg(F.avg(same.cast("int")).alias("agreement")), "agreement", sample=True)
+
+
+def group_auc(rows: DataFrame, group: str, score: str, y: str, least: int, positives: int) -> DataFrame:
+    """Size-weighted mean of the AUC inside groups that are large enough."""
+    return auc(rows, score, y, group).where((F.col("n") >= least) & (F.col("pos") >= positives) & F.col("auc").isNotNull()).agg((F.sum(F.col("auc") * F.col("n")) / F.sum("n")).alias("auc"), F.count("*").alias("groups"))
 
 
 def majority_baseline(rows: DataFrame, gold: str, classes: list[str]) -> DataFrame:
@@ -128,8 +161,8 @@ def majority_baseline(rows: DataFrame, gold: str, classes: list[str]) -> DataFra
     return top.select("label", F.round(2.0 * F.col("k") / (F.col("k") + F.col("t")) / len(classes), 6).alias("macro_f1"))
 
 
-def random_baseline(rows: DataFrame, gold: str, classes: list[str], trials: int, seed: int) -> DataFrame:
-    """Mean macro-F1 of labels drawn by class frequency, over trials; drawn from class counts, so rows don't matter."""
+def random_baseline(rows: DataFrame, gold: str, classes: list[str], trials: int, seed: int, uniform: bool = False) -> DataFrame:
+    """Mean macro-F1, over trials, of labels drawn by class frequency, or all alike; drawn from class counts, so the number of rows doesn't matter."""
     counts = rows.groupBy(gold).agg(F.count("*").alias("n")).agg(F.collect_list(F.struct(gold, "n")).alias("c"))  # a row of a few classes
     spread = counts.crossJoin(rows.sparkSession.range(trials))
 
@@ -142,7 +175,8 @@ def random_baseline(rows: DataFrame, gold: str, classes: list[str], trials: int,
                 have = {x[gold]: int(x["n"]) for x in c}
                 n = np.array([have.get(k, 0) for k in classes])
                 rng = np.random.default_rng(seed + int(trial))
-                hits = np.stack([rng.multinomial(v, n / n.sum()) for v in n])
+                chance = np.full(len(n), 1 / len(n)) if uniform else n / n.sum()
+                hits = np.stack([rng.multinomial(v, chance) for v in n])
                 both = hits.sum(0) + n
                 out.append(float(np.mean(np.divide(2 * np.diag(hits), both, out=np.zeros(len(n)), where=both > 0))))
             yield pd.DataFrame({"f1": out})

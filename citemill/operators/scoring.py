@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from citemill.operators.ordered import running
+
 # fixed values: thresholds of the coupling scores
 OWN_WEAK, OWN_STRONG, BLIND_WEAK, BLIND_STRONG = 0.6, 1.5, 3.0, 8.0
 EPS = 1e-9
@@ -165,8 +167,7 @@ def loss_threshold(rows: DataFrame, score: str, y: str, allowed: float) -> DataF
     """(threshold): the highest score below which at most ``allowed`` of the positives lie; running sums over distinct scores."""
     per = rows.groupBy(score).agg(F.sum(y).alias("p"))
     total = per.agg(F.sum("p").alias("t"))
-    below = F.coalesce(F.sum("p").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("b", below).crossJoin(F.broadcast(total)).where(F.col("b") <= allowed * F.col("t")).agg(F.max(score).alias("threshold"))
+    return running(per, F.col(score), {"b": "p"}).crossJoin(F.broadcast(total)).where(F.col("b") <= allowed * F.col("t")).agg(F.max(score).alias("threshold"))
 
 
 def priority(own: Column, blind: Column, indicator_: Column, verdict: Column) -> Column:
@@ -176,8 +177,7 @@ def priority(own: Column, blind: Column, indicator_: Column, verdict: Column) ->
 def three_zones(rows: DataFrame, score: str, y: str, precision: float = 0.8, least: int = 3) -> DataFrame:
     """(drop_below, keep_from): below all positives, and the lowest score from which precision holds up over ``least`` rows or more."""
     per = rows.groupBy(score).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    up = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.withColumns({"rp": F.sum("p").over(up), "rn": F.sum("n").over(up)})
+    run = running(per, -F.col(score), {"ap": "p", "an": "n"}).withColumns({"rp": F.col("ap") + F.col("p"), "rn": F.col("an") + F.col("n")})
     return run.agg(F.min(F.when(F.col("p") > 0, F.col(score))).alias("drop_below"), F.min(F.when((F.col("rn") >= least) & (F.col("rp") / F.col("rn") >= precision), F.col(score))).alias("keep_from"))
 
 
@@ -197,9 +197,8 @@ def verbatim_share(quote: Column, text: Column, least: int = 12) -> Column:
 def percentile_rank(rows: DataFrame, score: str) -> DataFrame:
     """``rows`` with pct, the share of rows of a strictly smaller score; ranks come from counts by score."""
     per = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = per.agg(F.sum("_n").alias("_t"))
-    table = per.withColumn("_b", below).crossJoin(F.broadcast(total)).select(score, (F.col("_b") / F.col("_t")).alias("pct"))
+    table = running(per, F.col(score), {"_b": "_n"}).crossJoin(F.broadcast(total)).select(score, (F.col("_b") / F.col("_t")).alias("pct"))
     return rows.join(table, score)
 
 

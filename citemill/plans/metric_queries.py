@@ -65,9 +65,15 @@ def h08(s: SparkSession, d: str) -> DataFrame:
     return X(s, d).where("gold = 'lesenswert' AND pred <> 'lesenswert'").agg(F.count("*").alias("missed"), R6(F.avg((F.col("t") >= 0.5).cast("int")), "recovered"))
 
 
-@query("h09_folds")
+_DIGEST = "CAST(('0x' || substr(md5({seed} || ':' || id), 1, 13)) AS BIGINT)"
+_FOLDS = "f AS (SELECT *, CAST((row_number() OVER (PARTITION BY {by}y ORDER BY {digest}) - 1) % 5 AS INT) AS fold FROM {rows})"
+_OOF = """c AS (SELECT {by}grp, fold, sum(y) AS sy, count(*) AS n FROM f GROUP BY ALL), g AS (SELECT {by}fold, (sum(sum(sy)) OVER ({over}) - sum(sy))::DOUBLE / (sum(sum(n)) OVER ({over}) - sum(n)) AS rate FROM c GROUP BY {by}fold),
+p AS (SELECT {by}grp, fold, (sum(sy) OVER (PARTITION BY {by}grp) - sy + 5 * rate) / (sum(n) OVER (PARTITION BY {by}grp) - n + 5) AS oof FROM c JOIN g USING ({by}fold)), o AS (SELECT f.*, oof FROM f JOIN p USING ({by}grp, fold))"""
+
+
+@query("h09_folds", f"WITH {V.SCORED}, {_FOLDS.format(by='', digest=_DIGEST.format(seed=42), rows='scored')}, {_OOF.format(by='', over='')} SELECT id, y, fold, round(oof, 6) AS oof FROM o")
 def h09(s: SparkSession, d: str) -> DataFrame:
-    return X(s, d).groupBy(M.folds(F.col("id")).alias("fold"), "y").agg(F.count("*").alias("n"))
+    return M.out_of_fold_prior(M.folds(X(s, d), "id", "y"), "grp", "y").select("id", "y", "fold", R6(F.col("oof"), "oof"))
 
 
 @query("h10_group_auc", f"""WITH {V.SCORED}, p AS (SELECT a.grp, sum(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*) AS auc FROM scored a JOIN scored b ON a.grp = b.grp AND a.y = 1 AND b.y = 0 GROUP BY 1), n AS (SELECT grp, count(*) AS n, sum(y) AS pos FROM scored GROUP BY 1)
@@ -76,10 +82,11 @@ def h10(s: SparkSession, d: str) -> DataFrame:
     return M.group_auc(X(s, d), "grp", "s", "y", 10, 5).select(R6(F.col("auc"), "auc"), "groups")
 
 
-@query("h11_seed_stability", f"WITH {V.SCORED}, a AS (SELECT id % 10 AS seed, avg(y) AS v FROM scored GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high FROM a")
+@query("h11_seed_stability", f"""WITH {V.SCORED}, m AS (SELECT *, unnest(range(20)) AS seed FROM scored), {_FOLDS.format(by='seed, ', digest=_DIGEST.format(seed='seed'), rows='m')}, {_OOF.format(by='seed, ', over='PARTITION BY seed')},
+k AS (SELECT seed, y, rank() OVER (PARTITION BY seed ORDER BY round(oof, 12)) + (count(*) OVER (PARTITION BY seed, round(oof, 12)) - 1) / 2.0::DOUBLE AS r FROM o), a AS (SELECT seed, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS v FROM k GROUP BY seed)
+SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high FROM a""")
 def h11(s: SparkSession, d: str) -> DataFrame:
-    a = X(s, d).groupBy(F.col("id") % 10).agg(F.avg("y").alias("v"))
-    return a.agg(R6(F.avg("v"), "mean"), R6(F.stddev_pop("v"), "std"), R6(F.min("v"), "low"), R6(F.max("v"), "high"))
+    return M.seed_stability(X(s, d), "id", "grp", "y").select(*[R6(F.col(c), c) for c in ("mean", "std", "low", "high")])
 
 
 @query("h12_error_overlap", f"WITH {V.SCORED}, o AS (SELECT gold = pred AS a_ok, (t >= 0.5) = (y = 1) AS b_ok FROM scored) SELECT a_ok, b_ok, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM scored), 6) AS share FROM o GROUP BY 1, 2")
@@ -108,14 +115,20 @@ def h15(s: SparkSession, d: str) -> DataFrame:
 
 @query("h15_random_baseline")
 def h15r(s: SparkSession, d: str) -> DataFrame:
-    return M.random_baseline(X(s, d), "gold", CLASSES, 2000, 42)
+    one = lambda name, uniform: M.random_baseline(X(s, d), "gold", CLASSES, 2000, 42, uniform).select(F.lit(name).alias("kind"), "macro_f1")
+    return one("by class frequency", False).unionByName(one("all classes alike", True))
+
+
+_RUNS = "u AS (SELECT run, id, gold, CASE WHEN (id * 7 + run * 13) % 10 = 0 THEN CASE pred WHEN 'ignorieren' THEN 'scannen' ELSE 'ignorieren' END ELSE pred END AS verdict FROM scored, (SELECT unnest(range(3)) AS run))"
 
 
-@query("h16_repeat_run_noise", f"WITH {V.SCORED}, a AS (SELECT id % 6 AS run, avg(CAST((pred <> 'ignorieren') = (gold <> 'ignorieren') AS INT)) AS v FROM scored GROUP BY 1) SELECT round(stddev_samp(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM a")
+@query("h16_repeat_run_noise", f"WITH {V.SCORED}, {_RUNS}, a AS (SELECT run, avg(CAST((verdict = 'ignorieren') = (gold = 'ignorieren') AS INT)) AS v FROM u GROUP BY 1) SELECT round(stddev_samp(v), 6) AS std, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM a")
 def h16(s: SparkSession, d: str) -> DataFrame:
-    same = (F.col("pred") != "ignorieren") == (F.col("gold") != "ignorieren")
-    a = X(s, d).groupBy(F.col("id") % 6).agg(F.avg(same.cast("int")).alias("v"))
-    return a.agg(R6(F.stddev_samp("v"), "std"), R6(F.min("v"), "low"), R6(F.max("v"), "high"), R6(F.avg("v"), "mean"))
+    # three runs that judge every case, each of them changing its mind about other ones
+    runs = X(s, d).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    other = F.when(F.col("pred") == "ignorieren", "scannen").otherwise("ignorieren")
+    runs = runs.withColumn("verdict", F.when((F.col("id") * 7 + F.col("run") * 13) % 10 == 0, other).otherwise(F.col("pred")))
+    return M.repeat_noise(runs, "run", "verdict", "gold", "ignorieren").select(*[R6(F.col(c), c) for c in ("std", "low", "high", "mean")])
 
 
 @query("h17_quota_sampling", f"WITH {V.SCORED}, r AS (SELECT grp, y, id, row_number() OVER (PARTITION BY grp, y ORDER BY id) AS r FROM scored) SELECT grp, y, id FROM r WHERE r <= 3")
