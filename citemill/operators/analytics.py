@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions.text import journal_name
 from citemill.operators.ordered import running
+from citemill.shared import scratch
 
 FLOOR = 3  # a work counts as cited from here on, whatever smaller floor is asked for
 MIN_TREND_YEARS, MIN_TREND_COUNT = 3, 5
@@ -60,8 +61,8 @@ def trajectories(rows: DataFrame, early: tuple[int, int], late: tuple[int, int],
     """
     when = F.when(F.col("year").between(*early), "e").when(F.col("year").between(*late), "l")
     rows = rows.withColumn("w", when).where("w IS NOT NULL").select("id", "journal", "topic", "w").distinct()
-    count = lambda w, c="id": F.countDistinct(F.when(F.col("w") == w, F.col(c)))
-    panel = rows.groupBy("journal").agg(count("e").alias("ne"), count("l").alias("nl")).where((F.col("ne") >= least_journal) & (F.col("nl") >= least_journal))
+    count = lambda w: F.count_if(F.col("w") == w)
+    panel = rows.select("id", "journal", "w").distinct().groupBy("journal").agg(count("e").alias("ne"), count("l").alias("nl")).where((F.col("ne") >= least_journal) & (F.col("nl") >= least_journal))
     size = panel.agg(F.count("*").alias("journals"), F.sum("ne").alias("te"), F.sum("nl").alias("tl"))
     cells = rows.join(panel, "journal").groupBy("topic", "journal", "ne", "nl").agg(count("e").alias("ke"), count("l").alias("kl"))
     # journals without a topic count as a change of nothing: their number divides the sum
@@ -70,23 +71,25 @@ def trajectories(rows: DataFrame, early: tuple[int, int], late: tuple[int, int],
     return out.select("topic", (F.col("s") / F.col("journals")).alias("within"), (F.col("kl") / F.col("tl") - F.col("ke") / F.col("te")).alias("pooled"))
 
 
-def sorted_index(c: Column, share: float) -> Column:
-    """The value at ``share`` of a sorted array, by rounding its place."""
-    a = F.array_sort(c)
-    return F.element_at(a, (F.round((F.size(a) - 1) * F.lit(share)) + 1).cast("int"))
+def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, size, ..): the values at the given shares of each group's sorted values, by rounding the place; from counts by value."""
+    per = rows.groupBy(group, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(group)
+    run = per.withColumns({"_upto": F.sum("_n").over(w.orderBy(value)), "size": F.sum("_n").over(w)})
+    at = lambda p: F.round((F.col("size") - 1) * F.lit(p))
+    return run.groupBy(group, "size").agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(n) for n, p in shares.items()])
 
 
 def community_profile(members: DataFrame, clusters: DataFrame, thematic: list[str], share: float = 0.25) -> DataFrame:
     """For each community: size, concentration on its largest journal, whether it joins two thematic clusters, median and quartiles of its years."""
     by_journal = members.groupBy("community", "journal").agg(F.count("*").alias("k"))
     top = by_journal.groupBy("community").agg(F.max_by("journal", F.struct("k", "journal")).alias("top_journal"), F.max("k").alias("top_n"))
-    size = members.groupBy("community").agg(F.count("*").alias("size"), F.collect_list("year").alias("ys"))
+    size = quantiles(members, "community", "year", {"median": 0.5, "q1": 0.25, "q3": 0.75})
     parts = by_journal.join(clusters, "journal").groupBy("community", "cluster").agg(F.sum("k").alias("k"))
     parts = parts.join(size.select("community", "size"), "community").where(F.col("cluster").isin(thematic) & (F.col("k") / F.col("size") >= share))
     cross = parts.groupBy("community").agg(F.countDistinct("cluster").alias("fields"))
     out = size.join(top, "community").join(cross, "community", "left")
-    q = lambda p: sorted_index(F.col("ys"), p)
-    return out.select("community", "size", "top_journal", F.round(F.col("top_n") / F.col("size"), 6).alias("concentration"), (F.coalesce("fields", F.lit(0)) >= 2).alias("cross_field"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    return out.select("community", "size", "top_journal", F.round(F.col("top_n") / F.col("size"), 6).alias("concentration"), (F.coalesce("fields", F.lit(0)) >= 2).alias("cross_field"), "median", "q1", "q3")
 
 
 def cross_cutting(rows: DataFrame, concept: str, cluster: str, score: str, least: float = 1.0, clusters: int = 3, total: float = 5.0) -> DataFrame:
@@ -113,16 +116,15 @@ def companions(tokens: DataFrame, motif: DataFrame, mates: DataFrame, share: flo
 
 
 def greedy_motifs(rows: DataFrame, limit: int = 4) -> list[str]:
-    """The best-scored motifs of which none is part of another chosen before; a report of a few lines, from the 200 best."""
-    chosen: list[set[str]] = []
-    out: list[str] = []
-    for r in rows.orderBy(F.desc("score"), "token").limit(200).collect():
-        words = {r.token, *([r.mate] if r.mate else [])}
-        if not any(words <= c or c <= words for c in chosen):
-            chosen.append(words)
-            out.append(" ".join(sorted(words)))
-        if len(out) == limit:
-            break
+    """The best-scored motifs of which none is part of another chosen before: each time the best of all rows that are still apart from the chosen ones."""
+    words = F.array_compact(F.array("token", "mate"))
+    folder = scratch(rows.sparkSession, "motifs")  # worked out once, then read again for each choice
+    rows.select("token", "score", words.alias("words")).write.parquet(folder)
+    left, out = rows.sparkSession.read.parquet(folder), []
+    while len(out) < limit and (best := left.orderBy(F.desc("score"), "token").first()):
+        out.append(" ".join(sorted(set(best.words))))
+        chosen = F.array(*map(F.lit, best.words))
+        left = left.where((F.size(F.array_except("words", chosen)) > 0) & (F.size(F.array_except(chosen, F.col("words"))) > 0))
     return out
 
 
@@ -152,9 +154,12 @@ def cache_hits(calls: DataFrame, critical: list[str], floor: float = 0.8, least:
 
 
 def topic_groups(topics: DataFrame, names: int = 8) -> DataFrame:
-    """(domain, field, subfield, weight, n, names): topics by their place in the hierarchy, at least 1 a topic."""
-    first = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), lambda x: x["name"]), 1, names), "; ")
-    return topics.groupBy("domain", "field", "subfield").agg(F.sum(F.greatest("score", F.lit(1.0))).alias("weight"), F.count("*").alias("n"), first.alias("names"))
+    """(domain, field, subfield, weight, n, names): topics by their place in the hierarchy, at least 1 a topic, and the names of the best."""
+    place = ["domain", "field", "subfield"]
+    total = topics.groupBy(*place).agg(F.sum(F.greatest("score", F.lit(1.0))).alias("weight"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("score"), "name"))
+    best = topics.withColumn("_r", rank).where(F.col("_r") <= names).groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("_r", "name"))).alias("b"))
+    return total.join(best, place).select(*place, "weight", "n", F.array_join(F.transform("b", lambda x: x["name"]), "; ").alias("names"))
 
 
 def inferred_signals(topics: DataFrame, needles: dict[str, list[str]]) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import difflib
+import re
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from citemill.operators.ordered import running
+from citemill.shared import scratch
 
 # fixed values: thresholds of the coupling scores
 OWN_WEAK, OWN_STRONG, BLIND_WEAK, BLIND_STRONG = 0.6, 1.5, 3.0, 8.0
@@ -98,19 +103,93 @@ def tfidf_similarity(rows: DataFrame, own: DataFrame, most: float = 0.95) -> Dat
     return rows.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def nearest(rows: DataFrame, own: DataFrame, k: int, skip_same: bool = True) -> DataFrame:
-    """(id, near, sim, rank): the ``k`` nearest of ``own`` by cosine, those of the same title passed over.
+ROWS_AT_ONCE, OWN_AT_ONCE = 512, 4096  # of a matrix of similarities
+
+
+def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    return x, np.sqrt((x * x).sum(1))
+
+
+def _by_blocks(rows: DataFrame, own: DataFrame, finish: Callable, schema: str, skip_same: bool, k: int, levels: tuple[float, ...] = ()) -> DataFrame:
+    """What ``finish`` makes of each row's similarities to all of ``own``: its best ``k`` (rounded, id), and their sum and counts from ``levels`` up.
 
-    ``own`` is a person's works or examples; it is split among the tasks of ``rows`` as they are, and each row's
-    best are ranked within the row, so nothing but (id, near, sim) is shuffled.
+    ``own`` is written once to the shared folder.  A task reads it block by block for each batch of its
+    rows and multiplies matrices, so neither side has to fit in memory, nothing is sent to all tasks and
+    no pair leaves the task.
     """
-    pairs = rows.crossJoin(F.broadcast(own)) if own.count() <= MOST_OWN else rows.crossJoin(own)
-    pairs = pairs.where(F.col("title") != F.col("near_title")) if skip_same else pairs
-    sims = pairs.select("id", "near", cosine(F.col("v"), F.col("u")).alias("sim"))
-    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("sim", 6)), "near"))).where(F.col("rank") <= k)
+    folder = scratch(rows.sparkSession, "own")
+    own.select("near", "u", "near_title").write.parquet(folder)
+
+    def run(batches):
+        from pyarrow import dataset, fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        files = dataset.dataset(path, filesystem=system, format="parquet")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, size = _unit_rows(batch.column("v"))
+            titles = np.array(batch.column("title").to_pylist(), object)
+            best = [[] for _ in range(len(x))]
+            total, count, above = np.zeros(len(x)), np.zeros(len(x), int), np.zeros((len(x), len(levels)), int)
+            for block in files.to_batches(batch_size=OWN_AT_ONCE):
+                if not block.num_rows:
+                    continue
+                u, norm = _unit_rows(block.column("u"))
+                ids, names = block.column("near").to_numpy(), np.array(block.column("near_title").to_pylist(), object)
+                for i in range(0, len(x), ROWS_AT_ONCE):
+                    part = slice(i, i + ROWS_AT_ONCE)
+                    sims = x[part] @ u.T / np.maximum(size[part, None] * norm[None, :], 1e-12)
+                    use = np.array([[a is not None and b is not None and a != b for b in names] for a in titles[part]]) if skip_same else np.ones(sims.shape, bool)
+                    total[part] += np.where(use, sims, 0).sum(1)
+                    count[part] += use.sum(1)
+                    for j, level in enumerate(levels):
+                        above[part, j] += (use & (sims >= level)).sum(1)
+                    near = np.where(use, np.round(sims, 6), -np.inf)
+                    kth = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+                    for r, c in zip(*np.nonzero(use & (near >= kth[:, None])), strict=True):
+                        best[i + r].append((-near[r, c], int(ids[c]), sims[r, c]))
+                best = [sorted(b)[:k] for b in best]
+            yield finish(batch.column("id"), best, total, count, above)
+
+    return rows.select("id", "v", "title").mapInArrow(run, schema)
+
+
+def nearest(rows: DataFrame, own: DataFrame, k: int, skip_same: bool = True) -> DataFrame:
+    """(id, near, sim, rank): the ``k`` nearest of ``own`` by cosine, ties to the smaller id, those of the same title passed over."""
+
+    def finish(ids, best, *_):
+        flat = [(i, n, s, r) for i, b in zip(ids.to_pylist(), best, strict=True) for r, (_, n, s) in enumerate(b, 1)]
+        cols = list(zip(*flat, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=["id", "near", "sim", "rank"])
+
+    return _by_blocks(rows, own, finish, "id long, near long, sim double, rank int", skip_same, k)
 
 
-MOST_OWN = 20_000  # vectors of one person's works that are sent to every task
+def similarity_features(rows: DataFrame, own: DataFrame, levels: tuple[float, ...] = (0.6, 0.7), top: int = 5) -> DataFrame:
+    """(id, top, mean, top_mean, above_..): largest and mean similarity to ``own``, mean of the ``top`` largest, and how many reach each level."""
+    names = [f"above_{round(100 * x)}" for x in levels]
+
+    def finish(ids, best, total, count, above):
+        first = [b[0][2] if b else None for b in best]
+        few = [sum(x[2] for x in b) / len(b) if b else None for b in best]
+        columns = [ids.cast(pa.int64()), pa.array(first, pa.float64()), pa.array(np.divide(total, count, out=np.zeros(len(total)), where=count > 0)), pa.array(few, pa.float64()), *(pa.array(above[:, j], pa.int64()) for j in range(len(levels)))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "top", "mean", "top_mean", *names])
+
+    return _by_blocks(rows, own, finish, "id long, top double, mean double, top_mean double, " + ", ".join(f"{n} long" for n in names), False, top, levels)
+
+
+def centroid_features(rows: DataFrame, vector: str, centroids: list[list[float]], high: float = 0.55) -> DataFrame:
+    """``rows`` with cosines to each centroid, the largest, its lead over the second, its number and how many reach ``high``.
+
+    The centroids of a k-means model are k short vectors, so they are literals of the plan.
+    """
+    cos = F.array(*[cosine(F.col(vector), F.array(*map(F.lit, c))) for c in centroids])
+    ordered = F.sort_array("cosines", asc=False)
+    out = rows.withColumn("cosines", cos)
+    spread = F.when(F.size("cosines") > 1, ordered[0] - ordered[1])
+    return out.withColumns({"nearest": ordered[0], "spread": spread, "cluster": F.array_position("cosines", ordered[0]).cast("int") - 1, "n_high": F.size(F.filter("cosines", lambda x: x >= high))})
 
 
 def eb_prior(rows: DataFrame, group: str, y: str, k: float = 5.0) -> DataFrame:
@@ -214,10 +293,15 @@ def label_similarity(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(ta, tb), inside, 0.55 * sequence_ratio(F.lower(a), F.lower(b)))
 
 
-def profile_fit(sources: DataFrame, profile: DataFrame, least: float = 0.24) -> DataFrame:
-    """(source, fit, tier): weighted mean of each profile topic's best match among a source's topics, in percent; A from 45, B from 20."""
-    pairs = sources.crossJoin(F.broadcast(profile)).withColumn("sim", label_similarity(F.col("topic"), F.col("wanted")))
-    best = pairs.groupBy("source", "wanted", "weight").agg(F.max("sim").alias("sim"))
+def profile_fit(sources: DataFrame, profile: list[tuple[str, float]], least: float = 0.24) -> DataFrame:
+    """(source, fit, tier): weighted mean of each profile topic's best match among a source's topics, in percent; A from 45, B from 20.
+
+    The profile is the caller's list of a person's topics, so it is a literal of the plan.  A topic is
+    compared once, however many sources have it.
+    """
+    topics = sources.select("topic").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(t).alias("wanted"), F.lit(float(w)).alias("weight")) for t, w in profile])))
+    pairs = topics.select("topic", "p.*").withColumn("sim", label_similarity(F.col("topic"), F.col("wanted")))
+    best = sources.join(pairs, "topic").groupBy("source", "wanted", "weight").agg(F.max("sim").alias("sim"))
     fit = best.groupBy("source").agg(F.round(100 * F.sum(F.when(F.col("sim") >= least, F.col("sim") * F.col("weight")).otherwise(0.0)) / F.sum("weight"), 4).alias("fit"))
     return fit.withColumn("tier", F.when(F.col("fit") >= 45, "A").when(F.col("fit") >= 20, "B").otherwise("C"))
 
@@ -228,17 +312,80 @@ def route(topic: Column, cluster: Column, prior: Column) -> Column:
     return F.struct(F.round(score, 4).alias("score"), F.when(score >= 24, "deep").when(score >= 12, "medium").otherwise("light").alias("depth"))
 
 
-def search_plan(question: str, stop: set[str], generic: set[str]) -> dict:
-    """Intent, terms and phrases of a question: a plan on the driver that search expressions are made of."""
-    import re
-
-    low = question.lower()
-    intents = (("methods", ("method", "interview")), ("counter", ("against", "kritik", "critique")), ("overview", ("overview", "überblick")))
-    intent = next((k for k, ws in intents if any(w in low for w in ws)), "general")
-    words = [w for w in dict.fromkeys(re.findall(r"\w{3,}", low)) if w not in stop]
-    special, general = [w for w in words if w not in generic], [w for w in words if w in generic]
-    terms = special[:10] + general[:2] if len(special) >= 4 else (special + general)[:14]
-    return {"intent": intent, "terms": terms[:14], "phrases": re.findall(r'"([^"]+)"', question)[:8]}
+# fixed values: what a question is after, by the first of these that it holds a part of
+INTENTS = {
+    "methods": ("methode", "methodisch", "zugang", "methodological", "method"),
+    "counter": ("gegenargument", "widerspruch", "kritik", "counter", "opposition"),
+    "missing_refs": ("fehl", "referenz", "zitation", "missed"),
+    "relevant": ("relevant", "anschluss", "welche artikel", "relevante artikel", "bezüge zu", "bezug zu"),
+}
+# fixed values: for each intent, the sections of a context that add to a search, with numbers of phrases and of lines for terms
+QUOTAS = {
+    "methods": (("methods", 5, 5), ("keywords", 4, 6)),
+    "counter": (("focus", 4, 5), ("gaps", 4, 5), ("keywords", 4, 5)),
+    "missing_refs": (("gaps", 5, 5), ("references", 4, 4), ("keywords", 5, 6), ("focus", 3, 4)),
+    "other": (("keywords", 6, 8), ("focus", 4, 5)),
+}
+# fixed values: headings of a context and the sections that they begin
+HEADINGS = {
+    "argumentationseinheiten": "argument_units", "argumentative einheiten": "argument_units", "argumenteinheiten": "argument_units", "argumentationskomplexe": "argument_units", "fokus": "focus", "schlüsselbegriffe": "keywords",
+    "schlusselbegriffe": "keywords", "vorhandene referenzen und debatten": "references", "empirischer/methodischer kontext": "methods", "offene anschlussstellen": "gaps",
+}
+
+
+def search_intent(question: str) -> str:
+    low = re.sub(r"\s+", " ", question.lower())
+    return next((name for name, parts in INTENTS.items() if any(p in low for p in parts)), "general")
+
+
+def context_sections(context: str | None) -> dict[str, list[str]]:
+    """Lines of a context's known sections, without their list marks; what stands under other headings is left out."""
+    sections: dict[str, list[str]] = {}
+    name = ""
+    for line in map(str.strip, (context or "").splitlines()):
+        if line.startswith("## "):
+            name = HEADINGS.get(re.sub(r"\s+", " ", line[3:].lower()).strip(), "")
+        elif line and name:
+            sections.setdefault(name, []).append(line.removeprefix("- ").strip())
+    return sections
+
+
+def question_terms(text: str, stop: set[str]) -> list[str]:
+    """Words of three letters or more, cut at joints, without stop words and numbers, in the order of their first place."""
+    parts = re.findall(r"[^\s/_.,;:!?()\"'-]{3,}", text.lower())
+    return [w for w in dict.fromkeys(parts) if w not in stop and not w.isdigit()]
+
+
+def _special_first(terms: list[str], generic: set[str], enough: int, special: int, general: int) -> list[str]:
+    """Where ``enough`` terms are special, the first few of these before the first few general ones; else all as they come."""
+    own, others = [t for t in terms if t not in generic], [t for t in terms if t in generic]
+    return own[:special] + others[:general] if len(own) >= enough else terms
+
+
+def search_plan(question: str, stop: set[str], generic: set[str], context: str | None = None) -> dict:
+    """Intent, terms (14 at most) and phrases (8 at most) of a question: a plan on the driver that search expressions are made of.
+
+    The sections that go with the intent come first, each by its quota, then the question's own words.
+    """
+    intent, sections = search_intent(question), context_sections(context)
+    phrases: dict[str, None] = {}
+    terms: dict[str, None] = {}
+    for name, most_phrases, most_lines in QUOTAS.get(intent, QUOTAS["other"]):
+        lines = sections.get(name, [])
+        phrases |= dict.fromkeys(x for x in lines[:most_phrases] if len(x) >= 4)
+        terms |= dict.fromkeys(t for x in lines[:most_lines] for t in question_terms(x, stop))
+    terms |= dict.fromkeys(question_terms(question, stop))
+    return {"intent": intent, "terms": _special_first(list(terms), generic, 4, 10, 2)[:14], "phrases": list(phrases)[:8]}
+
+
+def argument_plan(unit: str, intent: str, stop: set[str], generic: set[str], context: str | None = None) -> dict:
+    """A tighter plan for one part of an argument: its own words, filled up to eight from the context where it has fewer than five."""
+    terms = question_terms(unit, stop)
+    if len(terms) < 5:
+        sections = context_sections(context)
+        more = [t for name in ("keywords", "references", "methods", "gaps") for x in sections.get(name, [])[:4] for t in question_terms(x, stop)]
+        terms = list(dict.fromkeys([*terms, *more]))[: max(8, len(terms))]
+    return {"intent": intent, "terms": _special_first(terms, generic, 3, 8, 2)[:10], "phrases": [unit.strip()] if unit.strip() else [], "argument_unit": unit}
 
 
 def parse_graph(rows: DataFrame, key: str, text: str) -> DataFrame:

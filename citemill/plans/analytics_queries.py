@@ -9,6 +9,7 @@ from citemill import views as V
 from citemill.operators import analytics as A
 from citemill.operators import coupling as C
 from citemill.operators import search as S
+from citemill.operators.ordered import running
 from citemill.plans.join_queries import _DF, _OWN, BRIDGE, bridge, own
 from citemill.plans.registry import query
 
@@ -194,10 +195,11 @@ def f21(s: SparkSession, d: str) -> DataFrame:
 
 @query("f22_pool_summary", f"WITH {V.ART}, g AS (SELECT segment, list_sort(list(cost)) AS c, count(*) AS n, max(cost) AS m FROM art GROUP BY 1) SELECT segment, n, c[CAST(n // 2 AS INT) + 1] AS upper_median, m AS top FROM g")
 def f22(s: SparkSession, d: str) -> DataFrame:
-    # the upper median by rank, so that no group is gathered in one row
-    w = Window.partitionBy("segment")
-    r = V.articles(s, d).select("segment", "cost").withColumns({"r": F.row_number().over(w.orderBy("cost")), "n": F.count("*").over(w), "top": F.max("cost").over(w)})
-    return r.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("segment", "n", F.col("cost").alias("upper_median"), "top")
+    # the upper median is the first value that more than half of the rows lie up to, so no group is gathered or ranked in one task
+    per = V.articles(s, d).groupBy("segment", "cost").agg(count("k"))
+    size = per.groupBy("segment").agg(F.sum("k").alias("n"), F.max("cost").alias("top"))
+    run = running(per, F.col("cost"), {"below": "k"}, ["segment"]).join(size, "segment")
+    return run.where(F.col("below") + F.col("k") > F.floor(F.col("n") / 2)).groupBy("segment", "n", "top").agg(F.min("cost").alias("upper_median"))
 
 
 _RANK = "CASE {c} WHEN 'pflichtlektuere' THEN 0 WHEN 'lesenswert' THEN 1 WHEN 'scannen' THEN 2 ELSE 3 END"
@@ -317,8 +319,8 @@ def f38(s: SparkSession, d: str) -> DataFrame:
 
 @query("f39_systematic_sample", f"WITH {V.ART}, r AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS n FROM art) SELECT cluster, id FROM r WHERE i % greatest(1, n // 40) = 0 AND i // greatest(1, n // 40) < 40")
 def f39(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("cluster")
-    r = V.articles(s, d).select("cluster", "id").withColumns({"i": F.row_number().over(w.orderBy("id")) - 1, "n": F.count("*").over(w)})
+    a = V.articles(s, d).select("cluster", "id").withColumn("one", F.lit(1))
+    r = running(a, F.col("id"), {"i": "one"}, ["cluster"]).join(a.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 40))
     return r.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < 40)).select("cluster", "id")
 

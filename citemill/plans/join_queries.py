@@ -176,7 +176,7 @@ def e17(s: SparkSession, d: str) -> DataFrame:
 SELECT l, r, (SELECT count(*) FROM (SELECT ref FROM a WHERE author = l INTERSECT SELECT ref FROM a WHERE author = r)) AS shared, (SELECT count(*) FROM (SELECT ref FROM a WHERE author = l EXCEPT SELECT ref FROM a WHERE author = r)) AS only_l, coalesce(y.years, 0) AS years_l FROM p LEFT JOIN y ON y.author = l""")
 def e18(s: SparkSession, d: str) -> DataFrame:
     art = V.articles(s, d)
-    refs = V.references(s, d).join(art.select("id", "author"), "id").groupBy("author").agg(F.collect_set("ref").alias("refs"))
+    refs = V.references(s, d).join(art.select("id", "author"), "id").select("author", "ref").distinct()
     years = art.groupBy("author").agg(F.countDistinct("year").alias("years_l"))
     pairs = art.select(F.col("author").alias("l")).where("l % 30 = 0").distinct().withColumn("r", F.col("l") + 1)
     return M.probe(pairs, refs).join(years, F.col("l") == F.col("author"), "left").select("l", "r", "shared", "only_l", F.coalesce("years_l", F.lit(0)).alias("years_l"))

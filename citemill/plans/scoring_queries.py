@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citemill import views as V
 from citemill.operators import coupling as C
 from citemill.operators import scoring as S
+from citemill.operators.ordered import running
 from citemill.plans.join_queries import _DF, _OWN, own
 from citemill.plans.registry import query
 
@@ -37,14 +38,16 @@ def g02(s: SparkSession, d: str) -> DataFrame:
 
 
 def signals(s: SparkSession, d: str) -> DataFrame:
-    """One record an article: its own and blind-spot coupling beside the facts that decisions rest on."""
+    """One record an article: its own and blind-spot coupling beside the facts that decisions rest on; what it cites is read once for both."""
     refs = V.references(s, d)
-    df = C.document_frequency(refs)
-    o = C.weighted_overlap(refs, own(s, d), df).select("id", F.round("score", 4).alias("own"), F.col("n").alias("own_n"))
-    b = C.weighted_overlap(refs, C.set_difference(trigger_refs(s, d), own(s, d)), df).select("id", (F.round("score", 4) * 4).alias("blind"))
+    mine = own(s, d).select("ref").distinct().withColumn("mine", F.lit(True))
+    gap = C.set_difference(trigger_refs(s, d), own(s, d)).select("ref", F.lit(True).alias("gap"))
+    flags = mine.join(gap, "ref", "full_outer").join(C.document_frequency(refs), "ref").select("ref", "mine", "gap", C.idf(F.col("df")).alias("w"))
+    of = lambda flag, c: F.sum(F.when(F.col(flag), c))
+    hits = refs.join(flags, "ref").groupBy("id").agg(F.round(of("mine", F.col("w")), 4).alias("own"), of("mine", F.lit(1)).alias("own_n"), (F.round(of("gap", F.col("w")), 4) * 4).alias("blind"))
     a = V.articles(s, d).select("id", "agent", "author", "segment", "year")
     z = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return a.join(o, "id", "left").join(b, "id", "left").select("id", "agent", "author", "segment", "year", z("own"), F.coalesce("own_n", F.lit(0)).alias("own_n"), z("blind"))
+    return a.join(hits, "id", "left").select("id", "agent", "author", "segment", "year", z("own"), F.coalesce("own_n", F.lit(0)).alias("own_n"), z("blind"))
 
 
 _SIG = """o AS (SELECT id, round(sum(1 / ln(1 + greatest(1, df))), 4) AS own, count(*) AS own_n FROM ref JOIN df USING (ref) WHERE ref IN (SELECT ref FROM own) GROUP BY id), b AS (SELECT id, round(sum(1 / ln(1 + greatest(1, df))), 4) * 4 AS blind FROM ref JOIN df USING (ref) WHERE ref IN (SELECT ref FROM gap) GROUP BY id),
@@ -195,10 +198,10 @@ def g18t(s: SparkSession, d: str) -> DataFrame:
     return scores.select(F.col("id").alias("doc_id"), R6("score", "score"))
 
 
-@query("g19_embedding_features", f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC) AS r FROM cs) SELECT id, round(max(sim), 5) AS top, round(avg(sim), 5) AS mean, round(avg(sim) FILTER (r <= 5), 5) AS top5, count(*) FILTER (sim >= 0.2) AS n20 FROM r GROUP BY 1")
+@query("g19_embedding_features", f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC) AS r FROM cs) SELECT id, round(max(sim), 5) AS top, round(avg(sim), 5) AS mean, round(avg(sim) FILTER (r <= 5), 5) AS top_mean, count(*) FILTER (sim >= 0.2) AS above_20, count(*) FILTER (sim >= 0.6) AS above_60 FROM r GROUP BY 1")
 def g19(s: SparkSession, d: str) -> DataFrame:
-    near = S.nearest(*_emb(s, d), 1 << 30, skip_same=False)
-    return near.groupBy("id").agg(F.round(F.max("sim"), 5).alias("top"), F.round(F.avg("sim"), 5).alias("mean"), F.round(F.avg(F.when(F.col("rank") <= 5, F.col("sim"))), 5).alias("top5"), F.count_if(F.col("sim") >= 0.2).alias("n20"))
+    f = S.similarity_features(*_emb(s, d), levels=(0.2, 0.6))
+    return f.select("id", *[F.round(c, 5).alias(c) for c in ("top", "mean", "top_mean")], "above_20", "above_60")
 
 
 @query("g19_kmeans_centroids")
@@ -206,9 +209,11 @@ def g19k(s: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    x = T(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding")).alias("features"))
-    model = KMeans(k=8, seed=42, maxIter=10).fit(x)
-    return model.transform(x).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    x = T(s, d, "embeddings").select("vec_id", "embedding")
+    own_x = x.where("vec_id % 40 = 3").select(array_to_vector(F.col("embedding")).alias("features"))
+    model = KMeans(k=8, seed=42, maxIter=10).fit(own_x)
+    f = S.centroid_features(x, "embedding", [c.tolist() for c in model.clusterCenters()])
+    return f.select("vec_id", "cluster", R6(F.col("nearest"), "nearest"), R6(F.col("spread"), "spread"), "n_high")
 
 
 @query("g20_cascade_overrides", f"""WITH {V.SCORED}, q AS (SELECT quantile_cont(s, 0.1) AS qs, quantile_cont(t, 0.1) AS qt FROM scored) SELECT id, CASE WHEN t >= 0.95 THEN 'lesenswert' WHEN z = 1 AND pred = 'ignorieren' THEN 'scannen' WHEN s <= qs AND t <= qt AND pred <> 'lesenswert' THEN 'ignorieren' ELSE pred END AS verdict FROM scored, q""")
@@ -256,19 +261,41 @@ def g25(s: SparkSession, d: str) -> DataFrame:
 @query("g26_two_path_balance", f"""WITH {V.SCORED}, p AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'b' ELSE 'a' END AS path FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, id) AS r, count(*) OVER (PARTITION BY path) AS n FROM p)
 SELECT path, count(*) AS n, CAST(sum(y) FILTER (path = 'b' OR r <= floor(n * 0.3)) AS BIGINT) AS caught FROM r GROUP BY 1""")
 def g26(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("path")
     p = V.scored(s, d).withColumn("path", F.when(F.col("id") % 5 == 0, "b").otherwise("a"))
-    r = p.withColumns({"r": F.row_number().over(w.orderBy(F.desc("s"), "id")), "n": F.count("*").over(w)})
-    return r.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.when((F.col("path") == "b") | (F.col("r") <= F.floor(F.col("n") * 0.3)), F.col("y"))).cast("long").alias("caught"))
+    per = p.where("path = 'a'").groupBy("s").agg(F.count("*").alias("k"))
+    above = running(per, -F.col("s"), {"above": "k"}).select("s", "above")
+    n = p.groupBy("path").agg(F.count("*").alias("n"))
+    r = p.where("path = 'a'").join(above, "s").withColumn("r", F.col("above") + F.row_number().over(Window.partitionBy("s").orderBy("id")))
+    best = r.join(n, "path").where(F.col("r") <= F.floor(F.col("n") * 0.3)).groupBy("path").agg(F.sum("y").alias("caught"))
+    caught = best.unionByName(p.where("path = 'b'").groupBy("path").agg(F.sum("y").alias("caught")))
+    return n.join(caught, "path", "left").select("path", "n", F.col("caught").cast("long").alias("caught"))
+
+
+CONTEXT = """## Fokus
+- the education of there
+## Schlüsselbegriffe
+- than that which; learning
+- other
+## Something else
+- never taken
+## Empirischer/methodischer Kontext
+- methods between them
+"""
+STOP = {"which", "there", "that", "the", "and"}
+
+
+def _plan() -> dict:
+    from citemill.operators import search as Q
+
+    return S.search_plan("A methodological question of 2020: education", STOP, set(Q.GENERIC_TERMS), CONTEXT)
 
 
-@query("g27_search_plan")
+@query("g27_search_plan", f"SELECT lang, count(*) AS n, 'methods' AS intent FROM documents WHERE {' OR '.join(f"contains(lower(text), '{t}')" for t in _plan()['terms'])} GROUP BY lang")
 def g27(s: SparkSession, d: str) -> DataFrame:
     from citemill.operators import search as Q
 
-    plan = S.search_plan('which "and the" methods there of than education', {"which", "there"}, set(Q.GENERIC_TERMS))
-    docs = T(s, d, "documents")
-    hits = docs.where(Q.any_term(["text"], plan["terms"]))
+    plan = _plan()
+    hits = T(s, d, "documents").where(Q.any_term(["text"], plan["terms"]))
     return hits.groupBy("lang").agg(F.count("*").alias("n")).withColumn("intent", F.lit(plan["intent"]))
 
 
@@ -287,19 +314,18 @@ def g29(s: SparkSession, d: str) -> DataFrame:
     return g.select("id", R6(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), "jaccard"), R6(F.log1p("k"), "damped"))
 
 
-def _profile(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame([("red gears", 2.0), ("small bolts", 1.0), ("blue ring", 1.0)], "wanted string, weight double")
+_PROFILE = [("red gears", 2.0), ("small bolts", 1.0), ("blue ring", 1.0)]
 
 
 @query("f27_profile_fit")
 def f27(s: SparkSession, d: str) -> DataFrame:
     src = V.works(s, d).select(F.col("brand").alias("source"), F.col("title").alias("topic")).distinct()
-    return S.profile_fit(src, _profile(s, d))
+    return S.profile_fit(src, _PROFILE)
 
 
 @query("f28_query_routing")
 def f28(s: SparkSession, d: str) -> DataFrame:
     src = V.works(s, d).select(F.col("brand").alias("source"), F.col("title").alias("topic")).distinct()
-    fit = S.profile_fit(src, _profile(s, d))
+    fit = S.profile_fit(src, _PROFILE)
     share = V.works(s, d).groupBy(F.col("brand").alias("source")).agg((100 * F.avg((F.col("topic") == "ECONOMY").cast("int"))).alias("cluster"), F.avg("size").alias("prior"))
     return fit.join(share, "source").select("source", S.route(F.col("fit"), F.col("cluster"), F.col("prior")).alias("r")).select("source", "r.score", "r.depth")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
+import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ARTICLE = "title string, url string, doi string, published string, authors array<string>, abstract string"
+ARTICLE = "title string, url string, doi string, published string, authors array<string>, abstract string, issue string"
 
 
 def window_scan(articles: DataFrame, start: int, end: int, journals: list[str] | None = None, only_processed: bool = False) -> DataFrame:
@@ -42,38 +45,76 @@ def decode(c: Column, schema: str, empty: Column) -> Column:
     return F.coalesce(F.from_json(c, schema, {"mode": "PERMISSIVE"}), empty)
 
 
-def export_archive(rows: DataFrame, folder: str) -> None:
-    """Articles as JSON lines with a manifest beside them, written by Spark to any storage that it knows."""
-    rows.write.mode("errorifexists").json(f"{folder}/articles.jsonl")
-    rows.groupBy().agg(F.count("*").alias("count"), F.lit(1).alias("version")).coalesce(1).write.json(f"{folder}/manifest.json")
+# fixed values: the columns of an archive; verdicts, entries, memos and costs are left out
+RAW_COLUMNS = ("id", "title", "authors", "abstract", "url", "doi", "journal", "year", "published", "fetched")
+ARCHIVE_VERSION = 1
 
 
-def import_archive(spark: SparkSession, folder: str, schema: T.StructType, known: DataFrame, key: str) -> DataFrame:
-    """Rows of an exported archive with the column outcome: created, updated or skipped (no key)."""
-    rows = spark.read.schema(schema).json(f"{folder}/articles.jsonl")
+def export_archive(rows: DataFrame, folder: str) -> DataFrame:
+    """Articles as ZIP archives of JSON lines with a manifest, one archive a task; (path, count) of each.
+
+    Only the raw columns go out.  An archive is written under a fresh name by the task that reads the
+    rows, streaming, so nothing is gathered; what an earlier attempt of a task left is in no list.
+    """
+    rows = rows.select(*[c for c in RAW_COLUMNS if c in rows.columns])
+    names = rows.columns
+    lines = rows.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = next((b for b in batches if len(b)), None)
+        if first is None:
+            return
+        path, count = f"{folder}/articles-{uuid.uuid4().hex}.zip", 0
+        with _open(path, "w") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            with z.open("articles.jsonl", "w", force_zip64=True) as f:
+                for pdf in itertools.chain([first], batches):
+                    count += len(pdf)
+                    f.write("".join(f"{line}\n" for line in pdf["line"]).encode())
+            z.writestr("manifest.json", json.dumps({"schema_version": ARCHIVE_VERSION, "article_count": count, "columns": names}))
+        yield pd.DataFrame({"path": [path], "count": [count]})
+
+    made = lines.mapInPandas(write, "path string, count long")
+    made.write.parquet(f"{folder}/_list")
+    return rows.sparkSession.read.parquet(f"{folder}/_list")
+
+
+def _open(uri: str, mode: str):
+    """A file of any storage that pyarrow knows, for reading or for writing."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if mode == "r":
+        return system.open_input_file(path)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path)
+
+
+def import_archive(archives: DataFrame, schema: T.StructType, known: DataFrame, key: str) -> DataFrame:
+    """Rows of archives (path) with the column outcome: created, updated or skipped (no key).
+
+    A line that is no JSON has nulls, so it is skipped for want of a key.
+    """
+    rows = zip_lines(archives).select(F.from_json("line", schema).alias("r")).select("r.*")
     seen = known.select(F.col(key).alias("_known")).distinct()
     outcome = F.when(F.col(key).isNull() | (F.col(key).cast("string") == ""), "skipped").when(F.col("_known").isNotNull(), "updated").otherwise("created")
     return rows.join(seen, F.col(key) == F.col("_known"), "left").withColumn("outcome", outcome).drop("_known")
 
 
-def zip_lines(spark: SparkSession, path: str, member: str = "articles.jsonl") -> DataFrame:
-    """(path, line) of a member of ZIP archives, each opened where it is read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def zip_lines(archives: DataFrame, member: str = "articles.jsonl") -> DataFrame:
+    """(path, line) of a member of ZIP archives (path), each opened where it is read; blank lines are passed over."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(member) as f:
-                    part: list[str] = []
-                    for line in io.TextIOWrapper(f, "utf-8"):
-                        part.append(line.rstrip("\n"))
-                        if len(part) == 10_000:
+            for p in pdf["path"]:
+                with _open(p, "r") as data, zipfile.ZipFile(data) as z:
+                    if member not in z.namelist():
+                        raise ValueError(f"{p} has no {member}")
+                    with z.open(member) as f:
+                        stream = (x for x in (line.rstrip("\n") for line in io.TextIOWrapper(f, "utf-8")) if x.strip())
+                        while part := list(itertools.islice(stream, 10_000)):
                             yield pd.DataFrame({"path": p, "line": part})
-                            part = []
-                    if part:
-                        yield pd.DataFrame({"path": p, "line": part})
 
-    return files.mapInPandas(lines, "path string, line string")
+    return archives.select("path").mapInPandas(lines, "path string, line string")
 
 
 def export_columns(articles: DataFrame) -> DataFrame:
@@ -197,11 +238,23 @@ def pick(node: _Node, selectors: str) -> str:
     return ""
 
 
+STRATEGIES = ("single_page", "paginated", "issue_list")
+MOST_PAGES = 20
+PARTS = ("title", "link", "authors", "abstract", "date", "doi")
+
+
 def check_config(config: dict) -> dict:
     """A scraper's configuration, or a ValueError that names what is wrong with it."""
-    missing = [k for k in ("container", "title") if not config.get(k)]
-    if missing or config.get("strategy", "single_page") not in ("single_page", "paginated", "issue_list"):
-        raise ValueError(f"not a scraper configuration: {missing or config['strategy']}")
+    strategy = config.get("strategy", "single_page")
+    wrong = [k for k in ("container", "title") if not config.get(k)]
+    if strategy not in STRATEGIES:
+        wrong.append(f"strategy {strategy}")
+    if strategy == "paginated" and not config.get("start"):
+        wrong.append("start")
+    if strategy == "issue_list":
+        wrong += [f"issues.{k}" for k in ("url", "link_selector") if not config.get("issues", {}).get(k)]
+    if wrong:
+        raise ValueError(f"not a scraper configuration: {wrong}")
     return config
 
 
@@ -209,30 +262,123 @@ def split_authors(text: str) -> list[str]:
     return [a.strip() for a in re.split(r",|;|&|\band\b|\bund\b", text) if len(a.strip()) > 2]
 
 
-def scrape(pages: DataFrame, url: str, html: str, config: dict) -> DataFrame:
-    """Articles on pages by a declarative configuration of selectors: container, title, link, authors, abstract, date, doi."""
+def page_urls(config: dict) -> list[str]:
+    """Addresses of a paginated source in order, MOST_PAGES at most: the start, then pages by a parameter or by a suffix."""
+    start, how = config["start"], config.get("pagination", {})
+    if how.get("type", "query_param") == "url_suffix":
+        later = lambda n: start.rstrip("/") + how.get("pattern", "/page/{n}").replace("{n}", str(n))
+    else:
+        later = lambda n: f"{start}{'&' if '?' in start else '?'}{how.get('param', 'page')}={n}"
+    return [start, *(later(n) for n in range(2, min(how.get("max_pages", 5), MOST_PAGES) + 1))]
+
+
+def _issue_links(index: DataFrame, config: dict) -> DataFrame:
+    """(u, issue): addresses and labels of the issues that an index page lists, of years in the window; labels without a year stay in."""
     from urllib.parse import urljoin
 
-    config = check_config(config)
+    issues = config["issues"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for base, text in zip(pdf["u"], pdf["h"], strict=True):
+                for a in select(_Tree(text or "").root, issues["link_selector"]):
+                    if a.attrs.get("href"):
+                        rows.append((urljoin(config.get("base_url") or base, a.attrs["href"]), re.sub(r"\s+", " ", a.text()).strip()))
+            yield pd.DataFrame(rows, columns=["u", "issue"])
+
+    links = index.mapInPandas(run, "u string, issue string").distinct()
+    year = F.regexp_extract("issue", issues.get("year_regex", r"(20\d{2})"), 1).try_cast("int")
+    return links.where(year.isNull() | year.between(config.get("since", 0), config.get("until", 9999)))
+
+
+def _articles(landed: DataFrame, config: dict) -> DataFrame:
+    """Articles of landed pages (u, h, issue, n) with n and the raw text of the byline."""
+    from urllib.parse import urljoin
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for base, text, issue, n in zip(pdf["u"], pdf["h"], pdf["issue"], pdf["n"], strict=True):
                 for box in select(_Tree(text or "").root, config["container"]):
-                    got = {k: pick(box, config[k]) if config.get(k) else "" for k in ("title", "link", "authors", "abstract", "date", "doi")}
+                    got = {k: pick(box, config[k]) if config.get(k) else "" for k in PARTS}
                     if got["title"]:
-                        rows.append((got["title"], urljoin(base or "", got["link"]) if got["link"] else base, got["doi"] or None, got["date"] or None, split_authors(got["authors"]), got["abstract"][:2000]))
-            yield pd.DataFrame(rows, columns=["title", "url", "doi", "published", "authors", "abstract"])
+                        url = urljoin(config.get("base_url") or base or "", got["link"]) if got["link"] else base
+                        rows.append((n, got["authors"], got["title"], url, got["doi"] or None, got["date"] or None, split_authors(got["authors"]), got["abstract"][:2000], issue))
+            yield pd.DataFrame(rows, columns=["n", "byline", "title", "url", "doi", "published", "authors", "abstract", "issue"])
 
-    return pages.select(F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, ARTICLE)
+    return landed.select("u", "h", "issue", "n").mapInPandas(run, f"n int, byline string, {ARTICLE}")
 
 
-#: Sites with a layout of their own, as configurations of the same scraper.
+def scrape(pages: DataFrame, url: str, html: str, config: dict) -> DataFrame:
+    """Articles on landed pages by a declarative configuration.
+
+    container, title, link, authors, abstract, date and doi are selectors.  A single page is that at
+    ``start``, or every page without it.  Paginated sources are read page by page until one has no
+    articles or is not there.  An issue list names the pages to read, and each article its issue.
+    ``detail`` selects the abstract on an article's own page where the listing has none; ``since`` and
+    ``until`` bound the years; ``dates`` and ``names`` may be month_day and byline.
+    """
+    config = check_config(config)
+    strategy = config.get("strategy", "single_page")
+    pages = pages.select(F.col(url).alias("u"), F.col(html).alias("h"))
+    landed = pages.withColumns({"issue": F.lit(None).cast("string"), "n": F.lit(1)})
+    if strategy == "issue_list":
+        links = _issue_links(pages.where(F.col("u") == config["issues"]["url"]), config)
+        landed = landed.drop("issue").join(links, "u")
+    elif strategy == "paginated":
+        listed = pages.sparkSession.createDataFrame(list(enumerate(page_urls(config), 1)), "n int, u string")
+        landed = landed.drop("n").join(F.broadcast(listed), "u")  # MOST_PAGES rows at most
+    elif config.get("start"):
+        landed = landed.where(F.col("u") == config["start"])
+    out = _articles(landed, config)
+    if strategy == "paginated":
+        gap = listed.join(out.select("n").distinct(), "n", "left_anti").agg(F.min("n").alias("gap"))  # one row
+        out = out.crossJoin(F.broadcast(gap)).where("gap IS NULL OR n < gap").drop("gap")
+    if config.get("dates") == "month_day":
+        out = out.withColumn("published", month_day_date(F.col("published")))
+    if config.get("names") == "byline":
+        out = out.withColumn("authors", byline_names(F.col("byline")))
+    out = out.drop("n", "byline")
+    if config.get("since") is not None or config.get("until") is not None:
+        out = out.where(in_year_window(F.coalesce("published", F.lit("")), config.get("since"), config.get("until")))
+    if config.get("detail"):
+        one = {"container": config["detail"].get("container", "html"), "title": config["detail"]["abstract"], "abstract": config["detail"]["abstract"]}
+        full = _articles(pages.withColumns({"issue": F.col("u"), "n": F.lit(1)}), one).groupBy("issue").agg(F.first("abstract").alias("_more"))
+        out = out.join(full.withColumnRenamed("issue", "url"), "url", "left").withColumn("abstract", F.when(F.col("abstract") == "", F.coalesce("_more", F.lit(""))).otherwise(F.col("abstract"))).drop("_more")
+    return out.select(*[x.split()[0] for x in ARTICLE.split(", ")])
+
+
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def month_day_date(c: Column) -> Column:
+    """``Mar 17, 2026`` as 2026-03-17; of other texts the first year from 2000 on, else empty.  An unknown month counts as the first."""
+    part = lambda i: F.regexp_extract(F.trim(c), r"^(\w+)\s+(\d+),?\s+(\d{4})", i)
+    month = F.greatest(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.left(part(1), F.lit(3)))), F.lit(1))
+    day = F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0"))
+    return F.coalesce(F.when(part(1) != "", day).otherwise(F.regexp_extract(c, r"(20\d{2})", 1)), F.lit(""))
+
+
+def byline_names(c: Column) -> Column:
+    """Names of ``Written by: A, B & C``; parts of two characters or fewer are none."""
+    text = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"(?i)written\s*(by\s*)?:?\s*", ""), r"<[^>]+>|\s+", " ")
+    return F.coalesce(F.filter(F.transform(F.split(text, r"[,&]|\s+and\s+"), lambda a: F.trim(a)), lambda a: F.length(a) > 2), F.array().cast("array<string>"))
+
+
+#: Sites with a layout of their own, as configurations of the same scraper; an index of volumes leads to their articles.
 SITES = {
     "articles": {"container": "article", "title": "h1,h2", "link": "a@href", "abstract": "p", "date": "time@datetime"},
     "listing": {"container": "li", "title": "a", "link": "a@href"},
-}
+    "volumes": {
+        "strategy": "issue_list", "issues": {"url": "http://volumes.example/browse", "link_selector": "div.volumes a", "year_regex": r"\((\d{4})"},
+        "container": "div.item", "title": "h3", "link": "a.pdf@href", "authors": "span.by", "abstract": "p", "date": "time", "dates": "month_day", "names": "byline",
+    },
+    "issues": {
+        "strategy": "issue_list", "issues": {"url": "http://issues.example/all", "link_selector": "div.entry-content ol li a", "year_regex": r"(\d{4})"},
+        "container": "div.entry-content li", "title": "a", "link": "a@href", "authors": "em",
+    },
+}
 
 
 def markdown_table(rows: DataFrame, line: str) -> DataFrame:
@@ -252,8 +398,34 @@ def folder_items(files: DataFrame, path: str) -> DataFrame:
     return files.withColumns({"source_type": F.lit("folder"), "source_key": F.regexp_replace(path, r"/[^/]*$", ""), "source_item_id": F.sha1(F.col(path).cast("binary")), "title": title, "year": year})
 
 
+_PDF_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
+_PDF_PIECE = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(T\*|TD|Td|Tm|ET|'|\")", re.S)
+_PDF_ESCAPE = {b"n": "\n", b"r": "\r", b"t": "\t", b"b": "\b", b"f": "\f"}
+
+
+def pdf_text(data: bytes) -> str:
+    """Strings that a PDF's content streams show, a line for each move of the text position; fonts of one byte a character only."""
+    lines: list[list[str]] = [[]]
+    for head, body in _PDF_STREAM.findall(data):
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        for block in re.findall(rb"\bBT\b(.*?\bET\b)", body, re.S):
+            for literal, digits, move in _PDF_PIECE.findall(block):
+                if move:
+                    lines.append([])
+                elif digits:
+                    lines[-1].append(bytes.fromhex(re.sub(r"\s", "", digits.decode())).decode("latin-1"))
+                else:
+                    plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: _PDF_ESCAPE.get(m[1], chr(int(m[1], 8)) if m[1].isdigit() else m[1].strip().decode("latin-1")).encode("latin-1"), literal, flags=re.S)
+                    lines[-1].append(plain.decode("latin-1"))
+    return "\n".join(x for x in ("".join(line) for line in lines) if x.strip())
+
+
 def document_texts(files: DataFrame) -> DataFrame:
-    """(path, text, status) of binary files: DOCX and ODT by their XML, plain text as it is; PDF where pypdf is there."""
+    """(path, text, status) of binary files: DOCX and ODT by their XML, PDF by pypdf where it is there and else by its plain strings, other files as they are."""
 
     def text(path: str, data: bytes) -> tuple[str | None, str]:
         kind = path.rsplit(".", 1)[-1].lower()
@@ -267,7 +439,8 @@ def document_texts(files: DataFrame) -> DataFrame:
                 try:
                     from pypdf import PdfReader
                 except ImportError:
-                    return None, "no pdf reader"
+                    found = pdf_text(data)
+                    return (found, "ok") if found else (None, "no text")
                 return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages), "ok"
             return data.decode("utf-8", "replace"), "ok"
         except (zipfile.BadZipFile, KeyError, ValueError) as e:
@@ -275,7 +448,7 @@ def document_texts(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [text(p, d) for p, d in zip(pdf["path"], pdf["content"], strict=True)]
+            got = [text(p, d or b"") for p, d in zip(pdf["path"], pdf["content"], strict=True)]
             yield pd.DataFrame({"path": pdf["path"], "text": [g[0] for g in got], "status": [g[1] for g in got]})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string, status string")
@@ -319,31 +492,55 @@ def reader_for(config: dict) -> Reader:
         "works": lambda rows: works_from_json(rows, "body"),
         "html": lambda rows: scrape(rows, "url", "body", config),
         "custom": lambda rows: scrape(rows, "url", "body", config),
-        "site": lambda rows: scrape(rows, "url", "body", SITES[config["site"]]),
+        "site": lambda rows: scrape(rows, "url", "body", SITES[config["site"]] | {k: v for k, v in config.items() if k in ("since", "until")}),
     }
     if kind not in readers:
         raise ValueError(f"unknown type of source: {kind}")
     return readers[kind]
 
 
+def works_filter(source: str, today: str, days: int = 90, since: int | None = None, until: int | None = None) -> tuple[str, str, str | None]:
+    """(source filter, first day, last day) of a works request: an ISSN or a source's id, and a rolling window or bounds of years."""
+    from datetime import date, timedelta
+
+    source = source.strip()
+    issn = re.fullmatch(r"(?:issn:)?(\d{4}-\d{3}[\dXx])", source)
+    name = re.search(r"(S\d+)$", source)
+    if not issn and not name:
+        raise ValueError(f"neither an ISSN nor an id of a source: {source}")
+    first = f"{since}-01-01" if since else str(date.fromisoformat(today) - timedelta(days=days))
+    by = f"primary_location.source.issn:{issn[1].upper()}" if issn else f"primary_location.source.id:{name[1]}"
+    return by, first, f"{until}-12-31" if until is not None else None
+
+
 def landed_source():
-    """A Python data source (``format("landed_works")``) that reads landed JSON pages, one partition a file."""
+    """A Python data source (``format("landed_works")``) of landed pages of a works interface.
+
+    Option ``first`` names the files of the first page of each request, separated by commas; a page names
+    the file of the next one in ``meta.next_cursor``, until one has none.  A request is a partition, as its
+    pages can only be found one after the other.  Options ``from`` and ``to`` (days) leave out works
+    published outside them.
+    """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class LandedReader(DataSourceReader):
         def __init__(self, options):
-            self.paths = [p for p in options.get("paths", "").split(",") if p]
+            self.first = [p for p in options.get("first", "").split(",") if p]
+            self.low, self.high = options.get("from", ""), options.get("to", "9999")
 
         def partitions(self):
-            return [InputPartition(p) for p in self.paths]
+            return [InputPartition(p) for p in self.first]
 
         def read(self, partition):
-            import pyarrow.fs as pafs
-
-            uri = partition.value if "://" in partition.value else f"file://{partition.value}"
-            system, path = pafs.FileSystem.from_uri(uri)
-            with system.open_input_file(path) as f:
-                yield (partition.value, f.read().decode())
+            path, seen = partition.value, set()
+            while path and path not in seen:
+                seen.add(path)
+                with _open(path if "://" in path else f"file://{path}", "r") as f:
+                    page = json.loads(f.read())
+                works = [w for w in page.get("results", []) if self.low <= (w.get("publication_date") or "") <= self.high]
+                yield (path, json.dumps({"results": works}))
+                cursor = (page.get("meta") or {}).get("next_cursor")
+                path = f"{path.rsplit('/', 1)[0]}/{cursor}" if cursor else None
 
     class LandedWorks(DataSource):
         @classmethod

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citemill import shared
+
 
 def scratch(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="citemill-")
-    return f"{base.rstrip('/')}/citemill-streams/{uuid.uuid4().hex}"
+    return shared.scratch(spark, "streams")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
