@@ -362,7 +362,7 @@ def month_day_date(c: Column) -> Column:
 
 def byline_names(c: Column) -> Column:
     """Names of ``Written by: A, B & C``; parts of two characters or fewer are none."""
-    text = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"(?i)written\s*(by\s*)?:?\s*", ""), r"<[^>]+>|\s+", " ")
+    text = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("&amp;"), F.lit("&")), r"(?i)written\s*(by\s*)?:?\s*", ""), r"(?:<[^>]+>|\s)+", " ")
     return F.coalesce(F.filter(F.transform(F.split(text, r"[,&]|\s+and\s+"), lambda a: F.trim(a)), lambda a: F.length(a) > 2), F.array().cast("array<string>"))
 
 

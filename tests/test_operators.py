@@ -1,12 +1,17 @@
 """Invariants of the operators on small inputs made by hand."""
 
+import json
 import math
+import random
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from citemill.functions import text as X
 from citemill.operators import analytics, coupling, merging, metrics, parsing, routing, scoring, search
+from citemill.operators.ordered import running
 from citemill.sources import readers
 
 
@@ -48,10 +53,12 @@ def test_coupling_groups_separate(spark):
     got = edges.collect()
     assert len(got) == 30 and all(r.shared in (2, 3) for r in got)
     assert {round(r.weight, 6) for r in got} == {round(2 * math.log(13 / 6), 6), round(3 * math.log(13 / 6), 6)}
-    groups = {}
-    for r in coupling.communities(edges).collect():
-        groups.setdefault(r.community, set()).add(r.id)
-    assert sorted(map(sorted, groups.values())) == [list(range(6)), list(range(10, 16))]
+    for most in (coupling.MOST_EDGES, 1):  # in one place, and by rounds of joins
+        groups = {}
+        for r in coupling.communities(edges, most_edges=most).collect():
+            groups.setdefault(r.community, set()).add(r.id)
+        assert sorted(map(sorted, groups.values())) == [list(range(6)), list(range(10, 16))]
+    assert coupling.communities(edges.where("false")).count() == 0
 
 
 def test_one_shared_reference_makes_no_edge(spark):
@@ -163,3 +170,197 @@ def test_nulls_and_empty_tables(spark):
     assert coupling.coupling_edges(none.select("id", "ref"), 2, 5, 2).count() == 0
     df = spark.createDataFrame([(None,), ("",)], "t string")
     assert df.select(X.tokens(F.col("t")), X.dois_in(F.col("t")), X.strip_tags(F.col("t")), X.head_and_tail(F.col("t"), 5)).count() == 2
+
+
+def test_communities_by_rounds_are_about_as_good(spark):
+    """Planted groups with noise: modularity of the joined rounds against that of moving one node at a time."""
+    rng = random.Random(3)
+    data = [(a, b, 1.0 + rng.random()) for a in range(120) for b in range(a + 1, 120) if rng.random() < (0.5 if a // 20 == b // 20 else 0.02)]
+    edges = spark.createDataFrame(data, "a long, b long, weight double")
+
+    def quality(most):
+        of = {r.id: r.community for r in coupling.communities(edges, most_edges=most).collect()}
+        total, deg = 2 * sum(w for *_, w in data), {}
+        for a, b, w in data:
+            deg[a], deg[b] = deg.get(a, 0) + w, deg.get(b, 0) + w
+        within = {}
+        for v, c in of.items():
+            within[c] = within.get(c, 0) + deg[v]
+        return 2 * sum(w for a, b, w in data if of[a] == of[b]) / total - sum(x * x for x in within.values()) / total**2
+
+    assert quality(1) > 0.97 * quality(coupling.MOST_EDGES) > 0.5
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    data = [(g, x, rng.randrange(9)) for g in "ab" for x in rng.sample(range(5000), 700)]
+    df = spark.createDataFrame(data, "g string, x long, n long")
+    got = {(r.g, r.x): r.before for r in running(df, -F.col("x"), {"before": "n"}, ["g"]).collect()}
+    assert got == {(g, x): sum(n for h, y, n in data if h == g and y > x) for g, x, _ in data}
+    assert running(df.where("false"), F.col("x"), {"before": "n"}).count() == 0
+
+
+def test_folds_are_stratified_and_unseen(spark):
+    data = [(i, f"g{i % 7}", int(i % 4 == 0)) for i in range(203)] + [(500, "alone", 1)]
+    rows_ = metrics.out_of_fold_prior(metrics.folds(spark.createDataFrame(data, "id long, grp string, y int"), "id", "y"), "grp", "y").collect()
+    assert len(rows_) == len(data)
+    for y in (0, 1):
+        sizes = [sum(r.fold == f and r.y == y for r in rows_) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    for r in rows_:
+        rest = [x for x in rows_ if x.fold != r.fold]
+        rate = sum(x.y for x in rest) / len(rest)
+        own = [x.y for x in rest if x.grp == r.grp]
+        assert r.oof == pytest.approx((sum(own) + 5 * rate) / (len(own) + 5))
+
+
+def test_chance_baselines(spark):
+    df = spark.createDataFrame([("a",)] * 600 + [("b",)] * 300 + [("c",)] * 100, "g string")
+    for uniform, p in ((False, (0.6, 0.3, 0.1)), (True, (1 / 3,) * 3)):
+        want = sum(2 * n * q / (n + 1000 * q) for n, q in zip((600, 300, 100), p, strict=True)) / 3
+        assert metrics.random_baseline(df, "g", ["a", "b", "c"], 400, 42, uniform).first()[0] == pytest.approx(want, abs=0.004)
+
+
+def test_isotonic_pools_adjacent_violators(spark):
+    df = spark.createDataFrame([(i, float(i), y) for i, y in enumerate([0, 0, 1, 0, 1, 1, 0, 1])], "id int, s double, y int")
+    got = [r.calibrated for r in metrics.isotonic(df, "s", "y").orderBy("id").collect()]
+    assert got == pytest.approx([0, 0, 0.5, 0.5, 2 / 3, 2 / 3, 2 / 3, 1])
+
+
+def test_platt_fit(spark):
+    """At the maximum of the likelihood, residuals sum to nothing and don't lean on the margin."""
+    rng = random.Random(1)
+    data = [(m := rng.uniform(-3, 3), int(rng.random() < 1 / (1 + math.exp(-(1.4 * m - 0.5))))) for _ in range(1500)]
+    a, b = scoring.platt(spark.createDataFrame(data, "m double, y int"), "m", "y")
+    rest = [y - 1 / (1 + math.exp(-(a * m + b))) for m, y in data]
+    assert abs(sum(rest)) < 0.1 and abs(sum(r * m for r, (m, _) in zip(rest, data, strict=True))) < 0.1 and 1.1 < a < 1.7
+
+
+def test_search_plans():
+    stop, generic = {"the", "and", "von"}, set(search.GENERIC_TERMS)
+    context = "## Fokus\n- post-digital practices\n## Schlüsselbegriffe\n- glitch art\n- x\n## Unknown\n- hidden\n## Offene Anschlussstellen\n- missing bodies"
+    plan = scoring.search_plan("Which criticism: counter 2020 positions?", stop, generic, context)
+    assert plan == {"intent": "counter", "phrases": ["post-digital practices", "missing bodies", "glitch art"], "terms": ["post", "digital", "practices", "missing", "bodies", "glitch", "art", "which", "criticism", "counter", "positions"][:1] + ["practices", "missing", "bodies", "glitch", "which", "criticism", "counter", "positions", "digital", "art"]}
+    assert scoring.search_intent("Welche Artikel sind da?") == "relevant" and scoring.search_intent("zzz") == "general"
+    assert scoring.search_plan("digital art", stop, generic)["terms"] == ["digital", "art"]
+    thin = scoring.argument_plan("Glitch bodies", "general", stop, generic, context)
+    assert thin["terms"][:2] == ["glitch", "bodies"] and "missing" in thin["terms"] and len(thin["terms"]) <= 10 and thin["phrases"] == ["Glitch bodies"]
+    many = " ".join(f"term{chr(97 + i)}" for i in range(12)) + " art culture media"
+    assert scoring.argument_plan(many, "general", stop, generic)["terms"] == [f"term{chr(97 + i)}" for i in range(8)] + ["art", "culture"]
+
+
+def test_greedy_motifs(spark):
+    df = spark.createDataFrame([("a", "b", 9.0), ("b", "a", 8.0), ("b", None, 7.5), ("c", None, 7.0), ("c", "d", 6.0), ("e", "a", 5.0), ("f", None, 4.0), ("g", None, 3.0)], "token string, mate string, score double")
+    assert analytics.greedy_motifs(df) == ["a b", "c", "a e", "f"]
+
+
+def test_profile_fit_and_route(spark):
+    src = spark.createDataFrame([("s", "red gears"), ("s", "x"), ("t", "unlike")], "source string, topic string")
+    fit = {r.source: (r.fit, r.tier) for r in scoring.profile_fit(src, [("red gears", 3.0), ("blue ring", 1.0)]).collect()}
+    assert fit["s"] == (75.0, "A") and fit["t"][1] == "C"
+    r = spark.range(1).select(scoring.route(F.lit(80.0), F.lit(50.0), F.lit(200.0)).alias("r"), scoring.route(F.lit(10.0), F.lit(20.0), F.lit(10.0)).alias("q")).first()
+    assert (r.r.score, r.r.depth, r.q.score, r.q.depth) == (86.0, "deep", 12.0, "medium")
+
+
+def test_similarity_by_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(5)]
+    a, b = [(i, vec(), f"t{i % 4}") for i in range(60)], [(100 + i, vec(), f"t{i % 4}") for i in range(30)] + [(99, [0.0] * 5, "z")]
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / max(math.hypot(*x) * math.hypot(*y), 1e-12)
+    rows_, own = spark.createDataFrame(a, "id long, v array<double>, title string"), spark.createDataFrame(b, "near long, u array<double>, near_title string").repartition(3)
+    want = {i: sorted((-round(cos(v, u), 6), n) for n, u, name in b if name != t)[:3] for i, v, t in a}
+    got = {}
+    for r in scoring.nearest(rows_, own, 3).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((-round(r.sim, 6), r.near))
+    assert got == want
+    f = {r.id: r for r in scoring.similarity_features(rows_, own, (0.2,)).collect()}
+    for i, v, _ in a:
+        sims = sorted((cos(v, u) for _, u, _ in b), reverse=True)
+        assert (f[i].top, f[i].mean, f[i].top_mean) == pytest.approx((sims[0], sum(sims) / 31, sum(sims[:5]) / 5)) and f[i].above_20 == sum(x >= 0.2 for x in sims)
+
+
+def test_centroid_features(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 2.0])], "id int, v array<double>")
+    got = {r.id: (round(r.nearest, 6), round(r.spread, 6), r.cluster, r.n_high) for r in scoring.centroid_features(df, "v", [[2.0, 0.0], [0.0, 1.0]]).collect()}
+    assert got == {1: (1.0, 1.0, 0, 1), 2: (0.707107, 0.0, 0, 2), 3: (1.0, 1.0, 1, 1)}
+
+
+def test_archives_hold_raw_columns_only(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "v", 2.0), (None, "b", "v", 1.0), (3, None, None, None)], "id long, title string, verdict string, cost double").repartition(2)
+    made = readers.export_archive(df, f"file://{tmp_path}/out")
+    assert sum(r["count"] for r in made.collect()) == 3
+    for r in made.collect():
+        with zipfile.ZipFile(r.path.removeprefix("file://")) as z:
+            assert sorted(z.namelist()) == ["articles.jsonl", "manifest.json"]
+            assert json.loads(z.read("manifest.json"))["article_count"] == r["count"] and b"verdict" not in z.read("articles.jsonl")
+    back = readers.import_archive(made, df.select("id", "title").schema, spark.createDataFrame([(3,)], "id long"), "id")
+    assert sorted(((r.id, r.title, r.outcome) for r in back.collect()), key=str) == sorted([(1, "a", "created"), (None, "b", "skipped"), (3, None, "updated")], key=str)
+    with zipfile.ZipFile(f"{tmp_path}/bad.zip", "w") as z:
+        z.writestr("other", "x")
+    with pytest.raises(Exception, match=r"articles\.jsonl"):
+        readers.zip_lines(spark.createDataFrame([(f"file://{tmp_path}/bad.zip",)], "path string")).count()
+
+
+def test_scraper_strategies(spark):
+    art = lambda t: f"<li><b>{t}</b></li>"
+    pages = spark.createDataFrame([("http://p/l", art("one")), ("http://p/l/page/2", art("two")), ("http://p/l/page/3", "<p>none"), ("http://p/l/page/4", art("four"))], "url string, body string")
+    config = {"strategy": "paginated", "start": "http://p/l", "pagination": {"type": "url_suffix", "max_pages": 9}, "container": "li", "title": "b"}
+    assert sorted(r.title for r in readers.scrape(pages, "url", "body", config).collect()) == ["one", "two"]
+    assert [r.title for r in readers.scrape(pages, "url", "body", {"start": "http://p/l/page/4", "container": "li", "title": "b"}).collect()] == ["four"]
+    assert readers.page_urls({"start": "http://p/?a=1", "pagination": {"max_pages": 99}})[-1] == "http://p/?a=1&page=20"
+    issues = spark.createDataFrame([("http://q/all", "<a href='/i/1'>No 1 (2019)</a><a href='/i/2'>No 2 (2021)</a><a href='i/3'>No 3</a><a>x</a>"), ("http://q/i/1", art("old")), ("http://q/i/2", art("new")), ("http://q/i/3", art("undated"))], "url string, body string")
+    config = {"strategy": "issue_list", "issues": {"url": "http://q/all", "link_selector": "a"}, "container": "li", "title": "b", "since": 2020}
+    assert sorted((r.title, r.issue) for r in readers.scrape(issues, "url", "body", config).collect()) == [("new", "No 2 (2021)"), ("undated", "No 3")]
+    for wrong in ({"strategy": "paginated"}, {"strategy": "issue_list"}, {"strategy": "issue_list", "issues": {"url": "u"}}, {"strategy": "other"}):
+        with pytest.raises(ValueError):
+            readers.check_config({"container": "li", "title": "b"} | wrong)
+
+
+def test_dates_and_bylines(spark):
+    dates = {"Mar 17, 2026": "2026-03-17", "December 1 2020": "2020-12-01", "Foo 2, 2021": "2021-01-02", "in 2019": "2019", "no date": ""}
+    assert {t: one(spark, readers.month_day_date(F.col("a")), a=t) for t in dates} == dates
+    assert one(spark, readers.byline_names(F.col("a")), a="Written by: Ada One, Bo Two &amp; Cy <b>Three</b> and X") == ["Ada One", "Bo Two", "Cy Three"]
+    assert one(spark, readers.byline_names(F.col("a")), a=None) == []
+
+
+def test_html_connector(spark):
+    pages = spark.createDataFrame([("http://h/a", "<article><h1>T</h1><p>one</p><p>two</p></article><article><p>no title</p></article>"), ("http://h/b", None)], "url string, body string")
+    out = readers.reader_for({"type": "html", "container": "article", "title": "h1", "abstract": "p"})(pages).collect()
+    assert [(r.title, r.url, r.abstract) for r in out] == [("T", "http://h/a", "one")]
+
+
+def test_works_filter():
+    assert readers.works_filter("issn:1234-567x", "2024-03-01", 30) == ("primary_location.source.issn:1234-567X", "2024-01-31", None)
+    assert readers.works_filter("https://host/S42", "2024-03-01", since=2020, until=2021) == ("primary_location.source.id:S42", "2020-01-01", "2021-12-31")
+    with pytest.raises(ValueError):
+        readers.works_filter("nothing", "2024-03-01")
+
+
+def test_document_texts_by_kind(spark):
+    stream = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(wor) Tj (ld\\)) Tj 0 -14 Td [(Se) -20 (cond)] TJ T* <4869> Tj ET")
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 99 /Filter /FlateDecode >>\nstream\n" + stream + b"\nendstream\nendobj\n<< /X 1 >>\nstream\nnothing\nendstream"
+    files = [("/a.pdf", pdf), ("/b.docx", b"no zip"), ("/c.txt", "ü".encode()), ("/d.pdf", b"%PDF"), ("/e.txt", None)]
+    got = {r.path: (r.text, r.status) for r in readers.document_texts(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got["/b.docx"] == (None, "failed: BadZipFile") and got["/c.txt"] == ("ü", "ok") and got["/e.txt"] == ("", "ok")
+    try:
+        import pypdf  # noqa: F401
+    except ImportError:
+        assert got["/a.pdf"] == ("Hello (world)\nSecond\nHi", "ok") and got["/d.pdf"] == (None, "no text")
+
+
+def test_label_keys(spark):
+    keys = {"see **van der Berg** (2001), p. 3": "van der berg:2001", "Source: *Smith* (1999)": "smith:1999"}
+    assert {k: one(spark, parsing.source_key(F.col("a")), a=k) for k in keys} == keys
+
+
+def test_degenerate(spark):
+    texts = {"x" * 40: False, "y" + "x" * 41: True, " " * 41: True, "\n" * 50: False, "go " * 8: True, "go " * 7: False, "a b " * 20: False, "": False}
+    assert {t: one(spark, X.degenerate(F.col("a")), a=t) for t in texts} == texts
+
+
+def test_inverted_index_round_trip(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "c"],), ([],), (["x"],)], "w array<string>")
+    got = df.select(parsing.inverted_index(F.col("w")).alias("e"), parsing.rebuilt(parsing.inverted_index(F.col("w"))).alias("t")).collect()
+    assert [(x.word, x.positions) for x in got[0].e] == [("a", [1]), ("b", [0, 2]), ("c", [3])] and [r.t for r in got] == ["b a b c", "", "x"]
+    clash = spark.range(1).select(parsing.rebuilt(F.expr("array(struct('a' AS word, array(0, 1) AS positions), struct('b' AS word, array(1) AS positions))")))
+    assert clash.first()[0] == "a b"
