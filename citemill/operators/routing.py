@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citemill.operators.ordered import running
 from citemill.views import VERDICTS
 
 
@@ -31,12 +32,18 @@ def cascade(rows: DataFrame, stages: list[tuple[str, Column]], last: str) -> Dat
     return rows.withColumn("stage", stage.otherwise(last) if stage is not None else F.lit(last))
 
 
-def cost_breaker(rows: DataFrame, order: list[str], cost: str, limit: float, least: int = 3, by: str | None = None) -> DataFrame:
-    """Rows that still run: before each, cost so far and its mean must stay within the limit, once ``least`` have run."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent, n = F.coalesce(F.sum(cost).over(w), F.lit(0.0)), F.count("*").over(w)
-    over = (n >= least) & (spent + spent / n > limit)
-    return rows.withColumn("runs", ~over)
+def cost_breaker(rows: DataFrame, time: str, key: str, cost: str, limit: float, least: int = 3, by: list[str] | None = None) -> DataFrame:
+    """Rows that still run, in the order of time and key: before each, cost so far and its mean must stay within the limit, once ``least`` have run.
+
+    Sums run over points of time, then inside rows of one time, so a long ledger isn't in one task.
+    """
+    by = by or []
+    per = rows.groupBy(*by, time).agg(F.sum(cost).alias("_cost"), F.count("*").alias("_n"))
+    before = running(per, F.unix_micros(F.col(time).cast("timestamp")), {"_spent": "_cost", "_ran": "_n"}, by).drop("_cost", "_n")
+    w = Window.partitionBy(*by, time).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(before, [*by, time])
+    spent, n = F.col("_spent") + F.coalesce(F.sum(cost).over(w), F.lit(0.0)), F.col("_ran") + F.count("*").over(w)
+    return out.withColumn("runs", ~((n >= least) & (spent + spent / n > limit))).drop("_spent", "_ran")
 
 
 def blind_sample(rows: DataFrame, key: str, bucket: Column, quota: int, seed: int) -> DataFrame:

@@ -67,12 +67,12 @@ def ranked(rows: DataFrame, score: str, verdict: str, key: str, k: int) -> DataF
     return rows.where(F.col(score) > 0).orderBy((F.col(verdict) == "ignorieren").asc(), F.desc(F.round(score, 6)), key).limit(k)
 
 
-def top_per_unit(rows: DataFrame, text: str, key: str, units: DataFrame, k: int) -> DataFrame:
-    """(unit, key, hits): the ``k`` rows of each argument unit with most of its terms; ``units`` (unit, terms) is a short list of a question's parts."""
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col(text)), t)))
-    # the units of one question are a handful; what grows is split among tasks
-    scored = rows.join(F.broadcast(units), F.lit(True)).withColumn("hits", hits).where("hits > 0")
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("hits"), key))).where(F.col("r") <= k).select("unit", key, "hits")
+def top_per_unit(rows: DataFrame, text: str, key: str, units: dict[str, list[str]], k: int) -> DataFrame:
+    """(unit, key, hits): the ``k`` rows of each argument unit with most of its terms; the units of a question are literals of the plan."""
+    low = F.lower(F.col(text))
+    scores = F.array(*[F.struct(F.lit(u).alias("unit"), F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))).alias("hits")) for u, terms in units.items()])
+    scored = rows.select(key, F.explode(F.filter(scores, lambda x: x["hits"] > 0)).alias("x")).select("x.unit", key, "x.hits")
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("hits"), key))).where(F.col("r") <= k).drop("r")
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:

@@ -45,7 +45,7 @@ def d04(s: SparkSession, d: str) -> DataFrame:
 @query("d05_argument_units", f"""WITH {V.WORK}, u(unit, terms) AS (VALUES ('a', ['ring', 'red', 'brand#1']), ('b', ['bolt', 'small', 'brand#2'])), s AS (SELECT unit, ref, len(list_filter(terms, lambda t: contains(lower(title || ' ' || brand), t))) AS hits FROM work, u),
 r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY hits DESC, ref) AS r FROM s WHERE hits > 0) SELECT unit, ref, CAST(hits AS INT) AS hits FROM r WHERE r <= 25""")
 def d05(s: SparkSession, d: str) -> DataFrame:
-    units = s.createDataFrame([("a", ["ring", "red", "brand#1"]), ("b", ["bolt", "small", "brand#2"])], "unit string, terms array<string>")
+    units = {"a": ["ring", "red", "brand#1"], "b": ["bolt", "small", "brand#2"]}
     return S.top_per_unit(V.works(s, d).withColumn("t", F.concat_ws(" ", "title", "brand")), "t", "ref", units, 25)
 
 

@@ -57,7 +57,7 @@ def i06(s: SparkSession, d: str) -> DataFrame:
 
 @query("i07_cost_breaker", f"WITH {V.CALL}, r AS (SELECT endpoint, id, coalesce(sum(cost) OVER w, 0) AS spent, count(*) OVER w AS n FROM call WINDOW w AS (PARTITION BY endpoint ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT endpoint, count(*) AS ran FROM r WHERE NOT (n >= 3 AND spent + spent / n > 5000) GROUP BY 1")
 def i07(s: SparkSession, d: str) -> DataFrame:
-    return R.cost_breaker(V.calls(s, d), ["ts", "id"], "cost", 5000.0, by="endpoint").where("runs").groupBy("endpoint").agg(F.count("*").alias("ran"))
+    return R.cost_breaker(V.calls(s, d), "ts", "id", "cost", 5000.0, by=["endpoint"]).where("runs").groupBy("endpoint").agg(F.count("*").alias("ran"))
 
 
 @query("i08_available_now_job", f"WITH {V.CALL} SELECT strftime(ts, '%Y-%m-%d') AS day, endpoint, count(*) AS calls FROM call GROUP BY 1, 2")
