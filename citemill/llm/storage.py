@@ -8,26 +8,12 @@ manifest, so a repeated task or a lost executor leaves no half-written input.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; it is set, for this session, where it is unset."""
-    uri = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not uri:
-        uri = spark.sparkContext.getCheckpointDir()
-    if not uri:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        uri = "file://" + tempfile.mkdtemp(prefix="citemill-")
-        spark.sparkContext.setCheckpointDir(uri)
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return (uri if "://" in uri else "file://" + uri).rstrip("/")
+from citemill.shared import shared_dir
 
 
 class Made:
