@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from citemill.operators.ordered import running
+from citemill.operators.parsing import inverted_index
 from citemill.shared import scratch
 
 # fixed values: thresholds of the coupling scores
@@ -76,19 +77,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def grams(rows: DataFrame) -> DataFrame:
-    """(id, term, w): words of two letters or more and their pairs in ``text``, with 1 + ln of how often they occur."""
+    """(id, term, w): words of two letters or more and their pairs in ``text``, each once a row, with 1 + ln of how often it has them.
+
+    Terms are counted inside the row, so they are not shuffled for that.
+    """
     t = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("t"))
     n = F.greatest(F.size("t") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("t", F.lit(1), n), F.slice("t", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = t.select("id", F.explode(F.concat("t", pairs)).alias("term"))
-    return terms.groupBy("id", "term").agg((1 + F.log(F.count("*"))).alias("w"))
+    terms = t.select("id", F.explode(inverted_index(F.concat("t", pairs))).alias("e"))
+    return terms.select("id", F.col("e.word").alias("term"), (1 + F.log(F.size("e.positions"))).alias("w"))
 
 
 def tfidf_similarity(rows: DataFrame, own: DataFrame, most: float = 0.95) -> DataFrame:
     """(id, score): the maximal cosine of each text to the own ones; both sides have id, text.
 
     Terms and their weights, ln((1 + n) / (1 + df)) + 1, are those of the own texts; terms of more than
-    ``most`` of them are left out.  A text without any of the terms scores 0.
+    ``most`` of them are left out.  A text without any of the terms scores 0.  Ids are of one row each.
     """
     theirs = grams(own)
     n = own.agg(F.count("*").alias("n_own"))  # one row

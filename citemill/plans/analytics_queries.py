@@ -128,7 +128,12 @@ def f11(s: SparkSession, d: str) -> DataFrame:
     return m.join(A.companions(tk, m, mates), "token", "left").select("token", "articles", F.round("lift", 5).alias("lift"), "mate", "together")
 
 
-@query("f11_motif_choice")
+@query("f11_motif_choice", f"""WITH RECURSIVE {_TOK}, {_MOTIF}, y AS (SELECT tk.* FROM tk JOIN g USING (token), n WHERE (a::DOUBLE / nc) / ((b + 1)::DOUBLE / (nb + 1)) >= 1.8),
+p AS (SELECT x.token, y.token AS mate, m.articles, count(*) AS t FROM tk x JOIN m ON m.token = x.token JOIN y ON x.id = y.id AND x.token <> y.token GROUP BY ALL HAVING count(*) >= 0.4 * m.articles),
+b AS (SELECT token, max_by(mate, (t, mate)) AS mate FROM p GROUP BY 1), k AS (SELECT list_filter([token, mate], lambda w: w IS NOT NULL) AS ws, row_number() OVER (ORDER BY articles * lift DESC, token) AS i FROM m LEFT JOIN b USING (token)),
+r(rank, i, taken) AS (SELECT 0, CAST(0 AS BIGINT), CAST([] AS VARCHAR[][]) UNION ALL
+  SELECT rank + 1, k.i, list_append(taken, ws) FROM r, k WHERE rank < 4 AND k.i = (SELECT min(z.i) FROM k z WHERE len(list_filter(r.taken, lambda c: list_has_all(c, z.ws) OR list_has_all(z.ws, c))) = 0))
+SELECT rank, array_to_string(list_sort(taken[-1]), ' ') AS motif FROM r WHERE rank > 0""")
 def f11g(s: SparkSession, d: str) -> DataFrame:
     tk = _tokens(s, d)
     m, mates = A.motifs(tk, F.col("id") % 4 == 0), A.motifs(tk, F.col("id") % 4 == 0, 1, 0, 1.8)

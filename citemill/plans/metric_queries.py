@@ -48,7 +48,10 @@ def h05(s: SparkSession, d: str) -> DataFrame:
     return M.calibration(X(s, d), "s", "y").select(R6(F.col("ece"), "ece"), R6(F.col("brier"), "brier"))
 
 
-@query("h06_isotonic_calibration")
+# the fit at a score is the largest, over starts up to it, of the smallest mean of a stretch that ends from there on
+@query("h06_isotonic_calibration", f"""WITH {V.SCORED}, p AS (SELECT s, sum(y) AS sy, count(*) AS n, row_number() OVER (ORDER BY s) AS i FROM scored GROUP BY s), c AS (SELECT *, sum(sy) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM p),
+m AS (SELECT a.i AS j, b.i AS k, (b.cy - a.cy + a.sy)::DOUBLE / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.i <= b.i), w AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM m),
+f AS (SELECT i, max(v) AS v FROM w GROUP BY i) SELECT id, round(v, 6) AS calibrated FROM scored JOIN p USING (s) JOIN f USING (i)""")
 def h06(s: SparkSession, d: str) -> DataFrame:
     return M.isotonic(X(s, d), "s", "y").select("id", R6(F.col("calibrated"), "calibrated"))
 

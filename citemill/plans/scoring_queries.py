@@ -191,7 +191,10 @@ def g18(s: SparkSession, d: str) -> DataFrame:
     return j.groupBy("id").agg(R6(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))), "score"))
 
 
-@query("g18_tfidf_scores")
+@query("g18_tfidf_scores", r"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents), g AS (SELECT id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
+n AS (SELECT id, term, 1 + ln(count(*)) AS w FROM g GROUP BY 1, 2), o AS (SELECT count(*) AS k FROM documents WHERE doc_id % 50 = 0), f AS (SELECT term, count(*) AS df FROM n WHERE id % 50 = 0 GROUP BY 1), v AS (SELECT term, ln((1 + k)::DOUBLE / (1 + df)) + 1 AS idf FROM f, o WHERE df <= 0.95 * k),
+x AS (SELECT id, term, w * idf AS x FROM n JOIN v USING (term)), l AS (SELECT id, sqrt(sum(x * x)) AS m FROM x GROUP BY id), d AS (SELECT a.id, b.id AS near, sum(a.x * b.x) AS dot FROM x a JOIN x b ON a.term = b.term AND b.id % 50 = 0 GROUP BY 1, 2),
+s AS (SELECT d.id, max(dot / (p.m * q.m)) AS score FROM d JOIN l p ON p.id = d.id JOIN l q ON q.id = near GROUP BY 1) SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN s ON s.id = doc_id""")
 def g18t(s: SparkSession, d: str) -> DataFrame:
     docs = T(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     scores = S.tfidf_similarity(docs, docs.where("id % 50 = 0"))  # the own works' texts, as authors whose number divides by 50 are own
