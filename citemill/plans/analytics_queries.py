@@ -302,9 +302,9 @@ def f35(s: SparkSession, d: str) -> DataFrame:
     return V.scored(s, d).groupBy(F.when(x < 0.25, "low").when(x < 0.75, "mid").otherwise("high").alias("bucket")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), F.round(F.avg("y"), 6).alias("share"))
 
 
-@query("f36_author_count_network", f"""WITH {V.ART}, {V.REF}, {AR}, g AS (SELECT cluster, ref, count(DISTINCT author) AS authors, count(*) AS freq FROM ar WHERE author % 10 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY authors DESC, freq DESC, ref) AS r FROM g) SELECT cluster, ref, authors, freq FROM r WHERE r <= 50""")
+@query("f36_author_count_network", f"""WITH {V.ART}, {V.REF}, {AR}, g AS (SELECT cluster, ref, count(DISTINCT author) AS authors, count(*) AS freq FROM ar GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY authors DESC, freq DESC, ref) AS r FROM g) SELECT cluster, ref, authors, freq FROM r WHERE r <= 50""")
 def f36(s: SparkSession, d: str) -> DataFrame:
-    g = art_refs(s, d).where("author % 10 = 0").groupBy("cluster", "ref").agg(F.countDistinct("author").alias("authors"), F.count("*").alias("freq"))
+    g = art_refs(s, d).groupBy("cluster", "ref").agg(F.countDistinct("author").alias("authors"), F.count("*").alias("freq"))
     return g.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("authors"), F.desc("freq"), "ref"))).where("r <= 50").drop("r")
 
 

@@ -172,13 +172,14 @@ def e17(s: SparkSession, d: str) -> DataFrame:
     return M.similar_names(files, "ref", "name")
 
 
-@query("e18_shared_author_probe", f"""WITH {V.ART}, {V.REF}, a AS (SELECT DISTINCT author, ref FROM ref JOIN art USING (id)), y AS (SELECT author, count(DISTINCT year) AS years FROM art GROUP BY author), p AS (SELECT x AS l, x + 1 AS r FROM (SELECT DISTINCT author AS x FROM art WHERE author % 30 = 0))
-SELECT l, r, (SELECT count(*) FROM (SELECT ref FROM a WHERE author = l INTERSECT SELECT ref FROM a WHERE author = r)) AS shared, (SELECT count(*) FROM (SELECT ref FROM a WHERE author = l EXCEPT SELECT ref FROM a WHERE author = r)) AS only_l, coalesce(y.years, 0) AS years_l FROM p LEFT JOIN y ON y.author = l""")
+@query("e18_shared_author_probe", f"""WITH {V.ART}, {V.REF}, a AS (SELECT DISTINCT author, ref FROM ref JOIN art USING (id)), y AS (SELECT author, count(DISTINCT year) AS years FROM art GROUP BY author), p AS (SELECT DISTINCT author AS l, author + 1 AS r FROM art),
+n AS (SELECT author, count(*) AS n FROM a GROUP BY author), k AS (SELECT x.author AS l, count(*) AS shared FROM a x JOIN a y ON y.author = x.author + 1 AND y.ref = x.ref GROUP BY x.author)
+SELECT p.l, p.r, coalesce(shared, 0) AS shared, coalesce(n.n, 0) - coalesce(shared, 0) AS only_l, coalesce(y.years, 0) AS years_l FROM p LEFT JOIN k ON k.l = p.l LEFT JOIN n ON n.author = p.l LEFT JOIN y ON y.author = p.l""")
 def e18(s: SparkSession, d: str) -> DataFrame:
     art = V.articles(s, d)
     refs = V.references(s, d).join(art.select("id", "author"), "id").select("author", "ref").distinct()
     years = art.groupBy("author").agg(F.countDistinct("year").alias("years_l"))
-    pairs = art.select(F.col("author").alias("l")).where("l % 30 = 0").distinct().withColumn("r", F.col("l") + 1)
+    pairs = art.select(F.col("author").alias("l")).distinct().withColumn("r", F.col("l") + 1)
     return M.probe(pairs, refs).join(years, F.col("l") == F.col("author"), "left").select("l", "r", "shared", "only_l", F.coalesce("years_l", F.lit(0)).alias("years_l"))
 
 
