@@ -201,9 +201,13 @@ def reachable(links: DataFrame, count: int) -> DataFrame:
     ``count`` is the number of files; one that doesn't begin with a record, or whose chain ends
     before the file does, is an error.
     """
-    jumps = storage.cut(links, "warc-links")
-    if jumps.where("at = 0").count() < count:
+    links = storage.cut(links, "warc-links")
+    if links.where("at = 0").count() < count:
         raise ValueError("an archive doesn't begin with a record")
+    # only places where a chain can come in from another block take part from here on: one or a few a block
+    entries = links.select("file", F.col("exit").alias("at")).distinct()
+    jumps = links.join(entries, ["file", "at"], "left_semi").unionByName(links.where("at = 0")).distinct()
+    jumps = storage.cut(jumps, "warc-jumps")
     reach, known = jumps.where("at = 0").select("file", "at", "size"), -1
     reach = storage.cut(reach, "warc-reach")
     while (n := reach.count()) > known:
@@ -211,7 +215,7 @@ def reachable(links: DataFrame, count: int) -> DataFrame:
         step = reach.join(jumps.select("file", "at", "exit"), ["file", "at"]).select("file", F.col("exit").alias("at"), "size")
         reach = storage.cut(reach.unionByName(step).distinct(), "warc-reach")
         far = jumps.select("file", F.col("at").alias("exit"), F.col("exit").alias("further"))
-        jumps = storage.cut(jumps.join(far, ["file", "exit"], "left").select("file", "size", "at", F.coalesce("further", "exit").alias("exit")), "warc-links")
+        jumps = storage.cut(jumps.join(far, ["file", "exit"], "left").select("file", "size", "at", F.coalesce("further", "exit").alias("exit")), "warc-jumps")
     files = reach.groupBy("file").agg(F.max("at").alias("at"), F.first("size").alias("size"))
     if bad := [r.file for r in files.where("at <> size").limit(5).collect()]:
         raise ValueError(f"chains of records break off in {bad}")
