@@ -36,9 +36,9 @@ def term_key(label: Column) -> Column:
 
 def inverted_index(words: Column) -> Column:
     """array of struct(word, positions) of an array of words, by one sort inside the row."""
-    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("p"))))
+    pairs = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("p"))))
     head = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["word"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["word"]))
-    entry = lambda s, a, b: F.struct(F.element_at(s, a)["word"].alias("word"), F.transform(F.slice(s, a, b - a), lambda x: x["p"]).alias("positions"))
+    entry = lambda s, a, b: F.struct(F.element_at(s, a)["word"].alias("word"), F.transform(F.sequence(a, b - 1), lambda i: F.element_at(s, i)["p"]).alias("positions"))
     # one-element arrays name what the next step uses twice, so that it is worked out once
     sorted_ = F.transform(F.array(pairs), lambda s: F.struct(s.alias("s"), F.when(F.size(s) > 0, head(s)).otherwise(F.array().cast("array<int>")).alias("h")))
     runs = F.transform(sorted_, lambda x: F.transform(x["h"], lambda a, i: entry(x["s"], a, F.coalesce(F.get(x["h"], i + 1), F.size(x["s"]) + 1))))
@@ -47,7 +47,7 @@ def inverted_index(words: Column) -> Column:
 
 def rebuilt(entries: Column) -> Column:
     """The text of struct(word, positions) entries, words in the order of their positions; of two words at one place the later wins."""
-    pairs = F.array_sort(F.flatten(F.transform(entries, lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("p"), e["word"].alias("w"))))))
+    pairs = F.sort_array(F.flatten(F.transform(entries, lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("p"), e["word"].alias("w"))))))
     kept = F.transform(F.array(pairs), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["p"] != x["p"], F.lit(True))))
     return F.array_join(F.transform(F.element_at(kept, 1), lambda x: x["w"]), " ")
 

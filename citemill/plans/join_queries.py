@@ -112,9 +112,8 @@ def e10(s: SparkSession, d: str) -> DataFrame:
 @query("e11_title_equivalence", f"""WITH {V.WORK}, t AS (SELECT ref, string_split(lower(title || ' for ' || topic || ' ' || brand || ' ' || size), ' ') AS w FROM work)
 SELECT a.ref AS a, b.ref AS b FROM t a JOIN t b ON a.ref < b.ref AND a.w[1] = b.w[1] WHERE a.w[1:5] = b.w[1:5] OR (len(list_intersect(a.w, b.w)) >= 4 AND len(list_intersect(a.w, b.w)) >= 0.7 * least(len(list_distinct(a.w)), len(list_distinct(b.w))))""")
 def e11(s: SparkSession, d: str) -> DataFrame:
-    t = V.works(s, d).select("ref", F.split(F.lower(F.concat_ws(" ", "title", F.lit("for"), "topic", "brand", F.col("size").cast("string"))), " ").alias("w"))
-    a, b = t.select(F.col("ref").alias("a"), F.col("w").alias("wa"), F.element_at("w", 1).alias("k")), t.select(F.col("ref").alias("b"), F.col("w").alias("wb"), F.element_at("w", 1).alias("k"))
-    return a.join(b, "k").where("a < b").where(M.same_title(F.col("wa"), F.col("wb"))).select("a", "b")
+    w = F.split(F.lower(F.concat_ws(" ", "title", F.lit("for"), "topic", "brand", F.col("size").cast("string"))), " ")
+    return M.equal_titles(V.works(s, d).select("ref", w.alias("w")), "ref", "w")
 
 
 @query("e12_abbreviation_match", f"""WITH {V.WORK}, n AS (SELECT DISTINCT title AS name, string_split(title, ' ') AS w FROM work), b AS (SELECT DISTINCT title AS full_name, substr(w1, 1, 3) || ' ' || substr(w2, 1, 4) AS short FROM (SELECT title, string_split(title, ' ')[1] AS w1, string_split(title, ' ')[2] AS w2 FROM work)),
