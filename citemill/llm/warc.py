@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
@@ -18,7 +19,9 @@ LEAST_BYTES = 1000
 BLOCK_BYTES = 4 << 20
 MOST_BITS = 27  # of the bitmap: a power of two
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+HEADER_BYTES = 16 << 20  # no header is longer: the writer refuses to make one, the reader doesn't look further
 DATE = "2024-01-01T00:00:00Z"
+_LENGTH = re.compile(rb"(?i)content-length[ \t]*:[ \t]*(\d{1,18})[ \t]*\Z")
 _ID = re.compile(r"<urn:page:(-?\d+|none)>")
 
 
@@ -56,7 +59,10 @@ def _record(page: int | None, url: str | None, payload: bytes, refers: int | Non
         head += [f"WARC-Refers-To: {name(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
-    return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
+    lines = "\r\n".join(head).encode()
+    if len(lines) > HEADER_BYTES - 64:
+        raise ValueError(f"the header of page {page} has more than {HEADER_BYTES} bytes")
+    return b"WARC/1.1\r\n" + lines + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
 def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES) -> tuple[str, list[str]]:
@@ -68,7 +74,9 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", pay
     Pages that repeat no payload are written where they are read: a bitmap of a bounded size, of the
     hashes of the others' ids, tells them apart.  The others, and those that share a bit with one, move
     once, compressed, to meet what they refer to.  Payloads of any length are written whole; repeated
-    rows have records with one id, rows without an id records named none; other columns are not read.
+    rows have records with one id, rows without an id records named none; other columns are not read.  An
+    address that makes a header of more than HEADER_BYTES is an error.  The bitmap has 2 ** MOST_BITS bits at most, so with
+    far more than 16 million repeated pages nearly all pages share a bit with one and move.
     """
     folder = storage.fresh(pages.sparkSession, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).alias("u"), F.col(payload).alias("t"))
@@ -148,11 +156,46 @@ def _more(f, at: int, want: int, size: int) -> bytes:
     return f.read(min(want, size - at))
 
 
+def _possible(data: bytes, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """(start, length of the whole record) of places before ``most`` where a record might start; whether more data could show others.
+
+    Lines are told apart once, so the time is linear in ``data`` however many magics it has: from each line on,
+    the next one that is empty or has no colon says whether a header may go on to there.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    starts = [m.start() for m in MAGIC.finditer(data, 0, min(len(data), most + 10)) if m.start() < most]
+    if not starts:
+        return [], False
+    ends = np.flatnonzero((raw[:-1] == 13) & (raw[1:] == 10))
+    firsts = np.concatenate([[0], ends[:-1] + 2])
+    empty = firsts == ends
+    colons = np.flatnonzero(raw == 58)
+    stops = empty | (np.searchsorted(colons, firsts) == np.searchsorted(colons, ends))
+    n = len(ends)
+    stop = np.append(np.minimum.accumulate(np.where(stops, np.arange(n), n)[::-1])[::-1], n)
+    named = np.flatnonzero((ends - firsts > 15) & ((raw[firsts] | 32) == 99))  # lines that begin with a c
+    named = [k for k in named.tolist() if data[firsts[k] : firsts[k] + 14].lower() == b"content-length"]
+    found, more = [], False
+    for at in starts:
+        line = int(np.searchsorted(ends, at + 8)) + 1
+        to = int(stop[line])
+        if to == n:
+            more = True
+            continue
+        last = bisect.bisect_left(named, to) - 1
+        if not empty[to] or last < 0 or named[last] < line or ends[to] - at > HEADER_BYTES:
+            continue
+        size = _LENGTH.match(data, int(firsts[named[last]]), int(ends[named[last]]))
+        if size:
+            found.append((at, int(ends[to]) + 2 - at + int(size[1]) + 4))
+    return found, more
+
+
 def candidate_links(spark: SparkSession, folder: str, files: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, size, at, exit): each place where a record might start, and where the chain from there leaves its block.
 
-    Payloads may hold the magic too; nothing is decided here.  Each task reads a block, and a little
-    more for a header that crosses its end, and follows successors inside the block.
+    Payloads may hold the magic too; nothing is decided here.  Each task reads a block, and more, up to
+    HEADER_BYTES, for a header that crosses its end, and follows successors inside the block.
     """
     listed = spark.createDataFrame([(x,) for x in files], "file string")
 
@@ -169,21 +212,15 @@ def candidate_links(spark: SparkSession, folder: str, files: list[str], block_by
     def scan(batches):
         for batch in batches:
             for name, size, begin in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "begin")), strict=True):
-                succ: dict[int, int] = {}
                 with storage.open_read(f"{folder}/{name}") as f:
                     extra = 1 << 16
-                    data = _more(f, begin, block_bytes + extra, size)
-                    for m in MAGIC.finditer(data, 0, min(len(data), block_bytes + 10)):
-                        if m.start() >= block_bytes:
+                    while True:
+                        data = _more(f, begin, block_bytes + extra, size)
+                        found, more = _possible(data, block_bytes)
+                        if not more or begin + len(data) >= size or extra >= HEADER_BYTES:
                             break
-                        got, part, base = _header(data, m.start()), data, 0
-                        while got is None and part.find(b"\r\n\r\n", m.start() - base) < 0 and begin + base + len(part) < size:
-                            extra *= 4  # a very long header
-                            base = m.start()
-                            part = _more(f, begin + base, extra, size)
-                            got = _header(part, 0)
-                        if got and (to := begin + base + got[1] + got[2] + 4) <= size:
-                            succ[begin + m.start()] = to
+                        extra *= 4
+                succ = {begin + at: begin + at + length for at, length in found if begin + at + length <= size}
                 exits: dict[int, int] = {}
                 for at in sorted(succ, reverse=True):
                     exits[at] = exits.get(succ[at], succ[at])

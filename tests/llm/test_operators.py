@@ -517,3 +517,34 @@ def test_quality_of_odd_rows(spark):
     out = quality.score(df, quality.train(df, labels)).collect()
     assert len(out) == 5 and out[0]._score == out[1]._score and out[2]._score == out[3]._score and all(0 <= r._score <= 1 for r in out)
     assert quality.score(df.where("false"), quality.train(df.where("false"), labels)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["WARC/1.1", "x: WARC/1.1", "WARC/1.1\r\nContent-Length: 5", "x: WARC/1.1\r\nContent-Length: 5\r\n"])
+def test_warc_of_pages_full_of_magic(spark, line):
+    """Megabytes of magic, with and without colons and blank lines, cost what other text costs; blocks end inside."""
+    import time
+
+    bodies = [(f"{line}\r\n" * (4_000_000 // (len(line) + 2))), "plain " * 500, "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 300]
+    df = spark.createDataFrame([(i, f"http://x/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    folder, files = warc.write_warc(df)
+    start = time.time()
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, folder, files, 1 << 20).collect()}
+    assert got == dict(enumerate(bodies)) and time.time() - start < 60
+
+
+def test_warc_boundaries_in_linear_time():
+    import time
+
+    data = b"x: WARC/1.1\r\n" * 320_000
+    start = time.time()
+    assert warc._possible(data, len(data)) == ([], True)
+    assert warc._possible(data + b"\r\n", len(data)) == ([], False)
+    found, _ = warc._possible(data + b"Content-Length: 7\r\n\r\n", len(data))
+    assert len(found) == 320_000 and found[0] == (3, len(data) - 3 + 21 + 7 + 4)
+    assert time.time() - start < 20
+
+
+def test_warc_refuses_endless_headers(monkeypatch):
+    monkeypatch.setattr(warc, "HEADER_BYTES", 1000)
+    with pytest.raises(ValueError, match="header"):
+        warc._record(1, "http://x/" + "a" * 2000, b"", None)
