@@ -112,13 +112,3 @@ def project_hits(text: Column, projects: dict[str, dict]) -> Column:
 def abstract_choice(*sources: Column) -> Column:
     """The first source that isn't blank; text that is raw JSON doesn't count."""
     return F.coalesce(*[F.when((F.length(F.trim(c)) > 0) & ~F.startswith(F.trim(c), F.lit("{")), c) for c in sources])
-
-
-def own_publication(articles: DataFrame, pubs: DataFrame, prefix: int = 60, least: int = 20) -> DataFrame:
-    """(id, pub): equal DOIs, else the surname among the authors and the same first ``prefix`` characters of the title."""
-    by_doi = articles.where("doi <> ''").join(pubs.select("pub", "doi"), "doi").select("id", "pub", F.lit(0).alias("_o"))
-    head = lambda c: F.left(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), F.lit(prefix))
-    a = articles.where(F.length("title") >= least).select("id", "surname", head("title").alias("_t"))
-    b = pubs.select("pub", "surname", head("title").alias("_t"))
-    by_title = a.join(b, ["surname", "_t"]).select("id", "pub", F.lit(1).alias("_o"))
-    return by_doi.unionByName(by_title).groupBy("id").agg(F.min_by("pub", F.struct("_o", "pub")).alias("pub"))

@@ -23,25 +23,38 @@ _OWN = "own AS (SELECT ref.id AS work, ref.ref FROM ref JOIN art USING (id) WHER
 _DF = "df AS (SELECT ref, count(DISTINCT id) AS df FROM ref GROUP BY ref)"
 
 
+FIRST, LAST = "Karl", "Maker13"  # the person whose publications are looked for: the works of one brand
+
+
 def _hits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Citations to be judged and the authors' publications."""
+    """References in articles' lists, in several house styles, and the person's publications."""
     w = V.works(s, d)
-    refs = w.select("ref", F.col("topic").alias("author"), "year", F.col("title"), F.when(F.col("ref") % 9 == 0, F.concat(F.lit("10.1/"), (F.col("ref") % 90).cast("string"))).alias("doi"))
-    pubs = w.where("ref < 90").select(F.col("ref").alias("pub"), F.col("topic").alias("author"), "year", F.col("title"), F.concat(F.lit("10.1/"), F.col("ref").cast("string")).alias("doi"))
+    name, year = F.concat(F.lit("Maker"), F.substring("brand", 7, 3)), F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit("). "))
+    styles = [F.concat(name, F.lit(", K."), year, "title"), F.concat(F.lit("[7] "), name, year, "title"), F.concat(F.lit("J. "), name, F.lit(" & A. Other"), year, "title"), F.concat(F.lit("Karl "), name, F.lit(", "), "title", F.lit(", no date")), F.concat(F.lit("Karl "), name, year, F.lit("A book"))]
+    raw = F.element_at(F.array(*styles), (F.col("ref") % 5 + 1).cast("int"))
+    doi = lambda c: F.concat(F.lit("10.1/"), c.cast("string"))
+    refs = w.select(F.expr("ref div 10").alias("id"), F.col("ref").alias("pos"), raw.alias("raw"), F.array(F.lit("A. Other")).alias("authors"), F.lit(None).cast("int").alias("year"), F.when(F.col("ref") % 9 == 0, F.upper(doi(F.col("ref") % 900))).alias("doi"))
+    pubs = w.where("brand = 'Brand#13'").select(F.col("ref").alias("pub"), "title", "year", doi(F.col("ref")).alias("doi"))
     return refs, pubs
 
 
-@query("e01_author_cites", f"""WITH {V.WORK}, r AS (SELECT ref, topic AS author, year, string_split(title, ' ') AS t, CASE WHEN ref % 9 = 0 THEN '10.1/' || (ref % 90) END AS doi FROM work),
-p AS (SELECT ref AS pub, topic AS author, year, string_split(title, ' ') AS t, '10.1/' || ref AS doi FROM work WHERE ref < 90),
-a AS (SELECT r.ref, p.pub, 3 AS c FROM r JOIN p ON r.doi = p.doi),
-b AS (SELECT r.ref, p.pub, len(list_intersect(r.t, p.t)) AS o FROM r JOIN p ON r.author = p.author AND r.year = p.year),
-n AS (SELECT ref, pub, o, count(*) OVER (PARTITION BY ref) AS k, max(o) OVER (PARTITION BY ref) AS top FROM b),
-c AS (SELECT ref, pub, CASE WHEN k = 1 THEN 3 WHEN o >= 2 AND o = top THEN CASE WHEN count(*) FILTER (o = top) OVER (PARTITION BY ref) > 1 THEN 2 ELSE 3 END ELSE 2 END AS c, k, o, top FROM n),
-d AS (SELECT ref, pub, c FROM c WHERE k = 1 OR top < 2 OR o = top),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM d)
-SELECT ref, pub, CASE max(c) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM u GROUP BY 1, 2""")
+_FILL = ", ".join(f"'{w}'" for w in M.TITLE_FILLERS)
+
+
+@query("e01_author_cites", rf"""WITH {V.WORK}, n AS (SELECT *, 'Maker' || substr(brand, 7, 3) AS name, ' (' || year || '). ' AS y FROM work),
+r AS (SELECT ref // 10 AS id, ref AS pos, CASE ref % 5 WHEN 0 THEN name || ', K.' || y || title WHEN 1 THEN '[7] ' || name || y || title WHEN 2 THEN 'J. ' || name || ' & A. Other' || y || title WHEN 3 THEN 'Karl ' || name || ', ' || title || ', no date' ELSE 'Karl ' || name || y || 'A book' END AS raw, CASE WHEN ref % 9 = 0 THEN '10.1/' || ref % 900 END AS doi FROM n),
+t AS (SELECT *, raw || ' A. Other' AS b, TRY_CAST(regexp_extract(raw, '\b((?:19|20)\d\d)\b', 1) AS INT) AS year FROM r),
+p AS (SELECT ref AS pub, year, '10.1/' || ref AS doi, list_filter(list_distinct(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]{{4,}}')), lambda w: w NOT IN ({_FILL})) AS words FROM work WHERE brand = 'Brand#13'),
+g AS (SELECT *, CASE WHEN NOT contains(lower(b), lower('{LAST}')) THEN 'reject' WHEN regexp_matches(b, '(?i)Karl\s+{LAST}|K\.\s*{LAST}|{LAST},\s*Karl|{LAST},\s*K\.') THEN 'strong' WHEN regexp_matches(b, '(?i)[a-z][a-zà-ÿ]*\.?\s+{LAST}|{LAST},?\s*[a-z]') THEN 'reject' ELSE 'weak' END AS tier FROM t),
+s AS (SELECT id, pos, raw, pub, 'doi' AS match, 3 AS rank FROM g JOIN p USING (doi)),
+o AS (SELECT g.*, pub, len(list_filter(words, lambda w: contains(lower(raw), w))) AS o FROM g LEFT JOIN p ON g.year = p.year WHERE tier <> 'reject' AND pos NOT IN (SELECT pos FROM s)),
+k AS (SELECT *, max(CASE WHEN o >= 2 THEN o ELSE 0 END) OVER (PARTITION BY pos) AS top FROM o),
+c AS (SELECT *, count(*) OVER (PARTITION BY pos) AS rivals FROM k WHERE CASE WHEN o >= 2 THEN o ELSE 0 END = top),
+u AS (SELECT * FROM s UNION ALL SELECT id, pos, raw, pub, CASE WHEN pub IS NULL THEN 'author_only' WHEN top > 0 THEN 'author_year_title' ELSE 'author_year' END, CASE WHEN tier = 'weak' OR pub IS NULL THEN 1 WHEN rivals = 1 THEN 3 ELSE 2 END FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, CASE WHEN pub IS NULL THEN left(raw, 80) ELSE pub::VARCHAR END ORDER BY rank DESC, pos) AS n FROM u)
+SELECT id, pub, raw, match, CASE rank WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM f WHERE n = 1""")
 def e01(s: SparkSession, d: str) -> DataFrame:
-    return M.author_citations(*_hits(s, d))
+    return M.author_citations(*_hits(s, d), FIRST, LAST)
 
 
 @query("e02_library_overlap", f"""WITH {V.WORK}, i AS (SELECT ref AS item, string_split(title || ' ' || lower(topic) || ' ' || lower(brand), ' ') AS t, '10.1/' || ref AS doi FROM work WHERE ref % 40 = 0),
@@ -126,13 +139,16 @@ def e12(s: SparkSession, d: str) -> DataFrame:
     return M.abbreviations(shorts, names)
 
 
-@query("e13_source_scoring", f"""WITH {V.WORK}, q AS (SELECT DISTINCT topic AS q FROM work), t AS (SELECT ref, lower(topic || CASE WHEN ref % 2 = 0 THEN ' ' || title ELSE '' END) AS name, brand FROM work)
-SELECT ref, lower(q) AS name, CAST(CASE WHEN name = lower(q) THEN 10 WHEN contains(name, lower(q)) THEN 5 WHEN contains(lower(q), name) THEN 3 ELSE 0 END + 4 * len(list_intersect(list_distinct(string_split(name, ' ')), string_split(lower(q), ' '))) + CASE WHEN ref % 50 = 0 THEN 20 ELSE 0 END + CASE WHEN brand > 'Brand#2' THEN 1 ELSE 0 END AS INT) AS score FROM t JOIN q ON true""")
+_W3 = lambda c: f"list_distinct(regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
+
+
+@query("e13_source_scoring", f"""WITH {V.WORK}, q AS (SELECT DISTINCT lower(topic) AS q FROM work), t AS (SELECT ref, lower(topic || CASE WHEN ref % 2 = 0 THEN ' ' || title ELSE '' END) AS name, brand FROM work),
+j AS (SELECT *, len(list_intersect({_W3('name')}, {_W3('q')})) AS shared FROM t JOIN q ON contains(name, q) OR contains(q, name) OR list_has_any({_W3('name')}, {_W3('q')}))
+SELECT ref, q AS name, CASE WHEN name = q THEN 10 WHEN contains(name, q) THEN 5 WHEN contains(q, name) THEN 3 ELSE 0 END + 4 * (shared::DOUBLE / greatest(len({_W3('q')}), 1)) + CASE WHEN ref % 50 = 0 THEN 20 ELSE 0 END + CASE WHEN brand > 'Brand#2' THEN 1 ELSE 0 END AS score FROM j""")
 def e13(s: SparkSession, d: str) -> DataFrame:
     w = V.works(s, d)
-    wanted = w.select(F.lower("topic").alias("name")).distinct()  # the kinds of works: a dimension
-    cands = w.select("ref", F.lower(F.concat("topic", F.when(F.col("ref") % 2 == 0, F.concat(F.lit(" "), "title")).otherwise(""))).alias("cand"), (F.col("ref") % 50 == 0).alias("hint"), (F.col("brand") > "Brand#2").alias("type_ok"))
-    return cands.join(wanted, F.lit(True)).select("ref", "name", M.source_score(F.col("cand"), F.col("name"), F.col("hint"), F.col("type_ok")).alias("score"))
+    sources = w.select("ref", F.lower(F.concat("topic", F.when(F.col("ref") % 2 == 0, F.concat(F.lit(" "), "title")).otherwise(""))).alias("cand"), (F.col("ref") % 50 == 0).alias("hint"), (F.col("brand") > "Brand#2").alias("type_ok"))
+    return M.source_scores(sources, w.select(F.lower("topic").alias("name")))
 
 
 @query("e14_name_resolution", f"WITH {V.WORK}, {V.REF}, r AS (SELECT ref, 'W' || ref AS work_id FROM work WHERE ref % 4 <> 0) SELECT ref.id, count(*) AS n, count(work_id) AS resolved FROM ref LEFT JOIN r USING (ref) GROUP BY ref.id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill import views as V
+from citemill.operators import matching as M
 from citemill.operators import search as S
 from citemill.plans.registry import query
 
@@ -92,14 +93,19 @@ def d12(s: SparkSession, d: str) -> DataFrame:
     return V.articles(s, d).select("id", *[F.when(stale, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("agent", "cost")])
 
 
-@query("d13_own_publication", f"""WITH {V.WORK}, a AS (SELECT ref AS id, CASE WHEN ref % 7 = 0 THEN '10.1/' || (ref % 70) ELSE '' END AS doi, topic AS s, left(lower(regexp_replace(title || ' of the ' || brand, '[^A-Za-z0-9]+', ' ', 'g')), 60) AS t, length(title || ' of the ' || brand) AS n FROM work),
-p AS (SELECT ref AS pub, '10.1/' || ref AS doi, topic AS s, left(lower(regexp_replace(title || ' of the ' || brand, '[^A-Za-z0-9]+', ' ', 'g')), 60) AS t FROM work WHERE ref < 70),
-u AS (SELECT id, pub, 0 AS o FROM a JOIN p USING (doi) UNION ALL SELECT id, pub, 1 FROM a JOIN p ON a.s = p.s AND a.t = p.t WHERE n >= 20) SELECT id, min_by(pub, (o, pub)) AS pub FROM u GROUP BY id""")
+_TITLE = "title || ' of the ' || brand || CASE ref % 3 WHEN 0 THEN ': a <i>study</i> of care, and of repair in schools and other places' ELSE '' END"
+_PLAIN = lambda c: f"trim(lower(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
+@query("d13_own_publication", f"""WITH {V.WORK}, a AS (SELECT ref AS id, CASE WHEN ref % 7 = 0 THEN '10.1/' || (ref % 70) END AS doi, lower('A. ' || topic) AS s, {_PLAIN(_TITLE)} AS t FROM work),
+p AS (SELECT ref AS pub, '10.1/' || ref AS doi, lower(topic) AS s, {_PLAIN(_TITLE)} AS t FROM work WHERE ref < 70),
+u AS (SELECT id, pub, 0 AS o FROM a JOIN p USING (doi) UNION ALL SELECT id, pub, 1 FROM a JOIN p ON contains(a.s, p.s) AND length(a.t) >= 20 AND p.t <> '' AND (contains(p.t, a.t[1:60]) OR contains(a.t, p.t[1:60]))) SELECT id, min_by(pub, (o, pub)) AS pub FROM u GROUP BY id""")
 def d13(s: SparkSession, d: str) -> DataFrame:
-    w = V.works(s, d).select("ref", F.col("topic").alias("surname"), F.concat("title", F.lit(" of the "), "brand").alias("title"))
+    tail = F.when(F.col("ref") % 3 == 0, ": a <i>study</i> of care, and of repair in schools and other places").otherwise("")
+    w = V.works(s, d).select("ref", F.col("topic").alias("surname"), F.concat("title", F.lit(" of the "), "brand", tail).alias("title"))
     num = lambda c: F.concat(F.lit("10.1/"), c.cast("string"))
-    arts = w.withColumn("doi", F.when(F.col("ref") % 7 == 0, num(F.col("ref") % 70)).otherwise("")).withColumnRenamed("ref", "id")
-    return S.own_publication(arts, w.where("ref < 70").withColumn("doi", num(F.col("ref"))).withColumnRenamed("ref", "pub"))
+    arts = w.withColumn("doi", F.when(F.col("ref") % 7 == 0, num(F.col("ref") % 70))).withColumn("authors", F.array(F.concat(F.lit("A. "), "surname"))).withColumnRenamed("ref", "id")
+    return M.own_publication(arts, w.where("ref < 70").withColumn("doi", num(F.col("ref"))).withColumnRenamed("ref", "pub"))
 
 
 @query("d14_cue_match", "SELECT doc_id, regexp_matches(lower(text), '\\bthan\\b') AS word_hit, contains(lower(text), 'and the') AS phrase_hit FROM documents WHERE lang = 'en'")

@@ -364,3 +364,74 @@ def test_inverted_index_round_trip(spark):
     assert [(x.word, x.positions) for x in got[0].e] == [("a", [1]), ("b", [0, 2]), ("c", [3])] and [r.t for r in got] == ["b a b c", "", "x"]
     clash = spark.range(1).select(parsing.rebuilt(F.expr("array(struct('a' AS word, array(0, 1) AS positions), struct('b' AS word, array(1) AS positions))")))
     assert clash.first()[0] == "a b"
+
+
+def test_own_publication_with_and_without_subtitle(spark):
+    """A title inside the other's head either way, a short one, a namesake, and an equal DOI."""
+    from citemill.operators import matching
+
+    head = "Learning in networks of care and repair"
+    arts = [
+        (1, None, ["Ada Berg"], head),
+        (2, "", ["X", "BERG, A."], f"{head}: a study of schools and of much else that has to do with them"),
+        (3, None, ["C. Other"], head),
+        (4, "10.5/ABC.", ["C. Other"], "Quite another"),
+        (5, None, ["A. Berg"], "Too short"),
+        (6, None, ["A. Berg"], "<b>Learning</b> in networks – of CARE and repair"),
+        (7, None, None, head),
+        (8, None, ["A. Berg"], None),
+        (9, None, ["A. Berg"], "On the many uses of old tools in new places"),
+    ]
+    pubs = [(20, None, "Berg", f"{head}: a study of schools"), (21, "10.5/abc", "Berg", "The uses"), (22, None, "Berg", None), (23, None, "Berg", "old tools")]
+    a = spark.createDataFrame(arts, "id long, doi string, authors array<string>, title string")
+    p = spark.createDataFrame(pubs, "pub long, doi string, surname string, title string")
+    # the second's first 60 characters go beyond the publication's title, whose own head isn't in it
+    assert sorted((r.id, r.pub) for r in matching.own_publication(a, p).collect()) == [(1, 20), (2, 20), (4, 21), (6, 20), (9, 23)]
+    assert matching.own_publication(a.where("false"), p).count() == 0
+
+
+def test_containing_equals_all_pairs(spark):
+    import random
+
+    from citemill.operators import matching
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab ", k=rng.randint(0, 30))) for _ in range(300)] + ["x" * 5000, None]
+    needles = ["".join(rng.choices("ab ", k=rng.randint(0, 12))) for _ in range(200)] + ["x" * 4999, "nowhere to be found", None]
+    got = matching.containing(spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string")).collect()
+    assert sorted(map(tuple, got)) == sorted({(n, t) for n in needles for t in texts if n and t and n in t})
+
+
+def test_name_tiers(spark):
+    from citemill.operators import matching
+
+    cases = {"Meier, K. (1999)": "strong", "K. Meier": "strong", "Karl Meier": "strong", "Meier, Karl": "strong", "J. Meier": "reject", "Meier, Jo": "reject", "(1999) Meier: Things": "weak", "Other": "reject", "": "reject"}
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", matching.name_tier(F.col("t"), "Karl", "Meier").alias("tier"))
+    assert {r.t: r.tier for r in df.collect()} == cases
+    umlaut = spark.createDataFrame([("M. Mobius",), ("M. Möbius",)], "t string").select(matching.name_tier(F.col("t"), "Max", "Möbius"))
+    assert [r[0] for r in umlaut.collect()] == ["strong", "strong"]
+
+
+def test_author_citations_by_tier(spark):
+    """Certain, doubtful and low hits; a weak name is low whatever the title says; the surest of an article stays."""
+    from citemill.operators import matching
+
+    pubs = [(1, "Learning networks among weavers", 1999, "10.1/a"), (2, "Learning networks among potters", 1999, None), (3, "Old tools", 2001, None), (4, "Painted walls speaking", 1999, None)]
+    refs = [
+        (1, 1, "any", None, None, "10.1/A"),
+        (2, 1, "Meier, K. (1999) Learning networks among weavers", None, None, None),
+        (3, 1, "Meier, K. (1999) Learning networks", None, None, None),
+        (4, 1, "Meier, K. (2001) A book", None, None, None),
+        (5, 1, "[3] Meier (1999): Learning networks among weavers", None, None, None),
+        (6, 1, "Meier, K. Learning networks", None, None, None),
+        (7, 1, "J. Meier (1999) Learning networks among weavers", None, None, None),
+        (8, 1, None, ["Karl Meier"], 2001, None),
+        (9, 1, "[3] Meier (2001)", None, None, None),
+        (9, 2, "Meier, K. (2001) Old tools", None, None, None),
+        (10, 1, "Meier, K. (1999) Things", None, None, None),
+    ]
+    out = matching.author_citations(spark.createDataFrame(refs, "id long, pos int, raw string, authors array<string>, year int, doi string"), spark.createDataFrame(pubs, "pub long, title string, year int, doi string"), "Karl", "Meier")
+    assert sorted((r.id, r.pub or 0, r.match, r.confidence) for r in out.collect()) == [
+        (1, 1, "doi", "high"), (2, 1, "author_year_title", "high"), (3, 1, "author_year_title", "medium"), (3, 2, "author_year_title", "medium"), (4, 3, "author_year", "high"), (5, 1, "author_year_title", "low"), (6, 0, "author_only", "low"),
+        (8, 3, "author_year", "high"), (9, 3, "author_year", "high"), (10, 1, "author_year", "medium"), (10, 2, "author_year", "medium"), (10, 4, "author_year", "medium"),
+    ]
