@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from citemill.functions.text import squeeze, words
 from citemill.operators.ordered import running
 from citemill.operators.parsing import inverted_index
 from citemill.shared import scratch
@@ -337,59 +338,87 @@ HEADINGS = {
 }
 
 
-def search_intent(question: str) -> str:
-    low = re.sub(r"\s+", " ", question.lower())
-    return next((name for name, parts in INTENTS.items() if any(p in low for p in parts)), "general")
+# fixed values: sections that fill up a part of an argument with few words of its own
+SUPPLIES = ("keywords", "references", "methods", "gaps")
 
 
-def context_sections(context: str | None) -> dict[str, list[str]]:
-    """Lines of a context's known sections, without their list marks; what stands under other headings is left out."""
-    sections: dict[str, list[str]] = {}
-    name = ""
-    for line in map(str.strip, (context or "").splitlines()):
-        if line.startswith("## "):
-            name = HEADINGS.get(re.sub(r"\s+", " ", line[3:].lower()).strip(), "")
-        elif line and name:
-            sections.setdefault(name, []).append(line.removeprefix("- ").strip())
-    return sections
+def _intent(question: Column) -> Column:
+    low = squeeze(F.lower(question))
+    tests = [(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]), name) for name, parts in INTENTS.items()]
+    return F.coalesce(*[F.when(test, name) for test, name in tests], F.lit("general"))
 
 
-def question_terms(text: str, stop: set[str]) -> list[str]:
-    """Words of three letters or more, cut at joints, without stop words and numbers, in the order of their first place."""
-    parts = re.findall(r"[^\s/_.,;:!?()\"'-]{3,}", text.lower())
-    return [w for w in dict.fromkeys(parts) if w not in stop and not w.isdigit()]
+def _context_lines(questions: DataFrame, key: str) -> DataFrame:
+    """(key, section, line, text): lines of the known sections of ``context``, numbered from 0, without their list marks."""
+    blocks = F.posexplode(F.slice(F.split(F.concat(F.lit("\n"), F.coalesce("context", F.lit(""))), r"\n[ \t]*## "), 2, 1 << 30)).alias("_block", "body")
+    lines = F.transform(F.split("body", r"\n"), F.trim)
+    known = F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv])
+    rows = questions.select(key, blocks).select(key, "_block", F.try_element_at(known, squeeze(F.lower(lines[0]))).alias("section"), F.filter(F.slice(lines, 2, 1 << 30), lambda x: x != "").alias("lines"))
+    rows = rows.where("section IS NOT NULL").select(key, "section", "_block", F.posexplode("lines").alias("_line", "text"))
+    place = Window.partitionBy(key, "section").orderBy("_block", "_line")
+    return rows.select(key, "section", (F.row_number().over(place) - 1).alias("line"), F.trim(F.regexp_replace("text", "^- ", "")).alias("text"))
 
 
-def _special_first(terms: list[str], generic: set[str], enough: int, special: int, general: int) -> list[str]:
-    """Where ``enough`` terms are special, the first few of these before the first few general ones; else all as they come."""
-    own, others = [t for t in terms if t not in generic], [t for t in terms if t in generic]
-    return own[:special] + others[:general] if len(own) >= enough else terms
+def _ranked_terms(candidates: DataFrame, key: str, generic: set[str], enough: int, special: int, general: int, most: int) -> DataFrame:
+    """(key, terms): candidates (key, text, place) cut into words, each once at its first place, and one cut of their ranking.
 
-
-def search_plan(question: str, stop: set[str], generic: set[str], context: str | None = None) -> dict:
-    """Intent, terms (14 at most) and phrases (8 at most) of a question: a plan on the driver that search expressions are made of.
-
-    The sections that go with the intent come first, each by its quota, then the question's own words.
+    Where a question has ``enough`` special words, its first ``special`` ones rank before its first ``general`` general
+    ones and the others are out; else all rank by place.
+    """
+    found = F.filter(words(F.lower("text"), r"[^\s/_.,;:!?()\"\'-]{3,}"), lambda w: ~w.rlike(r"^\d+$"))
+    terms = candidates.select(key, "place", "stop", F.posexplode(found).alias("at", "term")).where(~F.array_contains("stop", F.col("term")))
+    terms = terms.groupBy(key, "term").agg(F.min(F.struct("place", "at")).alias("place")).withColumn("general", F.col("term").isin(sorted(generic)))
+    own = Window.partitionBy(key)
+    ranked = terms.withColumns({"n": F.count_if(~F.col("general")).over(own), "r": F.row_number().over(Window.partitionBy(key, "general").orderBy("place"))})
+    split = F.col("n") >= enough
+    kept = ranked.where(~split | F.when(F.col("general"), F.col("r") <= general).otherwise(F.col("r") <= special))
+    kept = kept.withColumn("order", F.struct((split & F.col("general")).cast("int"), "place"))
+    kept = kept.withColumn("rank", F.row_number().over(own.orderBy("order"))).where(F.col("rank") <= most)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+
+
+def search_plans(questions: DataFrame, stop: set[str], generic: set[str], key: str = "question_id") -> DataFrame:
+    """(key, intent, terms, phrases) of each question (key, question, context): 14 terms and 8 phrases at most.
+
+    Lines of the context's sections that go with the intent come first, each section by its quotas, then the
+    question's own words; empty contexts add nothing, and a question without words has no terms.
+    """
+    rows = questions.select(key, F.coalesce("question", F.lit("")).alias("question"), "context").withColumn("intent", _intent(F.col("question")))
+    quotas = [(i, n, r, p, t) for i in [*INTENTS, "general"] for r, (n, p, t) in enumerate(QUOTAS.get(i, QUOTAS["other"]))]
+    table = rows.sparkSession.createDataFrame(quotas, "intent string, section string, rank int, most_phrases int, most_lines int")
+    lines = _context_lines(rows, key).join(rows.select(key, "intent"), key).join(table, ["intent", "section"])
+    stops = F.array(*map(F.lit, sorted(stop))).cast("array<string>").alias("stop")
+    place = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")).alias("place")
+    own = rows.select(key, F.col("question").alias("text"), place(F.lit(1 << 20), F.lit(0)), stops)
+    terms = _ranked_terms(lines.where("line < most_lines").select(key, "text", place(F.col("rank"), F.col("line")), stops).unionByName(own), key, generic, 4, 10, 2, 14)
+    phrases = lines.where("line < most_phrases AND length(text) >= 4").groupBy(key, "text").agg(F.min(F.struct("rank", "line")).alias("place"))
+    phrases = phrases.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", "text"))), 1, 8), lambda x: x["text"]).alias("phrases"))
+    none = F.array().cast("array<string>")
+    out = rows.select(key, "intent").join(terms, key, "left").join(phrases, key, "left")
+    return out.select(key, "intent", F.coalesce("terms", none).alias("terms"), F.coalesce("phrases", none).alias("phrases"))
+
+
+def argument_plans(units: DataFrame, stop: set[str], generic: set[str], key: str = "unit_id", few: int = 5, full: int = 8) -> DataFrame:
+    """(key, terms, phrases) of each part of an argument (key, unit, context): 10 terms at most, and the part itself as phrase.
+
+    One with fewer than ``few`` different words of its own is filled up to ``full`` from the first four lines of each of SUPPLIES.
     """
-    intent, sections = search_intent(question), context_sections(context)
-    phrases: dict[str, None] = {}
-    terms: dict[str, None] = {}
-    for name, most_phrases, most_lines in QUOTAS.get(intent, QUOTAS["other"]):
-        lines = sections.get(name, [])
-        phrases |= dict.fromkeys(x for x in lines[:most_phrases] if len(x) >= 4)
-        terms |= dict.fromkeys(t for x in lines[:most_lines] for t in question_terms(x, stop))
-    terms |= dict.fromkeys(question_terms(question, stop))
-    return {"intent": intent, "terms": _special_first(list(terms), generic, 4, 10, 2)[:14], "phrases": list(phrases)[:8]}
-
-
-def argument_plan(unit: str, intent: str, stop: set[str], generic: set[str], context: str | None = None) -> dict:
-    """A tighter plan for one part of an argument: its own words, filled up to eight from the context where it has fewer than five."""
-    terms = question_terms(unit, stop)
-    if len(terms) < 5:
-        sections = context_sections(context)
-        more = [t for name in ("keywords", "references", "methods", "gaps") for x in sections.get(name, [])[:4] for t in question_terms(x, stop)]
-        terms = list(dict.fromkeys([*terms, *more]))[: max(8, len(terms))]
-    return {"intent": intent, "terms": _special_first(terms, generic, 3, 8, 2)[:10], "phrases": [unit.strip()] if unit.strip() else [], "argument_unit": unit}
+    stops = F.array(*map(F.lit, sorted(stop))).cast("array<string>").alias("stop")
+    rows = units.select(key, F.trim(F.coalesce("unit", F.lit(""))).alias("text"), "context")
+    own = F.array_distinct(F.filter(words(F.lower("text"), r"[^\s/_.,;:!?()\"\'-]{3,}"), lambda w: ~w.isin(sorted(stop)) & ~w.rlike(r"^\d+$")))
+    thin = rows.where(F.size(own) < few)
+    order = F.array_position(F.array(*map(F.lit, SUPPLIES)), F.col("section"))
+    more = _context_lines(thin, key).where((order > 0) & (F.col("line") < 4))
+    place = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")).alias("place")
+    mine = rows.select(key, "text", place(F.lit(0), F.lit(0)), stops)
+    filled = mine.unionByName(more.select(key, "text", place(order, F.col("line")), stops))
+    # the filling is a cut of its own, before special and general words are told apart
+    first = _ranked_terms(filled, key, set(), 1 << 20, 0, 0, 1 << 20)
+    cut = F.when(F.size(own) < few, F.slice("terms", 1, full)).otherwise(F.col("terms"))
+    chosen = first.join(rows.select(key, "text"), key).select(key, F.posexplode(cut).alias("i", "text"))
+    terms = _ranked_terms(chosen.select(key, "text", place(F.col("i"), F.lit(0)), F.array().cast("array<string>").alias("stop")), key, generic, 3, 8, 2, 10)
+    none = F.array().cast("array<string>")
+    return rows.join(terms, key, "left").select(key, F.coalesce("terms", none).alias("terms"), F.when(F.col("text") != "", F.array("text")).otherwise(none).alias("phrases"))
 
 
 def parse_graph(rows: DataFrame, key: str, text: str) -> DataFrame:

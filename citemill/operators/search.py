@@ -26,10 +26,14 @@ def blob(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
+def parts(query: str) -> list[str]:
+    """Tokens and quoted phrases of a query."""
+    return [a or b for a, b in re.findall(r'"([^"]+)"|(\S+)', query)]
+
+
 def patterns(query: str) -> list[str]:
     """A whole-word pattern for each token and quoted phrase of a query."""
-    parts = [a or b for a, b in re.findall(r'"([^"]+)"|(\S+)', query)]
-    return [rf"(?isU)(?<!\w){re.escape(p)}(?!\w)" for p in parts]
+    return [rf"(?isU)(?<!\w){re.escape(p)}(?!\w)" for p in parts(query)]
 
 
 def matches(text: Column, query: str, regex: bool = False) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from citemill import views as V
 from citemill.operators import coupling as C
 from citemill.operators import scoring as S
+from citemill.operators import search as Q
+from citemill.operators.automaton import terms_in
 from citemill.operators.ordered import running
 from citemill.plans.join_queries import _DF, _OWN, own
 from citemill.plans.registry import query
@@ -287,19 +289,18 @@ CONTEXT = """## Fokus
 STOP = {"which", "there", "that", "the", "and"}
 
 
-def _plan() -> dict:
-    from citemill.operators import search as Q
+QUESTIONS = [(1, "A methodological question of 2020: education", CONTEXT), (2, "Kritik of THAT: them_other", CONTEXT), (3, "the education", None)]
+# what the plans of these questions come to
+_PLANNED = "(1, 'methods', ['methods', 'between', 'them', 'than', 'other', 'methodological', 'question', 'learning', 'education']), (2, 'counter', ['education', 'than', 'learning', 'other', 'kritik', 'them']), (3, 'general', ['education'])"
 
-    return S.search_plan("A methodological question of 2020: education", STOP, set(Q.GENERIC_TERMS), CONTEXT)
 
-
-@query("g27_search_plan", f"SELECT lang, count(*) AS n, 'methods' AS intent FROM documents WHERE {' OR '.join(f"contains(lower(text), '{t}')" for t in _plan()['terms'])} GROUP BY lang")
+@query("g27_search_plan", f"""WITH p(question_id, intent, terms) AS (VALUES {_PLANNED}), t AS (SELECT question_id, intent, unnest(terms) AS term FROM p)
+SELECT question_id, intent, lang, count(DISTINCT doc_id) AS n FROM t JOIN documents ON contains(lower(text), term) GROUP BY ALL""")
 def g27(s: SparkSession, d: str) -> DataFrame:
-    from citemill.operators import search as Q
-
-    plan = _plan()
-    hits = T(s, d, "documents").where(Q.any_term(["text"], plan["terms"]))
-    return hits.groupBy("lang").agg(F.count("*").alias("n")).withColumn("intent", F.lit(plan["intent"]))
+    """Documents, by language, that hold a term of a question's plan; the plans are a table like the documents."""
+    plans = S.search_plans(s.createDataFrame(QUESTIONS, "question_id int, question string, context string"), STOP, set(Q.GENERIC_TERMS)).select("question_id", "intent", F.explode("terms").alias("term"))
+    hits = terms_in(T(s, d, "documents").select("doc_id", "lang", F.lower("text").alias("text")), "text", plans)
+    return hits.select("doc_id", "lang", F.explode("_terms").alias("term")).join(plans, "term").groupBy("question_id", "intent", "lang").agg(F.countDistinct("doc_id").alias("n"))
 
 
 @query("g28_graph_parser", f"""WITH {V.WORK} SELECT ref, 'source' AS kind, title AS label, NULL::VARCHAR AS relation, NULL::VARCHAR AS target FROM work UNION ALL SELECT ref, 'edge', topic, CASE WHEN ref % 2 = 0 THEN 'affirms' ELSE 'contrasts' END, brand FROM work UNION ALL SELECT ref, 'unparsed', 'odd line', NULL, NULL FROM work UNION ALL SELECT ref, 'position', CASE WHEN ref % 3 = 0 THEN 'stated' ELSE '(implied)' END, NULL, NULL FROM work""")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill import views as V
+from citemill.functions.text import tokens
+from citemill.operators import fulltext
 from citemill.operators import matching as M
 from citemill.operators import search as S
+from citemill.operators.automaton import terms_in
 from citemill.plans.registry import query
+from citemill.shared import scratch
 
 DOCS = lambda s, d: V.table(s, d, "documents")
 _WORD = lambda c, w: f"regexp_matches({c}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || '{w}' || '($|[^\\p{{L}}\\p{{N}}_])')"
@@ -19,6 +25,16 @@ def d01(s: SparkSession, d: str) -> DataFrame:
     return DOCS(s, d).where(S.matches(S.blob(["source", "text"]), 'than "and the"')).select("doc_id").orderBy("doc_id").limit(100)
 
 
+@query("d01_indexed_search", f"""WITH b AS (SELECT doc_id, source || ' ' || text AS b FROM documents), q(query) AS (VALUES ('than "and the"'), ('Src5 of'), ('"that of and"'), ('nowhere than'))
+SELECT query, doc_id FROM b JOIN q ON CASE query WHEN 'than "and the"' THEN {_WORD('b', 'than')} AND {_WORD('b', 'and the')} WHEN 'Src5 of' THEN {_WORD('b', 'src5')} AND {_WORD('b', 'of')} WHEN '"that of and"' THEN {_WORD('b', 'that of and')} ELSE false END""")
+def d01_indexed(s: SparkSession, d: str) -> DataFrame:
+    """Whole words and phrases by a positional index instead of a scan of all texts."""
+    docs, path = DOCS(s, d), scratch(s, "fulltext")
+    fulltext.build_index(docs, "doc_id", ["source", "text"], path)
+    found = [fulltext.search(docs, "doc_id", ["source", "text"], path, q).select(F.lit(q).alias("query"), "doc_id") for q in ('than "and the"', "Src5 of", '"that of and"', "nowhere than")]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("d02_regex_search", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?is)th[aeo]n\\s+(and|of)')")
 def d02(s: SparkSession, d: str) -> DataFrame:
     return DOCS(s, d).where(S.matches(F.col("text"), r"th[aeo]n\s+(and|of)", regex=True)).select("doc_id")
@@ -76,6 +92,25 @@ def d09(s: SparkSession, d: str) -> DataFrame:
     return V.works(s, d).select("ref", F.array_join(hits, ",").alias("hits")).where("hits <> ''")
 
 
+@query("d08_key_term_table", r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS term FROM benchmark), h AS (SELECT doc_id, term FROM documents JOIN t ON contains(lower(text), term))
+SELECT doc_id, count(term) AS n, md5(coalesce(string_agg(term, ',' ORDER BY term), '')) AS terms_md5 FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id""")
+def d08_table(s: SparkSession, d: str) -> DataFrame:
+    """All words of the test items as key terms, whatever their number."""
+    terms = V.table(s, d, "benchmark").select(F.explode(tokens(F.col("text"), 5)).alias("term"))
+    hits = terms_in(DOCS(s, d).select("doc_id", F.lower("text").alias("text")), "text", terms)
+    return hits.select("doc_id", F.size("_terms").cast("long").alias("n"), F.md5(F.array_join("_terms", ",").cast("binary")).alias("terms_md5"))
+
+
+@query("d09_catchword_table", f"""WITH {V.WORK}, t AS (SELECT DISTINCT lower(unnest(string_split(title || ' ' || topic, ' '))) AS w FROM work WHERE ref % 2 = 1), x AS (SELECT ref, lower(title || ' ' || topic || ' ' || brand) AS t FROM work)
+SELECT ref, string_agg(w, ',' ORDER BY w) AS hits FROM x JOIN t ON contains(t, w) GROUP BY ref""")
+def d09_table(s: SparkSession, d: str) -> DataFrame:
+    """Catchwords that are words of other works."""
+    w = V.works(s, d)
+    terms = w.where("ref % 2 = 1").select(F.explode(F.split(F.lower(F.concat_ws(" ", "title", "topic")), " ")).alias("term"))
+    hits = terms_in(w.select("ref", F.lower(F.concat_ws(" ", "title", "topic", "brand")).alias("t")), "t", terms)
+    return hits.select("ref", F.array_join("_terms", ",").alias("hits")).where("hits <> ''")
+
+
 @query("d10_junk_titles", "WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Editorial: ' WHEN 1 THEN 'Erratum' WHEN 2 THEN 'Editorials of ' ELSE '' END || p_name AS t FROM part) SELECT p_partkey, regexp_matches(trim(lower(t)), '^(editorial|erratum|corrigendum|book review|table of contents|contributors|index|masthead|call for papers|obituary)(:| |$)') AS junk FROM t")
 def d10(s: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 4

@@ -28,3 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """URI of a new folder under the shared one."""
     return f"{shared_dir(spark)}/citemill-{name}/{uuid.uuid4().hex}"
+
+
+def open_file(uri: str, mode: str = "r"):
+    """A file of the shared folder, to read at any place or to write; a new file's folder is made where missing."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if mode == "r":
+        return system.open_input_file(path)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(path)
+
+
+def remove(uri: str) -> None:
+    """A folder of the shared one goes, if it is there."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

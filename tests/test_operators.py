@@ -236,17 +236,43 @@ def test_platt_fit(spark):
     assert abs(sum(rest)) < 0.1 and abs(sum(r * m for r, (m, _) in zip(rest, data, strict=True))) < 0.1 and 1.1 < a < 1.7
 
 
-def test_search_plans():
+def test_search_plans(spark):
+    """Several questions at once: sections by intent and quota, special words before general ones, thin parts filled up."""
     stop, generic = {"the", "and", "von"}, set(search.GENERIC_TERMS)
-    context = "## Fokus\n- post-digital practices\n## Schlüsselbegriffe\n- glitch art\n- x\n## Unknown\n- hidden\n## Offene Anschlussstellen\n- missing bodies"
-    plan = scoring.search_plan("Which criticism: counter 2020 positions?", stop, generic, context)
-    assert plan == {"intent": "counter", "phrases": ["post-digital practices", "missing bodies", "glitch art"], "terms": ["post", "digital", "practices", "missing", "bodies", "glitch", "art", "which", "criticism", "counter", "positions"][:1] + ["practices", "missing", "bodies", "glitch", "which", "criticism", "counter", "positions", "digital", "art"]}
-    assert scoring.search_intent("Welche Artikel sind da?") == "relevant" and scoring.search_intent("zzz") == "general"
-    assert scoring.search_plan("digital art", stop, generic)["terms"] == ["digital", "art"]
-    thin = scoring.argument_plan("Glitch bodies", "general", stop, generic, context)
-    assert thin["terms"][:2] == ["glitch", "bodies"] and "missing" in thin["terms"] and len(thin["terms"]) <= 10 and thin["phrases"] == ["Glitch bodies"]
+    context = "## Fokus\n- post-digital practices\n## Schlüsselbegriffe\n- glitch art\n- x\n## Unknown\n- hidden\n## Offene  Anschlussstellen\n- missing bodies\n"
+    rows = [(1, "Which criticism: counter 2020 positions?", context), (2, "Welche Artikel sind da?", None), (3, "zzz", ""), (4, "digital art", None), (5, None, None)]
+    plans = {r.question_id: r for r in scoring.search_plans(spark.createDataFrame(rows, "question_id int, question string, context string"), stop, generic).collect()}
+    assert (plans[1].intent, plans[1].phrases) == ("counter", ["post-digital practices", "missing bodies", "glitch art"])
+    assert plans[1].terms == ["post", "practices", "missing", "bodies", "glitch", "which", "criticism", "counter", "positions", "digital", "art"]
+    assert [plans[i].intent for i in (2, 3, 4, 5)] == ["relevant", "general", "general", "general"]
+    assert plans[4].terms == ["digital", "art"] and plans[5].terms == [] and plans[5].phrases == []
     many = " ".join(f"term{chr(97 + i)}" for i in range(12)) + " art culture media"
-    assert scoring.argument_plan(many, "general", stop, generic)["terms"] == [f"term{chr(97 + i)}" for i in range(8)] + ["art", "culture"]
+    units = scoring.argument_plans(spark.createDataFrame([(1, "Glitch bodies", context), (2, many, context), (3, None, None)], "unit_id int, unit string, context string"), stop, generic)
+    units = {r.unit_id: r for r in units.collect()}
+    assert units[1].terms == ["glitch", "bodies", "missing", "art"] and units[1].phrases == ["Glitch bodies"]
+    assert units[2].terms == [f"term{chr(97 + i)}" for i in range(8)] + ["art", "culture"]
+    assert units[3].terms == [] and units[3].phrases == []
+
+
+def test_titles_of_citations_word_by_word(spark):
+    cases = {
+        "Smith, J. (2001). Old tools, new: uses. Taylor & Francis, 50(10), 893-899.": "Old tools new uses",
+        "Smith (1999b) Tools. Cambridge: University Press. doi:10.1/x-y": "Tools",
+        "Lee 2010 Walls, Vol. 3, p. 12, ISBN 978-3-16-1": "Walls",
+        "Lee 2010 Press freedom": "freedom",
+        "no year here": "no year here",
+        "(2000)": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", X.title_of_citation(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in df.collect()} == cases
+    venues = {
+        "Barad, K. (2007). Meeting halves. In: Some Book, Duke.": "Meeting halves",
+        "Barad, K. (2007). Wissen. Koennen. Bielefeld: Transcript.": "Wissen. Koennen",
+        "Barad, K. (2007). Things (Eds.) of many kinds": "Things",
+        "Barad, K. (2007). Journal of things, 3(1), 4-9.": "Journal of things",
+    }
+    df = spark.createDataFrame([(k,) for k in venues], "t string").select("t", X.parsed_citation(F.col("t"))["title"].alias("x"))
+    assert {r.t: r.x for r in df.collect()} == venues
 
 
 def test_greedy_motifs(spark):
