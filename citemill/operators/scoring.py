@@ -16,7 +16,6 @@ from pyspark.sql.types import DoubleType
 
 from citemill.functions.text import squeeze, words
 from citemill.operators.ordered import running
-from citemill.operators.parsing import inverted_index
 from citemill.shared import scratch
 
 # fixed values: thresholds of the coupling scores
@@ -77,37 +76,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
-def grams(rows: DataFrame) -> DataFrame:
-    """(id, term, w): words of two letters or more and their pairs in ``text``, each once a row, with 1 + ln of how often it has them.
-
-    Terms are counted inside the row, so they are not shuffled for that.
-    """
-    t = rows.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("t"))
-    n = F.greatest(F.size("t") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("t", F.lit(1), n), F.slice("t", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = t.select("id", F.explode(inverted_index(F.concat("t", pairs))).alias("e"))
-    return terms.select("id", F.col("e.word").alias("term"), (1 + F.log(F.size("e.positions"))).alias("w"))
-
-
-def tfidf_similarity(rows: DataFrame, own: DataFrame, most: float = 0.95) -> DataFrame:
-    """(id, score): the maximal cosine of each text to the own ones; both sides have id, text.
-
-    Terms and their weights, ln((1 + n) / (1 + df)) + 1, are those of the own texts; terms of more than
-    ``most`` of them are left out.  A text without any of the terms scores 0.  Ids are of one row each.
-    """
-    theirs = grams(own)
-    n = own.agg(F.count("*").alias("n_own"))  # one row
-    vocabulary = theirs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= most * F.col("n_own"))
-    vocabulary = vocabulary.select("term", (F.log((1 + F.col("n_own")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda g: g.join(vocabulary, "term").select("id", "term", (F.col("w") * F.col("idf")).alias("x"))
-    length = lambda g, name: g.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias(name))
-    a, b = weigh(grams(rows)), weigh(theirs)
-    b = b.join(length(b, "m"), "id").select(F.col("id").alias("near"), "term", (F.col("x") / F.col("m")).alias("y"))
-    best = a.join(b, "term").groupBy("id", "near").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).groupBy("id").agg(F.max("dot").alias("dot"))
-    found = best.join(length(a, "m"), "id").select("id", (F.col("dot") / F.col("m")).alias("score"))
-    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 ROWS_AT_ONCE, OWN_AT_ONCE = 512, 4096  # of a matrix of similarities
 
 

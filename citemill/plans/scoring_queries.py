@@ -11,6 +11,7 @@ from citemill.operators import scoring as S
 from citemill.operators import search as Q
 from citemill.operators.automaton import terms_in
 from citemill.operators.ordered import running
+from citemill.operators.text_cosine import tfidf_similarity
 from citemill.plans.join_queries import _DF, _OWN, own
 from citemill.plans.registry import query
 
@@ -199,7 +200,7 @@ x AS (SELECT id, term, w * idf AS x FROM n JOIN v USING (term)), l AS (SELECT id
 s AS (SELECT d.id, max(dot / (p.m * q.m)) AS score FROM d JOIN l p ON p.id = d.id JOIN l q ON q.id = near GROUP BY 1) SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN s ON s.id = doc_id""")
 def g18t(s: SparkSession, d: str) -> DataFrame:
     docs = T(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    scores = S.tfidf_similarity(docs, docs.where("id % 50 = 0"))  # the own works' texts, as authors whose number divides by 50 are own
+    scores = tfidf_similarity(docs, docs.where("id % 50 = 0"))  # the own works' texts, as authors whose number divides by 50 are own
     return scores.select(F.col("id").alias("doc_id"), R6("score", "score"))
 
 

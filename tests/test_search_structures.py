@@ -75,3 +75,34 @@ def test_terms_of_a_long_list(spark):
         assert r._terms == [t for t in known if t in (texts[r.id] or "")]
     assert [r._terms for r in automaton.terms_in(df.limit(2), "t", listed.where("false")).collect()] == [[], []]
     assert automaton.terms_in(df.where("false"), "t", listed).count() == 0
+
+
+def test_largest_cosine_with_bounds(spark, monkeypatch):
+    """Against all pairs, for one block and several; copies, null and empty texts, repeated ids, a term of all own texts."""
+    import math
+    import re
+    from collections import Counter
+
+    from citemill.operators import text_cosine
+
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [(i % 90, "always " + " ".join(rng.choices(vocab[: rng.choice([8, 60])], k=rng.randint(0, 40)))) for i in range(120)] + [(200, None), (201, ""), (202, "unknown words"), (203, "x")]
+    own = [t for _, t in texts[:25]] + ["always", None, "solo"]
+
+    def grams(t):
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    df = Counter(g for t in own for g in grams(t))
+    idf = {g: math.log((1 + len(own)) / (1 + n)) + 1 for g, n in df.items() if n <= 0.95 * len(own)}
+    vector = lambda t: {g: (1 + math.log(n)) * idf[g] for g, n in grams(t).items() if g in idf}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cos = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items()) / (norm(a) * norm(b)) if a and b else 0
+    want = sorted((i, round(max(cos(vector(t), vector(o)) for o in own), 9)) for i, t in texts)
+    rows = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    mine = spark.createDataFrame([(t,) for t in own], "text string").repartition(2)
+    for block in (2_000_000, 150):
+        monkeypatch.setattr(text_cosine, "BLOCK", block)
+        assert sorted((r.id, round(r.score, 9)) for r in text_cosine.tfidf_similarity(rows, mine).collect()) == want
+    assert {r.score for r in text_cosine.tfidf_similarity(rows, mine.where("false")).collect()} == {0.0}
