@@ -1,6 +1,6 @@
 """A positional inverted index for whole-word search, as Parquet sorted by term.
 
-Texts are indexed in segments of a few hundred.  A row has one term's postings in one segment: which
+Texts are indexed in segments of about half a million words.  A row has one term's postings in one segment: which
 texts hold it and where, as packed differences, with the least and greatest text number.  The table is
 range-sorted by term with small row groups, so that a search reads the pages of its own terms only.  Words of a
 query meet by segment, the rarest first; segments that lack it are never unpacked.  What the index proposes
@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citemill.operators.batches import parts as in_parts
 from citemill.operators.search import blob, matches, parts
 from citemill.shared import remove, scratch
 
 _ROW = "term string, segment long, texts int, first long, last long, ids binary, counts binary, positions binary"
-ROW_GROUP = 1 << 20
+ROW_GROUP, SEGMENT = 1 << 20, 500_000  # bytes of a row group, words of a segment
 
 
 def tokens_of(c: Column) -> Column:
@@ -93,7 +94,7 @@ def _sums(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _postings(batches):
     part = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
+    for number, batch in enumerate(in_parts(batches, "_tokens", SEGMENT)):
         tokens = batch.column("_tokens")
         offsets = tokens.offsets.to_numpy()
         words = tokens.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
