@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citemill.operators.metrics import ranked
-from citemill.shared import scratch
-
 ROUND = 4
 
 
@@ -67,115 +61,3 @@ def coupling_edges(refs: DataFrame, low: int, high: int, least: int) -> DataFram
     rows = refs.join(kept.select("ref", F.log(F.col("total") / F.col("df")).alias("w")), "ref")
     pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.ref") == F.col("y.ref")) & (F.col("x.id") < F.col("y.id")))
     return pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"), F.sum("x.w").alias("weight")).where(F.col("shared") >= least)
-
-
-MOST_EDGES = 200_000  # of a contracted graph that is finished in one place
-MOST_ROUNDS = 16
-
-
-def communities(edges: DataFrame, seed: int = 42, resolution: float = 1.0, most_edges: int = MOST_EDGES) -> DataFrame:
-    """(id, community) by Louvain's method, communities numbered by size, then by their smallest id.
-
-    While a graph has more than ``most_edges`` edges, rounds of joins move nodes to the neighbouring
-    community of the largest gain, a random half of those that want to in each round, and communities
-    become the nodes of the next, smaller graph.  What is left then has a bounded number of edges and is
-    finished by moving one node at a time.  Graphs that don't shrink any more end as they are.
-    """
-    spark = edges.sparkSession
-
-    def cut(df: DataFrame) -> DataFrame:
-        uri = scratch(spark, "communities")
-        df.write.parquet(uri)
-        return spark.read.schema(df.schema).parquet(uri)
-
-    graph = cut(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), F.col("weight").cast("double").alias("w")))
-    member = graph.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("c"))
-    while True:
-        links = graph.where("a <> b").count()
-        if links <= most_edges:
-            rows = [tuple(r) for r in graph.collect()]
-            last = spark.createDataFrame(list(_louvain(rows, seed, resolution).items()) or [(0, 0)], "c long, d long")
-            member = member.join(last, "c").select("id", F.col("d").alias("c"))
-            break
-        moved = _moves(graph, seed, resolution, cut)
-        member = cut(_renamed(member, moved))
-        ends = graph.join(moved.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(moved.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
-        graph = cut(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
-        if graph.where("a <> b").count() == links:
-            break
-    sizes = member.groupBy("c").agg(F.count("*").alias("size"), F.min("id").alias("low"))
-    numbered = ranked(sizes, "size", "low").select("c", (F.col("r") - 1).cast("int").alias("community"))
-    return member.join(numbered, "c").select("id", "community")
-
-
-def _renamed(member: DataFrame, moved: DataFrame) -> DataFrame:
-    return member.join(moved.select(F.col("v").alias("c"), F.col("c").alias("d")), "c").select("id", F.col("d").alias("c"))
-
-
-def _moves(graph: DataFrame, seed: int, resolution: float, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(v, c): the community of each node of a graph (a, b, w), loops included, once no node gains by moving or MOST_ROUNDS are over."""
-    both = cut(graph.where("a <> b").unionByName(graph.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-    ends = graph.select(F.explode(F.array("a", "b")).alias("v"), "w")  # a loop counts twice
-    state = cut(ends.groupBy("v").agg(F.sum("w").alias("deg")).select("v", F.col("v").alias("c"), "deg"))
-    total = state.agg(F.sum("deg")).first()[0] or 1.0
-    for r in range(MOST_ROUNDS):
-        inside = state.groupBy("c").agg(F.sum("deg").alias("tot"))
-        near = both.join(state.select(F.col("v").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k"))
-        near = near.unionByName(state.select(F.col("v").alias("a"), "c", F.lit(0.0).alias("k"))).groupBy("a", "c").agg(F.sum("k").alias("k"))
-        full = near.join(state.select(F.col("v").alias("a"), F.col("c").alias("own"), "deg"), "a").join(inside, "c")
-        gain = F.col("k") - resolution * F.col("deg") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("deg")).otherwise(0.0)) / F.lit(total)
-        best = full.withColumn("gain", gain).groupBy("a", "own").agg(F.max(F.struct("gain", (-F.col("c")).alias("n"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        want = cut(best.where(F.col("best.gain") > F.col("stay") + 1e-9).select(F.col("a").alias("v"), (-F.col("best.n")).alias("to")))
-        if want.isEmpty():
-            break
-        go = want.where(F.pmod(F.xxhash64("v", F.lit(seed), F.lit(r)), F.lit(2)) == 0)
-        state = cut(state.join(go, "v", "left").select("v", F.coalesce("to", "c").alias("c"), "deg"))
-    return state.select("v", "c")
-
-
-def _louvain(rows: list[tuple[int, int, float]], seed: int, resolution: float) -> dict[int, int]:
-    """node -> community of a small graph of edges (a, b, w), loops included: nodes move one at a time, then communities become nodes."""
-    rng = random.Random(seed)
-    loops: dict[int, float] = {}
-    level: dict[int, dict[int, float]] = {}
-    for a, b, w in sorted(rows):
-        level.setdefault(a, {}), level.setdefault(b, {})
-        if a == b:
-            loops[a] = loops.get(a, 0.0) + w
-        else:
-            level[a][b] = level[a].get(b, 0.0) + w
-            level[b][a] = level[b].get(a, 0.0) + w
-    member = {v: v for v in level}
-    total = sum(sum(near.values()) for near in level.values()) + 2 * sum(loops.values()) or 1.0
-    while True:
-        where = {v: v for v in level}
-        degree = {v: sum(near.values()) + 2 * loops.get(v, 0.0) for v, near in level.items()}
-        inside, order, moved, again = dict(degree), sorted(level), False, True
-        rng.shuffle(order)
-        while again:
-            again = False
-            for v in order:
-                near: dict[int, float] = {}
-                for u, w in level[v].items():
-                    near[where[u]] = near.get(where[u], 0.0) + w
-                old = where[v]
-                inside[old] -= degree[v]
-                value = lambda c: near.get(c, 0.0) - resolution * degree[v] * inside[c] / total  # noqa: B023, E731
-                best = max(sorted(near), key=value, default=old)
-                if value(best) > value(old) + 1e-12:
-                    where[v], again, moved = best, True, True
-                inside[where[v]] += degree[v]
-        if not moved:
-            return member
-        member = {v: where[c] for v, c in member.items()}
-        merged: dict[int, dict[int, float]] = {c: {} for c in where.values()}
-        kept: dict[int, float] = {}
-        for v, near in level.items():
-            c = where[v]
-            kept[c] = kept.get(c, 0.0) + loops.get(v, 0.0)
-            for u, w in near.items():
-                if where[u] == c:
-                    kept[c] += w / 2
-                else:
-                    merged[c][where[u]] = merged[c].get(where[u], 0.0) + w
-        level, loops = merged, kept

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citemill import views as V
 from citemill.operators import analytics as A
 from citemill.operators import coupling as C
+from citemill.operators.graphs import communities
 from citemill.operators import search as S
 from citemill.operators.ordered import running
 from citemill.plans.join_queries import _DF, _OWN, BRIDGE, bridge, own
@@ -70,7 +71,7 @@ def f05(s: SparkSession, d: str) -> DataFrame:
 
 @query("f05_communities")
 def f05c(s: SparkSession, d: str) -> DataFrame:
-    return C.communities(edges(s, d))
+    return communities(edges(s, d))
 
 
 @query("f06_community_profile", f"""WITH {V.ART}, {BRIDGE}, m AS (SELECT CAST(author % 40 AS INT) AS community, journal, year FROM art), j AS (SELECT community, journal, count(*) AS k FROM m GROUP BY 1, 2), t AS (SELECT community, max_by(journal, (k, journal)) AS top_journal, max(k) AS tn FROM j GROUP BY 1),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citemill.functions import text as X
-from citemill.operators import analytics, coupling, merging, metrics, parsing, routing, scoring, search
+from citemill.operators import analytics, coupling, graphs, merging, metrics, parsing, routing, scoring, search
 from citemill.operators.ordered import running
 from citemill.sources import readers
 
@@ -53,12 +53,12 @@ def test_coupling_groups_separate(spark):
     got = edges.collect()
     assert len(got) == 30 and all(r.shared in (2, 3) for r in got)
     assert {round(r.weight, 6) for r in got} == {round(2 * math.log(13 / 6), 6), round(3 * math.log(13 / 6), 6)}
-    for most in (coupling.MOST_EDGES, 1):  # in one place, and by rounds of joins
+    for most in (graphs.TASK_EDGES, 1):  # in one place, and by rounds of joins
         groups = {}
-        for r in coupling.communities(edges, most_edges=most).collect():
+        for r in graphs.communities(edges, most_edges=most).collect():
             groups.setdefault(r.community, set()).add(r.id)
         assert sorted(map(sorted, groups.values())) == [list(range(6)), list(range(10, 16))]
-    assert coupling.communities(edges.where("false")).count() == 0
+    assert graphs.communities(edges.where("false")).count() == 0
 
 
 def test_one_shared_reference_makes_no_edge(spark):
@@ -179,7 +179,7 @@ def test_communities_by_rounds_are_about_as_good(spark):
     edges = spark.createDataFrame(data, "a long, b long, weight double")
 
     def quality(most):
-        of = {r.id: r.community for r in coupling.communities(edges, most_edges=most).collect()}
+        of = {r.id: r.community for r in graphs.communities(edges, most_edges=most).collect()}
         total, deg = 2 * sum(w for *_, w in data), {}
         for a, b, w in data:
             deg[a], deg[b] = deg.get(a, 0) + w, deg.get(b, 0) + w
@@ -188,7 +188,39 @@ def test_communities_by_rounds_are_about_as_good(spark):
             within[c] = within.get(c, 0) + deg[v]
         return 2 * sum(w for a, b, w in data if of[a] == of[b]) / total - sum(x * x for x in within.values()) / total**2
 
-    assert quality(1) > 0.97 * quality(coupling.MOST_EDGES) > 0.5
+    assert quality(1) > 0.97 * quality(graphs.TASK_EDGES) > 0.5
+
+
+def test_components_and_connected_communities(spark):
+    """Roots of chains, rings and stars; each community holds together inside, by tasks and by rounds of joins."""
+    rng = random.Random(5)
+    chain, star = [(i, i + 1) for i in range(100, 160)], [(200, i) for i in range(201, 240)]
+    noise = [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(110)]
+    data = sorted({(min(e), max(e)) for e in [*chain, *star, *noise] if e[0] != e[1]})
+    near = {}
+    for a, b in data:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+
+    def reach(v, within):
+        seen, todo = {v}, [v]
+        while todo:
+            new = (near[todo.pop()] & within) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    edges = spark.createDataFrame([(*e, rng.random()) for e in data], "a long, b long, weight double")
+    cut = graphs._Cuts(spark)
+    roots = {r.v: r.root for r in graphs.components(edges, cut).collect()}
+    cut.close()
+    assert roots == {v: min(reach(v, set(near))) for v in near}
+    for most in (graphs.TASK_EDGES, 20):
+        groups = {}
+        for r in graphs.communities(edges, most_edges=most).collect():
+            groups.setdefault(r.community, set()).add(r.id)
+        assert set().union(*groups.values()) == set(near)
+        assert all(reach(min(g), g) == g for g in groups.values())
+        assert [len(groups[c]) for c in sorted(groups)] == sorted(map(len, groups.values()), reverse=True)
 
 
 def test_running_sums(spark):
