@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.operators.ordered import running
+from citemill.operators.quantiles import exact_quantiles
 
 
 def per_class(rows: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:
@@ -89,8 +90,8 @@ def grid_search(rows: DataFrame, score: str, gold: str, classes: tuple[str, str,
 
     Counts by score and class are all that meets the grid.
     """
-    qs = rows.agg(F.percentile(score, F.array(*[F.lit((i + 0.5) / steps) for i in range(steps)])).alias("q"))
-    points = qs.select(F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, 6)))).alias("t"))
+    qs = exact_quantiles(rows, {score: [(i + 0.5) / steps for i in range(steps)]})[score]
+    points = rows.sparkSession.range(1).select(F.explode(F.array_distinct(F.array(*[F.round(F.lit(q).cast("double"), 6) for q in qs]))).alias("t")).where("t IS NOT NULL")
     grid = points.select(F.col("t").alias("low")).crossJoin(points.select(F.col("t").alias("high"))).where("low < high")  # steps squared at most
     counts = rows.groupBy(score, gold).agg(F.count("*").alias("n"))
     pred = F.when(F.col(score) < F.col("low"), classes[0]).when(F.col(score) < F.col("high"), classes[1]).otherwise(classes[2])

@@ -11,6 +11,7 @@ from citemill.operators import scoring as S
 from citemill.operators import search as Q
 from citemill.operators.automaton import terms_in
 from citemill.operators.ordered import running
+from citemill.operators.quantiles import exact_quantiles
 from citemill.operators.text_cosine import tfidf_similarity
 from citemill.plans.join_queries import _DF, _OWN, own
 from citemill.plans.registry import query
@@ -225,10 +226,10 @@ def g19k(s: SparkSession, d: str) -> DataFrame:
 @query("g20_cascade_overrides", f"""WITH {V.SCORED}, q AS (SELECT quantile_cont(s, 0.1) AS qs, quantile_cont(t, 0.1) AS qt FROM scored) SELECT id, CASE WHEN t >= 0.95 THEN 'lesenswert' WHEN z = 1 AND pred = 'ignorieren' THEN 'scannen' WHEN s <= qs AND t <= qt AND pred <> 'lesenswert' THEN 'ignorieren' ELSE pred END AS verdict FROM scored, q""")
 def g20(s: SparkSession, d: str) -> DataFrame:
     x = V.scored(s, d)
-    q = x.agg(F.percentile("s", F.lit(0.1)).alias("qs"), F.percentile("t", F.lit(0.1)).alias("qt"))
-    veto = (F.col("s") <= F.col("qs")) & (F.col("t") <= F.col("qt")) & (F.col("pred") != "lesenswert")
+    low = exact_quantiles(x, {"s": [0.1], "t": [0.1]})
+    veto = (F.col("s") <= F.lit(low["s"][0])) & (F.col("t") <= F.lit(low["t"][0])) & (F.col("pred") != "lesenswert")
     v = F.when(F.col("t") >= 0.95, "lesenswert").when((F.col("z") == 1) & (F.col("pred") == "ignorieren"), "scannen").when(veto, "ignorieren").otherwise(F.col("pred"))
-    return x.crossJoin(F.broadcast(q)).select("id", v.alias("verdict"))
+    return x.select("id", v.alias("verdict"))
 
 
 @query("g21_log_damped_overlap", f"{BASE}, {_SIG} SELECT id, round(ln(1 + own_n), 6) AS damped FROM sig")

@@ -493,3 +493,24 @@ def test_author_citations_by_tier(spark):
         (1, 1, "doi", "high"), (2, 1, "author_year_title", "high"), (3, 1, "author_year_title", "medium"), (3, 2, "author_year_title", "medium"), (4, 3, "author_year", "high"), (5, 1, "author_year_title", "low"), (6, 0, "author_only", "low"),
         (8, 3, "author_year", "high"), (9, 3, "author_year", "high"), (10, 1, "author_year", "medium"), (10, 2, "author_year", "medium"), (10, 4, "author_year", "medium"),
     ]
+
+
+def test_exact_quantiles(spark):
+    """Against sorting: ties, far-off values, signs, nulls, NaN, one value, none; cells are refined several times."""
+    from citemill.operators.quantiles import exact_quantiles
+
+    rng = random.Random(7)
+    a = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-9), 1e300, -1e300, 0.25, 0.25]) for _ in range(3000)]
+    rows = [(x, float(i % 7), 5.0, None, float("nan") if i % 3 else 1.0 * i) for i, x in enumerate(a)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.77, 0.999, 1.0]
+    got = exact_quantiles(df, {c: shares for c in "abcde"})
+    for i, c in enumerate("abcde"):
+        values = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        for p, q in zip(shares, got[c], strict=True):
+            if not values:
+                assert q is None
+                continue
+            at = p * (len(values) - 1)
+            lo, hi = values[math.floor(at)], values[math.ceil(at)]
+            assert q == (lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi)
