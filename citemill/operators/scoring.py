@@ -387,18 +387,3 @@ def argument_plans(units: DataFrame, stop: set[str], generic: set[str], key: str
     terms = _ranked_terms(chosen.select(key, "text", place(F.col("i"), F.lit(0)), F.array().cast("array<string>").alias("stop")), key, generic, 3, 8, 2, 10)
     none = F.array().cast("array<string>")
     return rows.join(terms, key, "left").select(key, F.coalesce("terms", none).alias("terms"), F.when(F.col("text") != "", F.array("text")).otherwise(none).alias("phrases"))
-
-
-def parse_graph(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, label, relation, target) of the lines of work profiles: nodes ``SOURCE: x``, edges ``x -> relation -> y``, and lines kept unparsed."""
-    line = F.explode(F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("line")
-    node, edge = r"^\s*(SOURCE|TERM|CLAIM|POSITION)\s*:\s*(.+?)\s*$", r"^\s*(.+?)\s*->\s*(affirms|contrasts|uses|extends)\s*->\s*(.+?)\s*$"
-    g = lambda p, i: F.regexp_extract("line", p, i)
-    is_node, is_edge = F.col("line").rlike(node), F.col("line").rlike(edge)
-    out = rows.select(key, line).select(
-        key, F.when(is_edge, "edge").when(is_node, F.lower(g(node, 1))).otherwise("unparsed").alias("kind"), F.when(is_edge, g(edge, 1)).when(is_node, g(node, 2)).otherwise(F.trim("line")).alias("label"),
-        F.when(is_edge, g(edge, 2)).alias("relation"), F.when(is_edge, g(edge, 3)).alias("target"),
-    )
-    with_position = out.where("kind = 'position'").select(key).distinct()
-    missing = rows.select(key).distinct().join(with_position, key, "left_anti").select(key, F.lit("position").alias("kind"), F.lit("(implied)").alias("label"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("string").alias("target"))
-    return out.unionByName(missing)

@@ -11,6 +11,7 @@ from citemill.operators import scoring as S
 from citemill.operators import search as Q
 from citemill.operators.automaton import terms_in
 from citemill.operators.ordered import running
+from citemill.operators.profiles import parse_profiles
 from citemill.operators.quantiles import exact_quantiles
 from citemill.operators.text_cosine import tfidf_similarity
 from citemill.plans.join_queries import _DF, _OWN, own
@@ -305,11 +306,26 @@ def g27(s: SparkSession, d: str) -> DataFrame:
     return hits.select("doc_id", "lang", F.explode("_terms").alias("term")).join(plans, "term").groupBy("question_id", "intent", "lang").agg(F.countDistinct("doc_id").alias("n"))
 
 
-@query("g28_graph_parser", f"""WITH {V.WORK} SELECT ref, 'source' AS kind, title AS label, NULL::VARCHAR AS relation, NULL::VARCHAR AS target FROM work UNION ALL SELECT ref, 'edge', topic, CASE WHEN ref % 2 = 0 THEN 'affirms' ELSE 'contrasts' END, brand FROM work UNION ALL SELECT ref, 'unparsed', 'odd line', NULL, NULL FROM work UNION ALL SELECT ref, 'position', CASE WHEN ref % 3 = 0 THEN 'stated' ELSE '(implied)' END, NULL, NULL FROM work""")
+@query("g28_graph_parser", f"""WITH {V.WORK}, w AS (SELECT *, ref % 3 = 0 AS stated, CASE ref % 2 WHEN 0 THEN 'extends' ELSE 'rejects' END AS rel, CASE ref % 2 WHEN 0 THEN '+' ELSE '-' END AS sign FROM work)
+SELECT ref, 'node' AS kind, 'position:self' AS name, 'position' AS type, CASE WHEN stated THEN 'to care' ELSE '(Selbstposition nicht explizit)' END AS label, NULL AS source, NULL AS target, NULL AS sigma, CASE WHEN stated THEN 'a quote' END AS quote, NULL AS address FROM w
+UNION ALL SELECT ref, 'node', 'source:' || title, 'source', title, NULL, NULL, NULL, NULL, 'p. 3' FROM w
+UNION ALL SELECT ref, 'edge', rel, NULL, NULL, 'position:self', 'source:' || title, sign, NULL, 'p. 3' FROM w
+UNION ALL SELECT ref, 'unparsed', NULL, NULL, unnest(['Preface', 'QUELLE: Nobody | RELATION: unclear']), NULL, NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'node', 'term:' || topic, 'term', topic, NULL, NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'edge', 'coins', NULL, NULL, 'source:' || title, 'term:' || topic, NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'node', 'term:glue', 'term', 'glue', NULL, NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'edge', 'coins', NULL, NULL, 'position:self', 'term:glue', NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'node', 'own:0', 'source', brand, NULL, NULL, NULL, NULL, NULL FROM w
+UNION ALL SELECT ref, 'edge', 'trajectory', NULL, NULL, 'position:self', 'own:0', NULL, NULL, NULL FROM w""")
 def g28(s: SparkSession, d: str) -> DataFrame:
-    r = F.col("ref")
-    text = F.concat(F.lit("SOURCE: "), "title", F.lit("\n"), "topic", F.lit(" -> "), F.when(r % 2 == 0, "affirms").otherwise("contrasts"), F.lit(" -> "), "brand", F.lit("\n\nodd line"), F.when(r % 3 == 0, "\nPOSITION: stated").otherwise(""))
-    return S.parse_graph(V.works(s, d).select("ref", text.alias("t")), "ref", "t")
+    even = F.col("ref") % 2 == 0
+    stated = F.when(F.col("ref") % 3 == 0, "ZIEL: to care | BELEG: «a quote»\n").otherwise("")
+    relation = F.when(even, "**extends** (rather than rejects)").otherwise("rejects, not affirms")
+    text = F.concat(
+        F.lit("Preface\n[SELBSTPOSITION]\n"), stated, F.lit("**[QUELLEN]**\n- QUELLE: "), "title", F.lit(" | RELATION: "), relation, F.lit(" | ADRESSE: p. 3\nQUELLE: Nobody | RELATION: unclear\n—\n[BEGRIFFE]\nBEGRIFF: "), "topic", F.lit(" | HERKUNFT: after "), F.upper("title"),
+        F.lit("\nBEGRIFF: glue | HERKUNFT: eigene Arbeit\n[TRAJEKTORIE]\nSELBSTBEZUG: "), "brand",
+    )
+    return parse_profiles(V.works(s, d).select("ref", text.alias("t")), "ref", "t").drop("density")
 
 
 @query("g29_jaccard_coupling", f"WITH {V.ART}, {V.REF}, {_OWN}, o AS (SELECT DISTINCT ref FROM own), g AS (SELECT id, count(*) AS n, count(o.ref) AS k FROM ref LEFT JOIN o USING (ref) GROUP BY 1) SELECT id, round(k::DOUBLE / (n + (SELECT count(*) FROM o) - k), 6) AS jaccard, round(ln(1 + k), 6) AS damped FROM g")

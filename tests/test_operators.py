@@ -514,3 +514,39 @@ def test_exact_quantiles(spark):
             at = p * (len(values) - 1)
             lo, hi = values[math.floor(at)], values[math.ceil(at)]
             assert q == (lo if lo == hi else (math.ceil(at) - at) * lo + (at - math.floor(at)) * hi)
+
+
+def test_profiles_by_hand(spark):
+    """Blocks, list marks, first relation word, twice the same source, coiners, densities, lines without form, no position."""
+    from citemill.operators.profiles import parse_profiles
+
+    text = """Vocabulary: affirms
+- **[QUELLEN]**
+* QUELLE: Brown (2015) | RELATION: contrasts, then affirms | ADRESSE: ch. 2 | BELEG: « so it is »
+QUELLE: Brown (2015) | RELATION: Affirms
+QUELLE: Ames | RELATION: affirmsx
+QUELLE: | RELATION: extends
+[BEGRIFFE]
+BEGRIFF: late | HERKUNFT: Clark
+BEGRIFF: glitch | HERKUNFT: von Brown
+BEGRIFF: own | HERKUNFT: Anschluss an Brown
+[UNBEKANNT]
+ZIEL: never
+[TRAJEKTORIE]
+SELBSTBEZUG: Clark, early
+SELBSTBEZUG: later
+[BEGRIFFE]
+BEGRIFF: again | HERKUNFT: CLARK"""
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "[SELBSTPOSITION]\nZIEL: one\nZIEL: two")], "k int, t string")
+    topology = spark.createDataFrame([(1, "Brown", 7), (1, "Other", 3)], "k int, author string, density int")
+    out = parse_profiles(rows, "k", "t", topology).collect()
+    assert sorted((r.k, r.name, r.label, r.density) for r in out if r.kind == "node") == [
+        (1, "own:0", "Clark, early", None), (1, "own:1", "later", None), (1, "position:self", "(Selbstposition nicht explizit)", None), (1, "source:Brown (2015)", "Brown (2015)", 7),
+        (1, "term:again", "again", None), (1, "term:glitch", "glitch", None), (1, "term:late", "late", None), (1, "term:own", "own", None), (4, "position:self", "one", None),
+    ]
+    me, brown = "position:self", "source:Brown (2015)"
+    assert sorted((r.name, r.source, r.target, r.sigma or "", r.quote or "", r.address or "") for r in out if r.kind == "edge") == [
+        ("affirms", me, brown, "+", "", ""), ("coins", "own:0", "term:again", "", "", ""), ("coins", me, "term:late", "", "", ""), ("coins", me, "term:own", "", "", ""), ("coins", brown, "term:glitch", "", "", ""),
+        ("contrasts", me, brown, "-", "so it is", "ch. 2"), ("trajectory", me, "own:0", "", "", ""), ("trajectory", me, "own:1", "", "", ""),
+    ]
+    assert sorted(r.label for r in out if r.kind == "unparsed") == ["QUELLE: Ames | RELATION: affirmsx", "QUELLE: | RELATION: extends", "Vocabulary: affirms", "ZIEL: never"]
