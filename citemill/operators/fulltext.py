@@ -1,7 +1,7 @@
 """A positional inverted index for whole-word search, as Parquet sorted by term.
 
-Texts are indexed in segments of about half a million words.  A row has one term's postings in one segment: which
-texts hold it and where, as packed differences, with the least and greatest text number.  The table is
+Texts are indexed in segments of about a million words.  A row has one term's postings in one segment: which
+texts hold it and where, as packed differences from the least text number.  The table is
 range-sorted by term with small row groups, so that a search reads the pages of its own terms only.  Words of a
 query meet by segment, the rarest first; segments that lack it are never unpacked.  What the index proposes
 is verified on the text, so results are those of a scan.
@@ -21,8 +21,8 @@ from citemill.operators.batches import parts as in_parts
 from citemill.operators.search import blob, matches, parts
 from citemill.shared import remove, scratch
 
-_ROW = "term string, segment long, texts int, first long, last long, ids binary, counts binary, positions binary"
-ROW_GROUP, SEGMENT = 1 << 20, 500_000  # bytes of a row group, words of a segment
+_ROW = "term string, segment long, texts int, first long, ids binary, counts binary, positions binary"
+ROW_GROUP, SEGMENT = 1 << 20, 1_000_000  # bytes of a row group, words of a segment
 
 
 def tokens_of(c: Column) -> Column:
@@ -123,7 +123,6 @@ def _postings(batches):
             "segment": pa.array(np.full(len(term) - 1, (part << 24) + number)),
             "texts": pa.array(np.diff(term).astype(np.int32)),
             "first": pa.array(ids[term[:-1]]),
-            "last": pa.array(ids[term[1:] - 1]),
             "ids": _packed_column(steps, term),
             "counts": _packed_column(np.diff(spots), term),
             "positions": _packed_column(_differences(position, new_pair), spots[term]),
@@ -138,9 +137,9 @@ def build_index(rows: DataFrame, key: str, columns: list[str], path: str) -> Non
     """
     words = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), tokens_of(blob(columns)).alias("_tokens"))
     loose = scratch(rows.sparkSession, "postings")  # read twice: to find the ranges, and to sort
-    words.mapInArrow(_postings, _ROW).write.parquet(loose)
+    words.mapInArrow(_postings, _ROW).write.option("compression", "zstd").parquet(loose)
     index, sort = rows.sparkSession.read.schema(_ROW).parquet(loose), ["term", "segment"]
-    index.repartitionByRange(*sort).sortWithinPartitions(*sort).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    index.repartitionByRange(*sort).sortWithinPartitions(*sort).write.options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP}).parquet(path)
     remove(loose)
 
 

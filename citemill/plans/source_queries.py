@@ -101,6 +101,31 @@ def a07p(s: SparkSession, d: str) -> DataFrame:
     return R.works_from_json(landed, "body").select("title", "doi", "published")
 
 
+@query("a07_works_stream", f"WITH {V.WORK} SELECT ref % 3 AS run, count(*) AS works, count(DISTINCT title) AS titles FROM work WHERE ref % 6 <> 0 GROUP BY 1")
+def a07_stream(s: SparkSession, d: str) -> DataFrame:
+    """Pages that land between three runs of one stream: each run reads on from the checkpoint of the last."""
+    folder = _scratch(s)
+    s.dataSource.register(R.landing_source())
+
+    def land(batches):
+        for pdf in batches:
+            for run, part, body in zip(pdf["run"], pdf["part"], pdf["body"], strict=True):
+                with R._open(f"{folder}/in/{run:04}-{part:04}.json", "w") as f:
+                    f.write(body.encode())
+            yield pdf[["part"]]
+
+    pages = V.works(s, d).select((F.col("ref") % 3).alias("run"), F.expr("ref div 500").alias("part"), F.to_json(F.struct(F.concat(F.lit("W"), "ref").alias("id"), F.when(F.col("ref") % 6 == 0, "").otherwise(F.col("title")).alias("title"), F.lit("2001-01-01").alias("publication_date"))).alias("work"))
+    pages = pages.groupBy("run", "part").agg(F.concat(F.lit('{"results":['), F.array_join(F.collect_list("work"), ","), F.lit("]}")).alias("body"))
+    for run in range(3):
+        pages.where(F.col("run") == run).mapInPandas(land, "part long").count()
+        landed = s.readStream.format("landing_works").option("folder", f"{folder}/in").load().withColumn("run", F.lit(run))
+        q = landed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    out = s.read.schema("name string, body string, run int").parquet(f"{folder}/out")
+    works = R.works_from_json(out.where(F.substring("name", 1, 4).cast("int") == F.col("run")), "body")
+    return works.groupBy((F.substring("url", 2, 20).cast("long") % 3).alias("run")).agg(F.count("*").alias("works"), F.countDistinct("title").alias("titles"))
+
+
 @query("a08_feed_connector", f"WITH {V.WORK} SELECT title, 'http://j/' || ref AS url, CASE WHEN ref % 2 = 0 THEN '10.5555/x' || ref END AS doi, 'about ' || brand AS abstract FROM work")
 def a08(s: SparkSession, d: str) -> DataFrame:
     w = V.works(s, d)

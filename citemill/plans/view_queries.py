@@ -102,3 +102,15 @@ def z02(s: SparkSession, d: str) -> DataFrame:
 @query("z03_stream_upsert", "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")
 def z03(s: SparkSession, d: str) -> DataFrame:
     return ledger.stream_upsert(s, d)
+
+
+@query("z04_stream_waves", """WITH g AS (SELECT user_id, ts, value, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), w AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS wave FROM g)
+SELECT user_id AS key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS calls, round(sum(value), 4) AS cost FROM w GROUP BY user_id, wave HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
+def z04(s: SparkSession, d: str) -> DataFrame:
+    return ledger.stream_waves(s, d).select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "calls", F.round("cost", 4).alias("cost"))
+
+
+@query("z05_stream_cache", """WITH RECURSIVE f(user_id, ts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT user_id, ts FROM (SELECT e.user_id, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts) AS n FROM f JOIN events e ON e.user_id = f.user_id AND e.ts > f.ts + INTERVAL 21 DAY) WHERE n = 1)
+SELECT event_id AS id, NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = e.user_id AND f.ts = e.ts) AS hit FROM events e""")
+def z05(s: SparkSession, d: str) -> DataFrame:
+    return ledger.stream_cache(s, d)

@@ -554,3 +554,54 @@ def landed_source():
             return LandedReader(self.options)
 
     return LandedWorks
+
+
+def landing_source():
+    """A streaming data source (``format("landing_works")``) of the pages that land in a folder of a works interface.
+
+    Option ``folder`` names it.  Pages are taken in the order of their names, which must ascend as they land; the offset is
+    the last name taken, so a stream that starts again from its checkpoint reads only what has landed since.  A file is a
+    partition.  An empty folder has no rows yet.
+    """
+    from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+    class Landing(DataSourceStreamReader):
+        def __init__(self, options):
+            self.folder = options["folder"]
+
+        def _names(self):
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+            found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+            return sorted(f.base_name for f in found if f.type == fs.FileType.File and f.base_name.endswith(".json"))
+
+        def initialOffset(self):
+            return {"after": ""}
+
+        def latestOffset(self):
+            return {"after": max(self._names(), default="")}
+
+        def partitions(self, start, end):
+            return [InputPartition(f"{self.folder}/{n}") for n in self._names() if start["after"] < n <= end["after"]]
+
+        def read(self, partition):
+            path = partition.value
+            with _open(path if "://" in path else f"file://{path}", "r") as f:
+                yield (path.rsplit("/", 1)[1], f.read().decode())
+
+        def commit(self, end):
+            pass
+
+    class LandingWorks(DataSource):
+        @classmethod
+        def name(cls):
+            return "landing_works"
+
+        def schema(self):
+            return "name string, body string"
+
+        def streamReader(self, schema):
+            return Landing(self.options)
+
+    return LandingWorks

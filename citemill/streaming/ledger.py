@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill import shared
+from citemill.streaming.state import cache_lookups, keyed_state, waves
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,6 +43,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(e.select("user_id", "event_type"), "append")
 
 
+def stream_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves of calls by user: calls at most six hours apart, each wave once, when the watermark has passed its end."""
+    e = events(spark, sf_dir).withColumnRenamed("value", "cost")
+    return _run(waves(e, "user_id", "6 hours", "1 day"), "append")
+
+
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a lookup of its user's entry, which is good for 21 days."""
+    e = events(spark, sf_dir).withColumnRenamed("event_id", "id")
+    with keyed_state(spark):
+        return _run(cache_lookups(e, "user_id"), "append")
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by user that every batch merges into: a new version for each batch, read from the last one."""
     folder = scratch(spark)
