@@ -26,6 +26,8 @@ _CLASS[65:91] = _CLASS[97:123] = _L
 _CLASS[0x80:0xC0] = _CLASS[0xC3:0xC6] = _L  # U+00C0 to U+017F, less three that _odd finds
 _CLASS[0xC0:0xC3] = _CLASS[0xC6:] = _ODD
 _CLASS[28:32] = _ODD  # white space to some libraries only
+MOST_BYTES = 4 << 20  # of a text that is worked on at a time
+_PLAIN = (_CLASS == _N) | (_CLASS == _L) & (np.arange(256) < 128)
 MOST_PIECES = 1 << 20  # then the table starts anew, so that its memory stays bounded
 
 
@@ -36,6 +38,18 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _cut(buf: np.ndarray, start: int, end: int) -> int:
+    """End of a part of about MOST_BYTES from ``start``: before a space between ASCII letters or digits, where pieces end whatever is around; ``end`` where there is none."""
+    size = MOST_BYTES
+    while start + size < end:
+        window = buf[start : start + size + 1]
+        good = np.flatnonzero((window[1:-1] == 32) & _PLAIN[window[:-2]] & _PLAIN[window[2:]]) + 1
+        if len(good):
+            return start + int(good[-1])
+        size *= 2
+    return end
+
+
 class Encoder:
     """``encode(column)``: flat ids (unsigned 32-bit) and each text's offsets; null is the empty text."""
 
@@ -66,7 +80,20 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of more than MOST_BYTES are worked on in parts, so besides the texts and their ids memory is that of a part."""
         buf, offsets = strings(column)
+        if self.kind is None or int(np.diff(offsets).max(initial=0)) <= MOST_BYTES:
+            return self._encode(buf, offsets)
+        parts, sizes = [], np.zeros(len(offsets) - 1, np.int64)
+        for i, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            while start < end:
+                to = _cut(buf, start, end)
+                parts.append(self._encode(np.concatenate([buf[start:to], np.zeros(8, np.uint8)]), np.array([0, to - start]))[0])
+                sizes[i] += len(parts[-1])
+                start = to
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    def _encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count = len(offsets) - 1
         odd = np.ones(count, bool) if self.kind is None else self._odd(buf, offsets)
         if self.table.n > MOST_PIECES:

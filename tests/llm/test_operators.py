@@ -548,3 +548,16 @@ def test_warc_refuses_endless_headers(monkeypatch):
     monkeypatch.setattr(warc, "HEADER_BYTES", 1000)
     with pytest.raises(ValueError, match="header"):
         warc._record(1, "http://x/" + "a" * 2000, b"", None)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_cuts_long_texts(path, monkeypatch):
+    """Ids of texts that are worked on in small parts are those of the library; a text without a place to cut stays whole."""
+    monkeypatch.setattr(tokens, "MOST_BYTES", 40)
+    rng = random.Random(9)
+    parts = ["a", "é", "'s", " ", "  ", " re", "\n", "12", ".", "中", "Word word ", " <|endoftext|> ", "e\u0301 x", " \u0301"]
+    rows = ["".join(rng.choices(parts, k=rng.randint(0, 200))) for _ in range(300)] + [None, "", "x" * 3000, "plain words " * 100]
+    enc = tokens.Encoder(path)
+    ids, at = enc.encode(pa.array(rows))
+    want = [x.ids for x in enc.lib.encode_batch([r or "" for r in rows], add_special_tokens=False)]
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(rows))] == want
