@@ -14,14 +14,34 @@ MIN_TREND_YEARS, MIN_TREND_COUNT = 3, 5
 
 
 def cited_works(refs: DataFrame, least: int, share: float) -> DataFrame:
-    """(ref, n, citers) of the top ``share`` of works by citations, then ordered by different citers; ``refs`` has ref, id, author."""
+    """(ref, n, citers) of the top ``share`` of works by citations, then ordered by different citers; ``refs`` has ref, id, author.
+
+    How many works have each count says where the top ends, so only those of the last count are put in order.
+    """
     counted = refs.groupBy("ref").agg(F.count("*").alias("n"), F.countDistinct("author").alias("citers")).where(F.col("n") >= max(least, FLOOR))
-    total = counted.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("top"))
-    # the rank is a count of those before it, by value first, so no window has to hold all works
-    above = running(counted.groupBy("n").agg(F.count("*").alias("k")), -F.col("n"), {"above": "k"}).select("n", "above")
-    in_value = F.row_number().over(Window.partitionBy("n").orderBy("ref"))
-    kept = counted.join(above, "n").withColumn("rank", F.col("above") + in_value).crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top"))
-    return kept.select("ref", "n", "citers").orderBy(F.desc("citers"), F.desc("n"), "ref")
+    per = counted.groupBy("n").agg(F.count("*").alias("k"))  # as many rows as there are different counts
+    down = Window.orderBy(F.desc("n"))
+    per = per.select("n", "k", F.sum("k").over(down).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("all")).withColumn("top", F.greatest(F.lit(1), F.floor(F.col("all") * share)))
+    cut = per.where("upto >= top").orderBy(F.desc("n")).first()
+    if cut is None:
+        return counted.where("false")
+    last = counted.where(F.col("n") == cut.n).orderBy("ref").limit(cut.top - cut.upto + cut.k)
+    return counted.where(F.col("n") > cut.n).unionByName(last).orderBy(F.desc("citers"), F.desc("n"), "ref")
+
+
+def cited_work_details(ranking: DataFrame, refs: DataFrame, samples: int = 3, most: int = 200) -> DataFrame:
+    """``ranking`` (ref, n, citers) with ``years`` (a map of counts by citing year), ``citing`` (the different authors, sorted), and of the first citing article (least id)
+    ``seen`` (title, year, doi as it has them) and up to ``samples`` texts of at most ``most`` characters, in the order of articles.
+
+    ``refs`` has ref, id, author, citing_year, raw, title, year, doi.  Missing years and authors count nowhere, missing texts are no sample.
+    """
+    own = refs.join(ranking.select("ref"), "ref", "left_semi")
+    years = own.where("citing_year IS NOT NULL").groupBy("ref", "citing_year").agg(F.count("*").alias("k")).groupBy("ref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("citing_year", "k")))).alias("years"))
+    first = own.groupBy("ref").agg(F.array_sort(F.collect_set("author")).alias("citing"), F.min_by(F.struct("title", "year", "doi"), "id").alias("seen"))
+    place = F.row_number().over(Window.partitionBy("ref").orderBy("id", "raw"))
+    texts = own.where("raw <> ''").withColumn("place", place).where(F.col("place") <= samples)
+    texts = texts.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.left("raw", F.lit(most)).alias("t")))), lambda x: x["t"]).alias("samples"))
+    return ranking.join(years, "ref", "left").join(first, "ref").join(texts, "ref", "left")
 
 
 def trend(counts: DataFrame, key: str, year: str, n: str) -> DataFrame:

@@ -67,6 +67,18 @@ def merge_hashed(pubs: DataFrame, key: str, has_doi: str, title: str, year: str,
     return pubs.select(F.col(key)).join(first, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("target", key).alias("target"))
 
 
+def merge_effects(mapping: DataFrame, pubs: DataFrame, provenance: DataFrame, refs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a merge (``key``, target) leaves: publications, their provenance and their references.
+
+    A merged publication goes; where it came from is known of its target from then on, once each; its references go
+    with it, as the target has its own.  Rows of publications that the mapping doesn't have stay as they are.
+    """
+    gone = mapping.where(F.col(key) != F.col("target"))
+    away = gone.select(key)
+    moved = provenance.join(gone, key, "left").withColumn(key, F.coalesce("target", key)).select(*provenance.columns).distinct()
+    return pubs.join(away, key, "left_anti"), moved, refs.join(away, key, "left_anti")
+
+
 def recent_and_cited(works: DataFrame, by: str, date: str, cited: str, key: str, n: int) -> DataFrame:
     """The ``n`` most recent and ``n`` most cited works of each group, with a tag that says which."""
     w = Window.partitionBy(by)

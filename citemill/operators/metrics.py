@@ -190,3 +190,23 @@ def rule_quality(rows: DataFrame, fired: Column, y: str) -> DataFrame:
     g = rows.agg(F.count_if(fired).alias("fired"), F.count_if(fired & (F.col(y) == 1)).alias("tp"), F.sum(y).alias("pos"), F.count("*").alias("n"))
     p = F.when(F.col("fired") > 0, F.col("tp") / F.col("fired"))
     return g.select("fired", p.alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"), (p / (F.col("pos") / F.col("n"))).alias("lift"))
+
+
+def quota_sample(rows: DataFrame, key: str, rules: dict[str, Column], keep: Column, total: int, seed: int = 11) -> DataFrame:
+    """(key, rule): ``total`` labelled cases, half of them by rules, none twice; the others, of rule null, are drawn by ``seed``.
+
+    The rules, in their order, get each an equal quota, and of that kept and rejected rows (``keep`` true or
+    false; null is no case) the first by key that no quota before took.  The draw is by a digest of seed and key.  What
+    has been taken, ``total`` keys at most, goes through the driver.
+    """
+    per = max(1, (total // 2) // max(1, len(rules))) // 2 + 1
+    cases, taken = rows.withColumn("_keep", keep).where("_keep IS NOT NULL"), []
+    left = lambda: cases.where(~F.col(key).isin([k for k, _ in taken])) if taken else cases
+    for name, rule in rules.items():
+        for side in (True, False):
+            got = left().where(rule & (F.col("_keep") == side)).select(key).orderBy(key).limit(per).collect()
+            taken += [(r[0], name) for r in got]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    rest = left().select(key).orderBy(digest).limit(max(0, total - len(taken))).withColumn("rule", F.lit(None).cast("string"))
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, rule string"
+    return rows.sparkSession.createDataFrame(taken, schema).unionByName(rest)

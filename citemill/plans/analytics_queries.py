@@ -26,6 +26,19 @@ def f01(s: SparkSession, d: str) -> DataFrame:
     return A.cited_works(art_refs(s, d), 2, 0.1)
 
 
+@query("f01_cited_work_details", f"""WITH {V.ART}, {V.REF}, {AR}, {V.WORK}, c AS (SELECT ref, count(*) AS n, count(DISTINCT author) AS citers FROM ar GROUP BY ref HAVING count(*) >= 3),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, ref) AS r, count(*) OVER () AS t FROM c), k AS (SELECT ref, n, citers FROM r WHERE r <= greatest(1, CAST(floor(t * 0.1) AS BIGINT))), a AS (SELECT ar.*, work.title || ' in ' || ar.id AS raw, row_number() OVER (PARTITION BY ar.ref ORDER BY ar.id) AS place FROM ar JOIN work USING (ref)),
+y AS (SELECT ref, string_agg(year || ':' || n, ',' ORDER BY year) AS years FROM (SELECT ref, year, count(*) AS n FROM a GROUP BY 1, 2) GROUP BY ref)
+SELECT k.ref, k.n, k.citers, any_value(years) AS years, min(CASE WHEN place = 1 THEN id % 3 END) AS seen, string_agg(raw, '|' ORDER BY place) FILTER (place <= 3) AS samples, md5(string_agg(DISTINCT author::VARCHAR, ',' ORDER BY author::VARCHAR)) AS citing FROM k JOIN a USING (ref) JOIN y USING (ref) GROUP BY 1, 2, 3""")
+def f01_details(s: SparkSession, d: str) -> DataFrame:
+    refs = art_refs(s, d)
+    raw = F.concat("title", F.lit(" in "), F.col("id").cast("string"))
+    told = refs.withColumnRenamed("year", "citing_year").join(V.works(s, d).select("ref", "title", "doi"), "ref").withColumns({"raw": raw, "year": F.col("id") % 3}).withColumn("author", F.col("author").cast("string"))
+    out = A.cited_work_details(A.cited_works(refs, 2, 0.1), told)
+    years = F.array_join(F.transform(F.map_entries("years"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("ref", "n", "citers", years.alias("years"), F.col("seen.year").alias("seen"), F.array_join("samples", "|").alias("samples"), F.md5(F.array_join("citing", ",").cast("binary")).alias("citing"))
+
+
 @query("f02_trend_label", f"""WITH {V.ART}, {V.REF}, {AR}, c AS (SELECT ref, year, count(*) AS n FROM ar GROUP BY 1, 2), g AS (SELECT ref, count(*) AS ys, sum(n) AS t, min(year) AS a, max(year) AS z, max_by(year, (n, year)) AS p, max(n) AS m FROM c GROUP BY ref)
 SELECT ref, CASE WHEN ys < 3 OR t < 5 THEN CASE WHEN ys = 1 THEN 'only ' || a ELSE '' END WHEN p = z THEN 'rising' WHEN p = a THEN 'falling' WHEN m::DOUBLE / t > 0.5 THEN 'peak ' || p ELSE 'stable' END AS trend FROM g""")
 def f02(s: SparkSession, d: str) -> DataFrame:

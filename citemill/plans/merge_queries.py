@@ -67,12 +67,29 @@ def b07(s: SparkSession, d: str) -> DataFrame:
 _PUBS = "p AS (SELECT ref, ref % 5 = 0 AS has_doi, title || ' ' || brand AS t, CASE WHEN ref % 4 = 0 THEN NULL ELSE year END AS y, CASE WHEN ref % 3 = 0 THEN '' ELSE topic END AS a FROM work)"
 
 
-@query("b08_duplicate_merge", f"""WITH {V.WORK}, {_PUBS}, m AS (SELECT x.ref, min(q.ref) AS target FROM p x JOIN p q ON x.t = q.t AND (x.y IS NULL OR q.y IS NULL OR x.y = q.y) AND (x.a = '' OR q.a = '' OR x.a = q.a) WHERE NOT x.has_doi AND q.has_doi GROUP BY x.ref)
-SELECT p.ref, coalesce(m.target, p.ref) AS target FROM p LEFT JOIN m USING (ref)""")
-def b08(s: SparkSession, d: str) -> DataFrame:
+_MERGED = "m AS (SELECT x.ref, min(q.ref) AS target FROM p x JOIN p q ON x.t = q.t AND (x.y IS NULL OR q.y IS NULL OR x.y = q.y) AND (x.a = '' OR q.a = '' OR x.a = q.a) WHERE NOT x.has_doi AND q.has_doi GROUP BY x.ref)"
+
+
+def _merge(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = F.col("ref")
     pubs = V.works(s, d).select("ref", (r % 5 == 0).alias("has_doi"), F.concat_ws(" ", "title", "brand").alias("t"), F.when(r % 4 != 0, F.col("year")).alias("y"), F.when(r % 3 == 0, "").otherwise(F.col("topic")).alias("a"))
-    return M.merge_hashed(pubs, "ref", "has_doi", "t", "y", "a")
+    return pubs, M.merge_hashed(pubs, "ref", "has_doi", "t", "y", "a")
+
+
+@query("b08_duplicate_merge", f"""WITH {V.WORK}, {_PUBS}, {_MERGED} SELECT p.ref, coalesce(m.target, p.ref) AS target FROM p LEFT JOIN m USING (ref)""")
+def b08(s: SparkSession, d: str) -> DataFrame:
+    return _merge(s, d)[1]
+
+
+@query("b08_merge_effects", f"""WITH {V.WORK}, {V.REF}, {_PUBS}, {_MERGED}, c AS (SELECT DISTINCT l_partkey AS ref, l_suppkey AS child FROM lineitem)
+SELECT 'publication' AS kind, ref, NULL::BIGINT AS other FROM p WHERE ref NOT IN (SELECT ref FROM m) UNION ALL SELECT DISTINCT 'provenance', coalesce(m.target, ref.ref), ref.id FROM ref LEFT JOIN m ON m.ref = ref.ref UNION ALL SELECT 'reference', ref, child FROM c WHERE ref NOT IN (SELECT ref FROM m)""")
+def b08_effects(s: SparkSession, d: str) -> DataFrame:
+    """Articles that hold a publication are where it came from; suppliers stand for its own references."""
+    pubs, mapping = _merge(s, d)
+    children = V.table(s, d, "lineitem").select(F.col("l_partkey").alias("ref"), F.col("l_suppkey").alias("other")).distinct()
+    parts = M.merge_effects(mapping, pubs, V.references(s, d).select("ref", F.col("id").alias("other")), children, "ref")
+    tagged = [p.select(F.lit(k).alias("kind"), "ref", F.col("other") if "other" in p.columns else F.lit(None).cast("long").alias("other")) for k, p in zip(("publication", "provenance", "reference"), parts, strict=True)]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
 @query("b09_seen_set", "SELECT DISTINCT e.user_id, e.event_type FROM events e WHERE event_id >= 500 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id < 500 AND o.user_id = e.user_id AND o.event_type = e.event_type)")

@@ -134,7 +134,19 @@ def h16(s: SparkSession, d: str) -> DataFrame:
     return M.repeat_noise(runs, "run", "verdict", "gold", "ignorieren").select(*[R6(F.col(c), c) for c in ("std", "low", "high", "mean")])
 
 
-@query("h17_quota_sampling", f"WITH {V.SCORED}, r AS (SELECT grp, y, id, row_number() OVER (PARTITION BY grp, y ORDER BY id) AS r FROM scored) SELECT grp, y, id FROM r WHERE r <= 3")
+def _quota_sql() -> str:
+    """Quotas one after the other, each without what those before it took; then a draw."""
+    steps = []
+    for i, (rule, side) in enumerate((r, s) for r in ("s < 0.3", "z = 1", "grp IN ('src1', 'src2')") for s in ("y = 1", "y = 0")):
+        before = "".join(f" AND id NOT IN (SELECT id FROM q{j})" for j in range(i))
+        steps.append(f"q{i} AS MATERIALIZED (SELECT id, {i // 2} AS k FROM scored WHERE {rule} AND {side}{before} ORDER BY id LIMIT 4)")
+    taken = " UNION ALL ".join(f"SELECT id, k FROM q{i}" for i in range(6))
+    rest = "SELECT id, NULL FROM scored WHERE id NOT IN (SELECT id FROM t) ORDER BY md5('11:' || id) LIMIT (SELECT 40 - count(*) FROM t)"
+    return f"WITH {V.SCORED}, {', '.join(steps)}, t AS (SELECT id, ['low', 'toxic', 'sources'][k + 1] AS rule FROM ({taken})) SELECT id, rule FROM t UNION ALL ({rest})"
+
+
+@query("h17_quota_sampling", _quota_sql())
 def h17(s: SparkSession, d: str) -> DataFrame:
-    r = X(s, d).withColumn("r", F.row_number().over(Window.partitionBy("grp", "y").orderBy("id")))
-    return r.where("r <= 3").select("grp", "y", "id")
+    rules = {"low": F.col("s") < 0.3, "toxic": F.col("z") == 1, "sources": F.col("grp").isin("src1", "src2")}
+    return M.quota_sample(X(s, d), "id", rules, F.col("y") == 1, 40)
+
