@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``: quality, line dedup, near-dedup, decontamination, packing."""
+"""A training corpus from ``documents``: quality, line dedup, near-dedup, decontamination, packing.
+
+In every stage null and empty texts are documents without words: the classifier scores them like others, they
+have one empty line, are nobody's near-duplicates and never contaminated, and pack as their end id alone.  Rows that share a
+doc_id are one document to near-dedup, which keeps one of them, and each a row elsewhere.  Empty tables of
+documents, labels or test items give empty or unchanged results; texts of any length are whole.
+"""
 
 from __future__ import annotations
 
@@ -56,8 +62,10 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each one's result is written to the shared folder and read again, and goes when the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = storage.cut(stage(spark, docs, sf_dir), name)
+    with storage.temporary() as made:
+        for name, stage in STAGES[:-1]:
+            docs = storage.cut(stage(spark, docs, sf_dir), name)
+        made.keep(STAGES[-2][0])
     return STAGES[-1][1](spark, docs, sf_dir)
