@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +150,35 @@ def greedy_motifs(rows: DataFrame, limit: int = 4) -> list[str]:
     return out
 
 
+def single(value: Column, weight: Column | None = None) -> Column:
+    """One value of a facet, of weight 1 unless given; null is none."""
+    entry = F.struct(value.cast("string").alias("value"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"))
+    return F.when(value.isNotNull(), F.array(entry))
+
+
+def several(values: Column) -> Column:
+    """Each element of an array as a value of a facet, of weight 1."""
+    return F.transform(values, lambda v: F.struct(v.cast("string").alias("value"), F.lit(1.0).alias("weight")))
+
+
+def facets(rows: DataFrame, by: str, parts: dict[str, tuple[Column, int | None]]) -> DataFrame:
+    """(by, facet, value, weight, rank): what each group of rows has most of, for several facets at once.
+
+    A facet is made by single() or several(), with the number of values to keep, all where None.  Weights are summed; equal
+    ones rank by value.  All facets of a row leave it together and are summed before and after one shuffle; a null facet
+    adds nothing.  The rank is within a group and facet, of which there are as many rows as it has different values.
+    """
+    tagged = [F.transform(values, _entry(name)) for name, (values, _) in parts.items()]
+    found = rows.select(by, F.explode(F.flatten(F.array_compact(F.array(*tagged)))).alias("e")).groupBy(by, "e.facet", "e.value").agg(F.round(F.sum("e.weight"), 6).alias("weight"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(by, "facet").orderBy(F.desc("weight"), "value")))
+    kept = [F.col("facet").eqNullSafe(name) if most is None else (F.col("facet") == name) & (F.col("rank") <= most) for name, (_, most) in parts.items()]
+    return ranked.where(reduce(lambda a, b: a | b, kept))
+
+
+def _entry(name: str):
+    return lambda e: F.struct(F.lit(name).alias("facet"), e["value"].alias("value"), e["weight"].alias("weight"))
+
+
 def mean_or_fallback(rows: DataFrame, value: str, scope: Column, order: list[Column], recent: int, least: int, default: float) -> DataFrame:
     """(estimate): mean of the ``recent`` latest positive values in scope if there are enough, else of all, else ``default``."""
     positive = rows.where(F.col(value) > 0)

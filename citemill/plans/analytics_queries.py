@@ -95,6 +95,27 @@ def f06(s: SparkSession, d: str) -> DataFrame:
     return A.community_profile(m, bridge(s, d), ["AFRICA", "ASIA", "EUROPE", "REGION_1", "REGION_2", "REGION_3"])
 
 
+def _ranked_sql(by: str, parts: dict[str, tuple[str, int | None]], extra: str = "") -> str:
+    """SQL for facets: each a query of (by, value, weight), with the number of values to keep."""
+    rows = " UNION ALL ".join(f"SELECT {by}, '{name}' AS facet, CAST(value AS VARCHAR) AS value, round(sum(weight), 6) AS weight FROM ({sql}) WHERE value IS NOT NULL GROUP BY 1, 3" for name, (sql, _) in parts.items())
+    kept = " OR ".join(f"(facet = '{name}'{'' if most is None else f' AND rank <= {most}'})" for name, (_, most) in parts.items())
+    return f"fr AS ({rows}), fk AS (SELECT *, CAST(row_number() OVER (PARTITION BY {by}, facet ORDER BY weight DESC, value) AS INT) AS rank FROM fr), facets AS (SELECT * FROM fk WHERE {kept})"
+
+
+_COMMUNITY = _ranked_sql("community", {"journal": ("SELECT author % 40 AS community, journal AS value, 1.0::DOUBLE AS weight FROM ar0", 5), "topic": ("SELECT author % 40 AS community, topic AS value, 1.0::DOUBLE AS weight FROM ar JOIN work USING (ref)", 6), "base": ("SELECT author % 40 AS community, ref AS value, 1.0::DOUBLE AS weight FROM ar", 10)})
+
+
+@query("f06_community_facets", f"""WITH {V.ART}, {V.REF}, {V.WORK}, {AR}, ar0 AS (SELECT * FROM art), {_COMMUNITY}, z AS (SELECT author % 40 AS community, count(*) AS size FROM art GROUP BY 1)
+SELECT community, facet, value, weight, rank, round(weight / size, 6) AS share FROM facets JOIN z USING (community) WHERE facet <> 'base' OR weight >= 2""")
+def f06_facets(s: SparkSession, d: str) -> DataFrame:
+    """Journals, topics and cited works that a community has most of, with their share of its articles."""
+    community = (F.col("author") % 40).alias("community")
+    arts, refs = V.articles(s, d).select(community, "journal"), art_refs(s, d).join(V.works(s, d).select("ref", "topic"), "ref").select(community, "topic", "ref")
+    found = A.facets(arts, "community", {"journal": (A.single(F.col("journal")), 5)}).unionByName(A.facets(refs, "community", {"topic": (A.single(F.col("topic")), 6), "base": (A.single(F.col("ref")), 10)}))
+    size = arts.groupBy("community").agg(count("size"))
+    return found.where("facet <> 'base' OR weight >= 2").join(size, "community").withColumn("share", F.round(F.col("weight") / F.col("size"), 6)).drop("size")
+
+
 @query("f07_document_frequency", f"WITH {V.ART}, {V.REF}, {_OWN} SELECT ref, count(DISTINCT id) AS df FROM ref WHERE ref IN (SELECT ref FROM own) GROUP BY ref")
 def f07(s: SparkSession, d: str) -> DataFrame:
     return C.document_frequency(V.references(s, d), own(s, d))
@@ -120,6 +141,22 @@ def f09(s: SparkSession, d: str) -> DataFrame:
     return c.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "concept"))).where("r <= 20").drop("r")
 
 
+_CLUSTER = _ranked_sql("cluster", {
+    "concept": ("SELECT cluster, concept AS value, score AS weight FROM tp", 20), "key_term": ("SELECT cluster, lower(concept) AS value, 1.0::DOUBLE AS weight FROM tp WHERE lower(concept) IN (SELECT lower(title) FROM work WHERE ref < 60)", 15),
+    "verdict": ("SELECT cluster, coalesce(nullif(\"user\", ''), 'unverarbeitet') AS value, 1.0::DOUBLE AS weight FROM art", None), "year": ("SELECT cluster, year AS value, 1.0::DOUBLE AS weight FROM art", None),
+})
+
+
+@query("f09_cluster_facets", f"WITH {V.ART}, {V.WORK}, {_TOPICS}, {_CLUSTER} SELECT * FROM facets")
+def f09_facets(s: SparkSession, d: str) -> DataFrame:
+    """Of each cluster the weightiest concepts, those that are key terms of own works, verdicts and years."""
+    keys = V.works(s, d).where("ref < 60").select(F.lower("title").alias("key")).distinct()
+    topics = _topics(s, d).join(keys, F.lower("concept") == F.col("key"), "left")
+    of_topics = A.facets(topics, "cluster", {"concept": (A.single(F.col("concept"), F.col("score")), 20), "key_term": (A.single(F.col("key")), 15)})
+    verdict = F.coalesce(F.nullif("user", F.lit("")), F.lit("unverarbeitet"))
+    return of_topics.unionByName(A.facets(V.articles(s, d), "cluster", {"verdict": (A.single(verdict), None), "year": (A.single(F.col("year")), None)}))
+
+
 @query("f10_cross_cutting_concepts", f"WITH {V.ART}, {V.WORK}, {_TOPICS}, c AS (SELECT concept, cluster, sum(score) AS s FROM tp GROUP BY 1, 2 HAVING sum(score) >= 1) SELECT concept, count(*) AS clusters, round(sum(s), 3) AS total FROM c GROUP BY 1 HAVING count(*) >= 3 AND sum(s) >= 5")
 def f10(s: SparkSession, d: str) -> DataFrame:
     return A.cross_cutting(_topics(s, d), "concept", "cluster", "score").withColumn("total", F.round("total", 3))
@@ -221,6 +258,16 @@ def f22(s: SparkSession, d: str) -> DataFrame:
     return run.where(F.col("below") + F.col("k") > F.floor(F.col("n") / 2)).groupBy("segment", "n", "top").agg(F.min("cost").alias("upper_median"))
 
 
+_POOL = _ranked_sql("segment", {"mode": ("SELECT segment, cluster AS value, 1.0::DOUBLE AS weight FROM art", None), "verdict": ("SELECT segment, agent AS value, 1.0::DOUBLE AS weight FROM art", None), "indicator": ("SELECT segment, coalesce(nullif(\"user\", ''), '(none)') AS value, 1.0::DOUBLE AS weight FROM art", None), "journal": ("SELECT segment, journal AS value, 1.0::DOUBLE AS weight FROM art", 10)})
+
+
+@query("f22_pool_facets", f"WITH {V.ART}, {_POOL} SELECT * FROM facets")
+def f22_facets(s: SparkSession, d: str) -> DataFrame:
+    """Counts of a pool by mode, verdict and indicator, and its ten most frequent journals."""
+    none = F.coalesce(F.nullif("user", F.lit("")), F.lit("(none)"))
+    return A.facets(V.articles(s, d), "segment", {"mode": (A.single(F.col("cluster")), None), "verdict": (A.single(F.col("agent")), None), "indicator": (A.single(none), None), "journal": (A.single(F.col("journal")), 10)})
+
+
 _RANK = "CASE {c} WHEN 'pflichtlektuere' THEN 0 WHEN 'lesenswert' THEN 1 WHEN 'scannen' THEN 2 ELSE 3 END"
 
 
@@ -322,6 +369,12 @@ def f36(s: SparkSession, d: str) -> DataFrame:
     return g.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("authors"), F.desc("freq"), "ref"))).where("r <= 50").drop("r")
 
 
+@query("f36_network_counts", f"WITH {V.ART}, {V.REF}, {AR}, g AS (SELECT cluster, ref, count(DISTINCT author) AS authors FROM ar GROUP BY 1, 2) SELECT cluster, count(*) AS refs, count(*) FILTER (authors >= 2) AS by_two, count(*) FILTER (authors >= 3) AS by_three, max(authors) AS most FROM g GROUP BY 1")
+def f36_counts(s: SparkSession, d: str) -> DataFrame:
+    g = art_refs(s, d).groupBy("cluster", "ref").agg(F.countDistinct("author").alias("authors"))
+    return g.groupBy("cluster").agg(count("refs"), F.count_if(F.col("authors") >= 2).alias("by_two"), F.count_if(F.col("authors") >= 3).alias("by_three"), F.max("authors").alias("most"))
+
+
 @query("f37_keyword_classes", f"WITH {V.WORK} SELECT ref, concat_ws(',', CASE WHEN contains(lower(topic), 'econ') OR contains(title, 'gear') THEN 'a' END, CASE WHEN contains(title, 'red') THEN 'b' END) AS classes FROM work")
 def f37(s: SparkSession, d: str) -> DataFrame:
     rules = {"a": ["econ", "gear"], "b": ["red"]}
