@@ -128,12 +128,28 @@ def motifs(tokens: DataFrame, candidate: Column, least: int = 3, journals: int =
     return g.crossJoin(F.broadcast(n)).withColumn("lift", value).where((F.col("articles") >= least) & (F.col("journals") >= journals) & (F.col("lift") >= lift)).select("token", "articles", "lift")
 
 
-def companions(tokens: DataFrame, motif: DataFrame, mates: DataFrame, share: float = 0.4) -> DataFrame:
-    """(token, mate, together): for each motif the token that most of its articles have too, if ``share`` of them do; ``mates`` has the tokens distinctive enough to be one."""
-    rows = tokens.select("id", "token").distinct()
-    mine = rows.join(motif.select("token", "articles"), "token")
-    pairs = mine.join(rows.join(mates.select("token"), "token", "left_semi").select("id", F.col("token").alias("mate")), "id").where("token <> mate").groupBy("token", "mate", "articles").agg(F.count("*").alias("together"))
-    best = pairs.where(F.col("together") >= share * F.col("articles")).groupBy("token").agg(F.max_by(F.struct("mate", "together"), F.struct("together", "mate")).alias("m"))
+PAIR_BUCKETS = 1 << 20
+
+
+def companions(tokens: DataFrame, motif: DataFrame, mates: DataFrame, share: float = 0.4, buckets: int = PAIR_BUCKETS) -> DataFrame:
+    """(token, mate, together): for each motif the token that most of its articles have too, if ``share`` of them do; ``mates`` has the tokens distinctive enough to be one.
+
+    Pairs are counted in two passes over the motifs and mates of each article. The first adds up hashed pairs in at most ``buckets``
+    counters, which all tasks then get; a pair whose counter doesn't reach the share can't either, so only the
+    others are shuffled and counted by themselves.
+    """
+    flags = tokens.select("id", "token").distinct().join(motif.select("token", "articles"), "token", "left").join(mates.select("token", F.lit(True).alias("mate")).distinct(), "token", "left")
+    flags = flags.where("articles IS NOT NULL OR mate")
+    folder = scratch(tokens.sparkSession, "marked")  # read in both passes
+    lists = lambda cond, value: F.collect_list(F.when(cond, value))
+    flags.groupBy("id").agg(lists(F.col("articles").isNotNull(), F.struct("token", "articles")).alias("ms"), lists(F.col("mate"), F.col("token")).alias("ts")).where("size(ms) > 0 AND size(ts) > 0").write.parquet(folder)
+    marked = tokens.sparkSession.read.schema(f"id {tokens.schema['id'].dataType.simpleString()}, ms array<struct<token:string,articles:bigint>>, ts array<string>").parquet(folder)
+    pairs = marked.select(F.explode("ms").alias("m"), "ts").select("m.token", "m.articles", F.explode("ts").alias("mate")).where("token <> mate")
+    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("token", "mate"), F.lit(buckets)))
+    counters = pairs.groupBy("bucket").agg(F.count("*").alias("n"))  # ``buckets`` rows at most
+    hopeful = pairs.join(F.broadcast(counters), "bucket").where(F.col("n") >= share * F.col("articles"))
+    counted = hopeful.groupBy("token", "mate", "articles").agg(F.count("*").alias("together")).where(F.col("together") >= share * F.col("articles"))
+    best = counted.groupBy("token").agg(F.max_by(F.struct("mate", "together"), F.struct("together", "mate")).alias("m"))
     return best.select("token", "m.mate", "m.together")
 
 

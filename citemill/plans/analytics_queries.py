@@ -13,6 +13,7 @@ from citemill.operators import search as S
 from citemill.operators.ordered import running
 from citemill.plans.join_queries import _DF, _OWN, BRIDGE, bridge, own
 from citemill.plans.registry import query
+from citemill.shared import scratch
 
 T = V.table
 count = lambda *c: F.count("*").alias(*(c or ("n",)))
@@ -163,8 +164,11 @@ def f10(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(s: SparkSession, d: str) -> DataFrame:
-    docs = T(s, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("journal"), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))).alias("token"))
+    """(id, journal, token): different words of documents; texts are cut once, into a table that all steps read."""
+    docs, folder = T(s, d, "documents"), scratch(s, "tokens")
+    found = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5))
+    docs.select(F.col("doc_id").alias("id"), F.col("source").alias("journal"), found.alias("tokens")).write.parquet(folder)
+    return s.read.schema("id long, journal string, tokens array<string>").parquet(folder).select("id", "journal", F.explode("tokens").alias("token"))
 
 
 _TOK = "tk AS (SELECT DISTINCT doc_id AS id, source AS journal, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 5)) AS token FROM documents)"

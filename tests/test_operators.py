@@ -550,3 +550,21 @@ BEGRIFF: again | HERKUNFT: CLARK"""
         ("contrasts", me, brown, "-", "so it is", "ch. 2"), ("trajectory", me, "own:0", "", "", ""), ("trajectory", me, "own:1", "", "", ""),
     ]
     assert sorted(r.label for r in out if r.kind == "unparsed") == ["QUELLE: Ames | RELATION: affirmsx", "QUELLE: | RELATION: extends", "Vocabulary: affirms", "ZIEL: never"]
+
+
+def test_companions_with_any_number_of_counters(spark):
+    """Counters that pairs share only let more through: the choice is that of counting all pairs."""
+    rng = random.Random(11)
+    docs = {i: {rng.choice("abcdefghij") * 2 for _ in range(rng.randint(1, 8))} for i in range(60)}
+    tokens = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts] + [(0, t) for t in docs[0]], "id long, token string")
+    own = {t: sum(t in ts for ts in docs.values()) for t in ("aa", "bb", "cc")}
+    motif = spark.createDataFrame(list(own.items()), "token string, articles long")
+    mates = spark.createDataFrame([(c * 2,) for c in "abcdefg"], "token string")
+    want = {}
+    for t, n in own.items():
+        together = {m: sum(t in ts and m in ts for ts in docs.values()) for m in (c * 2 for c in "abcdefg") if m != t}
+        k, m = max((k, m) for m, k in together.items())
+        if k >= 0.4 * n:
+            want[t] = (m, k)
+    for buckets in (1 << 20, 7, 1):
+        assert {r.token: (r.mate, r.together) for r in analytics.companions(tokens, motif, mates, buckets=buckets).collect()} == want
