@@ -568,3 +568,29 @@ def test_companions_with_any_number_of_counters(spark):
             want[t] = (m, k)
     for buckets in (1 << 20, 7, 1):
         assert {r.token: (r.mate, r.together) for r in analytics.companions(tokens, motif, mates, buckets=buckets).collect()} == want
+
+
+def test_source_scores_of_all_pairs(spark):
+    """Each source has a score for each wanted name, whatever their names share; equal to a plain scoring of all pairs."""
+    import re
+
+    from citemill.operators import matching
+
+    sources = [
+        (1, "journal of care", False, True), (2, "journal of care studies", False, False), (3, "painted walls", True, False), (3, "painted walls", True, False), (4, "of", False, True),
+        (5, "", True, True), (6, None, True, True), (7, "cafe\u0301 noir", None, None), (8, "walls walls", False, True), (9, "x", False, False),
+    ]
+    wanted = ["journal of care", "journal of care", "walls", "cafe club", "ab", "", None]
+
+    def score(c, n, hint, kind):
+        if c is None:
+            return None
+        a, b = (set(re.findall(r"\w{3,}", x or "")) for x in (c, n))
+        base = 0 if n is None else 10 if c == n else 5 if n in c else 3 if c in n else 0
+        return base + 4 * len(a & b) / max(len(b), 1) + 20 * bool(hint) + bool(kind)
+
+    out = matching.source_scores(spark.createDataFrame(sources, "ref long, cand string, hint boolean, type_ok boolean"), spark.createDataFrame([(n,) for n in wanted], "name string"))
+    key = lambda r: tuple(map(str, r))
+    want = [(r, n, None if (x := score(c, n, h, k)) is None else float(x)) for r, c, h, k in sources for n in set(wanted)]
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert (3, "journal of care", 20.0) in want and (9, "walls", 0.0) in want

@@ -62,3 +62,23 @@ def test_tfidf_is_the_cosine_to_own_texts(spark, tmp_path):
     want = {i: max(sum(x * o.get(g, 0) for g, x in vector(count(t)).items()) for o in map(vector, own)) for i, t in texts.items()}
     assert got == pytest.approx(want, abs=1e-6)
     assert got[3] > 0.5 and got[2] == got[4] == got[5] == 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_every_source_is_scored_for_every_wanted_name(spark, tmp_path, broadcast):
+    """As many rows as parts times different types, and equal to the SQL on nulls, empty names and types in two spellings."""
+    from tests.oracle import assert_same, connect
+
+    rows = [
+        (0, "cold gear", "Brand#3", "PROMO"), (1, "cold gear", "Brand#1", "promo"), (2, "", "Brand#25", "LARGE PROMO"), (50, "promo ring", "Brand#2", ""), (100, None, "Brand#4", "Größe"),
+        (101, None, None, "Größe"), (102, "cold gear", None, None), (103, "x", "Brand#9", "GE"), (None, "ring", "Brand#9", "LARGE"), (150, "a\u0301bc cold", "Brand#1", "a\u0301bcd"), (150, "a\u0301bc cold", "Brand#1", "a\u0301bcd"),
+    ]
+    spark.createDataFrame([(*r, 1, 1.0) for r in rows], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if broadcast else "-1")
+    try:
+        df = QUERIES["e13_source_scoring"](spark, str(tmp_path))
+        assert df.count() == len(rows) * len({r[3] and r[3].lower() for r in rows})
+        assert_same(df, connect(tmp_path), registry.oracle_sql()["e13_source_scoring"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
